@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import Workspace
-from . import mixing
+from . import fingerprints, mixing, packing, pii, quality_rules, rule_ensemble, secrets, token_file
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,5 +16,34 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.mix(_documents(spark, sf_dir), Workspace(spark, "op1")).curriculum)
 
 
-QUERIES = {"op1_mixing": op1_mixing}
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_documents(spark, sf_dir), Workspace(spark, "op2"))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    Workspace(spark, "op3")
+    return secrets.digest(secrets.find_secrets(_documents(spark, sf_dir)))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.score(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), Workspace(spark, "op4"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(_documents(spark, sf_dir), Workspace(spark, "op5")))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir), Workspace(spark, "op7"))
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edited(_documents(spark, sf_dir), Workspace(spark, "op9"))
+
+
+def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file.round_trip(_documents(spark, sf_dir), Workspace(spark, "op10"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_secrets, op4_quality_classifier, op5_pii, op7_packing, op9_fingerprints, op10_token_file)}
 ORACLE_SQL = {"op1_mixing": mixing.SQL}
