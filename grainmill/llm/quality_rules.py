@@ -25,9 +25,9 @@ from .text import SPACE, let
 COMMON, TRACKED = 24, 10_000
 #: A histogram is judged from so many words on.
 MIN_WORDS = 50
-#: Distances above these are too far from the language. Word histograms of short texts are noisy: their bound widens
-#: by ``WORD_NOISE`` over the square root of the number of words.
-CHAR_BOUND, WORD_BOUND, WORD_NOISE = 0.16, 0.30, 2.0
+#: Distances above these are too far from the language: a bound for long texts, and how much it widens for short ones,
+#: whose histograms are noisy, over the square root of the number of words.
+CHAR_BOUND, WORD_BOUND = (0.12, 1.1), (0.12, 1.7)
 
 SYMBOLS = "[#*$%&|<>]"
 CLASSES = (r"\p{Lu}", r"\p{Nd}", r"[.,;:!?'\"()-]", r"[^\p{L}\p{M}\p{Nd}\x20\x09-\x0D.,;:!?'\"()-]")
@@ -111,7 +111,7 @@ def common_words(documents: DataFrame, common: int = COMMON, tracked: int = TRAC
     return top.select("lang", F.slice(F.transform(letters, lambda x: x["item"]), 1, common).alias("common"))
 
 
-def judge(documents: DataFrame, ws: Workspace, min_words: int = MIN_WORDS, char_bound: float = CHAR_BOUND, word_bound: float = WORD_BOUND, word_noise: float = WORD_NOISE) -> DataFrame:
+def judge(documents: DataFrame, ws: Workspace, min_words: int = MIN_WORDS, char_bound=CHAR_BOUND, word_bound=WORD_BOUND) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, char_distance and word_distance of every whole text.
 
     Texts are read twice (common words, counts) and never shuffled; what is joined by language is a row a language,
@@ -158,6 +158,7 @@ def judge(documents: DataFrame, ws: Workspace, min_words: int = MIN_WORDS, char_
     judged = seen.join(refs, F.col("lang").eqNullSafe(F.col("of")), "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce(char_distance, F.lit(0.0)).alias("char_distance"), F.coalesce(word_distance, F.lit(0.0)).alias("word_distance")
     )
-    near = (F.col("char_distance") <= char_bound) & (F.col("word_distance") <= F.lit(word_bound) + F.lit(word_noise) / F.sqrt(F.greatest(F.col("n_words"), F.lit(1))))
+    noise = 1 / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
+    near = (F.col("char_distance") <= char_bound[0] + char_bound[1] * noise) & (F.col("word_distance") <= word_bound[0] + word_bound[1] * noise)
     kept = ~F.col("base_failed") & ((F.col("n_words") < min_words) | near)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "char_distance", "word_distance")
