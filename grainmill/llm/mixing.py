@@ -25,7 +25,7 @@ from .text import words
 #: over [0, 1], so the integrated shares are the weights themselves.
 SCHEDULES = (((0.0, 1.4), (1.0, 0.6)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)))
 #: Rows of one source that one window partition holds, about.
-ROWS_PER_BUCKET = 50_000
+ROWS_PER_BUCKET = 2_000
 
 
 def integral(knots) -> float:
