@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import Workspace
-from . import fingerprints, mixing, packing, pii, quality_rules, rule_ensemble, secrets, token_file
+from . import fingerprints, jaccard_join, mixing, packing, pii, quality_rules, rule_ensemble, secrets, substring_dedup, token_file
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,10 +33,18 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(_documents(spark, sf_dir), Workspace(spark, "op5")))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(_documents(spark, sf_dir), Workspace(spark, "op6"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), Workspace(spark, "op7"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_documents(spark, sf_dir), Workspace(spark, "op8"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(_documents(spark, sf_dir), Workspace(spark, "op9"))
 
@@ -45,5 +53,5 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.round_trip(_documents(spark, sf_dir), Workspace(spark, "op10"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_secrets, op4_quality_classifier, op5_pii, op7_packing, op9_fingerprints, op10_token_file)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_secrets, op4_quality_classifier, op5_pii, op6_jaccard_join, op7_packing, op8_substring_dedup, op9_fingerprints, op10_token_file)}
 ORACLE_SQL = {"op1_mixing": mixing.SQL}
