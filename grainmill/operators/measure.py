@@ -15,19 +15,19 @@ def f1(p: Column, r: Column) -> Column:
 
 
 def confusion(df: DataFrame, labels: DataFrame, true: str = "true_kind", pred: str = "predicted_kind") -> DataFrame:
-    """Counts of every (true, pred) of the label map, zeros included; a label outside the map fails the run."""
-    counted = df.groupBy(F.col(true).alias("true"), F.col(pred).alias("pred")).agg(F.count("*").alias("n"))
+    """Counts of every (true_label, pred_label) of the label map, zeros included; a label outside the map fails the run."""
+    counted = df.groupBy(F.col(true).alias("true_label"), F.col(pred).alias("pred_label")).agg(F.count("*").alias("n"))
     known = [r["kind"] for r in labels.select("kind").collect()]  # a row a label
-    for c in ("true", "pred"):
+    for c in ("true_label", "pred_label"):
         counted = counted.withColumn(c, F.when(F.col(c).isin(*known), F.col(c)).otherwise(F.raise_error(F.concat(F.lit("unknown label: "), F.coalesce(F.col(c).cast("string"), F.lit("null")))).cast(counted.schema[c].dataType)))
-    cells = labels.select(F.col("kind").alias("true")).crossJoin(labels.select(F.col("kind").alias("pred")))  # labels squared, not rows
-    return cells.join(counted, ["true", "pred"], "left").select("true", "pred", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    cells = labels.select(F.col("kind").alias("true_label")).crossJoin(labels.select(F.col("kind").alias("pred_label")))  # labels squared, not rows
+    return cells.join(counted, ["true_label", "pred_label"], "left").select("true_label", "pred_label", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def per_class(cells: DataFrame) -> DataFrame:
     """tp, support, predicted, precision, recall, f1 of each label of a confusion matrix; 0 for empty denominators."""
-    rows = cells.groupBy(F.col("true").alias("kind")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col("true") == F.col("pred"), F.col("n")).otherwise(0)).alias("tp"))
-    cols = cells.groupBy(F.col("pred").alias("kind")).agg(F.sum("n").alias("predicted"))
+    rows = cells.groupBy(F.col("true_label").alias("kind")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col("true_label") == F.col("pred_label"), F.col("n")).otherwise(0)).alias("tp"))
+    cols = cells.groupBy(F.col("pred_label").alias("kind")).agg(F.sum("n").alias("predicted"))
     both = rows.join(cols, "kind")
     p, r = _ratio(F.col("tp"), F.col("predicted")), _ratio(F.col("tp"), F.col("support"))
     return both.select("kind", "tp", "support", "predicted", p.alias("precision"), r.alias("recall"), f1(p, r).alias("f1"))
@@ -56,14 +56,14 @@ def summary(cells: DataFrame, present_only: bool = False) -> DataFrame:
 
 def majority_share(cells: DataFrame) -> DataFrame:
     """The label with most support (the least on ties) and the share of predictions that name it."""
-    by = cells.groupBy("true").agg(F.sum("n").alias("support"))
-    top = by.agg(F.min_by("true", F.struct(-F.col("support"), F.col("true"))).alias("kind"))
-    return cells.crossJoin(F.broadcast(top)).groupBy("kind").agg(_ratio(F.sum(F.when(F.col("pred") == F.col("kind"), F.col("n")).otherwise(0)), F.sum("n")).alias("share"))  # top is one row
+    by = cells.groupBy("true_label").agg(F.sum("n").alias("support"))
+    top = by.agg(F.min_by("true_label", F.struct(-F.col("support"), F.col("true_label"))).alias("kind"))
+    return cells.crossJoin(F.broadcast(top)).groupBy("kind").agg(_ratio(F.sum(F.when(F.col("pred_label") == F.col("kind"), F.col("n")).otherwise(0)), F.sum("n")).alias("share"))  # top is one row
 
 
 def confusions(df: DataFrame, most: int = 20, true: str = "true_kind", pred: str = "predicted_kind", ordinal: str = "ordinal") -> DataFrame:
-    """The most frequent wrong (true, pred); ties in the order of first appearance."""
-    wrong = df.where(F.col(true) != F.col(pred)).groupBy(F.col(true).alias("true"), F.col(pred).alias("pred"))
+    """The most frequent wrong (true_label, pred_label); ties in the order of first appearance."""
+    wrong = df.where(F.col(true) != F.col(pred)).groupBy(F.col(true).alias("true_label"), F.col(pred).alias("pred_label"))
     told = wrong.agg(F.count("*").alias("n"), F.min(ordinal).alias("first"))
     return told.orderBy(F.col("n").desc(), "first").limit(most)
 
@@ -84,7 +84,7 @@ def errors_by_label(df: DataFrame, labels: DataFrame, most: int = 5, true: str =
 def duplicate_errors(df: DataFrame, key: Column, true: str = "true_kind", pred: str = "predicted_kind", ordinal: str = "ordinal") -> DataFrame:
     """Texts (by ``key``) that err more than once: rows and the first one's labels."""
     wrong = df.where(F.col(true) != F.col(pred)).groupBy(key.alias("text"))
-    told = wrong.agg(F.count("*").alias("n"), F.min_by(true, ordinal).alias("true"), F.min_by(pred, ordinal).alias("pred"), F.min(ordinal).alias("first"))
+    told = wrong.agg(F.count("*").alias("n"), F.min_by(true, ordinal).alias("true_label"), F.min_by(pred, ordinal).alias("pred_label"), F.min(ordinal).alias("first"))
     return told.where("n > 1")
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import curation
+from . import curation, evaluation, records, texts
 
-_MODULES = (curation,)
+_MODULES = (curation, texts, evaluation, records)
 QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: q for m in _MODULES for name, q in m.ORACLE_SQL.items()}
