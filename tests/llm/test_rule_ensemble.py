@@ -22,7 +22,8 @@ def test_held_out_accuracy(spark, ws):
 def test_columns_score_as_numpy(spark, documents, ws):
     stats = documents.select("doc_id", rule_ensemble.statistics(documents["text"]).alias("s")).select("doc_id", "s.*").toPandas()
     x = stats[list(rule_ensemble.FEATURES)].to_numpy(float)
-    model = rule_ensemble.fit(x, (x[:, 3] < 0.2).astype(float))
+    y = (x[:, 0] > np.median(x[:, 0])) ^ (x[:, 1] > np.quantile(x[:, 1], 0.8)) ^ (np.arange(len(x)) % 11 == 0)
+    model = rule_ensemble.fit(x, y.astype(float))
     df = spark.createDataFrame(stats)
     got = df.select("doc_id", model.score(lambda c: df[c]).alias("p")).toPandas()
     assert model.rules and len(model.rules) < model.tried
