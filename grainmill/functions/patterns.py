@@ -81,6 +81,8 @@ DROP_CLAUSES = (
     r"(?:^|(?<=[.;!?]))\s*" + MODE,
     r"(?:^|(?<=[.;!?]))\s*заявни" + W + r"*\s+проси" + W + r"*\s+зв['’]?язатися\s+" + MODE + r"(?:\s+для\s+[^.!?]*)?",
 )
+#: Every clause dropped holds one of these, so texts without any need no further look.
+CLAUSE_STEMS = I + "заяв|відповід|згоду|роз’ясн|нада|надіслати|передати|повідомити|бажа|прохан|прос|прошу|листом|письмов|телефонн"
 ANSWER_STUB = I + r"(?:^|(?<=[.;!\s]))\s*відповідь\s*[.!]?\s*"
 TRAILING_VERB = I + r"(?:^|(?<=[.;!\s]))\s*(?:та|і|й|або|чи)\s+нада[ти]\s*[.!]?\s*$"
 DANGLING_HEAD = I + r"^\s*(?:для|щоб|та|і|й|або|бо|проте)\s+[^.!?]{2,80}[,;:.]?\s*"
@@ -89,6 +91,7 @@ ACTION_VERBS = (
     "вжити", "надати", "відновити", "прибрати", "усунути", "відремонтувати", "провести", "замінити", "виконати", "забезпечити", "встановити", "вивезти",
     "перевірити", "вирішити", "зробити", "очистити", "опрацювати", "розглянути",
 )
+ANY_ACTION_VERB = I + "|".join(ACTION_VERBS)
 ACTION_VERB = I + r"^\s*(?:" + "|".join(ACTION_VERBS) + ")" + END
 ACTION_MARKER = I + r"^\s*(?:прошу|прохаю|прохання|просимо|просить)\s*(?:щонайменш|найшвидше|негайно|терміново|якомогашвидше)?\s*"
 GENERIC_ACTION = I + r"^вжити\s+" + MEASURES + r"[.!]?$"

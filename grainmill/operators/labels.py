@@ -55,8 +55,8 @@ def _redact(texts: pd.Series) -> pd.Series:
 
 
 def redact(x: Column) -> Column:
-    """Texts without a capital letter or digit have nothing to redact and stay in the JVM's hands."""
-    return F.when(x.rlike("[А-ЯІЇЄҐ0-9]"), _redact(x)).otherwise(x)
+    """``redact_text`` over Arrow batches: spans that protect others are beyond a single expression."""
+    return _redact(x)
 
 
 def street(text: Column) -> Column:
@@ -169,8 +169,13 @@ def clean_issue(text: Column) -> Column:
     drop = p.I + "|".join(f"(?:{x})" for x in p.DROP_SENTENCES)
     out = F.array_join(F.filter(sentences(text), lambda s: ~s.rlike(drop)), " ")
     clauses = p.I + "|".join([p.ADMIN, *p.DROP_CLAUSES])
+
+    def without(x: Column) -> Column:
+        cut = F.regexp_replace(F.regexp_replace(F.regexp_replace(x, clauses, ""), p.ANSWER_STUB, ""), p.TRAILING_VERB, "")
+        return F.when(x.rlike(p.CLAUSE_STEMS), cut).otherwise(x)
+
     for _ in range(3):
-        out = F.regexp_replace(F.regexp_replace(F.regexp_replace(out, clauses, ""), p.ANSWER_STUB, ""), p.TRAILING_VERB, "")
+        out = F.transform(F.array(out), without)[0]
     for _ in range(3):
         for pattern, to in ((r"\s+([.,;:!?])", "$1"), (r"([.!?])\s*([.!?])", "$1"), (r"[.,;:]{2,}", "."), (r"^\s*[.,;:!\-–—]+\s*", ""), (r"\s*[.,;:!\-–—]+$", "")):
             out = F.regexp_replace(out, pattern, to)
@@ -184,7 +189,8 @@ def action_clause(text: Column, most: int = 200) -> Column:
     Only that first sentence counts: a generic or tiny clause ends the search with nothing.
     """
     clauses = p.I + "|".join([p.ADMIN, *p.DROP_CLAUSES])
-    bodies = F.transform(sentences(text), lambda s: F.regexp_replace(strip(F.regexp_replace(s, clauses, "")), p.ACTION_MARKER, ""))
+    likely = F.filter(sentences(text), lambda s: s.rlike(p.ANY_ACTION_VERB))
+    bodies = F.transform(likely, lambda s: F.regexp_replace(strip(F.regexp_replace(s, clauses, "")), p.ACTION_MARKER, ""))
     body = F.get(F.filter(bodies, lambda b: b.rlike(p.ACTION_VERB)), F.lit(0))
 
     def clause(b: Column) -> Column:

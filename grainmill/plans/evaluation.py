@@ -95,7 +95,7 @@ def segment_subsets(spark: SparkSession, d: str) -> DataFrame:
     return measure.overlapping(li, subsets, {"n": F.count("*"), "quantity": F.sum(F.col("l_quantity").cast("long"))})
 
 
-def release_gates(spark: SparkSession, d: str) -> DataFrame:
+def _gated(spark: SparkSession, d: str) -> DataFrame:
     """Gates over the kept share and the toxic share of each language; ``length`` is a metric that nobody measured."""
     labels = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
     told = labels.groupBy(F.col("lang").alias("arm")).agg(F.avg("quality").alias("quality"), F.avg("toxic").alias("toxic"))
@@ -107,8 +107,12 @@ def release_gates(spark: SparkSession, d: str) -> DataFrame:
     return measure.gates(observed, rules)
 
 
+def release_gates(spark: SparkSession, d: str) -> DataFrame:
+    return _gated(spark, d).withColumn("passed", F.coalesce(F.col("passed").cast("string"), F.lit("missing")))
+
+
 def release_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    return measure.verdicts(release_gates(spark, d))
+    return measure.verdicts(_gated(spark, d))
 
 
 def verdict_of_change(spark: SparkSession, d: str) -> DataFrame:
@@ -232,7 +236,7 @@ ORACLE_SQL = {
     "arm_movement": f"WITH {_ARMS} SELECT doc_id, CASE WHEN b AND NOT a THEN 'improved' WHEN a AND NOT b THEN 'regressed' ELSE 'unchanged' END AS movement FROM arms",
     "segment_subsets": """WITH s AS (SELECT unnest(list_filter(['all', CASE WHEN l_returnflag = 'R' THEN 'returned' END, CASE WHEN l_quantity >= 40 THEN 'large' END, CASE WHEN l_linestatus = 'O' THEN 'open' END], lambda x: x IS NOT NULL)) AS subset,
       l_quantity FROM lineitem) SELECT subset, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM s GROUP BY subset""",
-    "release_gates": f"WITH {_GATES} SELECT * FROM gates",
+    "release_gates": f"WITH {_GATES} SELECT arm, gate, observed, blocking, coalesce(CAST(passed AS VARCHAR), 'missing') AS passed FROM gates",
     "release_verdicts": f"""WITH {_GATES} SELECT arm, CASE WHEN count(*) FILTER (WHERE blocking AND passed IS NULL) > 0 THEN 'INCOMPLETE' WHEN count(*) FILTER (WHERE blocking AND NOT passed) > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict
       FROM gates GROUP BY arm""",
     "verdict_of_change": """SELECT p_partkey, CASE WHEN (p_size - 25) % 10 = 0 THEN 'unresolved' WHEN abs(p_size - 25) <= 3 THEN 'unchanged' WHEN p_partkey % 3 = 0 THEN 'unresolved'

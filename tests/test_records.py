@@ -127,9 +127,8 @@ def test_limiter_over_a_stream(spark, tmp_path):
     df = spark.createDataFrame([("a", i * 100) for i in range(6)], "key string, ms long").withColumn("ts", F.timestamp_millis("ms"))
     df.write.parquet(src)
     stream = limiter.limit_stream(spark.readStream.schema(df.schema).parquet(src), "key", "ts", 1000, 4)
-    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
+    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(once=True).start()
+    assert q.awaitTermination(120)
     assert [r["allowed"] for r in spark.read.parquet(out).orderBy("ms").collect()] == [True] * 4 + [False] * 2
 
 
