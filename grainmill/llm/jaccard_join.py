@@ -8,9 +8,10 @@ What is skipped, and why nothing is lost:
 
 * lists of one class hold no pair;
 * within a list, blocks whose sizes or positions cannot reach the needed overlap are skipped as a whole;
-* first, each list links its sets to two pivots only; these links are computed exactly and grouped into components.
-  A set in a pivot's component takes its answer from the pivot, so lists are then only searched for pairs across
-  components;
+* first, each list links its sets to one pivot only, the set that holds the list's shingle at the earliest position: as
+  rare shingles come first, that is the least edited of a group of copies. These links are computed exactly and grouped
+  into components. A set in a pivot's component takes its answer from the pivot, so lists are then only searched for
+  pairs across components;
 * such a pair (x, y) of sets with pivots r, s takes its answer from (r, s) where that decides: Jaccard distance is a
   metric, so d(r, s) - d(r, x) - d(s, y) above the bound proves that x and y are not linked, and a link of r and s
   makes the pair's components one. Only the remaining pairs are computed.
@@ -40,8 +41,8 @@ NUM, DEN = 3, 4
 #: Shingles that one local count holds, copies in it from which a shingle is reported, and how many of the most
 #: frequent ones are broadcast at most (8 bytes and a class each).
 CHUNK, LOCAL, FREQUENT = 1 << 21, 4, 200_000
-#: Prefix positions that propose pivots; members that one task compares with a pivot, about; entries of a block.
-PIVOT_POSITIONS, PER_PIVOT, BLOCK = 6, 2_000, 128
+#: Members that one task compares with a pivot, about; entries of a block.
+PER_PIVOT, BLOCK = 2_000, 128
 ROWS = 1_024
 
 
@@ -184,7 +185,7 @@ def _shared(postings: DataFrame) -> DataFrame:
         if held and not held["alone"][0]:
             yield pa.RecordBatch.from_arrays([pa.array(held[k], t) for k, t in SHARED], names=[k for k, _ in SHARED])
 
-    dealt = postings.repartition("s").sortWithinPartitions("s", "n", "f")
+    dealt = postings.repartition("s").sortWithinPartitions("s", "p", "n", "f")
     return dealt.mapInArrow(run, "s long, n int, f long, p int, f1 long, n1 int, p1 int, f2 long, n2 int, p2 int")
 
 
@@ -195,13 +196,11 @@ def possible(na: Column, pa_: Column, nb: Column, pb: Column) -> Column:
 
 
 def _pivots(shared: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a the pivot, that the first positions of the lists propose."""
-    near = shared.where(F.col("p") < PIVOT_POSITIONS)
-    pairs = [
-        near.where((F.col(f"f{k}") != F.col("f")) & possible(F.col(f"n{k}"), F.col(f"p{k}"), F.col("n"), F.col("p"))).select(F.col(f"f{k}").alias("a"), F.col("f").alias("b"))
-        for k in (1, 2)
-    ]
-    return pairs[0].unionByName(pairs[1]).distinct()
+    """Distinct pairs (a, b), a the pivot: each list's first class with the others, or, where sizes forbid that, each
+    class with the one before it."""
+    able = lambda k: (F.col(f"f{k}") != F.col("f")) & possible(F.col(f"n{k}"), F.col(f"p{k}"), F.col("n"), F.col("p"))
+    pivot = F.when(able(1), F.col("f1")).when(able(2), F.col("f2"))
+    return shared.select(pivot.alias("a"), F.col("f").alias("b")).where("a is not null").distinct()
 
 
 def list_pairs(n: np.ndarray, p: np.ndarray, group: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
@@ -357,6 +356,7 @@ def join(documents: DataFrame, ws: Workspace, width: int = 5) -> DataFrame:
 
     labelled = shared.select("s", "n", "f", "p").join(labels, "f", "left").withColumn("c", F.coalesce("c", "f"))
     open_pairs = ws.table("across", _across(labelled).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+    ws.drop("shared")
     # each class's answers come from a pivot whose distance to it is known: the nearest one that it is linked with
     far = 1 - F.col("same") / (F.col("na") + F.col("nb") - F.col("same"))
     pivot = ws.table("pivot", stars.groupBy(F.col("b").alias("f")).agg(F.min(F.struct(far.alias("d"), F.col("a").alias("r"))).alias("m")).select("f", "m.r", "m.d"))
@@ -375,6 +375,7 @@ def join(documents: DataFrame, ws: Workspace, width: int = 5) -> DataFrame:
     named = classes.join(final, "f", "left").withColumn("c", F.coalesce("c", "f"))
     ids = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     by_class = ws.table("by-class", named.join(ids, "c").select("f", "component_id"))
+    ws.drop("classes", "pivots", "labels", "across", "pivot", "derived", "roots", "rest", "components")
     out = own.join(by_class, "f", "left")
     alone = F.col("n") == 0
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
