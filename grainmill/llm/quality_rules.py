@@ -36,13 +36,11 @@ CLASSES = (r"\p{Lu}", r"\p{Nd}", r"[.,;:!?'\"()-]", r"[^\p{L}\p{M}\p{Nd}\x20\x09
 def repeated(words: Column) -> Column:
     """How many words lie in 3-word windows whose words occur twice or more as a window.
 
-    Windows are told apart by 64-bit hashes. They are sorted with their positions, so equal ones are neighbours; then
-    the positions of repeated ones are sorted, and each covers up to three words beyond the one before.
+    Windows are told apart by 64-bit hashes. Where all are distinct, as in most short texts, nothing repeats. Else they
+    are sorted with their positions, so equal ones are neighbours; then the positions of repeated ones are sorted, and
+    each covers up to three words beyond the one before.
     """
-    windows = F.transform(
-        F.sequence(F.lit(0), F.size(words) - 3),
-        lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("p")),
-    )
+    hashes = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
 
     def positions(s: Column) -> Column:
         same = lambda x, i: (x["h"] == F.get(s, i - 1)["h"]) | (x["h"] == F.get(s, i + 1)["h"])
@@ -52,7 +50,11 @@ def repeated(words: Column) -> Column:
         steps = F.transform(at, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(at, i + 1) - p, F.lit(3))))
         return F.aggregate(steps, F.lit(0), lambda a, x: a + x)
 
-    found = let(let(F.sort_array(windows), positions), covered)
+    def counted(h: Column) -> Column:
+        windows = F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p")))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(let(let(F.sort_array(windows), positions), covered))
+
+    found = let(hashes, counted)
     return F.when(F.size(words) >= 4, found).otherwise(0).cast("long")
 
 
