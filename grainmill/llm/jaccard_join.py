@@ -12,7 +12,9 @@ What is skipped, and why nothing is lost:
   rare shingles come first, that is the least edited of a group of copies. These links are computed exactly and grouped
   into components. A set in a pivot's component takes its answer from the pivot, so lists are then only searched for
   pairs across components;
-* such a pair (x, y) of sets with pivots r, s takes its answer from (r, s) where that decides: Jaccard distance is a
+* sets compared with one pivot are settled among themselves by their differences from it (what each lacks and has
+  besides): the overlap of two follows from these, so neither text is read again, and only links come out;
+* a pair (x, y) that is left, of sets with pivots r, s, takes its answer from (r, s) where that decides: Jaccard distance is a
   metric, so d(r, s) - d(r, x) - d(s, y) above the bound proves that x and y are not linked, and a link of r and s
   makes the pair's components one. Only the remaining pairs are computed.
 
@@ -43,6 +45,8 @@ NUM, DEN = 3, 4
 CHUNK, LOCAL, FREQUENT = 1 << 21, 4, 200_000
 #: Members that one task compares with a pivot, about; entries of a block.
 PER_PIVOT, BLOCK = 2_000, 128
+#: Comparisons of differences that one task makes, about.
+COMPARISONS = 50_000_000
 ROWS = 1_024
 
 
@@ -203,12 +207,13 @@ def _pivots(shared: DataFrame) -> DataFrame:
     return shared.select(pivot.alias("a"), F.col("f").alias("b")).where("a is not null").distinct()
 
 
-def list_pairs(n: np.ndarray, p: np.ndarray, group: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of one list (sorted by size) across groups that sizes and positions allow.
+def list_pairs(n: np.ndarray, p: np.ndarray, group: np.ndarray, block: int = BLOCK, home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of one list (sorted by size) across groups (and homes, if given) that sizes and positions allow.
 
     Entries of the largest group are never compared with one another, and blocks are skipped by their largest
     remainder (size less position) and size range.
     """
+    home = np.arange(len(n)) if home is None else home
     names, inverse, counts = np.unique(group, return_inverse=True, return_counts=True)
     if len(names) < 2:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
@@ -223,7 +228,7 @@ def list_pairs(n: np.ndarray, p: np.ndarray, group: np.ndarray, block: int = BLO
         able = (high * DEN >= nx * NUM) & (low * NUM <= nx * DEN) & (np.minimum(most, rx) >= needed(nx, low))
         for b in starts[able].tolist():
             y = np.arange(b, min(b + block, len(n)))
-            ok = (group[y] != group[x]) & (n[y] * DEN >= nx * NUM) & (n[y] * NUM <= nx * DEN) & (np.minimum(left[y], rx) >= needed(nx, n[y]))
+            ok = (group[y] != group[x]) & (home[y] != home[x]) & (n[y] * DEN >= nx * NUM) & (n[y] * NUM <= nx * DEN) & (np.minimum(left[y], rx) >= needed(nx, n[y]))
             ok &= (inverse[y] == largest) | (y > x)  # a pair outside the largest group once
             y = y[ok]
             out_a.append(np.minimum(x, y))
@@ -234,21 +239,22 @@ def list_pairs(n: np.ndarray, p: np.ndarray, group: np.ndarray, block: int = BLO
 
 
 def _across(shared: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of classes in different components (column c) that some list allows."""
+    """Distinct pairs (a, b) of classes in different components (column c) and with different pivots (r) that some list
+    allows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
 
         def pairs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            s, n, f, p, c = cols
+            s, n, f, p, c, r = cols
             if not len(s):
                 return
             starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
             ends = np.concatenate([starts[1:], [len(s)]])
-            mixed = np.minimum.reduceat(c, starts) != np.maximum.reduceat(c, starts)
+            mixed = (np.minimum.reduceat(c, starts) != np.maximum.reduceat(c, starts)) & (np.minimum.reduceat(r, starts) != np.maximum.reduceat(r, starts))
             found_a, found_b = [], []
             for a, b in zip(starts[mixed].tolist(), ends[mixed].tolist()):
-                i, j = list_pairs(n[a:b].astype(np.int64), p[a:b].astype(np.int64), c[a:b])
+                i, j = list_pairs(n[a:b].astype(np.int64), p[a:b].astype(np.int64), c[a:b], BLOCK, r[a:b])
                 found_a.append(f[a:b][i])
                 found_b.append(f[a:b][j])
             if found_a:
@@ -259,7 +265,7 @@ def _across(shared: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(i).to_numpy() for i in range(5)]
+            cols = [batch.column(i).to_numpy() for i in range(6)]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols)]
             cut = int(np.searchsorted(cols[0], cols[0][-1]))  # where the last list begins
@@ -268,13 +274,14 @@ def _across(shared: DataFrame) -> DataFrame:
         if held is not None:
             yield from pairs(held)
 
-    mixed = shared.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("s")
+    mixed = shared.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("r").alias("r0"), F.max("r").alias("r1")).where("lo < hi and r0 < r1").select("s")
     own = shared.join(mixed, "s").repartition("s").sortWithinPartitions("s", "n", "f")
-    return own.select("s", "n", "f", "p", "c").mapInArrow(run, "a long, b long").distinct()
+    return own.select("s", "n", "f", "p", "c", "r").mapInArrow(run, "a long, b long").distinct()
 
 
-def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """(a, b, same, na, nb) of each pair of classes: the exact overlap and sizes.
+def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, differences: bool = False) -> DataFrame:
+    """(a, b, same, na, nb) of each pair of classes: the exact overlap and sizes. With ``differences`` also what b lacks
+    of a (a bit for each of a's sorted hashes) and what it has besides (hashes), where the two share half or more.
 
     ``classes``: f and the doc_id of one document of it. Texts of these documents are dealt to their pivots a; a pivot
     of many pairs is dealt to several tasks.
@@ -285,7 +292,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int) ->
     hubs = dealt.select(F.col("a").alias("f"), "a", "salt", F.lit(0).alias("role")).distinct()
     wanted = members.unionByName(hubs).groupBy("f").agg(F.collect_list(F.struct("a", "salt", "role")).alias("to")).join(classes, "f")
     texts = docs.join(wanted, "doc_id").withColumn("t", F.explode("to")).select("t.a", "t.salt", "t.role", "f", "text")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("same", pa.int64()), ("na", pa.int64()), ("nb", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("same", pa.int64()), ("na", pa.int64()), ("nb", pa.int64())] + [("minus", pa.binary()), ("plus", pa.binary())] * differences)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, hashes, last = None, None, None
@@ -299,13 +306,88 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int) ->
                 if row[2] == 0:
                     hub, hashes = row[:2], h
                 elif hub == row[:2]:
-                    i = np.searchsorted(hashes, h)
-                    same = int((hashes[np.minimum(i, len(hashes) - 1)] == h).sum())
-                    out.append((row[0], row[3], same, len(hashes), len(h)))
+                    i = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                    hit = hashes[i] == h
+                    same = int(hit.sum())
+                    told = (row[0], row[3], same, len(hashes), len(h))
+                    if differences:
+                        lacks = np.ones(len(hashes), dtype=bool)
+                        lacks[i[hit]] = False
+                        near = 2 * same >= len(hashes) + len(h) - same
+                        told += (np.packbits(lacks).tobytes(), h[~hit].tobytes()) if near else (None, None)
+                    out.append(told)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
 
-    return texts.repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "f").mapInArrow(run, "a long, b long, same long, na long, nb long")
+    return texts.repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "f").mapInArrow(run, "a long, b long, same long, na long, nb long" + ", minus binary, plus binary" * differences)
+
+
+def related(na: int, n: np.ndarray, minus: np.ndarray, plus: list[np.ndarray], own: np.ndarray, joined: np.ndarray) -> list[tuple[int, int]]:
+    """Linked pairs (x, y), x in ``own``, of sets told by their differences from one set of ``na`` elements.
+
+    ``minus``: rows of bits of what each lacks of it; ``plus``: sorted hashes of what each has besides. The overlap of
+    x and y is na - |minus x or minus y| + |plus x and plus y|, so neither set is needed again. Of x's links to sets
+    that are ``joined`` with the one set the first is enough; of two others the later one is y.
+    """
+    where: dict[int, list[int]] = {}
+    for k, h in enumerate(plus):
+        for v in h.tolist():
+            where.setdefault(v, []).append(k)
+    out = []
+    for x in own.tolist():
+        able = np.flatnonzero((n * DEN >= n[x] * NUM) & (n * NUM <= n[x] * DEN))
+        able = able[able != x]
+        same = na - np.bitwise_count(minus[able] | minus[x]).sum(axis=1).astype(np.int64)
+        shared: dict[int, int] = {}
+        for v in plus[x].tolist():
+            if len(where[v]) > 1:
+                for k in where[v]:
+                    shared[k] = shared.get(k, 0) + 1
+        if shared:
+            more = np.zeros(len(n), dtype=np.int64)
+            more[list(shared)] = list(shared.values())
+            same += more[able]
+        found = able[same >= needed(n[x], n[able])]
+        out += [(x, int(y)) for y in (*found[joined[found]][:1], *found[~joined[found] & (found > x)])]
+    return out
+
+
+def _derived(members: DataFrame) -> DataFrame:
+    """Links (a, b) among the sets tried with one pivot, from their differences alone. ``members``: r, f, na, n, minus,
+    plus, linked. Sets linked with the pivot are one component already, so only the others are compared with all.
+
+    A pivot's work is split into parts of about ``COMPARISONS`` comparisons; each part gets all of the pivot's members.
+    """
+    sizes = members.groupBy("r").agg(F.count("*").alias("m"), F.count_if(~F.col("linked")).alias("u")).where("u > 0")
+    parts = sizes.select("r", F.least(F.col("u"), F.ceil(F.col("u") * F.col("m") / COMPARISONS)).cast("int").alias("k"))
+    dealt = members.join(parts, "r").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = dealt.withColumn("own", ~F.col("linked") & (F.pmod(F.xxhash64("f"), F.col("k")) == F.col("part")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def close() -> pa.RecordBatch | None:
+            own = np.array([k for k, r in enumerate(held) if r[4]], dtype=np.int64)
+            if not len(own):
+                return None
+            minus = np.vstack([np.frombuffer(r[2], dtype=np.uint8) for r in held])
+            pairs = related(now[2], np.array([r[1] for r in held], dtype=np.int64), minus, [np.frombuffer(r[3], dtype=np.uint64) for r in held], own, np.array([r[5] for r in held]))
+            if not pairs:
+                return None
+            return pa.RecordBatch.from_arrays([pa.array([held[x][0] for x, _ in pairs], pa.int64()), pa.array([held[y][0] for _, y in pairs], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for r, part, na, f, n, minus, plus, own, joined in zip(*(c.to_pylist() for c in batch.columns)):
+                if (r, part, na) != now:
+                    if held and (out := close()):
+                        yield out
+                    now, held = (r, part, na), []
+                held.append((f, n, minus, plus, own, joined))
+        if held and (out := close()):
+            yield out
+
+    ordered = dealt.repartition("r", "part").sortWithinPartitions("r", "part", "f")
+    return ordered.select("r", "part", "na", "f", "n", "minus", "plus", "own", "linked").mapInArrow(run, "a long, b long")
 
 
 def linked() -> Column:
@@ -350,16 +432,24 @@ def join(documents: DataFrame, ws: Workspace, width: int = 5) -> DataFrame:
 
     postings = _postings(docs, [(r["h"], r["c"]) for r in frequent.collect()], ws, width)
     shared = ws.table("shared", _shared(postings))
-    tried = ws.table("pivots", verify(_pivots(shared), known, docs, width))
-    stars = tried.where(linked())
-    labels = ws.table("labels", components(stars, ws, "stars"))
-
-    labelled = shared.select("s", "n", "f", "p").join(labels, "f", "left").withColumn("c", F.coalesce("c", "f"))
+    tried = ws.table("pivots", verify(_pivots(shared), known, docs, width, differences=True))
+    stars = tried.where(linked()).select("a", "b")
+    far = 1 - F.col("same") / (F.col("na") + F.col("nb") - F.col("same"))
+    # a set's home is the nearest pivot that it was compared with; all that share one are settled by their differences
+    homes = tried.where("minus is not null").groupBy(F.col("b").alias("f")).agg(F.min(F.struct(far.alias("d"), F.col("a").alias("r"))).alias("h")).select("f", "h.r", "h.d")
+    homes = ws.table("homes", homes)
+    members = tried.join(homes.select(F.col("f").alias("b"), F.col("r").alias("a")), ["a", "b"])
+    members = members.select(F.col("a").alias("r"), F.col("b").alias("f"), "na", F.col("nb").alias("n"), "minus", "plus", linked().alias("linked"))
+    near = ws.table("derived-links", _derived(members))
+    labels = ws.table("labels", components(stars.unionByName(near), ws, "stars"))
+
+    # a pivot is its own home unless it has a nearer one; a set without a home is one for itself
+    labelled = shared.select("s", "n", "f", "p").join(labels, "f", "left").join(homes.select("f", "r"), "f", "left")
+    labelled = labelled.withColumn("c", F.coalesce("c", "f")).withColumn("r", F.coalesce("r", "f"))
     open_pairs = ws.table("across", _across(labelled).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
     ws.drop("shared")
-    # each class's answers come from a pivot whose distance to it is known: the nearest one that it is linked with
-    far = 1 - F.col("same") / (F.col("na") + F.col("nb") - F.col("same"))
-    pivot = ws.table("pivot", stars.groupBy(F.col("b").alias("f")).agg(F.min(F.struct(far.alias("d"), F.col("a").alias("r"))).alias("m")).select("f", "m.r", "m.d"))
+    # each side's answer comes from its home, if it is linked with it, where that decides
+    pivot = homes.where(F.col("d") <= 1 - NUM / DEN + 1e-12)
     side = lambda k: pivot.select(F.col("f").alias(k), F.col("r").alias(f"r{k}"), F.col("d").alias(f"d{k}"))
     derived = open_pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
     derived = derived.select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"), F.coalesce("da", F.lit(0.0)).alias("da"), F.coalesce("db", F.lit(0.0)).alias("db"))
@@ -370,12 +460,12 @@ def join(documents: DataFrame, ws: Workspace, width: int = 5) -> DataFrame:
     undecided = undecided.where(~((F.col("a") == F.col("r")) & (F.col("b") == F.col("q"))) & ~((F.col("a") == F.col("q")) & (F.col("b") == F.col("r"))))
     rest = ws.table("rest", verify(undecided.select("a", "b"), known, docs, width))
 
-    edges = stars.unionByName(roots.where(linked())).unionByName(rest.where(linked())).select("a", "b")
+    edges = stars.unionByName(near).unionByName(roots.where(linked()).select("a", "b")).unionByName(rest.where(linked()).select("a", "b"))
     final = ws.table("components", components(edges, ws, "all"))
     named = classes.join(final, "f", "left").withColumn("c", F.coalesce("c", "f"))
     ids = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     by_class = ws.table("by-class", named.join(ids, "c").select("f", "component_id"))
-    ws.drop("classes", "pivots", "labels", "across", "pivot", "derived", "roots", "rest", "components")
+    ws.drop("classes", "pivots", "homes", "derived-links", "labels", "across", "derived", "roots", "rest", "components")
     out = own.join(by_class, "f", "left")
     alone = F.col("n") == 0
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -76,6 +76,39 @@ def test_large_group(frame, ws, monkeypatch):
     assert told(jj.join(frame(items), ws)) == brute(items)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_group_at_the_border(frame, ws, monkeypatch, seed):
+    """Copies of which many are just not similar to the least edited one, in several parts."""
+    monkeypatch.setattr(jj, "COMPARISONS", 500)
+    rng = random.Random(seed)
+    base = [f"v{k}" for k in range(100)]
+    items = []
+    for i in range(120):
+        own = list(base)
+        for _ in range(rng.randrange(1, 7)):
+            own[rng.randrange(100)] = f"e{rng.randrange(40)}"
+        items.append((i, " ".join(own), "en", "s"))
+    assert told(jj.join(frame(items), ws)) == brute(items)
+
+
+def test_overlaps_from_differences():
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 1 << 60, 60).astype(np.uint64))
+    extra = rng.integers(0, 1 << 60, 30).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(40, 60)], rng.permutation(extra)[: rng.integers(0, 9)]])) for _ in range(40)]
+    minus = np.vstack([np.packbits(~np.isin(base, s)) for s in sets])
+    plus = [np.setdiff1d(s, base) for s in sets]
+    near = lambda x, y: 4 * len(np.intersect1d(x, y)) >= 3 * len(np.union1d(x, y))
+    joined = np.array([near(s, base) for s in sets])
+    own = np.flatnonzero(~joined)
+    got = set(jj.related(len(base), np.array([len(s) for s in sets]), minus, plus, own, joined))
+    linked = {(x, y) for x in own.tolist() for y in range(40) if x != y and near(sets[x], sets[y])}
+    assert got <= linked and len(own) > 5
+    for x in own.tolist():
+        assert any(joined[y] for z, y in got if z == x) == any(joined[y] for z, y in linked if z == x)
+        assert {y for z, y in got if z == x and not joined[y]} == {y for z, y in linked if z == x and not joined[y] and y > x}
+
+
 @pytest.mark.parametrize("block", [1, 3, 128])
 def test_block_skipping_loses_no_pair(block):
     rng = np.random.default_rng(1)
