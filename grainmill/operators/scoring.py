@@ -69,10 +69,36 @@ def set_scores(got: Column, expected: Column) -> Column:
     )
 
 
+def lcs_length(masks: dict[str, int], n: int, words) -> int:
+    """The same length for long texts, a bit a word: ``masks`` has the places of each of the ``n`` words of one text."""
+    full = (1 << n) - 1
+    row = full
+    for w in words:
+        hit = row & masks.get(w, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return n - row.bit_count()
+
+
+@F.pandas_udf(DoubleType())
+def best_rouge(expected: pd.Series, got: pd.Series) -> pd.Series:
+    """Mean over the first side's texts (arrays of words) of the best ROUGE-L among the second's; texts of any length."""
+
+    def of(want, have) -> float:
+        total = 0.0
+        for x in want:
+            masks: dict[str, int] = {}
+            for i, w in enumerate(x):
+                masks[w] = masks.get(w, 0) | 1 << i
+            total += max(2.0 * lcs_length(masks, len(x), y) / (len(x) + len(y)) if len(x) + len(y) else 1.0 for y in have)
+        return total / len(want)
+
+    return pd.Series([of(x, y) if x is not None and y is not None and len(x) and len(y) else 0.0 for x, y in zip(expected, got)], dtype=float)
+
+
 def best_issue_rouge(expected: Column, got: Column) -> Column:
     """Mean over the expected topics of the best ROUGE-L that a predicted topic's issue reaches."""
-    best = F.transform(expected, lambda e: F.array_max(F.transform(got, lambda g: rouge_l(e["issue"], g["issue"]))))
-    mean = F.aggregate(best, F.lit(0.0), lambda s, x: s + x) / F.size(expected)
+    words = lambda topics: F.transform(topics, lambda t: _words(t["issue"]))
+    mean = best_rouge(words(expected), words(got))
     return F.when(F.size(expected) == 0, (F.size(got) == 0).cast("double")).when(F.size(got) == 0, 0.0).otherwise(mean)
 
 

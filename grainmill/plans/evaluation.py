@@ -131,11 +131,11 @@ def _cases(spark: SparkSession, d: str) -> DataFrame:
 
     def topics(text) -> F.Column:
         one = lambda s: F.struct(F.get(names, F.length(s) % len(scoring.DOMAINS)).alias("domain"), s.alias("issue"), F.lit("").alias("object"), F.left(s, F.lit(12)).alias("requested_action"), F.create_map().cast("map<string,string>").alias("attributes"))
-        return F.transform(F.slice(sentences(text), F.lit(1), F.lit(2)), one)
+        return F.transform(sentences(text), one)
 
     first = c.where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
     reply = c.where("role = 'assistant'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("reply"))
-    both = first.join(reply, "conv_id").withColumn("text", F.left("text", F.lit(300))).withColumn("reply", F.left("reply", F.lit(300)))
+    both = first.join(reply, "conv_id")
     return both.select(
         F.col("conv_id").alias("id"), (F.col("conv_id") % 5).alias("category"), "text", topics(F.col("text")).alias("expected"), topics(F.col("reply")).alias("topics"), (F.length("reply") > 0).alias("parsed"), F.lit(True).alias("schema_ok")
     )
