@@ -4,6 +4,8 @@ A byte-level BPE splits a text by a fixed pattern and merges each piece on its o
 its pieces one after another. Pieces repeat; the library's model is asked once for each piece that is not remembered.
 The memory of pieces is bounded: when it is full it starts anew.
 
+The library finds the file's added tokens in a text before it splits it; texts that hold one are left to the library.
+
 The file's normalizer must be absent and its pre-tokenizer byte-level with the pattern and no prefix space; another
 file is encoded by the library as a whole, text by text.
 """
@@ -51,7 +53,6 @@ class Encoder(dict):
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
         pre = told.get("pre_tokenizer") or {}
@@ -64,6 +65,7 @@ class Encoder(dict):
             and not told["model"].get("continuing_subword_prefix")
             and not told["model"].get("end_of_word_suffix")
         )
+        self.added = [t["content"] for t in told.get("added_tokens") or () if t["content"]]
         self.model, self.any, self.table = self.tokenizer.model, regex.compile(ANY), _printable()
 
     def __missing__(self, piece: str) -> bytes:
@@ -92,7 +94,7 @@ class Encoder(dict):
         if not text:
             return b""
         text = text.encode("utf-8", "replace").decode("utf-8")  # lone surrogates, which no valid text has
-        if not self.by_piece:
+        if not self.by_piece or any(t in text for t in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         get = self.__getitem__
         return b"".join(b"".join(map(get, self._pieces(part))) for part in self._cut(text))
