@@ -21,8 +21,8 @@ What is skipped, and why nothing is lost:
 What counts as frequent only changes the order of shingles and so the work, never the result.
 
 Nulls, ties, repeats: null and empty texts have no set, are linked with nothing and are their own component; equal rows
-are linked; a component's id is its smallest doc_id that is not null; rows without a doc_id are
-linked with equal sets only; an empty table gives an empty result. Only doc_id
+are linked; a component's id is its smallest doc_id that is not null, null where it has none; rows without a doc_id
+and rows that share one are linked by their texts as all others are; an empty table gives an empty result. Only doc_id
 and text are read.
 """
 
@@ -66,8 +66,8 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, ...]]:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(kind, x, n, f): kind 0 is a document's id, set size and class; kind 1 a shingle, its local count and 0."""
-    schema = pa.schema([("kind", pa.int8()), ("x", pa.int64()), ("n", pa.int64()), ("f", pa.int64())])
+    """(kind, x, n, f, h): kind 0 is a document's id, set size, class and h; kind 1 a shingle, its local count and 0."""
+    schema = pa.schema([("kind", pa.int8()), ("x", pa.int64()), ("n", pa.int64()), ("f", pa.int64()), ("h", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, seen, held = [], set(), 0
@@ -80,9 +80,9 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
             found, counts = h[heads[many]].view(np.int64), times[many]
             if not len(found):
                 return None
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(found), np.int8)), pa.array(found), pa.array(counts), pa.array(np.zeros(len(found), np.int64))], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(found), np.int8)), pa.array(found), pa.array(counts), zeros := pa.array(np.zeros(len(found), np.int64)), zeros], schema=schema)
 
-        for ids, texts in _texts(batches):
+        for ids, keys, texts in _texts(batches):
             sizes, classes = [], []
             for text in texts:
                 h = shingles(text, width)
@@ -97,11 +97,11 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                         if out := frequent():
                             yield out
                         chunk, seen, held = [], set(), 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int8)), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int8)), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(keys, pa.int64())], schema=schema)
         if chunk and (out := frequent()):
             yield out
 
-    return docs.select("doc_id", "text").mapInArrow(run, "kind byte, x long, n long, f long")
+    return docs.select("doc_id", "h", "text").mapInArrow(run, "kind byte, x long, n long, f long, h long")
 
 
 def _postings(docs: DataFrame, frequent: list[tuple[int, int]], ws: Workspace, width: int) -> DataFrame:
@@ -283,15 +283,17 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, di
     """(a, b, same, na, nb) of each pair of classes: the exact overlap and sizes. With ``differences`` also what b lacks
     of a (a bit for each of a's sorted hashes) and what it has besides (hashes), where the two share half or more.
 
-    ``classes``: f and the doc_id of one document of it. Texts of these documents are dealt to their pivots a; a pivot
-    of many pairs is dealt to several tasks.
+    ``classes``: f and the key (doc_id, h) of one document of it. Texts of these documents are dealt to their pivots a;
+    a pivot of many pairs is dealt to several tasks. Without a doc_id equal texts have one key, so one of them is read.
     """
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_PIVOT).cast("int").alias("k"))
     dealt = pairs.join(sizes, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("k")).cast("int"))
     members = dealt.select(F.col("b").alias("f"), "a", "salt", F.lit(1).alias("role"))
     hubs = dealt.select(F.col("a").alias("f"), "a", "salt", F.lit(0).alias("role")).distinct()
     wanted = members.unionByName(hubs).groupBy("f").agg(F.collect_list(F.struct("a", "salt", "role")).alias("to")).join(classes, "f")
-    texts = docs.join(wanted, "doc_id").withColumn("t", F.explode("to")).select("t.a", "t.salt", "t.role", "f", "text")
+    own = docs.where("doc_id is not null").unionByName(docs.where("doc_id is null").dropDuplicates(["h", "text"]))
+    keyed = wanted.withColumnsRenamed({"doc_id": "__id", "h": "__h"})
+    texts = own.join(keyed, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))).withColumn("t", F.explode("to")).select("t.a", "t.salt", "t.role", "f", "text")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("same", pa.int64()), ("na", pa.int64()), ("nb", pa.int64())] + [("minus", pa.binary()), ("plus", pa.binary())] * differences)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +302,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, di
             out = []
             for row in zip(a, salt, role, f, text):
                 h = shingles(row[4], width)
-                if set_key(h) != row[3] or (role_key := row[:4]) == last:  # another text of that doc_id; a repeated row
+                if set_key(h) != row[3] or (role_key := row[:4]) == last:  # another text of that key; a repeated row
                     continue
                 last = role_key
                 if row[2] == 0:
@@ -418,21 +420,31 @@ def components(edges: DataFrame, ws: Workspace, name: str) -> DataFrame:
     return leaves.unionByName(now.select(F.col("v").alias("f"), F.col("v").alias("c")).distinct())
 
 
+def text_key() -> Column:
+    """With doc_id the key of a row, which needs no doc_id of its own."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def join(documents: DataFrame, ws: Workspace, width: int = 5) -> DataFrame:
-    """doc_id, n_shingles and component_id of every text.
+    """doc_id, n_shingles and component_id of every text."""
+    return _linked(documents, ws, width).select("doc_id", "n_shingles", "component_id")
+
+
+def _linked(documents: DataFrame, ws: Workspace, width: int) -> DataFrame:
+    """The same with h and the component c of every text, which is null where it has no set.
 
     Texts are read whole twice (sizes and frequent shingles; prefixes) and dealt by doc_id to verify proposed pairs.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("h"))
     sets = ws.table("sets", _sets(docs, width))
-    own = sets.where("kind = 0").select(F.col("x").alias("doc_id"), "n", "f")
+    own = sets.where("kind = 0").select(F.col("x").alias("doc_id"), "n", "f", "h")
     frequent = sets.where("kind = 1").groupBy(F.col("x").alias("h")).agg(F.sum("n").alias("c")).orderBy(F.col("c").desc(), "h").limit(FREQUENT)
-    classes = ws.table("classes", own.where("n > 0").groupBy("f").agg(F.min("doc_id").alias("doc_id")))
-    known = classes.where("doc_id is not null")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("k")
+    classes = ws.table("classes", own.where("n > 0").groupBy("f").agg(first).select("f", "k.doc_id", "k.h"))
 
     postings = _postings(docs, [(r["h"], r["c"]) for r in frequent.collect()], ws, width)
     shared = ws.table("shared", _shared(postings))
-    tried = ws.table("pivots", verify(_pivots(shared), known, docs, width, differences=True))
+    tried = ws.table("pivots", verify(_pivots(shared), classes, docs, width, differences=True))
     stars = tried.where(linked()).select("a", "b")
     far = 1 - F.col("same") / (F.col("na") + F.col("nb") - F.col("same"))
     # a set's home is the nearest pivot that it was compared with; all that share one are settled by their differences
@@ -454,30 +466,32 @@ def join(documents: DataFrame, ws: Workspace, width: int = 5) -> DataFrame:
     derived = open_pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
     derived = derived.select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"), F.coalesce("da", F.lit(0.0)).alias("da"), F.coalesce("db", F.lit(0.0)).alias("db"))
     derived = ws.table("derived", derived.select("a", "b", F.least("ra", "rb").alias("r"), F.greatest("ra", "rb").alias("q"), (F.col("da") + F.col("db")).alias("slack")))
-    roots = ws.table("roots", verify(derived.select(F.col("r").alias("a"), F.col("q").alias("b")).distinct(), known, docs, width))
+    roots = ws.table("roots", verify(derived.select(F.col("r").alias("a"), F.col("q").alias("b")).distinct(), classes, docs, width))
     apart = derived.join(roots.select(F.col("a").alias("r"), F.col("b").alias("q"), far.alias("d"), linked().alias("one")), ["r", "q"], "left")
     undecided = apart.where(~F.coalesce("one", F.lit(False)) & (F.coalesce("d", F.lit(0.0)) - F.col("slack") <= 1 - NUM / DEN + 1e-9))
     undecided = undecided.where(~((F.col("a") == F.col("r")) & (F.col("b") == F.col("q"))) & ~((F.col("a") == F.col("q")) & (F.col("b") == F.col("r"))))
-    rest = ws.table("rest", verify(undecided.select("a", "b"), known, docs, width))
+    rest = ws.table("rest", verify(undecided.select("a", "b"), classes, docs, width))
 
     edges = stars.unionByName(near).unionByName(roots.where(linked()).select("a", "b")).unionByName(rest.where(linked()).select("a", "b"))
     final = ws.table("components", components(edges, ws, "all"))
     named = classes.join(final, "f", "left").withColumn("c", F.coalesce("c", "f"))
     ids = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    by_class = ws.table("by-class", named.join(ids, "c").select("f", "component_id"))
+    by_class = ws.table("by-class", named.join(ids, "c").select("f", "c", "component_id"))
     ws.drop("classes", "pivots", "homes", "derived-links", "labels", "across", "derived", "roots", "rest", "components")
     out = own.join(by_class, "f", "left")
     alone = F.col("n") == 0
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "h", "c")
 
 
 def keep_first(documents: DataFrame, ws: Workspace, width: int = 5) -> DataFrame:
     """One document of each component, the one with the smallest doc_id, with its columns; all documents without a set.
 
-    Of rows with one doc_id the first by text stays; rows without a doc_id stay where nothing with one is linked.
+    Of a component's rows with that doc_id the first by text stays, as where no row of a component has a doc_id.
     """
-    found = ws.table("joined", join(documents, ws, width))
-    first = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__gm_id")).distinct()
-    kept = documents.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("__gm_id")), "left_semi")
-    twin = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return kept.withColumn("__gm_twin", twin).where("__gm_twin = 1 or doc_id is null").select(*documents.columns)
+    found = ws.table("joined", _linked(documents, ws, width))
+    first = found.where("c is null or doc_id <=> component_id").select(F.col("doc_id").alias("__gm_id"), F.col("h").alias("__gm_h"), F.col("c").alias("__gm_c")).distinct()
+    kept = documents.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("__gm_id")) & (text_key() == F.col("__gm_h")))
+    # a row without a set has a place of its own
+    kept = kept.withColumn("__gm_own", F.when(F.col("__gm_c").isNull(), F.monotonically_increasing_id()))
+    twin = F.row_number().over(Window.partitionBy("__gm_c", "__gm_own").orderBy("text"))
+    return kept.withColumn("__gm_twin", twin).where("__gm_twin = 1").select(*documents.columns)
