@@ -86,7 +86,7 @@ def arm_mcnemar(spark: SparkSession, d: str) -> DataFrame:
 def arm_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     a, b = _arms(spark, d)
     pairs = measure.paired(a, b, "doc_id", "ok").select(F.col("doc_id").alias("id"), F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"))
-    return measure.bootstrap(pairs, 1_000)
+    return measure.bootstrap(pairs)
 
 
 def segment_subsets(spark: SparkSession, d: str) -> DataFrame:
@@ -186,13 +186,22 @@ def gold_selection(spark: SparkSession, d: str) -> DataFrame:
     return sample.select_gold(v, 60, least=3)
 
 
+FOLDS = 5
+
+
 def embedding_classifier(spark: SparkSession, d: str) -> DataFrame:
-    """Predictions on a fifth of the vectors, of a classifier tuned on another fifth."""
+    """Held-out predictions of all vectors: each fifth is predicted by a classifier that never saw it, tuned on the next
+    fifth over the whole grid and fitted on all four others."""
     v = _vectors(spark, d)
-    fold = F.pmod(F.xxhash64("vec_id"), F.lit(5))
-    c = vectors.VectorClassifier()
-    c.tune(v.where(fold >= 2), v.where(fold == 1), (1.0, 100.0))
-    return c.fit(v.where(fold >= 1)).predict(v.where(fold == 0)).select("vec_id", "label", F.col("prediction").cast("int").alias("prediction"), "confidence")
+    fold = F.pmod(F.xxhash64("vec_id"), F.lit(FOLDS))
+    out = None
+    for k in range(FOLDS):
+        rest, held, val = v.where(fold != k), v.where(fold == k), fold == (k + 1) % FOLDS
+        c = vectors.VectorClassifier()
+        c.tune(rest.where(~val), rest.where(val))
+        told = c.fit(rest).predict(held).select("vec_id", "label", F.col("prediction").cast("int").alias("prediction"), "confidence")
+        out = told if out is None else out.unionByName(told)
+    return out
 
 
 QUERIES = {
