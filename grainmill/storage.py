@@ -21,6 +21,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def unused(columns, *names: str) -> list[str]:
+    """Names like these that none of ``columns`` has, whatever their case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def importable(spark: SparkSession) -> None:
     """Let Python workers import this package when it is not installed (a cluster may use ``--py-files`` instead)."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
