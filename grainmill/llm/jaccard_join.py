@@ -8,6 +8,9 @@ What is skipped, and why nothing is lost:
 
 * lists of one class hold no pair;
 * within a list, blocks whose sizes or positions cannot reach the needed overlap are skipped as a whole;
+* a set has a signature: for each of some bits the parity of its shingles that fall there. Two sets differ in at least as
+  many shingles as their signatures differ in bits, which bounds the overlap, so pairs that share a passage only are
+  never proposed;
 * first, each list links its sets to one pivot only, the set that holds the list's shingle at the earliest position: as
   rare shingles come first, that is the least edited of a group of copies. These links are computed exactly and grouped
   into components. A set in a pivot's component takes its answer from the pivot, so lists are then only searched for
@@ -20,6 +23,10 @@ What is skipped, and why nothing is lost:
 
 What counts as frequent only changes the order of shingles and so the work, never the result.
 
+Hot groups: a list that is expected to be long is dealt to several tasks by class, and the pivots of its parts are linked
+with one another; a list is searched, and a pivot's sets are settled, in parts of a bounded number of comparisons, each
+of which holds its own sets and streams the others.
+
 Nulls, ties, repeats: null and empty texts have no set, are linked with nothing and are their own component; equal rows
 are linked; a component's id is its smallest doc_id that is not null, null where it has none; rows without a doc_id
 and rows that share one are linked by their texts as all others are; an empty table gives an empty result. Only doc_id
@@ -32,22 +39,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import Workspace
-from .text import set_key, shingles
+from ..storage import Workspace, unused
+from .text import each_set, pieces, set_key, shingle_sets
 
 #: Similarity as a fraction: linked when DEN * intersection >= NUM * union.
 NUM, DEN = 3, 4
 #: Shingles that one local count holds, copies in it from which a shingle is reported, and how many of the most
 #: frequent ones are broadcast at most (8 bytes and a class each).
 CHUNK, LOCAL, FREQUENT = 1 << 21, 4, 200_000
-#: Members that one task compares with a pivot, about; entries of a block.
-PER_PIVOT, BLOCK = 2_000, 128
-#: Comparisons of differences that one task makes, about.
+#: Members that one task compares with a pivot, about; entries of a block; of a part of a list; held of a list at once.
+PER_PIVOT, BLOCK, LIST_PART, HOLD = 256, 128, 1 << 17, 1 << 18
+#: Lists up to this length are searched side by side.
+SHORT_LIST = 24
+#: Comparisons that one task makes, about.
 COMPARISONS = 50_000_000
-ROWS = 1_024
+#: Largest set whose signature goes with its entries in lists (larger ones are looked up a pair), and its 64-bit words.
+BRIEF, BRIEF_WORDS = 1024, 16
+#: Keys of texts that are broadcast at most; beyond it texts are shuffled to them.
+BROADCAST = 100_000
 
 
 def needed(a, b):
@@ -59,100 +71,123 @@ def prefix_length(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, ...]]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            yield tuple(c.to_pylist() for c in batch.slice(at, ROWS).columns)
+def signature(h: np.ndarray) -> bytes:
+    """For each of as many bits as the set has elements, or up to twice that, the parity of the elements that fall there."""
+    bits = max(64, 1 << (len(h) - 1).bit_length())
+    return np.packbits((np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bits in which two signatures differ, the longer one folded to the shorter one's length."""
+    x, y = np.frombuffer(a, dtype="<u8"), np.frombuffer(b, dtype="<u8")
+    n = min(len(x), len(y))
+    fold = lambda v: np.bitwise_xor.reduce(v.reshape(-1, n), axis=0)
+    return int(np.bitwise_count(fold(x) ^ fold(y)).sum())
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(kind, x, n, f, h): kind 0 is a document's id, set size, class and h; kind 1 a shingle, its local count and 0."""
-    schema = pa.schema([("kind", pa.int8()), ("x", pa.int64()), ("n", pa.int64()), ("f", pa.int64()), ("h", pa.int64())])
+    """(kind, x, n, f, h, sig): kind 0 is a document's id, set size, class and key; kind 1 a shingle and its local count;
+    kind 2 a class, its size and signature."""
+    schema = pa.schema([("kind", pa.int8()), ("x", pa.int64()), ("n", pa.int64()), ("f", pa.int64()), ("h", pa.int64()), ("sig", pa.binary())])
+
+    def rows(kind: int, x, n, f=None, h=None, sig=None) -> pa.RecordBatch:
+        none = lambda v, t: pa.nulls(len(x), t) if v is None else pa.array(v, t)
+        x = pa.array(x, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int8)), x, pa.array(n, pa.int64()), none(f, pa.int64()), none(h, pa.int64()), none(sig, pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, seen, held = [], set(), 0
 
-        def frequent() -> pa.RecordBatch | None:
+        def frequent() -> Iterator[pa.RecordBatch]:
             h = np.sort(np.concatenate(chunk))
             heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             times = np.diff(np.concatenate([heads, [len(h)]]))
             many = times >= LOCAL
-            found, counts = h[heads[many]].view(np.int64), times[many]
-            if not len(found):
-                return None
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(found), np.int8)), pa.array(found), pa.array(counts), zeros := pa.array(np.zeros(len(found), np.int64)), zeros], schema=schema)
-
-        for ids, keys, texts in _texts(batches):
-            sizes, classes = [], []
-            for text in texts:
-                h = shingles(text, width)
-                f = set_key(h)
-                sizes.append(len(h))
-                classes.append(f)
-                if len(h) and f not in seen:
-                    seen.add(f)
-                    chunk.append(h)
-                    held += len(h)
-                    if held >= CHUNK:
-                        if out := frequent():
-                            yield out
-                        chunk, seen, held = [], set(), 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int8)), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(keys, pa.int64())], schema=schema)
-        if chunk and (out := frequent()):
-            yield out
+            if many.any():
+                yield rows(1, h[heads[many]].view(np.int64), times[many])
 
-    return docs.select("doc_id", "h", "text").mapInArrow(run, "kind byte, x long, n long, f long, h long")
+        for batch in batches:
+            for first, texts in pieces(batch.column(2)):
+                sizes, classes, signed = [], [], []
+                for h in each_set(texts, width):
+                    f = set_key(h)
+                    sizes.append(len(h))
+                    classes.append(f)
+                    if len(h) and f not in seen:
+                        seen.add(f)
+                        signed.append((f, len(h), signature(h)))
+                        chunk.append(h.copy())
+                        held += len(h)
+                yield rows(0, batch.column(0).slice(first, len(texts)), sizes, classes, batch.column(1).slice(first, len(texts)))
+                if signed:
+                    f, n, sig = zip(*signed)
+                    yield rows(2, f, n, sig=sig)
+                if held >= CHUNK:
+                    yield from frequent()
+                    chunk, seen, held = [], set(), 0
+        if chunk:
+            yield from frequent()
+
+    return docs.select("doc_id", "h", "text").mapInArrow(run, "kind byte, x long, n long, f long, h long, sig binary")
 
 
 def _postings(docs: DataFrame, frequent: list[tuple[int, int]], ws: Workspace, width: int) -> DataFrame:
-    """(s, n, f, p): the prefix shingles of each class that a batch holds; p is the position."""
-    order = np.argsort(np.array([h for h, _ in frequent], dtype=np.int64).view(np.uint64)) if frequent else np.empty(0, dtype=np.int64)
-    keys = np.array([h for h, _ in frequent], dtype=np.int64).view(np.uint64)[order]
-    ranks = np.minimum(15, np.log2(np.array([c for _, c in frequent], dtype=float)).astype(np.uint64))[order] if frequent else np.empty(0, dtype=np.uint64)
-    sent = ws.spark.sparkContext.broadcast((keys, ranks.astype(np.uint64)))
+    """(s, q, n, f, p): the prefix shingles of each class that a batch holds. p is the position; q the part of a list
+    that is expected to be long, -1 for others."""
+    frequent = sorted(frequent, key=lambda x: x[0] % (1 << 64))
+    keys = np.array([h for h, _ in frequent], dtype=np.int64).view(np.uint64)
+    ranks = np.array([min(15, c.bit_length() - 1) for _, c in frequent], dtype=np.int8)
+    parts = np.array([-(-c // LIST_PART) for _, c in frequent], dtype=np.int64)
+    sent = ws.spark.sparkContext.broadcast((keys, ranks, parts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = sent.value
-        for (texts,) in _texts(batches):
-            parts, seen = [], set()
-            for text in texts:
-                h = shingles(text, width)
-                n = len(h)
-                f = set_key(h)
-                if not n or f in seen:
-                    continue
-                seen.add(f)
-                at = h >> np.uint64(4)
-                if len(known):
-                    i = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    at |= np.where(known[i] == h, rank[i], np.uint64(0)) << np.uint64(60)
-                m = prefix_length(n)
-                own = np.argpartition(at, m - 1)[:m] if m < n else np.arange(n)
-                own = own[np.argsort(at[own], kind="stable")]
-                parts.append((h[own].view(np.int64), n, f, m))
-            if parts:
-                counts = np.array([x[3] for x in parts])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([x[0] for x in parts])),
-                        pa.array(np.repeat(np.array([x[1] for x in parts], dtype=np.int32), counts)),
-                        pa.array(np.repeat(np.array([x[2] for x in parts], dtype=np.int64), counts)),
-                        pa.array(np.concatenate([np.arange(m, dtype=np.int32) for m in counts])),
-                    ],
-                    names=["s", "n", "f", "p"],
-                )
-
-    return docs.select("text").mapInArrow(run, "s long, n int, f long, p int")
+        known, rank, split = sent.value
+        common = np.zeros(1 << 20, dtype=bool)  # by the upper bits, what may be known
+        common[known >> np.uint64(44)] = True
+        for batch in batches:
+            seen: set[int] = set()
+            for _, texts in pieces(batch.column(0)):
+                h, at = shingle_sets(texts, width)
+                found = np.flatnonzero(common[h >> np.uint64(44)]) if len(known) else np.empty(0, dtype=np.int64)
+                order, part = np.zeros(len(h), dtype=np.int8), np.ones(len(h), dtype=np.int64)
+                if len(found):
+                    i = np.minimum(np.searchsorted(known, h[found]), len(known) - 1)
+                    hit = known[i] == h[found]
+                    order[found[hit]], part[found[hit]] = rank[i[hit]], split[i[hit]]
+                own, sizes, classes = [], [], []
+                for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                    f = set_key(h[a:b])
+                    if a == b or f in seen:
+                        continue
+                    seen.add(f)
+                    m, r = prefix_length(b - a), order[a:b]
+                    rare = np.flatnonzero(r == 0)[:m]
+                    if len(rare) < m:  # the rest by rank, then hash
+                        rest = np.flatnonzero(r)
+                        rare = np.concatenate([rare, rest[np.argsort(r[rest], kind="stable")]])[:m]
+                    own.append(rare + a)
+                    sizes.append(b - a)
+                    classes.append(f)
+                if own:
+                    counts = np.array([len(x) for x in own])
+                    took, f = np.concatenate(own), np.repeat(np.array(classes, dtype=np.int64), counts)
+                    p = np.arange(len(took)) - np.repeat(np.cumsum(counts) - counts, counts)
+                    q = np.where(part[took] > 1, f % part[took], -1)
+                    cols = [h[took].view(np.int64), q.astype(np.int32), np.repeat(np.array(sizes, dtype=np.int32), counts), f, p.astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["s", "q", "n", "f", "p"])
+
+    return docs.select("text").mapInArrow(run, "s long, q int, n int, f long, p int")
 
 
 #: Columns of a shared posting: list, class, size, position, and whether the list's first and previous classes exist.
-SHARED = [("s", pa.int64()), ("n", pa.int32()), ("f", pa.int64()), ("p", pa.int32()), ("f1", pa.int64()), ("n1", pa.int32()), ("p1", pa.int32()), ("f2", pa.int64()), ("n2", pa.int32()), ("p2", pa.int32())]
+SHARED = [("s", pa.int64()), ("q", pa.int32()), ("n", pa.int32()), ("f", pa.int64()), ("p", pa.int32()), ("f1", pa.int64()), ("n1", pa.int32()), ("p1", pa.int32()), ("f2", pa.int64()), ("n2", pa.int32()), ("p2", pa.int32())]
 
 
 def _shared(postings: DataFrame) -> DataFrame:
     """Postings of lists with two classes or more, each with the list's first class (f1, ..) and the one before (f2, ..).
 
-    A list's first row has itself as both. Streams the sorted lists with one row of memory, however long they are.
+    A list's first row has itself as both. Streams the sorted lists with one row of memory, however long they are. Each
+    part of a list that is dealt to several tasks is a list here, and none of them is left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,14 +195,15 @@ def _shared(postings: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = {k: batch.column(i).to_numpy() for i, k in enumerate(("s", "n", "f", "p"))}
+            cols = {k: batch.column(i).to_numpy() for i, k in enumerate(("s", "q", "n", "f", "p"))}
             if held:
                 cols = {k: np.concatenate([held[k], v]) for k, v in cols.items()}
-            s, f = cols["s"], cols["f"]
+            s, q, f = cols["s"], cols["q"], cols["f"]
             keep = np.concatenate([[True], (s[1:] != s[:-1]) | (f[1:] != f[:-1])])
             cols = {k: v[keep] for k, v in cols.items()}
-            s = cols["s"]
-            new = np.concatenate([[True], s[1:] != s[:-1]])
+            s, q = cols["s"], cols["q"]
+            other = (s[1:] != s[:-1]) | (q[1:] != q[:-1])
+            new = np.concatenate([[True], other])
             i = np.arange(len(s))
             first = np.maximum.accumulate(np.where(new, i, 0))
             before = np.where(new, i, i - 1)
@@ -180,17 +216,17 @@ def _shared(postings: DataFrame) -> DataFrame:
                     cols[k + "1"][same] = held[k + "1"][0]
                     cols[k + "2"][0] = held[k + "2"][0]
                 alone[0] = bool(held["alone"][0])
-            ends = np.concatenate([s[1:] != s[:-1], [True]])
-            out = ~(alone & ends)
+            ends = np.concatenate([other, [True]])
+            out = ~(alone & ends) | (q >= 0)
             held = {k: v[-1:] for k, v in cols.items()} | {"alone": alone[-1:]}
             out[-1] = False  # not known yet
             if out.any():
                 yield pa.RecordBatch.from_arrays([pa.array(cols[k][out], t) for k, t in SHARED], names=[k for k, _ in SHARED])
-        if held and not held["alone"][0]:
+        if held and (not held["alone"][0] or held["q"][0] >= 0):
             yield pa.RecordBatch.from_arrays([pa.array(held[k], t) for k, t in SHARED], names=[k for k, _ in SHARED])
 
-    dealt = postings.repartition("s").sortWithinPartitions("s", "p", "n", "f")
-    return dealt.mapInArrow(run, "s long, n int, f long, p int, f1 long, n1 int, p1 int, f2 long, n2 int, p2 int")
+    dealt = postings.repartition("s", "q").sortWithinPartitions("s", "q", "p", "n", "f")
+    return dealt.select("s", "q", "n", "f", "p").mapInArrow(run, "s long, q int, n int, f long, p int, f1 long, n1 int, p1 int, f2 long, n2 int, p2 int")
 
 
 def possible(na: Column, pa_: Column, nb: Column, pb: Column) -> Column:
@@ -201,127 +237,212 @@ def possible(na: Column, pa_: Column, nb: Column, pb: Column) -> Column:
 
 def _pivots(shared: DataFrame) -> DataFrame:
     """Distinct pairs (a, b), a the pivot: each list's first class with the others, or, where sizes forbid that, each
-    class with the one before it."""
+    class with the one before it. The pivots of a long list's parts get the first of them as theirs."""
     able = lambda k: (F.col(f"f{k}") != F.col("f")) & possible(F.col(f"n{k}"), F.col(f"p{k}"), F.col("n"), F.col("p"))
     pivot = F.when(able(1), F.col("f1")).when(able(2), F.col("f2"))
-    return shared.select(pivot.alias("a"), F.col("f").alias("b")).where("a is not null").distinct()
+    pairs = shared.select(pivot.alias("a"), F.col("f").alias("b")).where("a is not null")
+    heads = shared.where("q >= 0 and f = f1").select("s", "n", "f", "p")
+    first = heads.groupBy("s").agg(F.min(F.struct("p", "n", "f")).alias("k")).select("s", F.col("k.f").alias("f1"), F.col("k.n").alias("n1"), F.col("k.p").alias("p1"))
+    return pairs.unionByName(heads.join(first, "s").where(able(1)).select(F.col("f1").alias("a"), F.col("f").alias("b"))).distinct()
+
+
+def _linkable(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of classes whose signatures do not rule a link out. ``signed``: f, n, sig."""
+    side = lambda k: signed.select(F.col("f").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"sig{k}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb, sa, sb = (batch.column(k).to_pylist() for k in range(2, 6))
+            keep = [differing(x, y) <= n + m - 2 * needed(n, m) for n, m, x, y in zip(na, nb, sa, sb)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", "na", "nb", "siga", "sigb").mapInArrow(run, "a long, b long")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Signatures as rows of ``BRIEF_WORDS`` words, padded with zeros; a signature that is left out is all zeros."""
+    out = np.zeros((len(column), BRIEF_WORDS), dtype=np.uint64)
+    for k, sig in enumerate(column.to_pylist()):
+        if sig:
+            out[k, : len(sig) // 8] = np.frombuffer(sig, dtype="<u8")
+    return out
 
 
-def list_pairs(n: np.ndarray, p: np.ndarray, group: np.ndarray, block: int = BLOCK, home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _words(n: np.ndarray) -> np.ndarray:
+    """64-bit words of the signatures of sets of these sizes; 0 for those that are left out."""
+    return np.where(n > BRIEF, 0, np.maximum(1, 1 << np.maximum(0, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64) - 6)))
+
+
+def unruled(n: np.ndarray, sig: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs (i, j), of sizes that allow a link, the signatures do not rule out."""
+    words = np.minimum(_words(n[i]), _words(n[j]))
+    keep = words == 0
+    for w in np.unique(words[~keep]).tolist():
+        k = np.flatnonzero(words == w)
+        fold = (lambda r: sig[r, :w] ^ sig[r, w : 2 * w]) if w < BRIEF_WORDS else (lambda r: sig[r])  # noqa: B023, E731
+        apart = np.bitwise_count(fold(i[k]) ^ fold(j[k])).sum(axis=1).astype(np.int64)
+        keep[k] = apart <= n[i[k]] + n[j[k]] - 2 * needed(n[i[k]], n[j[k]])
+    return keep
+
+
+def list_pairs(n: np.ndarray, p: np.ndarray, group: np.ndarray, block: int = BLOCK, home: np.ndarray | None = None, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of one list (sorted by size) across groups (and homes, if given) that sizes and positions allow.
 
-    Entries of the largest group are never compared with one another, and blocks are skipped by their largest
-    remainder (size less position) and size range.
+    Only entries that are ``own`` are compared with the others: all but those of the largest group, if not given. Blocks
+    are skipped by their largest remainder (size less position) and size range.
     """
     home = np.arange(len(n)) if home is None else home
-    names, inverse, counts = np.unique(group, return_inverse=True, return_counts=True)
-    if len(names) < 2:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    if own is None:
+        _, inverse, counts = np.unique(group, return_inverse=True, return_counts=True)
+        own = inverse != counts.argmax()
     starts = np.arange(0, len(n), block)
     left = n - p
     most = np.maximum.reduceat(left, starts)
     low, high = n[starts], n[np.minimum(starts + block, len(n)) - 1]
-    largest = counts.argmax()
-    out_a, out_b = [], []
-    for x in np.flatnonzero(inverse != largest).tolist():
+    out_a, out_b = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+    for x in np.flatnonzero(own).tolist():
         nx, rx = int(n[x]), int(left[x])
         able = (high * DEN >= nx * NUM) & (low * NUM <= nx * DEN) & (np.minimum(most, rx) >= needed(nx, low))
         for b in starts[able].tolist():
             y = np.arange(b, min(b + block, len(n)))
             ok = (group[y] != group[x]) & (home[y] != home[x]) & (n[y] * DEN >= nx * NUM) & (n[y] * NUM <= nx * DEN) & (np.minimum(left[y], rx) >= needed(nx, n[y]))
-            ok &= (inverse[y] == largest) | (y > x)  # a pair outside the largest group once
+            ok &= ~own[y] | (y > x)  # a pair of two own entries once
             y = y[ok]
             out_a.append(np.minimum(x, y))
             out_b.append(np.maximum(x, y))
-    if not out_a:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def _across(shared: DataFrame) -> DataFrame:
+def _short_pairs(lists: np.ndarray, n: np.ndarray, p: np.ndarray, group: np.ndarray, home: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same of many short lists at once: rows that are 1, 2, .. places apart in one list."""
+    out_a, out_b = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+    left = n - p
+    for apart in range(1, len(n)):
+        i = np.flatnonzero(lists[apart:] == lists[:-apart])
+        if not len(i):
+            break
+        j = i + apart
+        ok = (group[i] != group[j]) & (home[i] != home[j]) & (own[i] | own[j]) & (n[i] * DEN >= n[j] * NUM) & (n[j] * DEN >= n[i] * NUM)
+        ok &= np.minimum(left[i], left[j]) >= needed(n[i], n[j])
+        out_a.append(i[ok])
+        out_b.append(j[ok])
+    return np.concatenate(out_a), np.concatenate(out_b)
+
+
+def _across(entries: DataFrame, signed: DataFrame, ws: Workspace) -> DataFrame:
     """Distinct pairs (a, b) of classes in different components (column c) and with different pivots (r) that some list
-    allows."""
+    and the signatures allow. ``entries``: s, n, f, p, c, r.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+    A list's entries outside its largest component are its own ones. They are split into parts of about ``COMPARISONS``
+    comparisons; a part gets the whole list, its own entries first, and holds ``HOLD`` others at once.
+    """
+    per = entries.groupBy("s", "c").agg(F.count("*").alias("k"), F.min("r").alias("r0"), F.max("r").alias("r1"))
+    per = per.groupBy("s").agg(F.sum("k").alias("m"), F.max("k").alias("k"), F.max_by("c", "k").alias("top"), F.min("r0").alias("r0"), F.max("r1").alias("r1"))
+    per = ws.table("lists", per.where("m > k and r0 < r1").select("s", "top", F.ceil((F.col("m") - F.col("k")) * F.col("m") / COMPARISONS).cast("int").alias("parts")))
+    brief = signed.select("f", F.when(F.col("n") <= BRIEF, F.col("sig")).alias("sig"))
+    part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    dealt = entries.join(per, "s").join(brief, "f").withColumn("part", part)
+    dealt = dealt.withColumn("own", (F.col("c") != F.col("top")) & (F.pmod(F.xxhash64("f"), F.col("parts")) == F.col("part")))
 
-        def pairs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            s, n, f, p, c, r = cols
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            s, part, own, n, f, p, c, r, sig = cols
             if not len(s):
                 return
-            starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-            ends = np.concatenate([starts[1:], [len(s)]])
-            mixed = (np.minimum.reduceat(c, starts) != np.maximum.reduceat(c, starts)) & (np.minimum.reduceat(r, starts) != np.maximum.reduceat(r, starts))
-            found_a, found_b = [], []
-            for a, b in zip(starts[mixed].tolist(), ends[mixed].tolist()):
-                i, j = list_pairs(n[a:b].astype(np.int64), p[a:b].astype(np.int64), c[a:b], BLOCK, r[a:b])
-                found_a.append(f[a:b][i])
-                found_b.append(f[a:b][j])
-            if found_a:
-                both = np.unique(np.column_stack([np.concatenate(found_a), np.concatenate(found_b)]), axis=0)
-                if len(both):
+            lists = np.cumsum(np.concatenate([[True], (s[1:] != s[:-1]) | (part[1:] != part[:-1])]))
+            starts = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1]]))
+            sizes = np.diff(np.append(starts, len(s)))
+            short = np.flatnonzero(np.repeat(sizes <= SHORT_LIST, sizes))
+            i, j = _short_pairs(lists[short], n[short], p[short], c[short], r[short], own[short])
+            all_i, all_j = [short[i]], [short[j]]
+            for a, m in zip(starts[sizes > SHORT_LIST].tolist(), sizes[sizes > SHORT_LIST].tolist()):
+                k = a + np.argsort(n[a : a + m], kind="stable")
+                i, j = list_pairs(n[k], p[k], c[k], BLOCK, r[k], own[k])
+                all_i.append(k[i])
+                all_j.append(k[j])
+            i, j = np.concatenate(all_i), np.concatenate(all_j)
+            for a in range(0, len(i), 1 << 16):
+                x, y = i[a : a + (1 << 16)], j[a : a + (1 << 16)]
+                keep = unruled(n, sig, x, y)
+                x, y = f[x[keep]], f[y[keep]]
+                if len(x):
+                    both = np.unique(np.column_stack([np.minimum(x, y), np.maximum(x, y)]), axis=0)
                     yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], names=["a", "b"])
 
+        held: list[np.ndarray] | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(i).to_numpy() for i in range(6)]
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(8)] + [_matrix(batch.column(8))]
+            cols[3], cols[5] = cols[3].astype(np.int64), cols[5].astype(np.int64)
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols)]
-            cut = int(np.searchsorted(cols[0], cols[0][-1]))  # where the last list begins
+            s, part = cols[0], cols[1]
+            cut = len(s) - int(((s == s[-1]) & (part == part[-1])).sum())  # where the last list begins
+            yield from found([x[:cut] for x in cols])
             held = [x[cut:] for x in cols]
-            yield from pairs([x[:cut] for x in cols])
+            if len(held[0]) > HOLD:  # compare now, keep the own entries for what follows
+                yield from found(held)
+                held = [x[held[2]] for x in held]
         if held is not None:
-            yield from pairs(held)
+            yield from found(held)
+
+    ordered = dealt.repartition("s", "part").sortWithinPartitions("s", "part", F.col("own").desc(), "n", "f")
+    return ordered.select("s", "part", "own", "n", "f", "p", "c", "r", "sig").mapInArrow(run, "a long, b long").distinct()
 
-    mixed = shared.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("r").alias("r0"), F.max("r").alias("r1")).where("lo < hi and r0 < r1").select("s")
-    own = shared.join(mixed, "s").repartition("s").sortWithinPartitions("s", "n", "f")
-    return own.select("s", "n", "f", "p", "c", "r").mapInArrow(run, "a long, b long").distinct()
 
+def near(small: DataFrame) -> DataFrame:
+    """``small`` (a written table) to be broadcast where it has ``BROADCAST`` rows at most, else as it is."""
+    return F.broadcast(small) if small.count() <= BROADCAST else small
 
-def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, differences: bool = False) -> DataFrame:
+
+def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, ws: Workspace, name: str, differences: bool = False) -> DataFrame:
     """(a, b, same, na, nb) of each pair of classes: the exact overlap and sizes. With ``differences`` also what b lacks
     of a (a bit for each of a's sorted hashes) and what it has besides (hashes), where the two share half or more.
 
-    ``classes``: f and the key (doc_id, h) of one document of it. Texts of these documents are dealt to their pivots a;
-    a pivot of many pairs is dealt to several tasks. Without a doc_id equal texts have one key, so one of them is read.
+    ``classes``: f and the key h of a document of it. One text of each key wanted is dealt to its pivots a; a pivot of
+    many pairs is dealt to several tasks.
     """
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_PIVOT).cast("int").alias("k"))
     dealt = pairs.join(sizes, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("k")).cast("int"))
     members = dealt.select(F.col("b").alias("f"), "a", "salt", F.lit(1).alias("role"))
     hubs = dealt.select(F.col("a").alias("f"), "a", "salt", F.lit(0).alias("role")).distinct()
-    wanted = members.unionByName(hubs).groupBy("f").agg(F.collect_list(F.struct("a", "salt", "role")).alias("to")).join(classes, "f")
-    own = docs.where("doc_id is not null").unionByName(docs.where("doc_id is null").dropDuplicates(["h", "text"]))
-    keyed = wanted.withColumnsRenamed({"doc_id": "__id", "h": "__h"})
-    texts = own.join(keyed, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))).withColumn("t", F.explode("to")).select("t.a", "t.salt", "t.role", "f", "text")
+    wanted = ws.table(f"{name}-wanted", members.unionByName(hubs).join(classes.select("f", "h"), "f"))
+    keys = near(ws.table(f"{name}-keys", wanted.select("h").distinct()))
+    # copies of one text under one key are one row before they meet
+    own = docs.join(keys, "h", "left_semi").groupBy("h").agg(F.min("text").alias("text"))
+    texts = own.join(wanted, "h").select("a", "salt", "role", "f", "text")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("same", pa.int64()), ("na", pa.int64()), ("nb", pa.int64())] + [("minus", pa.binary()), ("plus", pa.binary())] * differences)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, hashes, last = None, None, None
-        for a, salt, role, f, text in _texts(batches):
+        hub, hashes = None, None
+        for batch in batches:
             out = []
-            for row in zip(a, salt, role, f, text):
-                h = shingles(row[4], width)
-                if set_key(h) != row[3] or (role_key := row[:4]) == last:  # another text of that key; a repeated row
+            rows = zip(*(batch.column(k).to_pylist() for k in range(4)), each_set(batch.column(4), width))
+            for a, salt, role, f, h in rows:
+                if set_key(h) != f:  # another text of that key
                     continue
-                last = role_key
-                if row[2] == 0:
-                    hub, hashes = row[:2], h
-                elif hub == row[:2]:
+                if role == 0:
+                    hub, hashes = (a, salt), h.copy()
+                elif hub == (a, salt):
                     i = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
                     hit = hashes[i] == h
                     same = int(hit.sum())
-                    told = (row[0], row[3], same, len(hashes), len(h))
+                    told = (a, f, same, len(hashes), len(h))
                     if differences:
                         lacks = np.ones(len(hashes), dtype=bool)
                         lacks[i[hit]] = False
-                        near = 2 * same >= len(hashes) + len(h) - same
-                        told += (np.packbits(lacks).tobytes(), h[~hit].tobytes()) if near else (None, None)
+                        half = 2 * same >= len(hashes) + len(h) - same
+                        told += (np.packbits(lacks).tobytes(), h[~hit].tobytes()) if half else (None, None)
                     out.append(told)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
 
-    return texts.repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "f").mapInArrow(run, "a long, b long, same long, na long, nb long" + ", minus binary, plus binary" * differences)
+    ordered = texts.repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "f")
+    found = ws.table(name, ordered.mapInArrow(run, "a long, b long, same long, na long, nb long" + ", minus binary, plus binary" * differences))
+    ws.drop(f"{name}-wanted", f"{name}-keys")
+    return found
 
 
 def related(na: int, n: np.ndarray, minus: np.ndarray, plus: list[np.ndarray], own: np.ndarray, joined: np.ndarray) -> list[tuple[int, int]]:
@@ -358,7 +479,8 @@ def _derived(members: DataFrame) -> DataFrame:
     """Links (a, b) among the sets tried with one pivot, from their differences alone. ``members``: r, f, na, n, minus,
     plus, linked. Sets linked with the pivot are one component already, so only the others are compared with all.
 
-    A pivot's work is split into parts of about ``COMPARISONS`` comparisons; each part gets all of the pivot's members.
+    A pivot's work is split into parts of about ``COMPARISONS`` comparisons; a part gets all of the pivot's members, its
+    own first, and holds these and ``HOLD`` others at once.
     """
     sizes = members.groupBy("r").agg(F.count("*").alias("m"), F.count_if(~F.col("linked")).alias("u")).where("u > 0")
     parts = sizes.select("r", F.least(F.col("u"), F.ceil(F.col("u") * F.col("m") / COMPARISONS)).cast("int").alias("k"))
@@ -368,27 +490,26 @@ def _derived(members: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
-        def close() -> pa.RecordBatch | None:
+        def settle() -> Iterator[pa.RecordBatch]:
             own = np.array([k for k, r in enumerate(held) if r[4]], dtype=np.int64)
-            if not len(own):
-                return None
-            minus = np.vstack([np.frombuffer(r[2], dtype=np.uint8) for r in held])
-            pairs = related(now[2], np.array([r[1] for r in held], dtype=np.int64), minus, [np.frombuffer(r[3], dtype=np.uint64) for r in held], own, np.array([r[5] for r in held]))
-            if not pairs:
-                return None
-            return pa.RecordBatch.from_arrays([pa.array([held[x][0] for x, _ in pairs], pa.int64()), pa.array([held[y][0] for _, y in pairs], pa.int64())], names=["a", "b"])
+            if len(own):
+                minus = np.vstack([np.frombuffer(r[2], dtype=np.uint8) for r in held])
+                pairs = related(now[2], np.array([r[1] for r in held], dtype=np.int64), minus, [np.frombuffer(r[3], dtype=np.uint64) for r in held], own, np.array([r[5] for r in held]))
+                if pairs:
+                    yield pa.RecordBatch.from_arrays([pa.array([held[x][0] for x, _ in pairs], pa.int64()), pa.array([held[y][0] for _, y in pairs], pa.int64())], names=["a", "b"])
 
         for batch in batches:
             for r, part, na, f, n, minus, plus, own, joined in zip(*(c.to_pylist() for c in batch.columns)):
                 if (r, part, na) != now:
-                    if held and (out := close()):
-                        yield out
+                    yield from settle()
                     now, held = (r, part, na), []
                 held.append((f, n, minus, plus, own, joined))
-        if held and (out := close()):
-            yield out
+                if len(held) > HOLD:
+                    yield from settle()
+                    held = [x for x in held if x[4]]
+        yield from settle()
 
-    ordered = dealt.repartition("r", "part").sortWithinPartitions("r", "part", "f")
+    ordered = dealt.repartition("r", "part").sortWithinPartitions("r", "part", F.col("own").desc(), "f")
     return ordered.select("r", "part", "na", "f", "n", "minus", "plus", "own", "linked").mapInArrow(run, "a long, b long")
 
 
@@ -396,33 +517,36 @@ def linked() -> Column:
     return F.col("same") * DEN >= (F.col("na") + F.col("nb") - F.col("same")) * NUM
 
 
-def components(edges: DataFrame, ws: Workspace, name: str) -> DataFrame:
+def components(edges: DataFrame, ws: Workspace, name: str, rounds: int = 200) -> DataFrame:
     """(f, c): every node of the edges (a, b) and the least node of its component.
 
-    Large-star and small-star steps alternate until nothing changes; nodes with many edges are met with partial
-    aggregates and joins only.
+    Large-star and small-star steps alternate until nothing changes; a node with many edges is met with partial
+    aggregates, and with joins of two written tables, whose hot keys Spark splits. The steps grow with the logarithm of
+    the number of nodes; more than ``rounds`` are an error.
     """
     now = ws.table(f"{name}-0", edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
-    for step in range(1, 200):
+    for step in range(1, rounds + 1):
         told = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if told == before:
             break
         before = told
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = ws.table(f"{name}-least-{step}", both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
+        large = ws.table(f"{name}-large-{step}", both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e"))
         now = ws.table(f"{name}-{step}", small.select("e.u", "e.v").where("u <> v").distinct())
-        ws.drop(f"{name}-{step - 1}")
+        ws.drop(f"{name}-{step - 1}", f"{name}-least-{step}", f"{name}-large-{step}")
+    else:
+        raise RuntimeError(f"components of {name} are not settled after {rounds} rounds")
     leaves = now.groupBy("u").agg(F.min("v").alias("c")).select(F.col("u").alias("f"), "c")
     return leaves.unionByName(now.select(F.col("v").alias("f"), F.col("v").alias("c")).distinct())
 
 
-def text_key() -> Column:
-    """With doc_id the key of a row, which needs no doc_id of its own."""
-    return F.xxhash64(F.col("text").cast("string"))
+def row_key() -> Column:
+    """Key of a row's doc_id and text, the same for rows equal in both; rows without a doc_id have one, too."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.col("text").cast("string"))
 
 
 def join(documents: DataFrame, ws: Workspace, width: int = 5) -> DataFrame:
@@ -431,20 +555,22 @@ def join(documents: DataFrame, ws: Workspace, width: int = 5) -> DataFrame:
 
 
 def _linked(documents: DataFrame, ws: Workspace, width: int) -> DataFrame:
-    """The same with h and the component c of every text, which is null where it has no set.
+    """The same with the key h and the component c of every text, which is null where it has no set.
 
-    Texts are read whole twice (sizes and frequent shingles; prefixes) and dealt by doc_id to verify proposed pairs.
+    Texts are read whole twice (sizes, signatures and frequent shingles; prefixes); those of classes that are compared
+    are dealt to their pivots.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("h"))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("h"))
     sets = ws.table("sets", _sets(docs, width))
     own = sets.where("kind = 0").select(F.col("x").alias("doc_id"), "n", "f", "h")
+    signed = sets.where("kind = 2").select(F.col("x").alias("f"), "n", "sig").dropDuplicates(["f"])
     frequent = sets.where("kind = 1").groupBy(F.col("x").alias("h")).agg(F.sum("n").alias("c")).orderBy(F.col("c").desc(), "h").limit(FREQUENT)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("k")
-    classes = ws.table("classes", own.where("n > 0").groupBy("f").agg(first).select("f", "k.doc_id", "k.h"))
+    classes = ws.table("classes", own.where("n > 0").groupBy("f").agg(F.min("doc_id").alias("doc_id"), F.min("h").alias("h")))
 
     postings = _postings(docs, [(r["h"], r["c"]) for r in frequent.collect()], ws, width)
     shared = ws.table("shared", _shared(postings))
-    tried = ws.table("pivots", verify(_pivots(shared), classes, docs, width, differences=True))
+    signed = ws.table("signed", signed.join(shared.select("f").distinct(), "f", "left_semi"))
+    tried = verify(ws.table("asked", _linkable(_pivots(shared), signed)), classes, docs, width, ws, "pivots", differences=True)
     stars = tried.where(linked()).select("a", "b")
     far = 1 - F.col("same") / (F.col("na") + F.col("nb") - F.col("same"))
     # a set's home is the nearest pivot that it was compared with; all that share one are settled by their differences
@@ -452,32 +578,35 @@ def _linked(documents: DataFrame, ws: Workspace, width: int) -> DataFrame:
     homes = ws.table("homes", homes)
     members = tried.join(homes.select(F.col("f").alias("b"), F.col("r").alias("a")), ["a", "b"])
     members = members.select(F.col("a").alias("r"), F.col("b").alias("f"), "na", F.col("nb").alias("n"), "minus", "plus", linked().alias("linked"))
-    near = ws.table("derived-links", _derived(members))
-    labels = ws.table("labels", components(stars.unionByName(near), ws, "stars"))
+    settled = ws.table("derived-links", _derived(members))
+    labels = ws.table("labels", components(stars.unionByName(settled), ws, "stars"))
 
     # a pivot is its own home unless it has a nearer one; a set without a home is one for itself
-    labelled = shared.select("s", "n", "f", "p").join(labels, "f", "left").join(homes.select("f", "r"), "f", "left")
-    labelled = labelled.withColumn("c", F.coalesce("c", "f")).withColumn("r", F.coalesce("r", "f"))
-    open_pairs = ws.table("across", _across(labelled).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
-    ws.drop("shared")
+    known = labels.join(homes.select("f", "r"), "f", "full")
+    entries = shared.select("s", "n", "f", "p").join(known, "f", "left").withColumn("c", F.coalesce("c", "f")).withColumn("r", F.coalesce("r", "f"))
+    entries = ws.table("entries", entries)
+    ws.drop("shared", "asked")
+    found = _across(entries, signed, ws).join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    open_pairs = ws.table("across", _linkable(found, signed))
+    ws.drop("entries", "lists", "signed")
     # each side's answer comes from its home, if it is linked with it, where that decides
     pivot = homes.where(F.col("d") <= 1 - NUM / DEN + 1e-12)
     side = lambda k: pivot.select(F.col("f").alias(k), F.col("r").alias(f"r{k}"), F.col("d").alias(f"d{k}"))
     derived = open_pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
     derived = derived.select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"), F.coalesce("da", F.lit(0.0)).alias("da"), F.coalesce("db", F.lit(0.0)).alias("db"))
     derived = ws.table("derived", derived.select("a", "b", F.least("ra", "rb").alias("r"), F.greatest("ra", "rb").alias("q"), (F.col("da") + F.col("db")).alias("slack")))
-    roots = ws.table("roots", verify(derived.select(F.col("r").alias("a"), F.col("q").alias("b")).distinct(), classes, docs, width))
+    roots = verify(derived.select(F.col("r").alias("a"), F.col("q").alias("b")).distinct(), classes, docs, width, ws, "roots")
     apart = derived.join(roots.select(F.col("a").alias("r"), F.col("b").alias("q"), far.alias("d"), linked().alias("one")), ["r", "q"], "left")
     undecided = apart.where(~F.coalesce("one", F.lit(False)) & (F.coalesce("d", F.lit(0.0)) - F.col("slack") <= 1 - NUM / DEN + 1e-9))
     undecided = undecided.where(~((F.col("a") == F.col("r")) & (F.col("b") == F.col("q"))) & ~((F.col("a") == F.col("q")) & (F.col("b") == F.col("r"))))
-    rest = ws.table("rest", verify(undecided.select("a", "b"), classes, docs, width))
+    rest = verify(undecided.select("a", "b"), classes, docs, width, ws, "rest")
 
-    edges = stars.unionByName(near).unionByName(roots.where(linked()).select("a", "b")).unionByName(rest.where(linked()).select("a", "b"))
+    edges = stars.unionByName(settled).unionByName(roots.where(linked()).select("a", "b")).unionByName(rest.where(linked()).select("a", "b"))
     final = ws.table("components", components(edges, ws, "all"))
-    named = classes.join(final, "f", "left").withColumn("c", F.coalesce("c", "f"))
-    ids = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    by_class = ws.table("by-class", named.join(ids, "c").select("f", "c", "component_id"))
-    ws.drop("classes", "pivots", "homes", "derived-links", "labels", "across", "derived", "roots", "rest", "components")
+    named = ws.table("named", classes.join(final, "f", "left").withColumn("c", F.coalesce("c", "f")).select("f", "c", "doc_id"))
+    ids = ws.table("ids", named.groupBy("c").agg(F.min("doc_id").alias("component_id")))
+    by_class = ws.table("by-class", named.select("f", "c").join(ids, "c"))
+    ws.drop("classes", "pivots", "homes", "derived-links", "labels", "across", "derived", "roots", "rest", "components", "named", "ids")
     out = own.join(by_class, "f", "left")
     alone = F.col("n") == 0
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "h", "c")
@@ -486,12 +615,23 @@ def _linked(documents: DataFrame, ws: Workspace, width: int) -> DataFrame:
 def keep_first(documents: DataFrame, ws: Workspace, width: int = 5) -> DataFrame:
     """One document of each component, the one with the smallest doc_id, with its columns; all documents without a set.
 
-    Of a component's rows with that doc_id the first by text stays, as where no row of a component has a doc_id.
+    Of a component's rows with that doc_id the first by text stays (of equal texts the first by the other columns'
+    hash), as where no row of a component has a doc_id. Only keys are grouped; texts meet the keys of survivors once.
     """
+    columns = documents.columns
+    key, own, rows, put = unused(columns, "h", "own", "rows", "put")
     found = ws.table("joined", _linked(documents, ws, width))
-    first = found.where("c is null or doc_id <=> component_id").select(F.col("doc_id").alias("__gm_id"), F.col("h").alias("__gm_h"), F.col("c").alias("__gm_c")).distinct()
-    kept = documents.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("__gm_id")) & (text_key() == F.col("__gm_h")))
-    # a row without a set has a place of its own
-    kept = kept.withColumn("__gm_own", F.when(F.col("__gm_c").isNull(), F.monotonically_increasing_id()))
-    twin = F.row_number().over(Window.partitionBy("__gm_c", "__gm_own").orderBy("text"))
-    return kept.withColumn("__gm_twin", twin).where("__gm_twin = 1").select(*documents.columns)
+    ws.drop("sets", "by-class")
+    first = found.where("c is not null and doc_id <=> component_id").groupBy("c").agg(F.count("*").alias(rows), F.min("h").alias("h0"), F.max("h").alias("h1"))
+    first = ws.table("first", first)
+    single = first.where(F.col(rows) == 1).select(F.col("h0").alias(key))
+    single = near(ws.table("single", single))
+    inked = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    docs = documents.withColumn(key, row_key())
+    kept = docs.where(inked).join(single, key, "left_semi").select(*columns)
+    # several rows that could stay: the smallest is found by partial aggregates, however many there are
+    many = found.where("c is not null and doc_id <=> component_id").join(first.where(F.col(rows) > 1), "c").select(F.col("h").alias(key), F.col("c").alias(own)).distinct()
+    plain = [f.name for f in documents.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    order = F.struct(F.col("text").cast("string"), F.xxhash64(*plain))
+    several = docs.where(inked).join(many, key).groupBy(own).agg(F.min_by(F.struct(*columns), order).alias(put)).select(f"{put}.*")
+    return kept.unionByName(several).unionByName(documents.where(~inked))

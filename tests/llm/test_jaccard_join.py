@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from grainmill.llm import jaccard_join as jj
@@ -135,3 +136,42 @@ def test_keep_first(messy, ws):
     assert kept.columns == messy.columns
     ids = sorted((r["doc_id"] for r in kept.collect()), key=str)
     assert ids == sorted([3, 4, 6, 7, 8, 9, 11, 13, None, None], key=str)
+
+
+def test_signatures_never_rule_out_a_link():
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 1 << 63, rng.integers(1, 90)).astype(np.uint64)) for _ in range(20)]
+    for k in range(160):  # copies that lose and gain some, and large sets whose signatures are left out
+        base = sets[k % 20] if k < 140 else np.unique(rng.integers(0, 1 << 63, 1500).astype(np.uint64))
+        more = rng.integers(0, 1 << 63, rng.integers(0, 1 + len(base) // 3)).astype(np.uint64)
+        sets += [base, np.unique(np.concatenate([rng.permutation(base)[rng.integers(0, 1 + len(base) // 4) :], more]))]
+    n = np.array([len(s) for s in sets])
+    sigs = [jj.signature(s) if len(s) else b"\0" * 8 for s in sets]
+    matrix = jj._matrix(pa.array([g if len(s) <= jj.BRIEF else None for g, s in zip(sigs, sets)], pa.binary()))
+    i, j = np.triu_indices(len(sets), 1)
+    fit = (n[i] > 0) & (n[j] > 0) & (4 * n[i] >= 3 * n[j]) & (4 * n[j] >= 3 * n[i])
+    i, j = i[fit], j[fit]
+    kept = jj.unruled(n, matrix, i, j)
+    same = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    by_pair = np.array([jj.differing(sigs[a], sigs[b]) for a, b in zip(i, j)])
+    assert (by_pair <= n[i] + n[j] - 2 * same).all()
+    linked = same >= jj.needed(n[i], n[j])
+    assert kept[linked].all() and linked.sum() > 50 and (~kept).sum() > 100
+
+
+@pytest.mark.parametrize("seed", [3])
+def test_long_lists_in_parts(frame, ws, monkeypatch, seed):
+    """Lists dealt to several tasks, searched in parts and streamed, with short lists searched one by one."""
+    for name, value in (("LIST_PART", 16), ("COMPARISONS", 300), ("HOLD", 8), ("SHORT_LIST", 3), ("BROADCAST", 5), ("LOCAL", 2), ("BLOCK", 4)):
+        monkeypatch.setattr(jj, name, value)
+    rng = random.Random(seed)
+    items = []
+    for g in range(4):
+        base = [f"g{g % 2}v{k}" for k in range(90)]
+        for _ in range(g * 45):
+            own = base[: 90 - 12 * (g // 2)]
+            for _ in range(rng.randrange(0, 7)):
+                own[rng.randrange(len(own))] = f"e{rng.randrange(60)}"
+            items.append((len(items), " ".join(own), "en", "s"))
+    rng.shuffle(items)
+    assert told(jj.join(frame(items), ws)) == brute(items)
