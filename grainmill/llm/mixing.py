@@ -7,8 +7,9 @@ when the cumulative demand reaches c: inverting the demand gives every copy of a
 a range sort by position gives the training order.
 
 Nulls, ties, repeats: a null source is a source of its own and comes last; null and empty texts have size 0 and are
-never taken; a null doc_id hashes as the empty string; equal rows stay separate rows; an empty table gives an empty
-result. Only the columns named are read, so other columns of any name do no harm.
+never taken; a null doc_id and a null text hash as the empty string; equal rows stay separate rows, one after another in
+the stream; an empty table gives an empty result. ``mix`` reads doc_id, source and text only (``apply_mix`` all columns),
+so other columns of any name do no harm. Sources are few (a window over one row a source runs in one task).
 """
 
 from __future__ import annotations
@@ -18,14 +19,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import Workspace
+from ..storage import Workspace, unused
 from .text import words
 
 #: (time, multiplier) knots of the weight schedules; tier k of the weights uses the k-th, repeating. Each has mean 1
 #: over [0, 1], so the integrated shares are the weights themselves.
 SCHEDULES = (((0.0, 1.4), (1.0, 0.6)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)))
-#: Rows of one source that one window partition holds, about.
-ROWS_PER_BUCKET = 2_000
+#: Rows of one source that one window partition holds, about; words of one file of a mix, about.
+ROWS_PER_BUCKET, WORDS_PER_FILE = 2_000, 4_000_000
+#: Equal parts of training time whose words are counted to cut a mix into files.
+BINS = 4096
 
 
 def integral(knots) -> float:
@@ -57,11 +60,27 @@ def inverse(knots, u: Column) -> Column:
 
 @dataclass
 class Mix:
-    """``sources``: a row each with its target. ``curriculum``: copies of documents in training order; a document that
-    is not taken has one row with ``take`` 0 and no position."""
+    """``sources``: a row each with its target. ``documents``: a row each with what the mix takes of it (``taken``, words)
+    and its copies (epoch, take, position; none if nothing is taken)."""
 
     sources: DataFrame
-    curriculum: DataFrame
+    documents: DataFrame
+
+    @property
+    def curriculum(self) -> DataFrame:
+        """Copies of documents in training order, range-sorted by position."""
+        order = ["position", "sid", "epoch", "key", "h", "nth"]
+        copies = self.documents.select("doc_id", "source", "sid", "size", "key", "h", "nth", F.explode("copies").alias("copy"))
+        copies = copies.select("doc_id", "source", "sid", "size", "copy.epoch", "copy.take", "copy.position", "key", "h", "nth")
+        return copies.repartitionByRange(*order).sortWithinPartitions(*order)
+
+    @property
+    def taken(self) -> DataFrame:
+        """Documents in the order of their first copies, those that are not taken last."""
+        order = [F.col("position").asc_nulls_last(), F.col("sid"), F.col("key"), F.col("h"), F.col("nth")]
+        first = F.get("copies", F.lit(0))["position"]
+        rows = self.documents.withColumn("position", F.round(first, 9)).repartitionByRange(*order).sortWithinPartitions(*order)
+        return rows.select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
 def targets(sources: DataFrame, weights=(5, 2, 1), max_epochs: int = 3) -> DataFrame:
@@ -87,88 +106,96 @@ def targets(sources: DataFrame, weights=(5, 2, 1), max_epochs: int = 3) -> DataF
     return leveled.withColumn("target", share).select("sid", "source", "source_rows", "source_size", "weight", "target")
 
 
-def mix(documents: DataFrame, ws: Workspace, weights=(5, 2, 1), max_epochs: int = 3, schedules=SCHEDULES, rows_per_bucket: int = ROWS_PER_BUCKET) -> Mix:
-    """The mix of ``documents`` (doc_id, source, text): only sizes are shuffled, never texts.
+def mix(documents: DataFrame, ws: Workspace, weights=(5, 2, 1), max_epochs: int = 3, schedules=SCHEDULES, rows_per_bucket: int = ROWS_PER_BUCKET, h: Column | None = None) -> Mix:
+    """The mix of ``documents`` (doc_id, source, text): only sizes are shuffled, never texts. ``h`` tells rows apart that
+    are equal in these columns.
 
     A hot source is split into hashed buckets: their totals are summed first, then each bucket adds its own running
-    sum, so no task holds a whole source.
+    sum, so no task holds a whole source. Equal rows are one row with their number until their copies are told.
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sized = ws.table(
-        "sizes",
-        documents.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
-        .withColumn("key", key)
-        .withColumn("row", F.monotonically_increasing_id()),
-    )
-    sources = ws.table("sources", targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows")), weights, max_epochs))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text))
+    size = F.size(words(F.col("text").cast("string"))).cast("long")
+    units = documents.select("doc_id", "source", size.alias("size"), key.alias("key"), (F.lit(0).cast("long") if h is None else h).alias("h"))
+    units = ws.table("units", units.groupBy("doc_id", "source", "size", "key", "h").agg(F.count("*").alias("n")))
+    per_source = units.groupBy("source").agg(F.coalesce(F.sum(F.col("size") * F.col("n")), F.lit(0)).alias("source_size"), F.sum("n").alias("source_rows"))
+    sources = ws.table("sources", targets(per_source, weights, max_epochs))
 
     s = sources.select(F.col("source").alias("source_"), "sid", "source_rows", "source_size", "target")
     buckets = F.ceil(F.col("source_rows") / rows_per_bucket)
     head = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
     bucket = F.floor(head * buckets / F.lit(1 << 32)).cast("long")
-    placed = sized.join(s, F.col("source").eqNullSafe(F.col("source_"))).withColumn("bucket", bucket).drop("source_", "source_rows")
-    totals = placed.groupBy("sid", "bucket").agg(F.sum("size").alias("bucket_size"))
+    placed = units.join(s, F.col("source").eqNullSafe(F.col("source_"))).withColumn("bucket", bucket).withColumn("words", F.col("size") * F.col("n")).drop("source_", "source_rows")
+    totals = placed.groupBy("sid", "bucket").agg(F.sum("words").alias("bucket_size"))
     running = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("sid", "bucket", F.coalesce(F.sum("bucket_size").over(running), F.lit(0)).alias("ahead"))
-    inner = Window.partitionBy("sid", "bucket").orderBy("key", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
-    streamed = placed.join(offsets, ["sid", "bucket"]).withColumn("before", F.col("ahead") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
+    inner = Window.partitionBy("sid", "bucket").orderBy("key", "doc_id", "size", "h").rowsBetween(Window.unboundedPreceding, -1)
+    streamed = placed.join(offsets, ["sid", "bucket"]).withColumn("before", F.col("ahead") + F.coalesce(F.sum("words").over(inner), F.lit(0)))
+    # equal rows, by blocks so that no array is long
+    block = 1 << 12
+    streamed = streamed.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(block).cast("long"))))
+    streamed = streamed.withColumn("nth", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + block, F.col("n")) - 1)))
+    streamed = streamed.withColumn("before", F.col("before") + F.col("nth") * F.col("size"))
 
     length = F.floor(F.col("target") + F.lit(1e-9)).cast("long")
-    at = F.col("before") + F.col("epoch") * F.col("source_size")
-    take = F.greatest(F.least(length - at, F.col("size")), F.lit(0))
     tier = (F.col("sid") - 1) % len(schedules)
-    u = at / F.greatest(length, F.lit(1))
-    due = inverse(schedules[-1], u)
-    for k, knots in enumerate(schedules[:-1]):
-        due = F.when(tier == k, inverse(knots, u)).otherwise(due)
-    copies = (
-        streamed.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(int(max_epochs) - 1))))
-        .withColumn("take", take.cast("long"))
-        .where((F.col("take") > 0) | (F.col("epoch") == 0))
-        .withColumn("position", F.when(F.col("take") > 0, due))
-        .select("row", "doc_id", "source", "sid", "size", "source_size", "target", "epoch", "take", "position")
-    )
-    order = [F.col("position").asc_nulls_last(), F.col("sid"), F.col("epoch"), F.col("row")]
-    return Mix(sources, ws.table("curriculum", copies.repartitionByRange(*order).sortWithinPartitions(*order)))
 
+    def copy(epoch: int) -> Column:
+        at = F.col("before") + F.lit(epoch) * F.col("source_size")
+        u = at / F.greatest(length, F.lit(1))
+        due = inverse(schedules[-1], u)
+        for k, knots in enumerate(schedules[:-1]):
+            due = F.when(tier == k, inverse(knots, u)).otherwise(due)
+        return F.struct(F.lit(epoch).alias("epoch"), F.greatest(F.least(length - at, F.col("size")), F.lit(0)).cast("long").alias("take"), due.alias("position"))
 
-def taken(curriculum: DataFrame) -> DataFrame:
-    """Per document what the curriculum takes of it, repeats counted."""
-    return curriculum.groupBy("row", "doc_id", "size", "source_size", "target").agg(F.sum("take").alias("taken")).drop("row")
+    copies = F.filter(F.array(*[copy(e) for e in range(int(max_epochs))]), lambda c: c["take"] > 0)
+    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda total, c: total + c["take"])
+    told = streamed.withColumn("copies", copies).withColumn("taken", taken)
+    return Mix(sources, ws.table("documents", told.select("doc_id", "source", "sid", "size", "source_size", "target", "taken", "copies", "key", "h", "n", "nth")))
 
 
-def apply_mix(documents: DataFrame, ws: Workspace, **options) -> DataFrame:
-    """``documents`` as the mix takes them: a row per copy, a last copy cut to the words still due, the columns unchanged.
+def apply_mix(documents: DataFrame, ws: Workspace, words_per_file: int = WORDS_PER_FILE, **options) -> DataFrame:
+    """``documents`` as the mix takes them, in training order: a row per copy, the columns unchanged; a last copy is cut to
+    the words still due, and n_chars, where there is such a column, follows it.
 
-    n_chars, where there is such a column, follows a cut text. Copies are matched to rows by doc_id, source and size:
-    rows equal in all of these share one another's copies in turn.
+    Partitions are ranges of training time, sorted by position, so files that are written of them hold the curriculum in
+    the order of their names. Texts are shuffled twice: to their copies by a hash of the row, and to their ranges.
     """
-    mixed = mix(documents, ws, **options)
-    n = F.size(words(F.col("text"))).cast("long")
-    twin = Window.partitionBy("doc_id", "source", "size").orderBy("row")
-    ordinals = mixed.curriculum.where("epoch = 0").select("row", F.row_number().over(twin).alias("__gm_twin"))
-    copies = mixed.curriculum.where("take > 0").join(ordinals, "row")
-    copies = copies.groupBy("doc_id", "source", "size", "__gm_twin").agg(F.collect_list("take").alias("__gm_takes"))  # at most max_epochs each
-    own = Window.partitionBy("doc_id", "source", "__gm_size").orderBy(F.xxhash64("text"))
-    left = documents.withColumn("__gm_size", n).withColumn("__gm_twin", F.row_number().over(own))
-    right = copies.select(F.col("doc_id").alias("__gm_id"), F.col("source").alias("__gm_source"), F.col("size").alias("__gm_n"), F.col("__gm_twin").alias("__gm_t"), "__gm_takes")
-    both = left.join(
-        right,
-        left["doc_id"].eqNullSafe(right["__gm_id"]) & left["source"].eqNullSafe(right["__gm_source"]) & (left["__gm_size"] == right["__gm_n"]) & (left["__gm_twin"] == right["__gm_t"]),
-    ).withColumn("__gm_take", F.explode("__gm_takes"))
-    cut = F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col("__gm_take").cast("int")), " ")
-    partial = F.col("__gm_take") < F.col("__gm_size")
-    out = both.withColumn("text", F.when(partial, cut).otherwise(F.col("text")))
-    if "n_chars" in documents.columns:
+    columns = documents.columns
+    h, copy, slot, take, position, size, row, bin_ = unused(columns, "h", "copy", "slot", "take", "position", "size", "row", "bin")
+    plain = [f.name for f in documents.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    mixed = mix(documents, ws, h=F.xxhash64(*plain), **options)
+    found = mixed.documents.where("taken > 0")
+    # parts of training time of about equal numbers of words
+    bins = found.select(F.explode("copies").alias("c")).groupBy(F.least(F.floor(F.col("c.position") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).agg(F.sum("c.take").alias("w"))
+    ahead = F.coalesce(F.sum("w").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    slots = ws.table("slots", bins.select(F.col("bin").alias(bin_), F.floor(ahead / words_per_file).cast("int").alias(slot)))  # BINS rows at most
+    last, = slots.agg(F.coalesce(F.max(slot), F.lit(0))).first()
+
+    cols = F.struct(F.col("h").alias(h), F.col("size").alias(size), F.col("copies").alias(copy))
+    docs = documents.withColumn(h, F.xxhash64(*plain))
+    once = found.where("n = 1").select(cols.alias("s")).select("s.*")
+    several = ws.table("equal-rows", found.where("n > 1").select(F.col("h").alias(h), F.col("size").alias(size), F.col("copies").alias(copy)))
+    known = ws.table("equal-keys", several.select(h).distinct())
+    alike = docs.join(known, h, "left_semi").groupBy(h).agg(F.min_by(F.struct(*columns), F.lit(0)).alias(row)).select(h, f"{row}.*")
+    both = docs.join(once, h).unionByName(ws.table("equal-texts", alike).join(several, h))
+    each = both.withColumn(copy, F.explode(copy)).withColumn(take, F.col(copy)["take"]).withColumn(position, F.col(copy)["position"])
+    part = F.least(F.floor(F.col(position) * BINS), F.lit(BINS - 1)).cast("int")
+    each = each.join(F.broadcast(slots), part == F.col(bin_))
+    partial = F.col(take) < F.col(size)
+    cut = F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col(take).cast("int")), " ")
+    out = each.repartitionById(int(last) + 1, F.col(slot)).sortWithinPartitions(position, h, F.col(copy)["epoch"])
+    out = out.withColumn("text", F.when(partial, cut).otherwise(F.col("text")))
+    if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(partial, F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*documents.columns)
+    return out.select(*columns)
 
 
-#: The whole report in SQL, apart from positions: what is taken follows from targets and stream offsets alone.
+#: The whole report in SQL, with the inverses of the three schedules spelled out.
 SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS key FROM documents),
 src AS (
   SELECT *, [5, 2, 1][1 + (sid - 1) % 3] AS weight FROM (
     SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY encode(source) ASC NULLS LAST) AS sid
@@ -180,13 +207,19 @@ lev2 AS (
          / CAST(sum(weight) OVER (ORDER BY ratio, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM lev),
 lam AS (SELECT arg_min(level, sid_order) AS reached FROM (SELECT level, row_number() OVER (ORDER BY ratio, sid) AS sid_order FROM lev2 WHERE level <= ratio)),
 tgt AS (
-  SELECT source, source_size, CASE WHEN reached IS NULL THEN CAST(cap AS DOUBLE) ELSE least(CAST(cap AS DOUBLE), reached * weight) END AS target FROM lev2, lam),
+  SELECT source, sid, source_size, CASE WHEN reached IS NULL THEN CAST(cap AS DOUBLE) ELSE least(CAST(cap AS DOUBLE), reached * weight) END AS target FROM lev2, lam),
 str AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target, CAST(floor(t.target + 1e-9) AS BIGINT) AS length,
+  SELECT s.doc_id, s.size, t.sid, t.source_size, t.target, CAST(floor(t.target + 1e-9) AS BIGINT) AS length,
          CAST(coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
-  FROM sized s JOIN tgt t ON s.source IS NOT DISTINCT FROM t.source)
+  FROM sized s JOIN tgt t ON s.source IS NOT DISTINCT FROM t.source),
+due AS (SELECT *, CAST(before AS DOUBLE) / greatest(length, 1) AS u, least(length - before, size) > 0 AS first FROM str)
 SELECT doc_id, size, source_size, target,
        CAST(greatest(least(length - before, size), 0) + greatest(least(length - before - source_size, size), 0)
-            + greatest(least(length - before - 2 * source_size, size), 0) AS BIGINT) AS taken
-FROM str
+            + greatest(least(length - before - 2 * source_size, size), 0) AS BIGINT) AS taken,
+       CASE WHEN first THEN round(CASE (sid - 1) % 3
+         WHEN 0 THEN 2.0::DOUBLE * u / (sqrt(greatest(1.4::DOUBLE * 1.4::DOUBLE + (2.0::DOUBLE * (0.6::DOUBLE - 1.4::DOUBLE)) * u, 0)) + 1.4::DOUBLE)
+         WHEN 1 THEN u
+         ELSE CASE WHEN u >= 0.375 THEN 0.5::DOUBLE + 2.0::DOUBLE * (u - 0.375::DOUBLE) / (sqrt(1.0::DOUBLE + 2.0::DOUBLE * (u - 0.375::DOUBLE)) + 1.0::DOUBLE)
+              ELSE 2.0::DOUBLE * u / (sqrt(0.25::DOUBLE + 2.0::DOUBLE * u) + 0.5::DOUBLE) END END, 9) END AS position
+FROM due
 """

@@ -13,7 +13,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.taken(mixing.mix(_documents(spark, sf_dir), Workspace(spark, "op1")).curriculum)
+    return mixing.mix(_documents(spark, sf_dir), Workspace(spark, "op1")).taken
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import Workspace
+from ..storage import Workspace, unused
 from .quality_rules import base_stats
 
 #: Labelled rows that are collected for training, about; the bound of the driver's memory.
@@ -33,7 +33,7 @@ PENALTY, ROUNDS = 0.001, 400
 
 FEATURES = (
     "log_words", "word_length", "symbol_share", "upper_share", "digit_share", "mark_share", "other_share", "space_share",
-    "repeat_share", "dup_line_share", "distinct_share", "long_line", "bar_share", "loud_share", "short_share",
+    "repeat_share", "dup_line_share", "distinct_share", "long_line", "lone_mark_share", "mark_run_share", "short_share",
 )
 
 
@@ -45,7 +45,6 @@ def statistics(text: Column) -> Column:
         text,
         lambda w: [
             F.size(F.array_distinct(w)).alias("distinct"),
-            F.size(F.filter(w, lambda x: x == "|")).alias("bars"),
             F.size(F.filter(w, lambda x: F.length(x) <= 3)).alias("short"),
         ],
     )
@@ -66,8 +65,8 @@ def statistics(text: Column) -> Column:
             (s["n_dup_lines"] / lines).alias("dup_line_share"),
             (s["distinct"] / F.greatest(s["n_words"], F.lit(1))).alias("distinct_share"),
             F.log1p(chars / lines).alias("long_line"),
-            (s["bars"] / F.greatest(s["n_words"], F.lit(1))).alias("bar_share"),
-            count(r"!!").alias("loud_share"),
+            count(r"(?<![^\x20\x09-\x0D])[^\p{L}\p{N}\x20\x09-\x0D](?![^\x20\x09-\x0D])").alias("lone_mark_share"),
+            count(r"[!?.]{2}").alias("mark_run_share"),
             (s["short"] / F.greatest(s["n_words"], F.lit(1))).alias("short_share"),
         ),
     )[0]
@@ -199,12 +198,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS)) == 0, F.lit(False))
 
 
-def train(stats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Ensemble:
-    """``stats``: doc_id and the features. Collects the sample of labelled rows, never more than about its bound."""
+def sample(labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(doc_id, quality) of the labelled rows that training may use, thinned by a hash to about ``sample_rows``."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
-    n = own.count()
-    thin = own if n <= sample_rows else own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * sample_rows / n))
-    rows = stats.join(thin, "doc_id").select("quality", *FEATURES).toPandas()
+    n, whole = own.count(), 1 << 62
+    return own if n <= sample_rows else own.where(F.pmod(F.xxhash64("doc_id"), F.lit(whole)) < whole * sample_rows // n)
+
+
+def train(stats: DataFrame, chosen: DataFrame) -> Ensemble:
+    """``stats``: doc_id and the features; ``chosen``: the sample, which is collected with its features."""
+    rows = stats.join(chosen, "doc_id").select("quality", *FEATURES).toPandas()
     rows = rows.sort_values(list(rows.columns), ignore_index=True)  # the same sums in any order of arrival
     return fit(rows[list(FEATURES)].to_numpy(dtype=float), rows["quality"].to_numpy(dtype=float))
 
@@ -213,20 +216,19 @@ def score(documents: DataFrame, labels: DataFrame, ws: Workspace, sample_rows: i
     """doc_id, held_out, score and predicted of every text. Texts are read once."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), statistics(F.col("text").cast("string")).alias("s"))
     stats = ws.table("statistics", docs.select("doc_id", "s.*"))
-    model = train(stats, labels, sample_rows)
+    model = train(stats, sample(labels, sample_rows))
     scored = stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score(F.col).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, ws: Workspace, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The documents that the classifier accepts, with their columns. Trains on the sample, then reads texts once more
-    and scores them in place, so that no text is shuffled."""
-    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
-    chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(own.select("doc_id").distinct(), "doc_id", "left_semi")
-    n = own.count()
-    thin = chosen if n <= sample_rows else chosen.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * sample_rows / n))
-    stats = ws.table("sample", thin.select("doc_id", statistics(F.col("text").cast("string")).alias("s")).select("doc_id", "s.*"))
-    model = train(stats, own, sample_rows)
+    """The documents that the classifier accepts, with their columns. Trains on the same sample as ``score``, then reads
+    texts once more and scores them in place, so that no text but the sample's is shuffled."""
+    chosen = ws.table("sample", sample(labels, sample_rows))
+    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")
+    stats = ws.table("statistics", own.select("doc_id", statistics(F.col("text").cast("string")).alias("s")).select("doc_id", "s.*"))
+    model = train(stats, chosen)
     columns = documents.columns
-    scored = documents.withColumn("__gm_s", statistics(F.col("text").cast("string"))).withColumn("__gm_score", model.score(lambda name: F.col("__gm_s")[name]))
-    return scored.where(F.col("__gm_score") >= THRESHOLD).select(*columns)
+    s, total = unused(columns, "s", "score")
+    scored = documents.withColumn(s, statistics(F.col("text").cast("string"))).withColumn(total, model.score(lambda name: F.col(s)[name]))
+    return scored.where(F.col(total) >= THRESHOLD).select(*columns)

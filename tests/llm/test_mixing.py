@@ -12,7 +12,7 @@ def brute(items, weights=(5, 2, 1), most=3):
     size = lambda t: len([w for w in (t or "").encode().split() if w])
     by = defaultdict(list)
     for i, t, _, s in items:
-        by[s].append((hashlib.md5(str(i if i is not None else "").encode()).hexdigest(), -1 if i is None else i, size(t)))
+        by[s].append((hashlib.md5(f"{'' if i is None else i}:{t or ''}".encode()).hexdigest(), -1 if i is None else i, size(t)))
     names = sorted((s for s in by if s is not None)) + [None] * (None in by)
     sizes = {s: sum(x[2] for x in by[s]) for s in names}
     w = {s: weights[k % len(weights)] for k, s in enumerate(names)}
@@ -41,23 +41,24 @@ def told(df):
 
 
 def test_equals_brute_force(messy, ws):
-    assert told(mixing.taken(mixing.mix(messy, ws, rows_per_bucket=2).curriculum)) == brute(MESSY)
+    assert told(mixing.mix(messy, ws, rows_per_bucket=2).taken) == brute(MESSY)
 
 
 def test_near_targets_on_documents(documents, ws, spark):
     from grainmill.storage import Workspace
 
-    got = mixing.taken(mixing.mix(documents, ws).curriculum)
+    got = mixing.mix(documents, ws).taken
     rows = got.collect()
     assert told(got) == brute([(r["doc_id"], r["text"], None, r["source"]) for r in documents.collect()])
     assert all(r["taken"] <= 3 * r["size"] for r in rows)
-    again = mixing.taken(mixing.mix(documents, Workspace(spark, "again"), rows_per_bucket=5).curriculum)
+    again = mixing.mix(documents, Workspace(spark, "again"), rows_per_bucket=5).taken
     assert told(again) == told(got)
 
 
 def test_positions_follow_schedules(messy, ws):
     m = mixing.mix(messy, ws)
-    rows = [r for r in m.curriculum.collect() if r["take"] > 0]
+    rows = m.curriculum.collect()
+    assert [r["position"] for r in rows] == sorted(r["position"] for r in rows) and all(r["take"] > 0 for r in rows)
     assert all(0 <= r["position"] <= 1 for r in rows)
     by = defaultdict(list)
     for r in rows:
@@ -81,7 +82,7 @@ def test_inverse_of_the_integral(spark, knots):
 
 
 def test_empty(empty, ws):
-    assert mixing.taken(mixing.mix(empty, ws).curriculum).count() == 0
+    assert mixing.mix(empty, ws).taken.count() == 0
 
 
 def test_apply_keeps_columns_and_words(messy, ws):
@@ -89,3 +90,31 @@ def test_apply_keeps_columns_and_words(messy, ws):
     assert out.columns == messy.columns
     words = sum(len(r["text"].encode().split()) for r in out.collect())
     assert words == sum(r[4] for r in brute(MESSY))
+
+
+def test_mix_is_in_training_order(documents, spark, tmp_path):
+    """Files in the order of their names hold the curriculum: copies by position, each cut to what is due."""
+    from pyspark.sql import functions as F
+
+    from grainmill.storage import Workspace
+
+    wide = documents.union(documents.where("doc_id < 40")).union(documents.where("doc_id < 20")).withColumn("h", F.lit("x")).withColumn("position", F.lit(1))
+    mixing.apply_mix(wide, Workspace(spark, "a"), words_per_file=3000).write.parquet(str(tmp_path / "mix"))
+    back = spark.read.parquet(str(tmp_path / "mix"))
+    files = back.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at")).orderBy("file", "at").collect()
+    assert len({r["file"] for r in files}) > 3
+    plain = [f.name for f in wide.schema.fields]
+    want = mixing.mix(wide, Workspace(spark, "b"), h=F.xxhash64(*plain)).curriculum.collect()
+    got = [(r["doc_id"], r["source"], len(r["text"].encode().split())) for r in files]
+    assert sorted(got, key=str) == sorted(((r["doc_id"], r["source"], r["take"]) for r in want), key=str)
+    places = {}
+    for r in want:
+        places.setdefault((r["doc_id"], r["source"], r["take"]), []).append(r["position"])
+    at = [places[x].pop(0) for x in got]
+    assert at == sorted(at)
+
+
+def test_equal_rows_share_one_hash(frame, ws):
+    items = [(1, "a few words that are the same", "en", "a")] * 9000 + [(2, "others in a second source here", "en", "b")]
+    got = told(mixing.mix(frame(items), ws).taken)
+    assert len(got) == 9001 and got == brute(items)
