@@ -33,13 +33,14 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per copy that the source mix takes; a last copy is cut to the words still due."""
+    """A row per copy that the source mix takes, in training order; a last copy is cut to the words still due."""
     return mixing.apply_mix(docs, Workspace(spark, "stage-mix"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of power-of-two lengths, numbered as sequences."""
-    return packing.pack(docs, Workspace(spark, "stage-pack"))
+    """Pieces of power-of-two lengths with their ids, numbered as sequences in the training order of the documents, which
+    is the order of their files and of the rows in them; their place (slot, at) is told, too."""
+    return packing.pack(docs, Workspace(spark, "stage-pack"), with_ids=True, in_order=True)
 
 
 STAGES = [
