@@ -475,7 +475,7 @@ def related(na: int, n: np.ndarray, minus: np.ndarray, plus: list[np.ndarray], o
     return out
 
 
-def _derived(members: DataFrame) -> DataFrame:
+def _derived(members: DataFrame, ws: Workspace) -> DataFrame:
     """Links (a, b) among the sets tried with one pivot, from their differences alone. ``members``: r, f, na, n, minus,
     plus, linked. Sets linked with the pivot are one component already, so only the others are compared with all.
 
@@ -483,7 +483,7 @@ def _derived(members: DataFrame) -> DataFrame:
     own first, and holds these and ``HOLD`` others at once.
     """
     sizes = members.groupBy("r").agg(F.count("*").alias("m"), F.count_if(~F.col("linked")).alias("u")).where("u > 0")
-    parts = sizes.select("r", F.least(F.col("u"), F.ceil(F.col("u") * F.col("m") / COMPARISONS)).cast("int").alias("k"))
+    parts = near(ws.table("parts", sizes.select("r", F.least(F.col("u"), F.ceil(F.col("u") * F.col("m") / COMPARISONS)).cast("int").alias("k"))))
     dealt = members.join(parts, "r").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     dealt = dealt.withColumn("own", ~F.col("linked") & (F.pmod(F.xxhash64("f"), F.col("k")) == F.col("part")))
 
@@ -578,14 +578,14 @@ def _linked(documents: DataFrame, ws: Workspace, width: int) -> DataFrame:
     homes = ws.table("homes", homes)
     members = tried.join(homes.select(F.col("f").alias("b"), F.col("r").alias("a")), ["a", "b"])
     members = members.select(F.col("a").alias("r"), F.col("b").alias("f"), "na", F.col("nb").alias("n"), "minus", "plus", linked().alias("linked"))
-    settled = ws.table("derived-links", _derived(members))
+    settled = ws.table("derived-links", _derived(ws.table("members", members), ws))
     labels = ws.table("labels", components(stars.unionByName(settled), ws, "stars"))
 
     # a pivot is its own home unless it has a nearer one; a set without a home is one for itself
     known = labels.join(homes.select("f", "r"), "f", "full")
     entries = shared.select("s", "n", "f", "p").join(known, "f", "left").withColumn("c", F.coalesce("c", "f")).withColumn("r", F.coalesce("r", "f"))
     entries = ws.table("entries", entries)
-    ws.drop("shared", "asked")
+    ws.drop("shared", "asked", "members", "parts")
     found = _across(entries, signed, ws).join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     open_pairs = ws.table("across", _linkable(found, signed))
     ws.drop("entries", "lists", "signed")
