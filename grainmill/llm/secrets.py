@@ -3,7 +3,8 @@
 One Aho-Corasick pass over the UTF-8 bytes of a text, A-Z in lower case, finds the keywords. At a hit the kind's
 expression is tried anchored, never elsewhere. Kinds with an embedded checksum must pass it.
 
-Base kinds (no checksum): assign, access, hex. ``hex`` has no keyword: its prefilter is a run of hexadecimal digits.
+Base kinds (no checksum): assign, access, hex. ``hex`` has no word to go by; its keywords are all groups of four
+hexadecimal digits, the first of which begins where a run does.
 Added kinds: github and npm, tokens of 36 base-62 characters after their prefix whose last 6 are the CRC-32 of the
 first 30, and jwt, three base64url parts of which the first two must decode to JSON objects.
 
@@ -19,7 +20,9 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import product
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,7 +65,7 @@ KINDS = (
         lambda m: len(m[2]) >= 6,
     ),
     Kind("access", (b"akia",), re.compile(rb"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
-    Kind("hex", (), re.compile(rb"[0-9a-f]{24,}"), lambda m: True),
+    Kind("hex", tuple(bytes(x) for x in product(b"0123456789abcdef", repeat=4)), re.compile(rb"[0-9a-f]{24,}"), lambda m: True),
     Kind("github", (b"ghp_", b"gho_", b"ghu_", b"ghs_", b"ghr_"), re.compile(rb"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])"), lambda m: base62_crc(m[1]) == m[2]),
     Kind("npm", (b"npm_",), re.compile(rb"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])"), lambda m: base62_crc(m[1]) == m[2]),
     Kind("jwt", (b"eyj",), re.compile(rb"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+"), lambda m: _json_object(m[1]) and _json_object(m[2])),
@@ -84,7 +87,6 @@ class Scanner:
             self.keys.add_word(k, (len(k), owners))
         if by_key:
             self.keys.make_automaton()
-        self.free = [i for i, kind in enumerate(kinds) if not kind.keywords]
         self.any = bool(by_key)
 
     def spans(self, text: str | None) -> list[tuple[str, int, int]]:
@@ -105,8 +107,6 @@ class Scanner:
                     free_from[i] = m.end()
                     if self.kinds[i].valid(m):
                         found.append((at, i, m.end()))
-        for i in self.free:
-            found += [(m.start(), i, m.end()) for m in self.kinds[i].pattern.finditer(data) if self.kinds[i].valid(m)]
         found.sort()
         if len(data) == len(text):
             return [(self.kinds[i].name, a, b) for a, i, b in found]
@@ -134,8 +134,11 @@ def find_secrets(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = scanner().spans
         for batch in batches:
-            rows = [[{"kind": k, "start": a, "end": b} for k, a, b in scan(t)] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, spans)], names=["doc_id", "spans"])
+            found = [scan(t) for t in batch.column(1).to_pylist()]
+            flat = [s for row in found for s in row]
+            parts = pa.StructArray.from_arrays([pa.array([s[k] for s in flat], spans.value_type[k].type) for k in range(3)], fields=list(spans.value_type))
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(row) for row in found])]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, parts)], names=["doc_id", "spans"])
 
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 

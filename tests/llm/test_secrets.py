@@ -56,6 +56,30 @@ def test_checksums():
     assert not secrets.scanner().spans("eyJhbGci.eyJub3Bl.sig")
 
 
+@pytest.mark.parametrize("prefix, kind", [("ghp_", "github"), ("ghs_", "github"), ("npm_", "npm")])
+def test_planted_tokens_and_decoys(frame, prefix, kind):
+    """Every token whose last six characters are the checksum of its body is found, every other one left alone."""
+    import random
+    import zlib
+
+    rng = random.Random(8)
+    letters = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+    def crc(body):  # written out again, most significant digit first
+        n = zlib.crc32(body.encode())
+        return "".join(letters[n // 62**k % 62] for k in range(5, -1, -1))
+
+    items, want = [], {}
+    for i in range(80):
+        body = "".join(rng.choice(letters) for _ in range(30))
+        end = crc(body) if i % 2 else "".join(rng.choice(letters) for _ in range(6))
+        before, glue = "x" * rng.randrange(9) + " é ", rng.choice(["", ".", " tail", "\n"])
+        items.append((i, f"{before}{prefix}{body}{end}{glue}", "en", "s"))
+        want[i] = [(kind, len(before), len(before) + 40)] if end == crc(body) else []
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"] if s["kind"] == kind] for r in secrets.find_secrets(frame(items)).collect()}
+    assert got == want
+
+
 def test_messy_and_empty(messy, empty):
     got = secrets.digest(secrets.find_secrets(messy))
     assert got.columns[:6] == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"] and got.count() == len(MESSY)
