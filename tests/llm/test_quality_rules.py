@@ -52,3 +52,19 @@ def test_no_python_in_the_plan(documents, ws):
 
 def test_empty(empty, ws):
     assert quality_rules.judge(empty, ws).count() == 0
+
+
+def test_guards_and_robust_references(frame, ws):
+    """Short texts are not judged by their histograms; junk that is a third of a language does not become its reference."""
+    import random
+
+    rng = random.Random(2)
+    common = [f"{a}{b}" for a in "abcdefgh" for b in "xyz"]
+    good = lambda n: " ".join(rng.choice(common) if rng.random() < 0.5 else "w" + "".join(rng.choice("ijklmnop") for _ in range(6)) for _ in range(n))
+    junk = lambda n: " ".join("".join(rng.choice("#$%&*0123456789ABCDEF") for _ in range(5)) for _ in range(n))
+    items = [(i, good(200), "en", "s") for i in range(60)] + [(100 + i, junk(200), "en", "s") for i in range(30)] + [(200, junk(49), "en", "s"), (201, junk(55), "en", "s"), (202, "# 1 2 3 4 5 " * 9 + good(55), "en", "s")]
+    got = {r["doc_id"]: r for r in quality_rules.judge(frame(items), ws).collect()}
+    assert all(got[i]["kept"] for i in range(60)) and not any(got[100 + i]["kept"] for i in range(30))
+    assert got[200]["base_failed"] and not got[200]["kept"]
+    lax = {r["doc_id"]: r for r in quality_rules.judge(frame(items), ws, min_chars=400, min_words=60).collect()}
+    assert not got[201]["kept"] and lax[201]["kept"]  # 55 words in 329 code points: judged by characters only from its length on
