@@ -1,16 +1,18 @@
 """Bottom-k sketches of shingle hashes as document fingerprints.
 
 A sketch is the k smallest of the distinct hashes of a text's five-word shingles, cut to 48 bits. Sketches of parts
-merge into the sketch of the whole (keep the k smallest of the union). From sketches alone come the number of distinct
+merge into the sketch of the whole (keep the k smallest of the union); that is how an edited text's sketch is made of
+those of what was kept and of what was put in its place. From sketches alone come the number of distinct
 shingles, the resemblance (Jaccard likeness) and the containment of two texts; with fewer than k shingles all three
 are exact up to hash collisions.
 
 A fingerprint is a sketch in base64, smallest hash first, 6 big-endian bytes each; a text without words has the empty
 fingerprint. Two empty fingerprints have likeness 1, an empty and another one 0.
 
-Nulls, ties, repeats: a null text counts as the empty one. Documents are in descending order of (doc_id, text), nulls
-last; "next" follows that order and the last document's next is the first, so a single document is its own next; rows
-that are equal stay separate. An empty table gives an empty result. Only doc_id and text are read.
+Nulls, ties, repeats: a null text counts as the empty one. Documents are in descending order of doc_id, nulls last, then
+of the 64-bit hash of the text, then of the text; "next" follows that order and the last document's next
+is the first, so a single document is its own next; rows that are equal stay separate. An empty table gives an empty
+result. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -20,21 +22,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import Workspace
-from .text import sha256, shingles
+from .text import each_set, sha256, shingles
 
-K = 128
+K, WIDTH = 128, 5
 BITS = np.uint64(16)
 #: Documents that one range of doc_id holds, about.
 RANGE_DOCS = 4_000
 
 
+def _least(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k smallest distinct 48-bit hashes of a sorted set of 64-bit ones: twins are neighbours."""
+    h = hashes[: 2 * k] >> BITS
+    h = h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
+    return h[:k] if len(h) >= k or len(hashes) <= 2 * k else np.unique(hashes >> BITS)[:k]
+
+
 def sketch(text: str | None, k: int = K) -> np.ndarray:
     """The k smallest distinct 48-bit shingle hashes, ascending."""
-    return np.unique(shingles(text)[: 2 * k] >> BITS)[:k]  # sorted already; 48-bit twins are adjacent
+    return _least(shingles(text), k)
 
 
 def merge(a: np.ndarray, b: np.ndarray, k: int = K) -> np.ndarray:
@@ -85,7 +95,7 @@ def fingerprints(documents: DataFrame, k: int = K) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sketch(t, k) for t in batch.column(1).to_pylist()]
+            found = [_least(h, k) for h in each_set(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(map(pack, found), pa.string(), size=len(found)), pa.array([distinct(s, k) for s in found], pa.float64())],
                 names=["doc_id", "fingerprint", "n_shingles"],
@@ -94,51 +104,90 @@ def fingerprints(documents: DataFrame, k: int = K) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fingerprint string, n_shingles double")
 
 
-def with_next(documents: DataFrame, ws: Workspace, range_docs: int = RANGE_DOCS) -> DataFrame:
-    """Rows (range, doc_id, text, guest) so that, within a range in descending order, each row is followed by its next
-    document; the row after a range's last own document is a guest, the first of the range below (of the top one, for
-    the lowest).
+def seam(kept: str, new: str) -> str | None:
+    """What to sketch besides ``kept``'s whole words for the text ``kept + new``: the last words of ``kept`` from which a
+    shingle can reach on, and ``new``; None where ``kept`` has too few words for parts."""
+    end = len(kept)
+    while end and kept[end - 1] not in " \t\n\x0b\x0c\r":
+        end -= 1  # a word may go on in what follows
+    words = kept[max(0, end - 4096) : end].encode("utf-8", "surrogatepass").split()
+    if len(words) < WIDTH + (end > 4096):
+        words = kept[:end].encode("utf-8", "surrogatepass").split()
+    if len(words) < WIDTH:
+        return None
+    return b" ".join(words[1 - WIDTH :]).decode("utf-8", "surrogatepass") + " " + kept[end:] + new
 
-    One shuffle of the texts, by ranges of doc_id taken from quantiles; the guests are one text a range.
-    """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n = docs.count()
-    n_ranges = max(1, -(-n // range_docs))
-    cuts = sorted(set(docs.approxQuantile("doc_id", [i / n_ranges for i in range(1, n_ranges)], 1 / (8 * n_ranges)))) if n_ranges > 1 else []
-    cuts = [int(c) for c in cuts]
-    bucket = F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda a, c: a + F.when(F.col("doc_id") > c, 1).otherwise(0)) if cuts else F.lit(0)
-    ranged = docs.withColumn("range", bucket)
-    tops = ws.table("tops", ranged.groupBy("range").agg(F.max(F.struct("doc_id", "text")).alias("top")))
-    everything = Window.partitionBy(F.lit(0)).orderBy(F.col("range").desc())  # a row a range
-    above = F.coalesce(F.lag("range").over(everything), F.min("range").over(Window.partitionBy(F.lit(0))))
-    guests = tops.withColumn("to", above).select(F.col("to").alias("range"), F.col("top.doc_id").alias("doc_id"), F.col("top.text").alias("text"), F.lit(True).alias("guest"))
-    rows = ranged.select("range", "doc_id", "text", F.lit(False).alias("guest")).unionByName(guests)
-    order = ["range", "guest", F.col("doc_id").desc_nulls_last(), F.col("text").desc_nulls_last()]
-    return rows.repartition("range").sortWithinPartitions(*order)
-
-
-def compare_edited(documents: DataFrame, ws: Workspace, k: int = K) -> DataFrame:
+
+def edited_sketches(texts: list[str], following: list[str], k: int = K) -> tuple[list[str], list[np.ndarray]]:
+    """The edited texts and their sketches, merged from those of their parts: the last floor(n / 3) code points of each
+    text give way to the first as many (or all) of the one that follows."""
+    cuts = [len(t) - len(t) // 3 for t in texts]
+    edited = [t[:c] + f[: len(t) - c] for t, c, f in zip(texts, cuts, following)]
+    seams = [seam(t[:c], f[: len(t) - c]) for t, c, f in zip(texts, cuts, following)]
+    whole = lambda t, c: t[:c] if not c or t[c - 1] in " \t\n\x0b\x0c\r" else t[: max(t.rfind(x, 0, c) for x in " \t\n\x0b\x0c\r") + 1]
+    first = each_set(pa.array([e if s is None else whole(t, c) for t, c, e, s in zip(texts, cuts, edited, seams)], pa.string()), WIDTH)
+    second = each_set(pa.array([None if s is None or len(s.encode("utf-8", "surrogatepass").split()) < WIDTH else s for s in seams], pa.string()), WIDTH)
+    return edited, [merge(_least(a, k), _least(b, k), k) if len(b) else _least(a, k) for a, b in zip(first, second)]
+
+
+#: What is told of a document, and of the first and last document of a range (their texts).
+ROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+EDGE = [("range", pa.int32()), ("top", pa.string()), ("bottom", pa.string()), ("bottom_id", pa.int64())]
+ROW_SQL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
+def _rows(ids: list, texts: list[str], marks: list[np.ndarray], following: list[str], next_marks: list[np.ndarray], k: int) -> pa.RecordBatch:
+    edited, others = edited_sketches(texts, following, k)
+    cols = [ids, [len(t) for t in texts], [sha256(e) for e in edited], [pack(m) for m in marks], [pack(o) for o in others]]
+    cols += [[resemblance(m, o, k) for m, o in zip(marks, others)], [resemblance(m, o, k) for m, o in zip(marks, next_marks)]]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, ROW)], schema=ROW)
+
+
+def compare_edited(documents: DataFrame, ws: Workspace, k: int = K, range_docs: int = RANGE_DOCS) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likenesses.
 
-    Edited: the last floor(n / 3) code points give way to the first as many (or all) of the next document.
+    Edited: the last floor(n / 3) code points give way to the first as many (or all) of the next document. Texts are
+    shuffled once, by ranges of doc_id; a range tells all its rows but the last, whose next document is the first of
+    another range: the two texts meet in a second, small step, a row a range.
     """
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    arrow = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = docs.withColumn("h", F.xxhash64("text"))
+    n_ranges = max(1, -(-docs.count() // range_docs))
+    # equal rows may be told apart by where they are read: each of them has the same neighbours in any order
+    order = [F.col("doc_id").desc_nulls_last(), F.col("h").desc()]
+    dealt = docs.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(n_ranges, *order, F.col("row")).sortWithinPartitions(*order, F.col("text").desc(), "row")
+    schema = pa.schema(list(ROW) + [pa.field(*x) for x in EDGE])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None
+        here = TaskContext.get().partitionId()
+        top, held = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            marks = [_least(h, k) for h in each_set(batch.column(1))]
+            if held is None:
+                top = texts[0]
+            else:
+                ids, texts, marks = [held[0], *ids], [held[1], *texts], [held[2], *marks]
+            held = ids[-1], texts[-1], marks[-1]
+            if len(ids) > 1:
+                out = _rows(ids[:-1], texts[:-1], marks[:-1], texts[1:], marks[1:], k)
+                yield pa.RecordBatch.from_arrays(out.columns + [pa.nulls(out.num_rows, t) for _, t in EDGE], schema=schema)
+        if held is not None:
+            last = [pa.nulls(1, f.type) for f in ROW] + [pa.array([v], t) for v, (_, t) in zip((here, top, held[1], held[0]), EDGE)]
+            yield pa.RecordBatch.from_arrays(last, schema=schema)
+
+    made = ws.table("rows", dealt.select("doc_id", "text").mapInArrow(run, ROW_SQL + ", range int, top string, bottom string, bottom_id long"))
+    edges = made.where("range is not null")
+    places = edges.select("range", F.lead("range").over(Window.orderBy("range")).alias("below"), F.min("range").over(Window.partitionBy(F.lit(0))).alias("first"))  # two numbers a range
+    places = places.select("range", F.coalesce("below", "first").alias("below"))
+    pairs = edges.select("range", "bottom_id", "bottom").join(places, "range").join(edges.select(F.col("range").alias("below"), "top"), "below").select("bottom_id", "bottom", "top")
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for where, doc_id, text, guest in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                text = text or ""
-                own = sketch(text, k)
-                if before and before[0] == where:
-                    _, last_id, last, mark = before
-                    n = len(last)
-                    edited = last[: n - n // 3] + text[: n // 3]
-                    other = mark if edited == last else sketch(edited, k)
-                    out.append((last_id, n, sha256(edited), pack(mark), pack(other), resemblance(mark, other, k), resemblance(mark, own, k)))
-                before = None if guest else (where, doc_id, text, own)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(arrow), arrow)], schema=arrow)
-
-    return with_next(documents, ws).select("range", "doc_id", "text", "guest").mapInArrow(run, schema)
+            ids, texts, following = (batch.column(i).to_pylist() for i in range(3))
+            if ids:
+                yield _rows(ids, texts, [sketch(t, k) for t in texts], following, [sketch(t, k) for t in following], k)
+
+    return made.where("range is null").select(*ROW.names).unionByName(pairs.mapInArrow(close, ROW_SQL))

@@ -14,12 +14,13 @@ Boundary i is the number of ids before document i; boundaries with the total at
 takes about 2 + log2(ids / documents) bits each. ``Shard.offset`` finds one boundary from the samples without decoding
 the rest. Integers are little-endian.
 
-Shards are ranges of doc_id. A task writes a shard under a temporary name and then renames it to its final one, so a
-task that is run again replaces its own file. Files go to the shared folder by any file system that pyarrow can open;
-they are read back by Spark's binaryFile source.
+Shards are ranges of doc_id. A task writes a shard under a temporary name of its own attempt and then renames it to its
+final one, so attempts that run again, or side by side, leave one whole file. Files go to the shared folder by pyarrow's
+file systems (local, hdfs, viewfs, s3 and s3a, gs, abfs and abfss, dbfs by its mount); they are read back by Spark's
+binaryFile source, each document by the select structure.
 
 Nulls, ties, repeats: a null or empty text has only the end id; null doc_ids come first; rows with one doc_id follow
-one another in the order of their texts (null first) and stay separate; an empty table gives no files and no rows.
+one another in the order of the 64-bit hashes of their texts, then of the texts, and stay separate; an empty table gives no files and no rows.
 Only doc_id and text are read.
 """
 
@@ -31,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -139,47 +141,62 @@ class Shard:
         return self.data[self.offset(i) : self.offset(i + 1)].astype("<u4")
 
 
-def _put(uri: str, content: bytes) -> None:
+def _open(uri: str):
+    """The pyarrow file system of a folder's or file's address, and the path there."""
     from pyarrow import fs
 
-    where, path = fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri.removeprefix("file:"))
-    tried = f"{path}.{zlib.crc32(content):08x}.tmp"
+    for given, known in (("s3a://", "s3://"), ("s3n://", "s3://"), ("dbfs:/", "/dbfs/")):
+        if uri.startswith(given):
+            uri = known + uri[len(given) :]
+    if "://" not in uri:
+        uri = uri.removeprefix("file:")
+        return fs.LocalFileSystem(), uri
+    return fs.FileSystem.from_uri(uri)
+
+
+def _put(uri: str, content: bytes, attempt: int = 0) -> None:
+    """Writes a file as a whole: attempts have names of their own, and the one that is last to rename stays."""
+    from pyarrow import fs
+
+    where, path = _open(uri)
+    tried = f"{path}.{attempt}.tmp"
     with where.open_output_stream(tried) as out:
         out.write(content)
-    where.move(tried, path)
+    try:
+        where.move(tried, path)
+    except OSError:  # some file systems do not rename onto a file that another attempt has put there
+        if where.get_file_info(path).type != fs.FileType.File:
+            raise
+        where.delete_file(tried)
 
 
 def write(documents: DataFrame, folder: str, path: str | None = None, end_id: int = 0, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Writes the shard files under ``folder``; returns a lazy manifest, which writes them when it is evaluated.
 
-    Manifest: range, part, file, n_docs, n_ids, first and last doc_id. Texts are shuffled once, by ranges of doc_id
-    taken from quantiles; ids never are.
+    Manifest: range, part, file, n_docs, n_ids. Texts are shuffled once, by ranges of doc_id; ids never are.
     """
     path = path or default_path()
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size, = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     n_ranges = max(1, -(-size // range_bytes), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "1")))
-    cuts = sorted(set(docs.approxQuantile("doc_id", [i / n_ranges for i in range(1, n_ranges)], 1 / (8 * n_ranges)))) if n_ranges > 1 else []
-    bucket = F.coalesce(F.aggregate(F.array(*[F.lit(int(c)) for c in cuts]), F.lit(0), lambda a, c: a + F.when(F.col("doc_id") > c, 1).otherwise(0)), F.lit(0)) if cuts else F.lit(0)
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
-        now, part, doc_ids, counts, ids, held = None, 0, [], [], [], 0
+        encode, task = encoder(path).encode, TaskContext.get()
+        now, attempt = task.partitionId(), task.taskAttemptId()
+        part, doc_ids, counts, ids, held = 0, [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             file = f"{folder}/range-{now:06d}-{part:05d}.eftok"
-            _put(file, encode_shard(doc_ids, counts, b"".join(ids)))
+            _put(file, encode_shard(doc_ids, counts, b"".join(ids)), attempt)
             row = {"range": now, "part": part, "file": file, "n_docs": len(doc_ids), "n_ids": held}
             return pa.RecordBatch.from_pylist([row], schema=pa.schema([("range", pa.int32()), ("part", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
         for batch in batches:
-            for r, doc_id, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                if r != now or held >= SHARD_IDS or len(doc_ids) >= SHARD_DOCS:
-                    if doc_ids:
-                        yield flush()
-                    part = part + 1 if r == now else 0
-                    now, doc_ids, counts, ids, held = r, [], [], [], 0
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if held >= SHARD_IDS or len(doc_ids) >= SHARD_DOCS:
+                    yield flush()
+                    part, doc_ids, counts, ids, held = part + 1, [], [], [], 0
                 got = encode(text) + end
                 doc_ids.append(doc_id)
                 counts.append(len(got) // 4)
@@ -188,13 +205,13 @@ def write(documents: DataFrame, folder: str, path: str | None = None, end_id: in
         if doc_ids:
             yield flush()
 
-    dealt = docs.withColumn("range", bucket.cast("int")).repartition(n_ranges, "range").sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    return dealt.select("range", "doc_id", "text").mapInArrow(run, "range int, part int, file string, n_docs long, n_ids long")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    dealt = docs.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(n_ranges, *order, "row").sortWithinPartitions(*order, F.col("text").asc_nulls_first())
+    return dealt.select("doc_id", "text").mapInArrow(run, "range int, part int, file string, n_docs long, n_ids long")
 
 
 def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """Per document from the files: doc_id, start (over all files), n_tokens, ids_crc32."""
-    order = Window.orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
+    """Per document from the files, by the select structure: doc_id, start (over all files), n_tokens, ids_crc32."""
     per_range = manifest.groupBy("range").agg(F.sum("n_ids").alias("m"))
     first = per_range.select("range", F.coalesce(F.sum("m").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
     within = Window.partitionBy("range").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -207,12 +224,13 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 shard = Shard(batch.column(1)[k].as_py())
-                bounds, name = shard.offsets(), batch.column(0)[k].as_py()
+                name = batch.column(0)[k].as_py()
                 for a in range(0, shard.n, 4096):
                     b = min(shard.n, a + 4096)
-                    own = [zlib.crc32(shard.data[bounds[i] : bounds[i + 1]].astype("<u4").tobytes()) for i in range(a, b)]
+                    bounds = [shard.offset(i) for i in range(a, b + 1)]
+                    own = [zlib.crc32(shard.data[x:y].astype("<u4").tobytes()) for x, y in zip(bounds, bounds[1:])]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * (b - a)), pa.array(shard.doc_ids[a:b], pa.int64()), pa.array(bounds[a:b]), pa.array(np.diff(bounds[a : b + 1])), pa.array(own, pa.int64())],
+                        [pa.array([name] * (b - a)), pa.array(shard.doc_ids[a:b], pa.int64()), pa.array(bounds[:-1], pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(own, pa.int64())],
                         names=["name", "doc_id", "at", "n_tokens", "ids_crc32"],
                     )
 

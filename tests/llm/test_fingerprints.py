@@ -1,18 +1,32 @@
 import numpy as np
 import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from grainmill.llm import fingerprints as fp
 from grainmill.llm.text import sha256, shingles
 from tests.llm.conftest import MESSY
 
 
+def shingle_set(text):
+    """Written out without the operator's code."""
+    w = (text or "").encode().lower().split()
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
 def exact(a, b):
-    x, y = set(shingles(a).tolist()), set(shingles(b).tolist())
+    x, y = shingle_set(a), shingle_set(b)
     return float(x == y) if not x or not y else len(x & y) / len(x | y)
 
 
-def check(items, rows, tolerance):
-    order = sorted(items, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""), reverse=True)
+def in_order(items):
+    h = lambda t: ((xxhash.xxh64_intdigest(t.encode(), seed=42) + (1 << 63)) % (1 << 64)) - (1 << 63)
+    return sorted(items, key=lambda r: (r[0] is not None, r[0] or 0, h(r[1] or "")), reverse=True)
+
+
+def check(items, rows):
+    order = in_order(items)
     want = []
     for k, (i, t, *_) in enumerate(order):
         t, nxt = t or "", order[(k + 1) % len(order)][1] or ""
@@ -23,18 +37,37 @@ def check(items, rows, tolerance):
     want.sort(key=key)
     got.sort(key=key)
     assert [w[:5] for w in want] == [g[:5] for g in got]
-    for w, g in zip(want, got):
-        assert g[5] == pytest.approx(w[5], abs=tolerance) and g[6] == pytest.approx(w[6], abs=tolerance)
+    gaps = [(abs(g[k] - w[k]), w[k]) for w, g in zip(want, got) for k in (5, 6)]
+    assert all(gap <= 5 * (w * (1 - w) / fp.K) ** 0.5 + 1e-9 for gap, w in gaps) and sum(gap for gap, _ in gaps) / len(gaps) < 0.02
+    marks = {}
+    for _, t, *_ in items:  # equal sets have equal fingerprints; other sets of up to k shingles have others
+        marks.setdefault(frozenset(shingle_set(t)), set()).add(fp.pack(fp.sketch(t)))
+    assert all(len(x) == 1 for x in marks.values())
+    small = [mark for x, (mark,) in marks.items() if len(x) <= fp.K]
+    assert len(small) == len(set(small))
 
 
 def test_messy(messy, ws):
-    check(MESSY, fp.compare_edited(messy, ws).collect(), 0.2)
+    check(MESSY, fp.compare_edited(messy, ws).collect())
+
+
+def test_documents_over_many_ranges(documents, ws):
+    items = [(r["doc_id"], r["text"]) for r in documents.collect()]
+    check(items, fp.compare_edited(documents, ws).collect())
+    check(items, fp.compare_edited(documents, ws, range_docs=7).collect())
+
+
+def test_rows_of_one_doc_id_over_many_ranges(frame, ws):
+    items = [(1, f"w{k} of a text with some words of its own {k % 7} more", "en", "s") for k in range(60)] + [(1, "all the very same words here", "en", "s")] * 40 + [(2, "", "en", "s")]
+    check(items, fp.compare_edited(frame(items), ws, range_docs=5).collect())
 
 
-def test_documents_over_many_ranges(documents, ws, monkeypatch):
-    monkeypatch.setattr(fp, "RANGE_DOCS", 7)
-    monkeypatch.setattr(fp.with_next, "__defaults__", (7,))
-    check([(r["doc_id"], r["text"]) for r in documents.collect()], fp.compare_edited(documents, ws).collect(), 0.2)
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "bb", " ", "\n", "É", "😀", "cc dd", "e f g h ", "ij"]), max_size=40).map("".join), st.lists(st.sampled_from(["x", "yy ", " ", "é", "zz z"]), max_size=30).map("".join))
+def test_sketches_of_parts_make_the_whole(text, following):
+    (edited,), (mark,) = fp.edited_sketches([text], [following], 8)
+    assert edited == text[: len(text) - len(text) // 3] + following[: len(text) // 3]
+    assert (mark == fp.sketch(edited, 8)).all() and len(mark) == len(fp.sketch(edited, 8))
 
 
 def test_one_document_is_its_own_next(frame, ws):

@@ -5,14 +5,17 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from grainmill.llm import packing
 from grainmill.llm.tokenizing import default_path, encoder
 from tests.llm.conftest import MESSY
 
+LIBRARY = Tokenizer.from_file(default_path())
+
 
 def library(text):
-    return encoder(default_path()).tokenizer.encode(text or "", add_special_tokens=False).ids
+    return LIBRARY.encode(text or "", add_special_tokens=False).ids
 
 
 def check(items, rows):
