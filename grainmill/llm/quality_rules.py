@@ -69,7 +69,7 @@ def repeated(words: Column) -> Column:
 def base_stats(text: Column, extra=lambda words: []) -> Column:
     """Struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and ``extra`` columns of the words."""
     text = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_replace(x, SPACE, "") != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     words = F.array_remove(F.split(text, SPACE), "")
     dup = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
     return let(
@@ -92,14 +92,19 @@ def runs(words: Column, common: Column) -> Column:
         ends = F.filter(F.transform(s, lambda x, i: F.struct(x.alias("k"), (i + 1).alias("e"))), lambda x, i: F.coalesce(x["k"] != F.get(s, i + 1), F.lit(True)))
         return let(ends, lambda e: F.transform(e, lambda x, i: F.struct(x["k"].alias("k"), (x["e"] - F.coalesce(F.get(e, i - 1)["e"], F.lit(0))).cast("long").alias("c"))))
 
-    found = F.filter(F.transform(words, lambda x: F.array_position(common, x)), lambda k: k > 0)
+    longest = F.array_max(F.transform(common, lambda x: F.octet_length(x)))  # most words are longer and need no look
+    short = let(longest, lambda most: F.filter(words, lambda x: F.octet_length(x) <= most))
+    found = F.filter(F.transform(short, lambda x: F.array_position(common, x)), lambda k: k > 0)
     return F.when(common.isNull(), F.array().cast("array<struct<k:bigint,c:bigint>>")).otherwise(let(F.sort_array(found), counted))
 
 
 def class_counts(text: Column) -> Column:
-    """Counts of upper-case letters, digits, punctuation, other signs; letters and spaces follow from the lengths."""
-    text = F.coalesce(text, F.lit(""))
-    return F.array(*[F.regexp_count(text, F.lit(c)).cast("long") for c in CLASSES])
+    """Counts of upper-case letters, digits, punctuation, other signs; letters and spaces follow from the lengths.
+
+    Runs of a-z and blanks, which no class has, are taken out first: what is left is a small part of a text.
+    """
+    rest = F.regexp_replace(F.coalesce(text, F.lit("")), r"[a-z\x20\x09-\x0D]++", "")
+    return let(rest, lambda x: F.array(*[F.regexp_count(x, F.lit(c)).cast("long") for c in CLASSES]))
 
 
 def divergence(p: Column, q: Column) -> Column:
