@@ -22,8 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import Workspace
@@ -31,8 +30,8 @@ from .text import each_set, sha256, shingles
 
 K, WIDTH = 128, 5
 BITS = np.uint64(16)
-#: Documents that one range of doc_id holds, about.
-RANGE_DOCS = 4_000
+#: Documents that one range of doc_id holds, about, and ranges at most.
+RANGE_DOCS, MOST_RANGES = 4_000, 1 << 16
 
 
 def _least(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -130,64 +129,80 @@ def edited_sketches(texts: list[str], following: list[str], k: int = K) -> tuple
     return edited, [merge(_least(a, k), _least(b, k), k) if len(b) else _least(a, k) for a, b in zip(first, second)]
 
 
-#: What is told of a document, and of the first and last document of a range (their texts).
+#: What is told of a document.
 ROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-EDGE = [("range", pa.int32()), ("top", pa.string()), ("bottom", pa.string()), ("bottom_id", pa.int64())]
 ROW_SQL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _rows(ids: list, texts: list[str], marks: list[np.ndarray], following: list[str], next_marks: list[np.ndarray], k: int) -> pa.RecordBatch:
-    edited, others = edited_sketches(texts, following, k)
-    cols = [ids, [len(t) for t in texts], [sha256(e) for e in edited], [pack(m) for m in marks], [pack(o) for o in others]]
-    cols += [[resemblance(m, o, k) for m, o in zip(marks, others)], [resemblance(m, o, k) for m, o in zip(marks, next_marks)]]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, ROW)], schema=ROW)
+class Cuts:
+    """Ranges of keys (doc_id, h) by their greatest keys, the greatest range first; a null doc_id is below all others."""
 
+    def __init__(self, tops: list[tuple[int | None, int]]) -> None:
+        known = sorted(t for t in tops if t[0] is not None)
+        self.ids, self.hs = (np.array([t[k] for t in known], dtype=np.int64) for k in (0, 1))
+        self.null = np.sort(np.array([h for i, h in tops if i is None], dtype=np.int64))
 
-def compare_edited(documents: DataFrame, ws: Workspace, k: int = K, range_docs: int = RANGE_DOCS) -> DataFrame:
-    """Fingerprints of every text and of its edited text, and their likenesses.
+    def find(self, ids: np.ndarray, null: np.ndarray, hs: np.ndarray) -> np.ndarray:
+        """The range of each key: how many tops are not below it, less one."""
+        low, high = np.searchsorted(self.ids, ids, side="left"), np.searchsorted(self.ids, ids, side="right")
+        for k in np.flatnonzero((low < high) & ~null).tolist():  # a doc_id in which ranges meet
+            low[k] += np.searchsorted(self.hs[low[k] : high[k]], hs[k], side="left")
+        at = len(self.ids) - low
+        at[null] = len(self.ids) + len(self.null) - np.searchsorted(self.null, hs[null], side="left")
+        return at - 1
+
+
+def with_next(documents: DataFrame, ws: Workspace, range_docs: int = RANGE_DOCS) -> DataFrame:
+    """Partitions of rows (doc_id, text, guest) in descending order, so that each row is followed by its next document; the
+    row after a partition's last own document is a guest, the first of the partition below (of the top one, for the
+    lowest).
 
-    Edited: the last floor(n / 3) code points give way to the first as many (or all) of the next document. Texts are
-    shuffled once, by ranges of doc_id; a range tells all its rows but the last, whose next document is the first of
-    another range: the two texts meet in a second, small step, a row a range.
+    Keys are range-sorted and written first, without texts; from them come the ranges' greatest keys, ``MOST_RANGES`` at
+    most, which are broadcast. Texts are shuffled once. Only rows equal in doc_id and text are always in one range.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("h", F.xxhash64("text"))
-    n_ranges = max(1, -(-docs.count() // range_docs))
-    # equal rows may be told apart by where they are read: each of them has the same neighbours in any order
-    order = [F.col("doc_id").desc_nulls_last(), F.col("h").desc()]
-    dealt = docs.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(n_ranges, *order, F.col("row")).sortWithinPartitions(*order, F.col("text").desc(), "row")
-    schema = pa.schema(list(ROW) + [pa.field(*x) for x in EDGE])
+    n_ranges = min(MOST_RANGES, max(1, -(-docs.count() // range_docs)))
+    keys = docs.select("doc_id", "h").repartitionByRange(n_ranges, F.col("doc_id").desc_nulls_last(), F.col("h").desc())
+    keys = ws.table("keys", keys.withColumn("range", F.spark_partition_id()).groupBy("range").agg(F.max(F.struct("doc_id", "h")).alias("top")))
+    found = [(r["top"]["doc_id"], r["top"]["h"]) for r in keys.collect()]
+    tops = sorted(found, key=lambda t: (t[0] is not None, t[0] or 0, t[1]), reverse=True)
+    sent = ws.spark.sparkContext.broadcast(Cuts(tops))
+
+    def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            at = sent.value.find(batch.column(0).fill_null(0).to_numpy(), null, batch.column(2).to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32))], names=["doc_id", "text", "h", "range"])
+
+    own = docs.mapInArrow(ranged, "doc_id long, text string, h long, range int").withColumn("guest", F.lit(False))
+    of = ws.spark.createDataFrame([(i, h, (k - 1) % len(tops)) for k, (i, h) in enumerate(tops)], "i long, g long, range int")
+    first = docs.join(F.broadcast(of), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g"))).groupBy("doc_id", "h", "range").agg(F.max("text").alias("text"))
+    guests = ws.table("guests", first.select("doc_id", "text", "h", "range", F.lit(True).alias("guest")))  # a text a range
+    order = ["guest", F.col("doc_id").desc_nulls_last(), F.col("h").desc(), F.col("text").desc()]
+    return own.unionByName(guests).repartitionById(max(1, len(tops)), F.col("range")).sortWithinPartitions(*order).select("doc_id", "text", "guest")
+
+
+def compare_edited(documents: DataFrame, ws: Workspace, k: int = K, range_docs: int = RANGE_DOCS) -> DataFrame:
+    """Fingerprints of every text and of its edited text, and their likenesses.
+
+    Edited: the last floor(n / 3) code points give way to the first as many (or all) of the next document.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here = TaskContext.get().partitionId()
-        top, held = None, None
+        held: tuple | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             marks = [_least(h, k) for h in each_set(batch.column(1))]
-            if held is None:
-                top = texts[0]
-            else:
+            if held is not None:
                 ids, texts, marks = [held[0], *ids], [held[1], *texts], [held[2], *marks]
             held = ids[-1], texts[-1], marks[-1]
             if len(ids) > 1:
-                out = _rows(ids[:-1], texts[:-1], marks[:-1], texts[1:], marks[1:], k)
-                yield pa.RecordBatch.from_arrays(out.columns + [pa.nulls(out.num_rows, t) for _, t in EDGE], schema=schema)
-        if held is not None:
-            last = [pa.nulls(1, f.type) for f in ROW] + [pa.array([v], t) for v, (_, t) in zip((here, top, held[1], held[0]), EDGE)]
-            yield pa.RecordBatch.from_arrays(last, schema=schema)
-
-    made = ws.table("rows", dealt.select("doc_id", "text").mapInArrow(run, ROW_SQL + ", range int, top string, bottom string, bottom_id long"))
-    edges = made.where("range is not null")
-    places = edges.select("range", F.lead("range").over(Window.orderBy("range")).alias("below"), F.min("range").over(Window.partitionBy(F.lit(0))).alias("first"))  # two numbers a range
-    places = places.select("range", F.coalesce("below", "first").alias("below"))
-    pairs = edges.select("range", "bottom_id", "bottom").join(places, "range").join(edges.select(F.col("range").alias("below"), "top"), "below").select("bottom_id", "bottom", "top")
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts, following = (batch.column(i).to_pylist() for i in range(3))
-            if ids:
-                yield _rows(ids, texts, [sketch(t, k) for t in texts], following, [sketch(t, k) for t in following], k)
+                edited, others = edited_sketches(texts[:-1], texts[1:], k)
+                cols = [ids[:-1], [len(t) for t in texts[:-1]], [sha256(e) for e in edited], [pack(m) for m in marks[:-1]], [pack(o) for o in others]]
+                cols += [[resemblance(m, o, k) for m, o in zip(marks, others)], [resemblance(m, o, k) for m, o in zip(marks, marks[1:])]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, ROW)], schema=ROW)
 
-    return made.where("range is null").select(*ROW.names).unionByName(pairs.mapInArrow(close, ROW_SQL))
+    return with_next(documents, ws, range_docs).mapInArrow(run, ROW_SQL)

@@ -92,3 +92,15 @@ def test_merge_distinct_and_containment():
 def test_general_operator(documents):
     got = fp.fingerprints(documents).collect()
     assert len(got) == documents.count() and all(r["n_shingles"] >= 0 for r in got)
+
+
+def test_ranges_of_keys():
+    import random
+
+    rng = random.Random(3)
+    keys = [(None if rng.random() < 0.2 else rng.randrange(-3, 5), rng.randrange(-(1 << 63), 1 << 63)) for _ in range(400)]
+    order = sorted(set(keys), key=lambda t: (t[0] is not None, t[0] or 0, t[1]), reverse=True)
+    tops = sorted({order[0], *rng.sample(order, 30)}, key=lambda t: (t[0] is not None, t[0] or 0, t[1]), reverse=True)
+    want = [max(k for k, t in enumerate(tops) if order.index(t) <= order.index(key)) for key in keys]
+    ids, null = np.array([i or 0 for i, _ in keys]), np.array([i is None for i, _ in keys])
+    assert fp.Cuts(tops).find(ids, null, np.array([h for _, h in keys])).tolist() == want
