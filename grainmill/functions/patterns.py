@@ -37,7 +37,9 @@ BOILERPLATE = (
     r"заявник" + W + r"*\s+нада[єи]", r"заявниц" + W + r"*\s+нада[єи]",
 )
 BOILERPLATE_ANY = I + "|".join(BOILERPLATE)
-DANGLING_IDENTITY = I + r"(?:^|[\s.;,])за(?:явник|явниц|явники|явницям|явкою|я)" + W + r"*\s*$"
+IDENTITY = r"(?:^|[\s.;,])за(?:явник|явниц|явники|явницям|явкою|я)" + W + r"*"
+#: One identity word after another, with the marks around them.
+DANGLING_IDENTITY = I + r"(?:" + IDENTITY + r"[\s.,;:«»-]*)+$"
 ACTION_HEAD = I + r"^(?:прошу|прохання|необхідно|треба|зверта[ює]|просимо|надай|виконай)" + END + r"[,:]?\s*"
 CONDENSE_CUTS = ("; ", ", а також ", ", а ", ". ")
 
@@ -46,7 +48,7 @@ TAIL_HAS = ("надає згоду", "надають згоду", "згоду н
 TAIL_BEGINS = ("відповідь", "звернення опрацювати", "звернення заявник")
 
 #: Delivery of an answer by telephone or letter.
-MODE = r"[ву]\s+у?\s*(?:телефонн" + W + "*|письмов" + W + r"*)\s+режим" + W + "*"
+MODE = r"[ву]\s+у?\s*(?:телефонном" + W + "*|письмов" + W + r"*)\s+режим" + W + "*"
 MEASURES = r"(?:необхідні|відповідні|належні|необхідних|відповідних|належних)?\s*заход" + W + r"*\s*(?:реагування)?\s*"
 ASK = r"(?:прохання|просить|просимо|прошу)\s+(?:терміново|негайно)?\s*вжити\s+"
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,11 +28,42 @@ def file_hashes(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def _folded(df: DataFrame, by: str | None, name: str) -> DataFrame:
+    """(by, name, n): SHA-256 over the values (column ``value``) of each group in their order.
+
+    Rows are streamed through the hash in sorted order, so nothing is gathered; a hash of a whole is sequential by nature,
+    so each group, or everything without ``by``, passes through one task.
+    """
+    key = F.col(by).cast("string") if by else F.lit("")
+    rows = df.select(key.alias("by"), "value")
+    rows = rows.repartition("by").sortWithinPartitions("by", "value") if by else rows.repartitionByRange("value").sortWithinPartitions("value").coalesce(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, digest, n, seen = None, hashlib.sha256(), 0, False
+        done = []
+        for batch in batches:
+            for group, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if seen and group != at:
+                    done.append((at, digest.hexdigest(), n))
+                    digest, n = hashlib.sha256(), 0
+                at, seen, n = group, True, n + 1
+                digest.update(value.encode("utf-8", "surrogatepass"))
+        if seen:
+            done.append((at, digest.hexdigest(), n))
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.string()), pa.array([d[2] for d in done], pa.int64())], names=["by", name, "n"])
+
+    told = rows.mapInArrow(run, f"by string, {name} string, n long")
+    if by:
+        return told.select(F.col("by").cast(df.schema[by].dataType).alias(by), name, "n")
+    nothing = df.sparkSession.range(1).select(F.lit(hashlib.sha256().hexdigest()).alias("none"))
+    return nothing.join(told, F.lit(True), "left").select(F.coalesce(name, "none").alias(name), F.coalesce("n", F.lit(0)).cast("long").alias("n"))  # one row each
+
+
 def tree_hash(hashes: DataFrame, path: str = "path", by: str | None = None) -> DataFrame:
-    """SHA-256 of the sorted ``path:sha256`` entries, one after another. A value a file is gathered."""
-    entry = F.concat_ws(":", F.col(path), F.col("sha256"))
-    told = F.sha2(F.array_join(F.sort_array(F.collect_list(entry)), ""), 256).alias("tree_sha256")
-    return hashes.groupBy(by).agg(told) if by else hashes.agg(told)
+    """SHA-256 of the sorted ``path:sha256`` entries, one after another, of all files or of each group."""
+    entry = F.concat_ws(":", F.col(path), F.col("sha256")).alias("value")
+    return _folded(hashes.select(*([by] if by else []), entry), by, "tree_sha256").drop("n")
 
 
 def scan_jsonl(spark: SparkSession, folder: str, glob: str = "*.jsonl") -> DataFrame:
@@ -65,14 +100,9 @@ def path_class(path: Column, rules: tuple[tuple[str, str, str], ...], default: s
 
 
 def records_fingerprint(df: DataFrame, columns: tuple[str, ...] = ("uid", "kind", "content")) -> DataFrame:
-    """SHA-256 over the sorted records, each value and a NUL; null prints as None. The same for rows in any order.
-
-    The whole text is hashed at once, so a large frame should be fingerprinted by parts and the parts by ``tree_hash``.
-    """
-    fields = F.struct(*[F.col(c) for c in columns])
-    rows = F.sort_array(F.collect_list(fields))
-    told = F.transform(rows, lambda r: F.concat(*[x for c in columns for x in (F.coalesce(r[c].cast("string"), F.lit("None")), F.char(F.lit(0)))]))
-    return df.agg(F.sha2(F.array_join(told, ""), 256).alias("fingerprint"), F.count("*").alias("n"))
+    """SHA-256 over the sorted records, each value and a NUL; null prints as None. The same for rows in any order."""
+    told = F.concat(*[x for c in columns for x in (F.coalesce(F.col(c).cast("string"), F.lit("None")), F.char(F.lit(0)))])
+    return _folded(df.select(told.alias("value")), None, "fingerprint")
 
 
 def grid_complete(df: DataFrame, keys: list[str], output: str) -> DataFrame:
@@ -93,13 +123,40 @@ def check_claims(claims: DataFrame, measured: DataFrame, keys: list[str], digits
     return both.withColumn("state", state)
 
 
+def contained(passages: DataFrame, passage_id: str, docs: DataFrame, doc_id: str, text: str = "text", width: int = 8) -> DataFrame:
+    """(passage_id, doc_id): documents that hold a whole passage as a run of words (lower case, any separators).
+
+    Candidates share the hash of the passage's first ``width`` words, or of all where it has fewer, and are then compared
+    word by word; windows are joined by equality, with one row a distinct window of a document. Passages without words are
+    nowhere.
+    """
+    from ..functions.text import word_tokens
+
+    def windows(w: Column, n: Column) -> Column:
+        hashes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " ")))
+        return F.when(F.size(w) >= n, F.array_distinct(hashes)).otherwise(F.array().cast("array<bigint>"))
+
+    own = passages.select(passage_id, word_tokens(F.col(text)).alias("__gm_p")).where(F.size("__gm_p") > 0).withColumn("__gm_n", F.least(F.size("__gm_p"), F.lit(width)))
+    own = own.withColumn("__gm_h", F.xxhash64(F.array_join(F.slice("__gm_p", F.lit(1), F.col("__gm_n")), " ")))
+    words = docs.select(doc_id, word_tokens(F.col(text)).alias("__gm_w"))
+    sizes = sorted(r[0] for r in own.select("__gm_n").distinct().collect())  # at most ``width`` numbers
+    if not sizes:
+        return words.join(own, F.lit(False)).select(passage_id, doc_id)
+    of = lambda n: F.transform(windows(F.col("__gm_w"), F.lit(n)), lambda h: F.struct(F.lit(n).alias("n"), h.alias("h")))
+    each = F.flatten(F.array(*map(of, sizes)))
+    keys = words.select(doc_id, "__gm_w", F.explode(each).alias("__gm_k"))
+    both = keys.join(own, (F.col("__gm_k.n") == F.col("__gm_n")) & (F.col("__gm_k.h") == F.col("__gm_h")))
+    spaced = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
+    return both.where(F.contains(spaced("__gm_w"), spaced("__gm_p"))).select(passage_id, doc_id).distinct()
+
+
 def markdown_tables(text: DataFrame, body: str = "text") -> DataFrame:
     """(table, row, cells) of the pipe tables in documents (doc, text); rows of dashes are left out."""
     lines = text.select("doc", F.posexplode(F.split(body, "\n")).alias("pos", "line")).withColumn("pipe", F.trim("line").startswith("|"))
     w = Window.partitionBy("doc").orderBy("pos")
     new = (F.col("pipe") & ~F.coalesce(F.lag("pipe").over(w), F.lit(False))).cast("int")
     numbered = lines.withColumn("table", F.sum(new).over(w)).where("pipe")
-    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
     body_rows = numbered.withColumn("cells", cells).where(~F.forall("cells", lambda c: c.rlike("^:?-+:?$")))
     return body_rows.select("doc", "table", (F.row_number().over(Window.partitionBy("doc", "table").orderBy("pos")) - 1).alias("row"), "cells")
 

@@ -26,9 +26,14 @@ def is_broad(kind: Column, kinds=BROAD_KINDS) -> Column:
 
 
 def first_of(df: DataFrame, keys: list, ordinal: str = "row_id") -> DataFrame:
-    """The first row of each key by the ordinal, null keys included."""
-    w = Window.partitionBy(*keys).orderBy(ordinal)
-    return df.withColumn("__gm_nth", F.row_number().over(w)).where("__gm_nth = 1").drop("__gm_nth")
+    """The first row of each key by the ordinal, null keys included. Ordinals are unique.
+
+    Keys are hashed (128 bits) and their least ordinals found by partial aggregates, so a key with many rows is nowhere
+    gathered; rows are shuffled once, by their ordinals.
+    """
+    told = F.concat_ws("\x00", *[F.coalesce(F.concat(F.lit("="), (F.col(k) if isinstance(k, str) else k).cast("string")), F.lit("null")) for k in keys])
+    winners = df.groupBy(F.md5(told).alias("__gm_key")).agg(F.min(ordinal).alias("__gm_first")).select("__gm_first")
+    return df.join(winners, F.col(ordinal) == F.col("__gm_first"), "left_semi")
 
 
 def dedup_pairs(df: DataFrame, text: str = "content", kind: str = "kind", ordinal: str = "row_id") -> DataFrame:

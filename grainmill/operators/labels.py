@@ -106,13 +106,11 @@ def strip_boilerplate(text: Column) -> Column:
     return _trim(collapse(F.array_join(kept, " ")))
 
 
-def clean_clause(text: Column, passes: int = 4) -> Column:
-    """``strip_boilerplate``, wrappers and names off, then dangling identity words off the end, ``passes`` deep."""
+def clean_clause(text: Column) -> Column:
+    """``strip_boilerplate``, wrappers and names off, then all dangling identity words off the end."""
     own = F.regexp_replace(F.regexp_replace(strip_boilerplate(text), r"^[Сс]карга\s+на\s+", ""), r"^Щодо\s+", "")
     own = _trim(redact(collapse(own)))
-    for _ in range(passes):
-        own = _trim(F.regexp_replace(own, p.DANGLING_IDENTITY, ""))
-    return own
+    return _trim(F.regexp_replace(own, p.DANGLING_IDENTITY, ""))
 
 
 def reference_topic(text: Column, kind: Column, organization: Column | None = None) -> Column:

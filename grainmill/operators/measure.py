@@ -88,11 +88,15 @@ def duplicate_errors(df: DataFrame, key: Column, true: str = "true_kind", pred:
     return told.where("n > 1")
 
 
-def upper_median(values: Column) -> Column:
-    """The element at half the length of the sorted values: no mean of two middles. Aggregates whole groups: for groups
-    of bounded size."""
-    own = F.sort_array(F.collect_list(values))
-    return F.get(own, F.floor(F.size(own) / 2).cast("int"))
+def upper_median(df: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, median): the element at half the length of a group's sorted values, no mean of two middles. Nulls don't count.
+
+    Equal values are counted first and groups are streamed in order, so none is gathered.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("__gm_c"))
+    w = Window.partitionBy(by)
+    told = counts.withColumn("__gm_upto", F.sum("__gm_c").over(w.orderBy(value))).join(counts.groupBy(by).agg(F.sum("__gm_c").alias("__gm_n")), by)
+    return told.where(F.col("__gm_upto") > F.floor(F.col("__gm_n") / 2)).groupBy(by).agg(F.min(value).alias("median"))
 
 
 def crosstab(df: DataFrame, features: list[str], label: str) -> DataFrame:
@@ -122,13 +126,10 @@ def paired(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     return both.withColumn("ok", checked.cast("boolean")).where("ok").select(key, "a", "b")
 
 
-def mcnemar(pairs: DataFrame) -> DataFrame:
-    """Exact two-sided test on boolean (a, b): n, a_only, b_only, p. Pairs with a null are left out.
-
-    The binomial tail is summed over a sequence of log terms, so its size is the number of discordant pairs.
-    """
-    told = pairs.where("a is not null and b is not null").agg(F.count("*").alias("n"), F.count_if(F.col("a") & ~F.col("b")).alias("a_only"), F.count_if(~F.col("a") & F.col("b")).alias("b_only"))
-    m, k = F.col("a_only") + F.col("b_only"), F.least("a_only", "b_only")
+def _binomial_tail(a_only: Column, b_only: Column) -> Column:
+    """Two-sided exact p of the smaller count among both. The tail is summed over a sequence of log terms, so its size is the
+    number of discordant pairs."""
+    m, k = a_only + b_only, F.least(a_only, b_only)
     half = -m * F.log(F.lit(2.0))
     start = F.struct(half.alias("log"), F.exp(half).alias("sum"))
 
@@ -137,7 +138,18 @@ def mcnemar(pairs: DataFrame) -> DataFrame:
         return F.struct(log.alias("log"), (acc["sum"] + F.exp(log)).alias("sum"))
 
     tail = F.aggregate(F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>")), start, step)["sum"]
-    return told.withColumn("p", F.when(m == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail)))
+    return F.when(m == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
+
+
+def mcnemar_by(pairs: DataFrame, *by: str) -> DataFrame:
+    """Exact two-sided test on boolean (a, b) in each group: n, a_only, b_only, p. Pairs with a null are left out."""
+    told = pairs.where("a is not null and b is not null").groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("a") & ~F.col("b")).alias("a_only"), F.count_if(~F.col("a") & F.col("b")).alias("b_only"))
+    return told.withColumn("p", _binomial_tail(F.col("a_only"), F.col("b_only")))
+
+
+def mcnemar(pairs: DataFrame) -> DataFrame:
+    """``mcnemar_by`` of all pairs: one row."""
+    return mcnemar_by(pairs)
 
 
 def bootstrap(pairs: DataFrame, rounds: int = 4_000, seed: int = 0) -> DataFrame:

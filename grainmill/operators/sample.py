@@ -8,37 +8,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def allot(supports: dict[str, int], budget: int, least: int, power: float = 0.6) -> dict[str, int]:
-    """Seats for each kind: shares of support ** power, at least ``least`` and at most the support, adding up to the
-    budget. Seats are taken from the kinds furthest above their share, then given to those furthest below; ties go by
-    the order of ``supports``, the later kind losing and the earlier one gaining."""
-    kinds = [k for k, n in supports.items() if n]
-    if not kinds:
-        return {}
-    weight = {k: supports[k] ** power for k in kinds}
-    share = {k: weight[k] / sum(weight.values()) * budget for k in kinds}
-    seats = {k: min(supports[k], int(max(least, share[k]))) for k in kinds}
-    place = {k: i for i, k in enumerate(kinds)}
-    over = lambda k: (seats[k] - share[k], place[k])
-    while (total := sum(seats.values())) != budget:
-        if total > budget:
-            able = [k for k in kinds if seats[k] > least]
-            if not able:
-                raise ValueError(f"no budget of {budget} with {least} seats a kind: {seats}")
-            seats[max(able, key=over)] -= 1
-        else:
-            able = [k for k in kinds if seats[k] < supports[k]]
-            if not able:
-                raise ValueError(f"the budget of {budget} is above all support")
-            seats[min(able, key=over)] += 1
-    return seats
-
-
 def quotas(supports: DataFrame, budget: int, least: int, power: float = 0.6) -> DataFrame:
-    """(kind, support, quota) from (kind, support), kinds in code-point order. A row a kind is collected."""
-    rows = sorted((r["kind"], r["support"]) for r in supports.collect())
-    seats = allot(dict(rows), budget, least, power)
-    return supports.sparkSession.createDataFrame([(k, n, seats.get(k, 0)) for k, n in rows], "kind string, support long, quota long")
+    """(kind, support, quota) from (kind, support): seats that add up to the budget.
+
+    A kind's share of the budget goes by support ** power. It starts with its share rounded down, but ``least`` at least
+    and its support at most. What is then above the budget is taken, what is below is given, seat by seat: each seat that
+    could go (those beyond ``least``) or come (up to the support) is ranked by how far it lies above the kind's share, and
+    the highest go, or the lowest come. On ties the kind that is later in code-point order loses, the earlier one gains.
+    A budget that cannot be met fails the run. Kinds are few: windows run over a row a kind and seat in question.
+    """
+    everything = Window.partitionBy(F.lit(0))
+    kinds = supports.where("support > 0").withColumn("place", F.row_number().over(Window.orderBy("kind")))
+    weight = F.pow(F.col("support").cast("double"), F.lit(power))
+    kinds = kinds.withColumn("share", weight / F.sum(weight).over(everything) * budget)
+    kinds = kinds.withColumn("start", F.least(F.col("support"), F.floor(F.greatest(F.lit(float(least)), F.col("share")))).cast("long"))
+    kinds = kinds.withColumn("gap", F.lit(budget) - F.sum("start").over(everything))
+    going = F.when((F.col("gap") < 0) & (F.col("start") > least), F.sequence(F.lit(least + 1).cast("long"), F.col("start")))
+    coming = F.when((F.col("gap") > 0) & (F.col("start") < F.col("support")), F.sequence(F.col("start"), F.least(F.col("support"), F.col("start") + F.col("gap")) - 1))
+    seats = kinds.withColumn("seat", F.explode(F.coalesce(going, coming)))
+    above = F.when(F.col("gap") < 0, F.col("share") - F.col("seat")).otherwise(F.col("seat") - F.col("share"))  # the first to move is the least
+    turn = F.when(F.col("gap") < 0, -F.col("place")).otherwise(F.col("place"))
+    moved = seats.withColumn("rank", F.row_number().over(everything.orderBy(above, turn))).where(F.col("rank") <= F.abs("gap"))
+    moved = moved.groupBy("kind").agg((F.count("*") * F.signum(F.first("gap"))).cast("long").alias("change"))
+    told = kinds.join(moved, "kind", "left").withColumn("quota", F.col("start") + F.coalesce("change", F.lit(0)))
+    short = F.sum("quota").over(everything) != budget
+    checked = F.when(short, F.raise_error(F.concat(F.lit(f"no budget of {budget} with {least} seats a kind and the support of "), F.sum("support").over(everything).cast("string"))).cast("long")).otherwise(F.col("quota"))
+    none = supports.where("support <= 0").select("kind", "support", F.lit(0).cast("long").alias("quota"))
+    return told.select("kind", F.col("support").cast("long").alias("support"), checked.alias("quota")).unionByName(none)
 
 
 def norm(v: Column) -> Column:
@@ -70,7 +66,8 @@ def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 50) -> tuple[np.ndarr
     """Labels and centres. Seeded k-means++ start; ties go to the lowest cluster; an empty cluster keeps its centre."""
     rng = np.random.default_rng(seed)
     n = len(x)
-    k = min(k, n)
+    if k > n:
+        raise ValueError(f"{k} clusters of {n} rows")
     chosen = [int(rng.integers(n))]
     nearest = ((x - x[chosen[0]]) ** 2).sum(axis=1)
     while len(chosen) < k:
@@ -91,81 +88,130 @@ def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 50) -> tuple[np.ndarr
     return labels, centres
 
 
-def cluster(df: DataFrame, quota: DataFrame, kind: str, key: str, vector: str, seed: int = 0, most_rows: int = 200_000) -> DataFrame:
+def cluster(df: DataFrame, quota: DataFrame, kind: str, key: str, vector: str, seed: int = 0, at_once: int = 100_000, rounds: int = 50) -> DataFrame:
     """(kind, key, cluster, distance): k-means within each kind with its quota as k.
 
-    A kind is clustered in one task; one with more than ``most_rows`` rows fails the run (cluster a sample of it then).
+    Kinds of up to ``at_once`` rows are clustered in one task each. A larger kind starts from the centres of the
+    ``at_once`` rows with the least hashes; then all its rows are dealt to the nearest centre and centres become the means
+    of their rows, until no centre moves. Centres are broadcast: the sum of the quotas of them. A kind with more seats than
+    rows fails the run.
     """
+    types = {f.name: f.dataType.simpleString() for f in df.schema}
+    wanted = df.join(quota.select(F.col("kind").alias(kind), "quota", "support"), kind).where("quota > 0").select(kind, key, vector, "quota", "support")
 
     def own(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(key, ignore_index=True)
-        if len(frame) > most_rows:
-            raise ValueError(f"{len(frame)} rows of one kind; at most {most_rows} are clustered at once")
         x = np.stack(frame[vector].to_numpy()).astype(float)
         labels, centres = kmeans(x, int(frame["quota"].iloc[0]), seed)
         return pd.DataFrame({kind: frame[kind], key: frame[key], "cluster": labels, "distance": ((x - centres[labels]) ** 2).sum(axis=1)})
 
-    wanted = df.join(quota.select(F.col("kind").alias(kind), "quota"), kind).where("quota > 0").select(kind, key, vector, "quota")
-    types = {f.name: f.dataType.simpleString() for f in df.schema}
-    return wanted.groupBy(kind).applyInPandas(own, f"{kind} {types[kind]}, {key} {types[key]}, cluster int, distance double")
-
+    out = f"{kind} {types[kind]}, {key} {types[key]}, cluster int, distance double"
+    small = wanted.where(F.col("support") <= at_once).groupBy(kind).applyInPandas(own, out)
+    large = wanted.where(F.col("support") > at_once)
+    if not quota.where((F.col("support") > at_once) & (F.col("quota") > 0)).limit(1).count():
+        return small
+
+    def start(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["h", key], ignore_index=True).head(at_once)
+        _, centres = kmeans(np.stack(frame[vector].to_numpy()).astype(float), int(frame["quota"].iloc[0]), seed)
+        return pd.DataFrame({kind: frame[kind].iloc[0], "cluster": range(len(centres)), "centre": list(centres)})
+
+    # a hash bound that leaves some more than at_once of each kind
+    h = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 40)).alias("h")
+    few = large.select("*", h).where(F.col("h") < (F.lit(1.2 * at_once + 1000) / F.col("support") * (1 << 40)))
+    told = few.groupBy(kind).applyInPandas(start, f"{kind} {types[kind]}, cluster int, centre array<double>").collect()
+    now: dict = {}
+    for r in sorted(told, key=lambda r: r["cluster"]):
+        now.setdefault(r[kind], []).append(r["centre"])
+    now = {k: np.array(v) for k, v in now.items()}
+
+    def nearest(centres):
+        sent = df.sparkSession.sparkContext.broadcast(centres)
+
+        def run(frames):
+            for frame in frames:
+                for name, part in frame.groupby(kind, sort=False):
+                    x, c = np.stack(part[vector].to_numpy()).astype(float), sent.value[name]
+                    square = (x**2).sum(axis=1)[:, None] - 2 * x @ c.T + (c**2).sum(axis=1)[None, :]
+                    label = square.argmin(axis=1)
+                    yield pd.DataFrame({kind: part[kind].to_numpy(), key: part[key].to_numpy(), vector: list(x), "cluster": label, "distance": ((x - c[label]) ** 2).sum(axis=1)})
+
+        return large.select(kind, key, vector).mapInPandas(run, f"{kind} {types[kind]}, {key} {types[key]}, {vector} array<double>, cluster int, distance double")
 
-def representatives(clustered: DataFrame, kind: str, ties: list[str]) -> DataFrame:
-    """The nearest row of each cluster; ties by the columns given."""
-    w = Window.partitionBy(kind, "cluster").orderBy("distance", *ties)
-    return clustered.withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
-
-
-def outliers(clustered: DataFrame, quota: DataFrame, kind: str, ties: list[str], share: float = 0.08, least: int = 12) -> DataFrame:
-    """The rows furthest from their centres: for each kind ``share`` of its quota, but none of its first ``least``."""
-    room = quota.select(F.col("kind").alias(kind), F.greatest(F.lit(0), F.least(F.floor(F.col("quota") * share), F.col("quota") - least)).alias("room"))
-    w = Window.partitionBy(kind).orderBy(F.col("distance").desc(), *ties)
-    return clustered.join(room, kind).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("room")).drop("rank", "room")
+    for _ in range(rounds):
+        means = nearest(now).select(kind, "cluster", F.posexplode(vector).alias("i", "x")).groupBy(kind, "cluster", "i").agg(F.avg("x").alias("x"))
+        rows = means.groupBy(kind, "cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centre")).collect()
+        new = {k: v.copy() for k, v in now.items()}  # an empty cluster keeps its centre
+        for r in rows:
+            new[r[kind]][r["cluster"]] = r["centre"]
+        still = all(np.allclose(new[k], now[k], rtol=0, atol=1e-9) for k in now)
+        now = new
+        if still:
+            break
+    return small.unionByName(nearest(now).drop(vector))
 
 
-def claim(candidates: list[tuple], limit: int) -> tuple[list[tuple], int]:
-    """Takes candidates (text, ...) in order, no text twice, up to ``limit``; also how many were passed over.
+def _distinct(rows: DataFrame, group: list[str], order: list, most: Column | int) -> DataFrame:
+    """Of each group the first ``most`` rows by the order, one a text; ``rank`` from 1. Copies of a text are one row before
+    anything is ranked, so a text with many rows takes one place."""
+    first = rows.withColumn("__gm_n", F.row_number().over(Window.partitionBy(*group, "text").orderBy(*order))).where("__gm_n = 1").drop("__gm_n")
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= most)
 
-    A driver-side fold: what it gets must be ranked and cut before, a few for each seat.
-    """
-    taken, out, conflicts = set(), [], 0
-    for c in candidates:
-        if len(out) == limit:
-            break
-        if c[0] in taken:
-            conflicts += 1
-            continue
-        taken.add(c[0])
-        out.append(c)
-    return out, conflicts
 
+def select_gold(df: DataFrame, budget: int, kind: str = "kind", key: str = "row_id", text: str = "text", vector: str = "vector", score: Column | None = None, penalty: Column | None = None, least: int = 12, extra: int = 40, share: float = 0.08, seed: int = 0) -> DataFrame:
+    """(key, kind, method) of exactly ``budget`` records, no normalised text twice.
 
-def select_gold(df: DataFrame, budget: int, kind: str = "kind", key: str = "row_id", text: str = "text", vector: str = "vector", score: Column | None = None, least: int = 12, extra: int = 40, seed: int = 0) -> DataFrame:
-    """(key, kind, method) of exactly ``budget`` records: cluster representatives, then outliers, then records that look
-    like several topics (``score`` of 2 or more, at most ``extra``), then the nearest others; no normalised text twice.
+    In turn: of each cluster (a kind has as many as seats, but for those of its outliers) the row nearest to the centre,
+    ties by ``penalty`` (boilerplate) and key, and where its text is claimed already the next one; of each kind, from what
+    is left, the furthest rows, ``share`` of its seats but none of its first ``least``; records that look like several
+    topics (``score`` of 2 or more), ``extra`` at most; the nearest others.
 
-    Ranking is distributed; what is collected is a few candidates a seat.
+    Ranking is distributed and by distinct texts. A claim can be passed over at most once a seat, so of each group the
+    driver gets at most ``budget`` candidates more than it has places: a bounded number of rows without texts.
     """
     from ..functions.text import normalize
 
-    seats = quotas(df.groupBy(F.col(kind).cast("string").alias("kind")).agg(F.count("*").alias("support")), budget, least)
     rows = df.withColumn(kind, F.col(kind).cast("string"))
+    seats = quotas(rows.groupBy(F.col(kind).alias("kind")).agg(F.count("*").alias("support")), budget, least)
+    room = F.greatest(F.lit(0), F.least(F.floor(F.col("quota") * share), F.col("quota") - least)).cast("int")
+    seats = seats.withColumn("room", room).withColumn("quota", F.col("quota") - F.col("room"))
     clustered = cluster(rows, seats, kind, key, vector, seed)
-    texts = rows.select(key, F.md5(normalize(F.col(text))).alias("text"), (score if score is not None else F.lit(0)).alias("score"))
-    ranked = [representatives(clustered, kind, [key]).withColumn("method", F.lit("centroid")), outliers(clustered, seats, kind, [key], least=least).withColumn("method", F.lit("outlier"))]
-    first = ranked[0].unionByName(ranked[1]).join(texts, key)
-    several = clustered.join(texts.where("score >= 2"), key).withColumn("method", F.lit("multi")).orderBy(F.col("score").desc(), key).limit(4 * extra)
-    rest = clustered.join(texts, key).withColumn("method", F.lit("fill")).orderBy("distance", key).limit(4 * budget)
-    cols = ["text", kind, key, "method", "distance"]
-    ordered = [tuple(r) for part in (first.orderBy("method", kind, "cluster", key), several, rest) for r in part.select(*cols).collect()]
-    multi = 0
-    kept = []
-    for r in ordered:
-        multi += r[3] == "multi"
-        if r[3] != "multi" or multi <= extra:
-            kept.append(r)
-    out, _ = claim(kept, budget)
+    none = F.lit(0.0)
+    texts = rows.select(key, F.md5(normalize(F.col(text))).alias("text"), (none if score is None else score).alias("score"), (none if penalty is None else penalty).alias("penalty"))
+    told = clustered.join(texts, key).join(seats.select(F.col("kind").alias(kind), "room"), kind)
+    near = ["distance", "penalty", key]
+    centroid = _distinct(told, [kind, "cluster"], near, budget + 1)
+    far = _distinct(told, [kind], [F.col("distance").desc(), "penalty", key], F.col("room") + budget)
+    several = _distinct(told.where("score >= 2").withColumn("one", F.lit(0)), ["one"], [F.col("score").desc(), *near], extra + budget)
+    others = _distinct(told.withColumn("one", F.lit(0)), ["one"], near, 2 * budget)
+    cols = ["text", kind, key, "cluster", "room", "rank"]
+    taken: set[str] = set()
+    out: list[tuple] = []
+
+    def claim(candidates, places: int, method: str) -> None:
+        for r in candidates:
+            if places <= 0 or len(out) >= budget:
+                return
+            if r["text"] not in taken:
+                taken.add(r["text"])
+                out.append((r[key], r[kind], method))
+                places -= 1
+
+    def groups(frame: DataFrame, by: list[str]):
+        held: dict = {}
+        for r in frame.select(*cols).orderBy(*by, "rank").collect():
+            held.setdefault(tuple(r[c] for c in by), []).append(r)
+        return held.values()
+
+    for own in groups(centroid, [kind, "cluster"]):
+        claim(own, 1, "centroid")
+    for own in groups(far.where("room > 0"), [kind]):
+        claim(own, own[0]["room"], "outlier")
+    for own in groups(several, []):
+        claim(own, extra, "multi")
+    for own in groups(others, []):
+        claim(own, budget, "fill")
     if len(out) < budget:
         raise ValueError(f"only {len(out)} different texts for {budget} seats")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return df.sparkSession.createDataFrame([(r[2], r[1], r[3]) for r in out], f"{key} {kinds[key]}, kind string, method string")
+    return df.sparkSession.createDataFrame(out, f"{key} {kinds[key]}, kind string, method string")

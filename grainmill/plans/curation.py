@@ -111,7 +111,10 @@ def label_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sequence_gaps(spark: SparkSession, d: str) -> DataFrame:
-    return curate.gaps(table(spark, d, "orders").where("o_orderkey % 400 <> 0"), "o_orderkey", 100, 5000, 100)
+    """Keys from 0 to the largest that are no order's, where each that ends in 00 of a multiple of four is taken away."""
+    keys = table(spark, d, "orders").where("o_orderkey % 400 <> 0").select("o_orderkey")
+    last, = keys.agg(F.coalesce(F.max("o_orderkey"), F.lit(-1))).first()
+    return curate.gaps(keys, "o_orderkey", 0, last, 1)
 
 
 def quotas(spark: SparkSession, d: str) -> DataFrame:
@@ -172,5 +175,13 @@ ORACLE_SQL = {
     "label_runs": """WITH m AS (SELECT *, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
       r AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM m)
       SELECT user_id, run, event_type AS label, count(*) AS length, min(event_id) AS first FROM r GROUP BY user_id, run, event_type""",
-    "sequence_gaps": "SELECT CAST(i AS BIGINT) AS missing FROM range(100, 5001, 100) r(i) WHERE i NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 400 <> 0)",
+    "sequence_gaps": """WITH k AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 400 <> 0)
+      SELECT CAST(i AS BIGINT) AS missing FROM (SELECT unnest(range(0, (SELECT max(o_orderkey) + 1 FROM k))) AS i) WHERE i NOT IN (SELECT o_orderkey FROM k)""",
+    "quotas": """WITH s AS (SELECT c_mktsegment AS kind, count(*) AS support, row_number() OVER (ORDER BY encode(c_mktsegment)) AS place FROM customer GROUP BY 1),
+      h AS (SELECT *, pow(support, 0.6) / sum(pow(support, 0.6)) OVER () * 100 AS share FROM s),
+      b AS (SELECT *, least(support, CAST(floor(greatest(12, share)) AS BIGINT)) AS start FROM h), g AS (SELECT *, 100 - CAST(sum(start) OVER () AS BIGINT) AS gap FROM b),
+      c AS (SELECT kind, gap, unnest(CASE WHEN gap < 0 THEN range(13, start + 1) WHEN gap > 0 THEN range(start, least(support, start + gap)) ELSE [] END) AS seat, share, place FROM g),
+      r AS (SELECT kind, gap, row_number() OVER (ORDER BY CASE WHEN gap < 0 THEN share - seat ELSE seat - share END, CASE WHEN gap < 0 THEN -place ELSE place END) AS nth FROM c),
+      m AS (SELECT kind, CAST(count(*) * sign(any_value(gap)) AS BIGINT) AS change FROM r WHERE nth <= abs(gap) GROUP BY kind)
+      SELECT g.kind, support, CAST(start + coalesce(change, 0) AS BIGINT) AS quota FROM g LEFT JOIN m USING (kind)""",
 }

@@ -54,7 +54,7 @@ def duplicate_errors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def segment_medians(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").groupBy("c_mktsegment").agg(measure.upper_median(F.col("c_acctbal")).alias("median"))
+    return measure.upper_median(table(spark, d, "customer"), "c_mktsegment", "c_acctbal")
 
 
 def feature_crosstab(spark: SparkSession, d: str) -> DataFrame:
@@ -242,6 +242,9 @@ ORACLE_SQL = {
     "feature_crosstab": """SELECT 'o_orderstatus' AS feature, o_orderstatus AS value, o_orderpriority AS label, count(*) AS n FROM orders GROUP BY 2, 3
       UNION ALL SELECT 'year', CAST(year(o_orderdate) AS VARCHAR), o_orderpriority, count(*) FROM orders GROUP BY 2, 3""",
     "arm_transitions": f"WITH {_ARMS} SELECT CASE WHEN a THEN 'keep' ELSE 'drop' END AS \"from\", CASE WHEN b THEN 'keep' ELSE 'drop' END AS \"to\", count(*) AS n FROM arms GROUP BY 1, 2",
+    "arm_mcnemar": f"""WITH {_ARMS}, c AS (SELECT count(*) AS n, count(*) FILTER (WHERE a AND NOT b) AS a_only, count(*) FILTER (WHERE b AND NOT a) AS b_only FROM arms)
+      SELECT n, a_only, b_only, round(CASE WHEN a_only + b_only = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(least(a_only, b_only) + 1),
+        lambda i: exp(lgamma(a_only + b_only + 1) - lgamma(i + 1) - lgamma(a_only + b_only - i + 1) - (a_only + b_only) * ln(2))))) END, 9) AS p FROM c""",
     "arm_movement": f"WITH {_ARMS} SELECT doc_id, CASE WHEN b AND NOT a THEN 'improved' WHEN a AND NOT b THEN 'regressed' ELSE 'unchanged' END AS movement FROM arms",
     "segment_subsets": """WITH s AS (SELECT unnest(list_filter(['all', CASE WHEN l_returnflag = 'R' THEN 'returned' END, CASE WHEN l_quantity >= 40 THEN 'large' END, CASE WHEN l_linestatus = 'O' THEN 'open' END], lambda x: x IS NOT NULL)) AS subset,
       l_quantity FROM lineitem) SELECT subset, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM s GROUP BY subset""",

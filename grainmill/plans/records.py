@@ -52,7 +52,7 @@ def strict_payloads(spark: SparkSession, d: str) -> DataFrame:
 
 def contract_errors(spark: SparkSession, d: str) -> DataFrame:
     """Violations of topics made of orders: some without an issue, some of an unknown domain, some with a number."""
-    o = table(spark, d, "orders").where("o_orderkey % 10 = 0")
+    o = table(spark, d, "orders")
     topic = F.concat(
         F.lit('{"topics":[{"domain":"'), F.when(F.col("o_orderstatus") == "F", "water").otherwise("nowhere"), F.lit('","issue":"'), F.when(F.col("o_orderkey") % 20 == 0, "").otherwise("leak"),
         F.lit('","object":'), F.when(F.col("o_orderkey") % 30 == 0, "5").otherwise('""'), F.lit(',"requested_action":"","attributes":{}}]}'),
@@ -62,7 +62,7 @@ def contract_errors(spark: SparkSession, d: str) -> DataFrame:
 
 def same_source_pairs(spark: SparkSession, d: str) -> DataFrame:
     a = appeals(spark, d).select("row_id", "kind", F.length("content").alias("chars"), F.pmod(F.floor(F.col("row_id") / 20), F.lit(4)).alias("domain"))
-    return augment.pairs_by_key(a, "kind", "row_id", "domain", 3, 50).select("kind", "a_row_id", "b_row_id", F.col("nth").cast("long").alias("nth"))
+    return augment.pairs_by_key(a, "kind", "row_id", "domain", 3).select("kind", "a_row_id", "b_row_id", F.col("nth").cast("long").alias("nth"))
 
 
 def single_kind_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -117,15 +117,37 @@ def records_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return audit.records_fingerprint(table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("uid"), F.lit(None).cast("string").alias("kind"), F.col("text").alias("content")))
 
 
+def markdown_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of pipe tables: a table of nations a region, between prose and a second table."""
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    row = F.concat(F.lit("| "), "n_name", F.lit(" |"), F.col("n_nationkey").cast("string"), F.lit("|"))
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("row")))), lambda r: r["row"]), "\n")
+    text = F.concat(F.lit("# "), F.col("r_name"), F.lit("\n\n| name | key |\n| --- |:-:|\n"), F.col("rows"), F.lit("\n\nand\n| one |\n|---|\n"))
+    docs = n.groupBy("r_name").agg(rows.alias("rows")).select(F.col("r_name").alias("doc"), text.alias("text"))
+    return audit.markdown_tables(docs).select("doc", F.col("table").cast("long").alias("table"), F.col("row").cast("long").alias("row"), F.array_join("cells", "/").alias("cells"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        reconcile_documents, manifest_changes, failing_sets, resumed_work, latest_event, page_prefixes, strict_payloads, contract_errors, same_source_pairs, single_kind_texts, unseen_texts,
+        markdown_tables, reconcile_documents, manifest_changes, failing_sets, resumed_work, latest_event, page_prefixes, strict_payloads, contract_errors, same_source_pairs, single_kind_texts, unseen_texts,
         replicated_streams, pair_rejects, limited_events, daily_counts, grid_complete, claim_checks, content_hashes, records_fingerprint,
     )
 }
 
 ORACLE_SQL = {
+    "strict_payloads": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'not strict JSON' ELSE 'missing ''topics'' array' END AS error FROM events",
+    "markdown_tables": """WITH n AS (SELECT r_name AS doc, n_name, n_nationkey, row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) AS row FROM nation JOIN region ON n_regionkey = r_regionkey)
+      SELECT doc, CAST(1 AS BIGINT) AS "table", CAST(row AS BIGINT) AS row, n_name || '/' || n_nationkey AS cells FROM n
+      UNION ALL SELECT DISTINCT doc, 1, 0, 'name/key' FROM n UNION ALL SELECT DISTINCT doc, 2, 0, 'one' FROM n""",
+    "limited_events": """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM events),
+      s AS (SELECT event_id, user_id, ms, k, [ms] AS kept, true AS allowed, 0::BIGINT AS wait FROM e WHERE k = 1
+        UNION ALL SELECT e.event_id, e.user_id, e.ms, e.k,
+          CASE WHEN len(list_filter(s.kept, lambda x: x > e.ms - 604800000)) >= 3 THEN list_filter(s.kept, lambda x: x > e.ms - 604800000) ELSE list_append(list_filter(s.kept, lambda x: x > e.ms - 604800000), e.ms) END,
+          len(list_filter(s.kept, lambda x: x > e.ms - 604800000)) < 3,
+          CASE WHEN len(list_filter(s.kept, lambda x: x > e.ms - 604800000)) < 3 THEN 0 ELSE greatest(1, CAST(ceil((list_filter(s.kept, lambda x: x > e.ms - 604800000)[1] + 604800000 - e.ms) / 1000.0) AS BIGINT)) END
+        FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1)
+      SELECT event_id, allowed, CAST(wait AS INTEGER) AS retry_after_sec FROM s""",
     "reconcile_documents": """WITH docs AS (SELECT doc_id AS id, text FROM documents),
       got AS (SELECT id, CASE WHEN id % 90 = 3 THEN text || '!' ELSE text END AS text FROM docs WHERE id % 50 <> 7 UNION ALL SELECT id, text FROM docs WHERE id % 70 = 5 UNION ALL SELECT -id, text FROM docs WHERE id % 100 = 1),
       g AS (SELECT id, count(*) AS n FROM got GROUP BY id)
@@ -139,10 +161,10 @@ ORACLE_SQL = {
     "latest_event": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id",
     "page_prefixes": """SELECT path, CASE WHEN length(split_part(path, '/', 1)) % 2 = 0 THEN 'host ' || split_part(path, '/', 1) END AS reason
       FROM (SELECT DISTINCT regexp_replace(url, '^https?://', '') AS path FROM pages)""",
-    "contract_errors": """WITH o AS (SELECT o_orderkey AS id, o_orderstatus AS s FROM orders WHERE o_orderkey % 10 = 0)
+    "contract_errors": """WITH o AS (SELECT o_orderkey AS id, o_orderstatus AS s FROM orders)
       SELECT id, CAST(0 AS INTEGER) AS topic, 'unknown domain' AS error FROM o WHERE s <> 'F' UNION ALL SELECT id, 0, 'blank issue' FROM o WHERE id % 20 = 0
       UNION ALL SELECT id, 0, 'object is not a string' FROM o WHERE id % 30 = 0""",
-    "same_source_pairs": f"""WITH {APPEALS}, f AS (SELECT kind, row_id, CAST(floor(row_id / 20) AS BIGINT) % 4 AS dom FROM appeals QUALIFY row_number() OVER (PARTITION BY kind ORDER BY md5('42:' || CAST(row_id AS VARCHAR)), row_id) <= 50)
+    "same_source_pairs": f"""WITH {APPEALS}, f AS (SELECT kind, row_id, CAST(floor(row_id / 20) AS BIGINT) % 4 AS dom FROM appeals QUALIFY row_number() OVER (PARTITION BY kind, dom ORDER BY md5('42:' || CAST(row_id AS VARCHAR)), row_id) <= 3)
       SELECT a.kind, a.row_id AS a_row_id, b.row_id AS b_row_id, row_number() OVER (PARTITION BY a.kind ORDER BY md5('42:' || CAST(a.row_id AS VARCHAR) || ':' || CAST(b.row_id AS VARCHAR)), a.row_id, b.row_id) AS nth
       FROM f a JOIN f b ON a.kind = b.kind AND a.row_id < b.row_id AND a.dom <> b.dom QUALIFY nth <= 3""",
     "single_kind_texts": f"WITH {APPEALS} SELECT row_id, kind FROM appeals QUALIFY min(kind) OVER (PARTITION BY {norm('content')}) = max(kind) OVER (PARTITION BY {norm('content')})",

@@ -66,22 +66,18 @@ def repeated_grams(spark: SparkSession, d: str) -> DataFrame:
 
 
 def benchmark_copies(spark: SparkSession, d: str) -> DataFrame:
-    """Whether a document holds the squashed beginning of a benchmark passage; passages are matched to documents by
-    their first words, so only documents with these are compared."""
-    head = table(spark, d, "benchmark").select("item_id", F.array_join(F.slice(t.word_tokens(F.col("text")), F.lit(1), F.lit(8)), " ").alias("head"))
-    grams = _docs(spark, d).select("doc_id", t.word_tokens(F.col("text")).alias("w"))
-    grams = grams.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 7, F.lit(1))), lambda i: F.array_join(F.slice("w", i, F.lit(8)), " ")))).alias("head"))
-    return grams.join(F.broadcast(head), "head").groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"))  # a row a benchmark item
+    """How many documents hold each benchmark passage as a whole, as words; passages that none holds have no row."""
+    return audit.contained(table(spark, d, "benchmark"), "item_id", _docs(spark, d), "doc_id").groupBy("item_id").agg(F.count("*").alias("n_docs"))
 
 
 def private_like(spark: SparkSession, d: str) -> DataFrame:
     c = audit.private_counts(F.col("text"))
-    return _docs(spark, d).select("doc_id", c["emails"].alias("emails"))
+    return _docs(spark, d).select("doc_id", c["phones"].alias("phones"), c["emails"].alias("emails"))
 
 
 def private_totals(spark: SparkSession, d: str) -> DataFrame:
     c = _docs(spark, d).select("lang", audit.private_counts(F.col("text")).alias("c"))
-    return c.groupBy("lang").agg(F.count_if(F.col("c.emails") > 0).alias("email_rows"), F.sum("c.emails").alias("email_hits"))
+    return c.groupBy("lang").agg(F.count_if(F.col("c.phones") > 0).alias("phone_rows"), F.sum("c.phones").alias("phone_hits"), F.count_if(F.col("c.emails") > 0).alias("email_rows"), F.sum("c.emails").alias("email_hits"))
 
 
 def weak_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -116,15 +112,24 @@ def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
 
 
 def benchmark_rouge(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), F.lit(1), F.lit(12)), " ").alias("a"), F.array_join(F.slice(F.split("text", " "), F.lit(7), F.lit(12)), " ").alias("b"))
-    return b.select("item_id", F.round(scoring.rouge_l(F.col("a"), F.col("b")), 6).alias("rouge"), F.round(scoring.token_overlap(F.col("a"), F.col("b")), 6).alias("overlap"), F.round(scoring.word_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
+    """Likeness of each whole passage to the next one's, by item_id; the last has none."""
+    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("a"))
+    both = b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("a").alias("b")), "item_id")
+    return both.select("item_id", F.round(scoring.rouge_l(F.col("a"), F.col("b")), 6).alias("rouge"), F.round(scoring.token_overlap(F.col("a"), F.col("b")), 6).alias("overlap"))
+
+
+def benchmark_ratio(spark: SparkSession, d: str) -> DataFrame:
+    """Matching-blocks ratio of each whole passage to the next one's words."""
+    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("a"))
+    both = b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("a").alias("b")), "item_id")
+    return both.select("item_id", F.round(scoring.word_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         collapsed_text, letter_tokens, squashed_text, word_sets, plain_words, sentence_counts, paired_quotes, alternate_quotes, lower_first, boilerplate_scores, topic_scores, repeated_grams,
-        benchmark_copies, private_like, private_totals, weak_labels, reference_topics, clean_issues, conversation_topics, vocabulary, tfidf_weights, benchmark_rouge,
+        benchmark_copies, private_like, private_totals, weak_labels, reference_topics, clean_issues, conversation_topics, vocabulary, tfidf_weights, benchmark_rouge, benchmark_ratio,
     )
 }
 
@@ -132,6 +137,7 @@ _W = r"[\p{L}\p{N}_]"
 _TOKENS = f"regexp_extract_all(lower(coalesce(text, '')), '{t.TOKEN.replace(chr(39), chr(39) * 2)}')"
 _WORDS = rf"regexp_extract_all(lower(coalesce(text, '')), '{_W}+')"
 _EMAILS = f"len(regexp_extract_all(coalesce(text, ''), '{p.LIKE_EMAIL}'))"
+_PHONES = f"len(regexp_extract_all(coalesce(text, ''), '{p.LIKE_PHONE}'))"
 _COLLAPSED = f"trim(regexp_replace(coalesce(text, ''), '{WS}+', ' ', 'g'))"
 _VOCAB = f"""each AS (SELECT doc_id, unnest(list_distinct({_TOKENS})) AS token FROM documents),
   voc AS (SELECT token, count(*) AS df, ln((SELECT count(*) FROM documents) / (1 + count(*))) AS idf FROM each WHERE length(token) > 2 GROUP BY token HAVING count(*) >= 2)"""
@@ -158,12 +164,16 @@ ORACLE_SQL = {
       g AS (SELECT doc_id, array_to_string(w[i:i + 5], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 4)) AS i FROM w WHERE len(w) >= 60)),
       m AS (SELECT doc_id, max(n) AS n FROM (SELECT doc_id, g, count(*) AS n FROM g GROUP BY doc_id, g) GROUP BY doc_id)
       SELECT w.doc_id, coalesce(m.n >= 4, false) AS loops FROM w LEFT JOIN m USING (doc_id)""",
-    "benchmark_copies": f"""WITH b AS (SELECT item_id, array_to_string(({_WORDS})[1:8], ' ') AS head FROM benchmark),
-      w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-      g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 7], ' ') AS head FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 7, 1) + 1)) AS i FROM w))
-      SELECT item_id, count(DISTINCT doc_id) AS n_docs FROM g JOIN b USING (head) GROUP BY item_id""",
-    "private_like": f"SELECT doc_id, CAST({_EMAILS} AS BIGINT) AS emails FROM documents",
-    "private_totals": f"SELECT lang, count(*) FILTER (WHERE {_EMAILS} > 0) AS email_rows, CAST(sum({_EMAILS}) AS BIGINT) AS email_hits FROM documents GROUP BY lang",
+    "benchmark_copies": f"""WITH b AS (SELECT item_id, ' ' || array_to_string({_WORDS}, ' ') || ' ' AS p FROM benchmark), w AS (SELECT doc_id, ' ' || array_to_string({_WORDS}, ' ') || ' ' AS x FROM documents)
+      SELECT item_id, count(*) AS n_docs FROM w JOIN b ON contains(x, p) AND length(p) > 2 GROUP BY item_id""",
+    "private_like": f"SELECT doc_id, CAST({_PHONES} AS BIGINT) AS phones, CAST({_EMAILS} AS BIGINT) AS emails FROM documents",
+    "private_totals": f"""SELECT lang, count(*) FILTER (WHERE {_PHONES} > 0) AS phone_rows, CAST(sum({_PHONES}) AS BIGINT) AS phone_hits, count(*) FILTER (WHERE {_EMAILS} > 0) AS email_rows,
+      CAST(sum({_EMAILS}) AS BIGINT) AS email_hits FROM documents GROUP BY lang""",
+    "benchmark_rouge": f"""WITH RECURSIVE w AS (SELECT item_id, list_filter(string_split_regex(text, '{WS}+'), lambda x: x <> '') AS w, list_distinct(list_filter(string_split_regex(lower(text), '{WS}+'), lambda x: x <> '')) AS s FROM benchmark),
+      prs AS (SELECT x.item_id, x.w AS a, y.w AS b, len(list_intersect(x.s, y.s)) / greatest(len(x.s), 1)::DOUBLE AS overlap FROM w x JOIN w y ON y.item_id = x.item_id + 1),
+      lcs AS (SELECT item_id, a, b, overlap, 0 AS i, list_transform(range(len(b) + 1), lambda z: 0::BIGINT) AS r FROM prs
+        UNION ALL SELECT item_id, a, b, overlap, i + 1, list_transform(range(len(b) + 1), lambda j: list_max(list_transform(range(j + 1), lambda k: greatest(r[k + 1], CASE WHEN k >= 1 AND b[k] = a[i + 1] THEN r[k] + 1 ELSE 0 END)))) FROM lcs WHERE i < len(a))
+      SELECT item_id, round(2.0 * r[len(b) + 1] / (len(a) + len(b)), 6) AS rouge, round(overlap, 6) AS overlap FROM lcs WHERE i = len(a)""",
     "vocabulary": f"WITH {_VOCAB} SELECT token, df, round(idf, 6) AS idf FROM voc",
     "tfidf_weights": f"""WITH {_VOCAB}, tok AS (SELECT doc_id, unnest({_TOKENS}) AS token FROM documents),
       raw AS (SELECT doc_id, token, (1 + ln(count(*))) * any_value(idf) AS w FROM tok JOIN voc USING (token) GROUP BY doc_id, token),

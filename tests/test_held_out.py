@@ -9,7 +9,7 @@ from grainmill.plans import evaluation
 def test_every_vector_is_predicted(spark, sf, monkeypatch):
     grids = []
 
-    def tune(self, train, validation, grid=vectors.VectorClassifier.GRID):
+    def tune(self, train, validation, grid=vectors.VectorClassifier.GRID, metric="macro_f1"):
         grids.append(tuple(grid))
         self.strength = 1.0
         assert train.join(validation, "vec_id").count() == 0

@@ -55,4 +55,4 @@ def test_verdicts(spark):
 
 def test_upper_median(spark):
     df = spark.createDataFrame([(1,), (2,), (3,), (4,)], "v int")
-    assert df.agg(measure.upper_median(df["v"])).first()[0] == 3
+    assert measure.upper_median(df.selectExpr("1 as k", "v"), "k", "v").first()["median"] == 3

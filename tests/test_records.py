@@ -132,6 +132,21 @@ def test_limiter_over_a_stream(spark, tmp_path):
     assert [r["allowed"] for r in spark.read.parquet(out).orderBy("ms").collect()] == [True] * 4 + [False] * 2
 
 
+def test_a_replayed_stream_decides_as_the_table_does(spark, tmp_path):
+    """Batches of a backfill, in order of time: states live by the hits' own time, however long a batch takes."""
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    hits = [("a", 1_700_000_000_000 + t) for t in (0, 100, 200, 900, 950, 1_100, 1_150, 9_000, 9_050, 9_100, 9_150)] + [("b", 1_700_000_000_500)]
+    df = spark.createDataFrame(hits, "key string, ms long").withColumn("ts", F.timestamp_millis("ms"))
+    for k, (lo, hi) in enumerate(((0, 250), (250, 1_120), (1_120, 20_000))):
+        df.where((F.col("ms") - 1_700_000_000_000).between(lo, hi - 1)).coalesce(1).write.mode("append").parquet(str(src / str(k)))
+    stream = limiter.limit_stream(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(src / "*")), "key", "ts", 1000, 3, "1 second")
+    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(180)
+    told = sorted((r["key"], r["ms"], r["allowed"], r["retry_after_sec"]) for r in spark.read.parquet(out).collect())
+    want = limiter.limit(df, "key", "ts", "ms", 1000, 3).collect()
+    assert told == sorted((r["key"], r["ms"], r["allowed"], r["retry_after_sec"]) for r in want)
+
+
 def test_append_new_is_repeatable(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     path = str(tmp_path / "t")
@@ -174,11 +189,13 @@ def test_markdown(spark):
     assert sorted((r["table"], r["row"], r["cells"]) for r in audit.markdown_tables(df).collect()) == [(1, 0, ["a", "b"]), (1, 1, ["1", "2"]), (2, 0, ["c"]), (2, 1, ["3"])]
 
 
-def test_allotment():
-    assert sample.allot({"a": 100, "b": 50, "c": 12}, 60, 12) == {"a": 29, "b": 19, "c": 12}
-    assert sum(sample.allot({"a": 1000, "b": 13, "c": 400}, 100, 12).values()) == 100
-    with pytest.raises(ValueError):
-        sample.allot({"a": 5}, 10, 1)
+def test_allotment(spark):
+    seats = lambda supports, budget, least: {r["kind"]: r["quota"] for r in sample.quotas(spark.createDataFrame(list(supports.items()), "kind string, support long"), budget, least).collect()}
+    assert seats({"a": 100, "b": 50, "c": 12}, 60, 12) == {"a": 29, "b": 19, "c": 12}
+    assert sum(seats({"a": 1000, "b": 13, "c": 400}, 100, 12).values()) == 100
+    assert seats({"a": 40, "b": 40, "c": 40, "d": 0}, 50, 3) == {"a": 17, "b": 17, "c": 16, "d": 0}
+    with pytest.raises(Exception, match="no budget of 10"):
+        seats({"a": 5}, 10, 1)
 
 
 def test_kmeans_invariants():
@@ -195,6 +212,6 @@ def test_replicate_and_pairs(spark):
     got = sorted(r["uid"] for r in augment.replicate(df, F.when(F.col("uid") == "MT-1", 3).otherwise(1)).collect())
     assert got == ["MT-1", "MT-1#1", "MT-1#2", "x"]
     rows = spark.createDataFrame([(i, "s", i % 3) for i in range(30)], "uid long, street string, domain long")
-    pairs = augment.pairs_by_key(rows, "street", "uid", "domain", 4, 10).collect()
+    pairs = augment.pairs_by_key(rows, "street", "uid", "domain", 4).collect()
     assert len(pairs) == 4 and all(p["a_domain"] != p["b_domain"] and p["a_uid"] < p["b_uid"] for p in pairs)
     assert augment.random_pairs(rows, "uid", "domain", 5, rows=10).count() == 5
