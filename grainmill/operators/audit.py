@@ -165,3 +165,56 @@ def quoted_hashes(text: DataFrame, known: DataFrame, body: str = "text") -> Data
     """(doc, sha256, known): every 64-digit hash that a document quotes, and whether a file has it."""
     each = text.select("doc", F.explode(F.regexp_extract_all(body, F.lit(r"\b([0-9a-f]{64})\b"), F.lit(1))).alias("sha256")).distinct()
     return each.join(known.select("sha256").distinct().withColumn("known", F.lit(True)), "sha256", "left").select("doc", "sha256", F.coalesce("known", F.lit(False)).alias("known"))
+
+
+def exposure(files: DataFrame) -> DataFrame:
+    """Totals over files (path, sha256, bytes, rows, alias): files, those that aren't aliases, distinct contents, bytes, rows,
+    rows of distinct contents (each counted at its first path), the rows that copies repeat, and groups of copies."""
+    groups = files.where("not alias").groupBy("sha256").agg(F.min_by("rows", "path").alias("rows"), F.count("*").alias("n"))
+    all_files = files.agg(F.count("*").alias("files"), F.count_if(~F.col("alias")).alias("distinct_files"), F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
+    distinct = groups.agg(F.count("*").alias("distinct_contents"), F.sum("rows").alias("distinct_rows"), F.count_if(F.col("n") > 1).alias("duplicate_groups"))
+    both = all_files.crossJoin(distinct)  # one row each
+    return both.select("files", "distinct_files", "distinct_contents", "bytes", "rows", "distinct_rows", (F.col("rows") - F.col("distinct_rows")).alias("duplicate_rows"), "duplicate_groups")
+
+
+def exposure_by(files: DataFrame, *by: str) -> DataFrame:
+    return files.groupBy(*by).agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
+
+
+def read_by(files: DataFrame, readers: DataFrame, common: tuple[str, ...] = ("data",)) -> DataFrame:
+    """(path, reader): files that a reader's body (reader, body) mentions, by the last folder and the name, or by the name
+    together with any folder above it but the first and the common ones.
+
+    Names are few and found in one pass over each body; only files whose name is there are then looked at.
+    """
+    parts = F.split("path", "/")
+    own = files.select("path", F.element_at(parts, -1).alias("name"), F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), F.lit(2)), "/").alias("tail"), F.array_except(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), F.array(*map(F.lit, common))).alias("folders"))
+    names = own.select("name").distinct()
+    hits = readers.join(names, F.contains(F.col("body"), F.col("name")))  # a row a name that is there
+    both = hits.join(own, "name")
+    met = F.contains(F.col("body"), F.col("tail")) | F.exists("folders", lambda d: F.contains(F.col("body"), d))
+    return both.where(met).select("path", "reader").distinct()
+
+
+def distribution_checks(paths: DataFrame, docs: DataFrame, forbidden: list[tuple[str, str]], required: list[tuple[str, str, str]], claims: list[tuple[str, str]]) -> DataFrame:
+    """(check, ok, found) of a distribution: path patterns that no file may have (check, pattern), texts or patterns that a
+    document must hold (check, doc, pattern), and claims that no document may make (check, pattern). ``docs``: doc, text."""
+    count = lambda df, checks, value, of: df.agg(*[F.count_if(F.col(value).rlike(c[-1]) & of(c)).alias(str(i)) for i, c in enumerate(checks)]).select(F.explode(F.create_map(*[x for i, c in enumerate(checks) for x in (F.lit(c[0]), F.col(f"`{i}`"))])).alias("check", "found"))
+    everywhere = lambda c: F.lit(True)
+    told = []
+    if forbidden:
+        told.append(count(paths, forbidden, "path", everywhere).withColumn("ok", F.col("found") == 0))
+    if required:
+        told.append(count(docs, required, "text", lambda c: F.col("doc") == c[1]).withColumn("ok", F.col("found") > 0))
+    if claims:
+        told.append(count(docs, claims, "text", everywhere).withColumn("ok", F.col("found") == 0))
+    out = told[0]
+    for t in told[1:]:
+        out = out.unionByName(t)
+    return out.select("check", "ok", "found")
+
+
+def split_fingerprints(files: DataFrame) -> DataFrame:
+    """(split, n, tree_sha256) of files (split, path, sha256)."""
+    entry = F.concat_ws(":", "path", "sha256").alias("value")
+    return _folded(files.select("split", entry), "split", "tree_sha256").select("split", "n", "tree_sha256")
