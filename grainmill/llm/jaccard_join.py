@@ -635,3 +635,15 @@ def keep_first(documents: DataFrame, ws: Workspace, width: int = 5) -> DataFrame
     order = F.struct(F.col("text").cast("string"), F.xxhash64(*plain))
     several = docs.where(inked).join(many, key).groupBy(own).agg(F.min_by(F.struct(*columns), order).alias(put)).select(f"{put}.*")
     return kept.unionByName(several).unionByName(documents.where(~inked))
+
+
+#: The whole report in SQL: all pairs that share a shingle, and everything reachable by links.
+SQL = r"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (SELECT DISTINCT rid, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM docs WHERE len(w) > 0)),
+sizes AS (SELECT rid, count(*) AS n FROM grams GROUP BY rid),
+pairs AS (SELECT a.rid AS a, b.rid AS b, count(*) AS same FROM grams a JOIN grams b ON a.g = b.g AND a.rid <> b.rid GROUP BY a.rid, b.rid),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.rid = a JOIN sizes y ON y.rid = b WHERE 100 * same >= 75 * (x.n + y.n - same)),
+reach AS (SELECT rid, rid AS r FROM docs UNION SELECT reach.rid, links.b FROM reach JOIN links ON links.a = reach.r)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, c.component_id FROM docs d LEFT JOIN sizes s USING (rid) JOIN (SELECT reach.rid, min(doc_id) AS component_id FROM reach JOIN docs ON docs.rid = reach.r GROUP BY reach.rid) c USING (rid)
+"""

@@ -54,4 +54,4 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_secrets, op4_quality_classifier, op5_pii, op6_jaccard_join, op7_packing, op8_substring_dedup, op9_fingerprints, op10_token_file)}
-ORACLE_SQL = {"op1_mixing": mixing.SQL, "op2_quality_rules": quality_rules.SQL}
+ORACLE_SQL = {"op1_mixing": mixing.SQL, "op2_quality_rules": quality_rules.SQL, "op3_secrets": secrets.SQL, "op6_jaccard_join": jaccard_join.SQL, "op8_substring_dedup": substring_dedup.SQL}

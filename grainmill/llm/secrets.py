@@ -168,3 +168,35 @@ def report(text: str | None) -> tuple[str, str]:
     """Brute-force form of ``digest`` for one text: (base_sha256, spans)."""
     spans = scanner().spans(text)
     return sha256(joined([s for s in spans if s[0] in BASE])), joined(spans)
+
+
+def _sql() -> str:
+    """The whole report in SQL. Places of matches follow from the lengths of what lies between them; CRC-32 is computed bit
+    by bit; a token's end is that of its run of characters."""
+    found = {
+        "assign": (r"""(?i:password|passwd|secret|token|api_?key)["\']?\x20*[:=]\x20*["\']?[A-Za-z0-9+/_.=-]+""", r"""length(regexp_extract(m, '(?i:password|passwd|secret|token|api_?key)["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+)', 1)) >= 6"""),
+        "access": ("AKIA[A-Z0-9]+", "length(m) >= 20"),
+        "hex": ("[0-9a-f]+", "length(m) >= 24"),
+        "github": ("gh[pousr]_[A-Za-z0-9]+", None),
+        "npm": ("npm_[A-Za-z0-9]+", None),
+        "jwt": (r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "len(list_filter(string_split(m, '.')[1:2], lambda x: coalesce(json_type(try_cast(decode(try(from_base64(replace(replace(x, '-', '+'), '_', '/') || repeat('=', (4 - length(x) % 4) % 4)))) AS JSON)) = 'OBJECT', false))) = 2"),
+    }
+    crc = "xor(list_reduce(list_transform(range(30), lambda k: ord(substring(b, k + 1, 1))::BIGINT), lambda c, x: list_reduce(range(8), lambda y, z: xor(y >> 1, 3988292384 * (y & 1)), xor(c, x)), 4294967295), 4294967295)"
+    token = f"length(m) = length(m[1:4]) + 36 AND (SELECT string_agg(substring('{BASE62}', 1 + CAST(v // p % 62 AS INTEGER), 1), '' ORDER BY p DESC) FROM (SELECT {crc} AS v FROM (SELECT substring(m, 5, 30) AS b)), (SELECT unnest([1, 62, 3844, 238328, 14776336, 916132832]) AS p)) = substring(m, 35, 6)"
+    parts = []
+    for rank, (kind, (pattern, test)) in enumerate(found.items()):
+        q = pattern.replace("\\'", "''")
+        each = f"SELECT rid, regexp_extract_all(text, '{q}') AS ms, string_split_regex(text, '{q}') AS gaps FROM docs"
+        placed = f"SELECT rid, m, list_sum(list_transform(gaps[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:k - 1], lambda x: length(x))), 0) AS a FROM (SELECT *, unnest(ms) AS m, generate_subscripts(ms, 1) AS k FROM ({each}))"
+        test = (test or token).replace("\\'", "''")
+        parts.append(f"SELECT rid, {rank} AS rank, '{kind}' AS kind, CAST(a AS BIGINT) AS a, CAST(a + length(m) AS BIGINT) AS b FROM ({placed}) WHERE {test}")
+    spans = " UNION ALL ".join(parts)
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents), sp AS ({spans}),
+ag AS (SELECT rid, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access, count(*) FILTER (WHERE rank = 2) AS n_hex,
+  string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) FILTER (WHERE rank < 3) AS base, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) AS spans FROM sp GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN ag USING (rid)
+"""
+
+
+SQL = _sql()

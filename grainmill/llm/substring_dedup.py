@@ -390,3 +390,14 @@ def remove_known(documents: DataFrame, reference: DataFrame, ws: Workspace, widt
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, text string")
+
+
+#: The whole report of ``remove_repeats`` in SQL.
+SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT rid, i, array_to_string(w[i:i + 34], ' ') AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS i FROM docs WHERE len(w) >= 35)),
+twice AS (SELECT rid, i FROM windows SEMI JOIN (SELECT g FROM windows GROUP BY g HAVING count(*) > 1) t USING (g)),
+gone AS (SELECT DISTINCT rid, i + j AS pos FROM twice, (SELECT unnest(range(35)) AS j)),
+kept AS (SELECT rid, string_agg(x, ' ' ORDER BY pos) AS text, count(*) AS n FROM (SELECT rid, unnest(w) AS x, generate_subscripts(w, 1) AS pos FROM docs) e ANTI JOIN gone g USING (rid, pos) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (rid)
+"""
