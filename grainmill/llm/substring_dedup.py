@@ -9,14 +9,17 @@ windows of a document that share one anchor make a run. Runs are dealt by anchor
 
 * an anchor with one run proves its windows unique, and nothing more is done about them;
 * runs with equal words repeat as a whole;
-* other runs with one anchor are a reference shard: their words are fetched, a suffix automaton is built of them, and
-  each is streamed through it; where the longest suffix that occurs twice or more has ``width`` words or more, the
-  span is removed. A shard too large for one task's memory is settled by counting its windows' hashes instead, so
-  that no anchor, however frequent, is gathered in one place.
+* other runs with one anchor are a reference shard: their words are fetched, those that are equal word for word are one,
+  a suffix automaton is built of what is left, and each is streamed through it; where the longest suffix that occurs
+  twice or more has ``width`` words or more, the span is removed;
+* a shard of too many different words for one task's memory is dealt anew, by the hashes of its windows: a window whose
+  hash is alone is unique, and the others' words are fetched and go through shards of their own, so no anchor, however
+  frequent, is gathered in one place and no window is removed on the word of its hash.
 
 Nulls, ties, repeats: a null or empty text has no words, and the hash of the empty string; equal rows repeat each
 other; rows with one doc_id but different texts are different documents; an empty table gives an empty result. Only
-doc_id and text are read. Words and runs are told apart by 64-bit hashes except in the automata, which compare words.
+doc_id and text are read. Runs that are equal as a whole are told by the 64-bit hashes of their anchor and of all their
+words together; everything else is compared by words.
 """
 
 from __future__ import annotations
@@ -249,25 +252,34 @@ def repeated_in(shard: Sequence[Sequence[bytes]], width: int) -> list[list[int]]
     return [[end - width for end, n in enumerate(automaton.matching(words, 2), 1) if n >= width] for words in shard]
 
 
-def _match(fetched: DataFrame, width: int, shard_words: int) -> DataFrame:
-    """(id, tkey, a, b, hash): windows found repeated, or the hash of a window of a shard that was too large."""
-    schema = pa.schema([("id", pa.int64()), ("tkey", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("hash", pa.int64())])
+def _match(fetched: DataFrame, width: int, shard_words: int | None) -> DataFrame:
+    """(id, tkey, a, b, hash, ask): windows found repeated (hash is null), or the hash of a window of a shard of more than
+    ``shard_words`` different words (None: of any size), and whether it is asked about.
+
+    A task holds the different sequences of one shard; a sequence that comes again is settled as it comes.
+    """
+    schema = pa.schema([("id", pa.int64()), ("tkey", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("hash", pa.int64()), ("ask", pa.bool_())])
 
     def windows(row) -> Iterator[tuple]:
         words = row[5].split()
         for i in range(len(words) - width + 1):
             h = xxhash.xxh3_64_intdigest(b" ".join(words[i : i + width]))
-            yield row[1], row[2], row[3] + i, row[3] + i, h - (h >> 63 << 64)
+            yield row[1], row[2], row[3] + i, row[3] + i, h - (h >> 63 << 64), row[4]
+
+    def whole(row) -> tuple:
+        return row[1], row[2], row[3], row[3] + row[5].count(b" ") + 1 - width, None, True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, key, held, large = [], None, 0, False
+        shard: dict[bytes, list] = {}  # the first row of each sequence, and whether it came again
+        key, held, large = None, 0, False
         out: list[tuple] = []
 
         def close() -> None:
-            if shard:
-                for row, starts in zip(shard, repeated_in([r[5].split() for r in shard], width)):
-                    if row[4]:
-                        out.extend((row[1], row[2], row[3] + i, row[3] + i, None) for i in starts)
+            firsts = [row for row, _ in shard.values()]
+            if any(row[4] and not again for row, again in shard.values()):
+                for (row, again), starts in zip(shard.values(), repeated_in([r[5].split() for r in firsts], width)):
+                    if row[4] and not again:
+                        out.extend((row[1], row[2], row[3] + i, row[3] + i, None, True) for i in starts)
 
         def batch_out() -> pa.RecordBatch:
             made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
@@ -278,24 +290,31 @@ def _match(fetched: DataFrame, width: int, shard_words: int) -> DataFrame:
             for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 if row[0] != key:
                     close()
-                    shard, key, held, large = [], row[0], 0, False
-                held += row[5].count(b" ") + 1
+                    shard, key, held, large = {}, row[0], 0, False
+                first = None if large else shard.get(row[5])
                 if large:
                     out.extend(windows(row))
-                elif held > shard_words:
-                    large = True
-                    for r in (*shard, row):
-                        out.extend(windows(r))
-                    shard = []
+                elif first:
+                    if first[0][4] and not first[1]:
+                        out.append(whole(first[0]))
+                    first[1] = True
+                    if row[4]:
+                        out.append(whole(row))
                 else:
-                    shard.append(row)
+                    shard[row[5]] = [row, False]
+                    held += row[5].count(b" ") + 1
+                    if shard_words is not None and held > shard_words:
+                        large = True
+                        for r, again in shard.values():
+                            out.extend(windows((*r[:4], r[4] and not again, r[5])))
+                        shard = {}
                 if len(out) >= 20_000:
                     yield batch_out()
         close()
         if out:
             yield batch_out()
 
-    return fetched.repartition("key").sortWithinPartitions("key").mapInArrow(run, "id long, tkey long, a long, b long, hash long")
+    return fetched.repartition("key").sortWithinPartitions("key").mapInArrow(run, "id long, tkey long, a long, b long, hash long, ask boolean")
 
 
 def repeated_windows(docs: DataFrame, ws: Workspace, width: int = WIDTH, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -304,9 +323,13 @@ def repeated_windows(docs: DataFrame, ws: Workspace, width: int = WIDTH, shard_w
     asked = settled.where(F.col("kind") != FULL).select("id", "tkey", "key", "a", "b", "kind")
     found = ws.table("found", _match(_fetch(docs, asked, width), width, shard_words))
     rest = found.where("hash is not null")
+    out = settled.where(F.col("kind") != ASK).select("id", "tkey", "a", "b").unionByName(found.where("hash is null").select("id", "tkey", "a", "b"))
+    if not rest.limit(1).count():
+        return out
     often = rest.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    whole = settled.where(F.col("kind") != ASK).select("id", "tkey", "a", "b")
-    return whole.unionByName(found.where("hash is null").drop("hash")).unionByName(rest.join(often, "hash").select("id", "tkey", "a", "b"))
+    kind = F.when(F.col("ask"), ASK).otherwise(PROBE).cast("byte")
+    again = ws.table("again", rest.join(often, "hash").select("id", "tkey", F.col("hash").alias("key"), "a", "b", kind.alias("kind")))
+    return out.unionByName(_match(_fetch(docs, again, width), width, None).select("id", "tkey", "a", "b"))
 
 
 def _keyed(documents: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def planted(seed):
     return items + [(100, items[3][1], "en", "s"), (101, items[3][1] + " x", "en", "s")]
 
 
-@pytest.mark.parametrize("width,shard", [(12, 10_000), (12, 30), (9, 200)])
+@pytest.mark.parametrize("width,shard", [(12, 10_000), (12, 30), (9, 200), (9, 1)])
 def test_planted(frame, ws, width, shard):
     items = planted(width + shard)
     assert told(sd.remove_repeats(frame(items), ws, width, shard)) == brute(items, width)
@@ -79,3 +79,15 @@ def test_known_passages_go(frame, spark, ws):
     assert got == {1: "a b c", 2: "clean", 3: None}
     with pytest.raises(ValueError):
         sd.remove_known(frame([]), ref, ws, most_words=10)
+
+
+def test_a_frequent_passage_in_small_shards(frame, ws):
+    """A passage in many different surroundings, whose edges make large shards of different sequences."""
+    rng = random.Random(8)
+    passage = [f"p{k}" for k in range(14)]
+    items = []
+    for i in range(90):
+        before, after = ([f"u{rng.randrange(40)}" for _ in range(rng.randrange(0, 12))] for _ in range(2))
+        items.append((i, " ".join(before + passage + after), "en", "s"))
+    for shard in (10_000, 60):
+        assert told(sd.remove_repeats(frame(items), ws, 12, shard)) == brute(items, 12)
