@@ -166,6 +166,7 @@ def with_next(documents: DataFrame, ws: Workspace, range_docs: int = RANGE_DOCS)
     keys = docs.select("doc_id", "h").repartitionByRange(n_ranges, F.col("doc_id").desc_nulls_last(), F.col("h").desc())
     keys = ws.table("keys", keys.withColumn("range", F.spark_partition_id()).groupBy("range").agg(F.max(F.struct("doc_id", "h")).alias("top")))
     found = [(r["top"]["doc_id"], r["top"]["h"]) for r in keys.collect()]
+    ws.drop("keys")
     tops = sorted(found, key=lambda t: (t[0] is not None, t[0] or 0, t[1]), reverse=True)
     sent = ws.spark.sparkContext.broadcast(Cuts(tops))
 

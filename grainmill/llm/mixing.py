@@ -151,7 +151,9 @@ def mix(documents: DataFrame, ws: Workspace, weights=(5, 2, 1), max_epochs: int
     copies = F.filter(F.array(*[copy(e) for e in range(int(max_epochs))]), lambda c: c["take"] > 0)
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda total, c: total + c["take"])
     told = streamed.withColumn("copies", copies).withColumn("taken", taken)
-    return Mix(sources, ws.table("documents", told.select("doc_id", "source", "sid", "size", "source_size", "target", "taken", "copies", "key", "h", "n", "nth")))
+    told = ws.table("documents", told.select("doc_id", "source", "sid", "size", "source_size", "target", "taken", "copies", "key", "h", "n", "nth"))
+    ws.drop("units")
+    return Mix(sources, told)
 
 
 def apply_mix(documents: DataFrame, ws: Workspace, words_per_file: int = WORDS_PER_FILE, **options) -> DataFrame:

@@ -44,6 +44,8 @@ LABELERS = ("regex", "gazetteer", "context", "boundary")
 #: Candidates of a kind, with votes and without, that the classifier is trained on at most; hashed features; and the probability from which an
 #: added span stays.
 SAMPLE, WIDTH, THRESHOLD = 2_000, 1 << 12, 0.5
+#: Groups of candidates by hash that are cut to their share and some spare ones before they meet.
+GROUPS, SPARE = 32, 64
 
 #: Given names the gazetteer knows, in lower case; a parameter's default, not a complete list.
 GIVEN = (
@@ -356,8 +358,11 @@ def train(seen: DataFrame, sample: int = SAMPLE) -> np.ndarray | None:
         if own:
             votes = np.array([unvote(c[1]) for c in own])
             truth |= {(kind, c[1]): x for c, x in zip(own, reliabilities(votes, np.array([c[2] for c in own], dtype=float))[2].tolist())}
-    nth = F.row_number().over(Window.partitionBy("kind", F.col("pattern") == SILENT).orderBy("hash", "pattern"))  # as many a task at most
-    rows = seen.where("n is null").dropDuplicates(["kind", "hash"]).withColumn("nth", nth).where(F.col("nth") <= sample).select("kind", "pattern", "features", "nth").collect()
+    group = ["kind", F.col("pattern") == SILENT]
+    first = F.row_number().over(Window.partitionBy(*group, F.pmod("hash", F.lit(GROUPS))).orderBy("hash", "pattern"))
+    few = seen.where("n is null").dropDuplicates(["kind", "hash"]).withColumn("nth", first).where(F.col("nth") <= sample // GROUPS + SPARE)
+    few = few.withColumn("nth", F.row_number().over(Window.partitionBy(*group).orderBy("hash", "pattern")))
+    rows = few.where(F.col("nth") <= sample).select("kind", "pattern", "features", "nth").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r["kind"], r["pattern"] == SILENT, r["nth"]))
@@ -365,7 +370,9 @@ def train(seen: DataFrame, sample: int = SAMPLE) -> np.ndarray | None:
 
 
 def learn(documents: DataFrame, ws: Workspace, sample: int = SAMPLE) -> np.ndarray | None:
-    return train(ws.table("observed", observed(documents, sample)), sample)
+    weights = train(ws.table("observed", observed(documents, sample)), sample)
+    ws.drop("observed")
+    return weights
 
 
 def find_pii(documents: DataFrame, ws: Workspace, threshold: float = THRESHOLD) -> DataFrame:

@@ -205,6 +205,7 @@ def judge(documents: DataFrame, ws: Workspace, min_chars: int = MIN_CHARS, min_w
         base_stats(F.col("text"), lambda w: [runs(w, F.col("common")).alias("runs")]).alias("s"),
     )
     stats = ws.table("stats", stats.select("doc_id", "lang", "chars", "classes", "s.*"))
+    ws.drop("common")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
     spaces = F.col("chars") - F.col("word_chars")
@@ -218,6 +219,7 @@ def judge(documents: DataFrame, ws: Workspace, min_chars: int = MIN_CHARS, min_w
     again = references(distances(passed, first).where(within)).withColumnsRenamed({"of": "of2", "char_ref": "char2", "word_ref": "word2"})
     refs = first.join(again, F.col("of").eqNullSafe(F.col("of2")), "left")
     refs = ws.table("references", refs.select("of", F.coalesce("char2", "char_ref").alias("char_ref"), F.when(F.col("char2").isNull(), F.col("word_ref")).otherwise(F.col("word2")).alias("word_ref")))
+    ws.drop("medians")
     judged = distances(seen, refs)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & within).alias("kept"), "char_distance", "word_distance")
 
