@@ -76,6 +76,17 @@ def topic_errors(topic: Column, domains=DOMAINS) -> Column:
     return F.when(~is_object, F.array(F.lit("not an object"))).otherwise(F.array_compact(F.array(*checks)))
 
 
+def annotation_schema() -> dict:
+    """The contract as a JSON Schema (draft 7), for tools outside Spark; ``topic_errors`` is its check here."""
+    text = {"type": "string"}
+    topic = {"domain": {"type": "string", "enum": list(DOMAINS)}, "issue": text, "object": {"oneOf": [{"type": "object"}, text]}, "requested_action": text, "attributes": {"type": "object"}}
+    return {
+        "$schema": "http://json-schema.org/draft-07/schema#", "type": "object", "required": ["topics"], "additionalProperties": False,
+        "properties": {"topics": {"type": "array", "items": {"$ref": "#/definitions/topic"}}},
+        "definitions": {"topic": {"type": "object", "required": list(FIELDS), "additionalProperties": False, "properties": topic}},
+    }
+
+
 def contract_errors(df: DataFrame, raw: str = "raw", key: str = "id") -> DataFrame:
     """(key, topic, error): a row a violation; topic is null for those of the whole payload."""
     whole = df.select(key, F.lit(None).cast("int").alias("topic"), parse_error(F.col(raw)).alias("error")).where("error <> ''")

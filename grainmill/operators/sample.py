@@ -215,3 +215,19 @@ def select_gold(df: DataFrame, budget: int, kind: str = "kind", key: str = "row_
         raise ValueError(f"only {len(out)} different texts for {budget} seats")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     return df.sparkSession.createDataFrame(out, f"{key} {kinds[key]}, kind string, method string")
+
+
+def selection_statistics(records: DataFrame, selected: DataFrame, kinds: list[str], splits: list[str], methods=("centroid", "outlier", "multi", "fill"), kind: str = "kind", split: str = "split", text: str = "text") -> DataFrame:
+    """(statistic, value, n): selected and all records by kind, split and method, zeros included, and selected texts that
+    repeat another. ``selected``: kind, split, method, text."""
+    from ..functions.text import normalize
+
+    spark = records.sparkSession
+    names = [("selected by kind", kinds), ("support", kinds), ("selected by split", splits), ("records by split", splits), ("method", list(methods)), ("total", ["selected", "records", "repeated texts"])]
+    want = spark.createDataFrame([(s, v) for s, vs in names for v in vs], "statistic string, value string")
+    count = lambda df, name, c: df.groupBy(c.cast("string").alias("value")).agg(F.count("*").alias("n")).select(F.lit(name).alias("statistic"), "value", "n")
+    got = count(selected, "selected by kind", F.col(kind)).unionByName(count(records, "support", F.col(kind))).unionByName(count(selected, "selected by split", F.col(split)))
+    got = got.unionByName(count(records, "records by split", F.col(split))).unionByName(count(selected, "method", F.col("method")))
+    got = got.unionByName(count(selected, "total", F.lit("selected"))).unionByName(count(records, "total", F.lit("records")))
+    repeated = selected.agg((F.count("*") - F.countDistinct(normalize(F.col(text)))).alias("n")).select(F.lit("total").alias("statistic"), F.lit("repeated texts").alias("value"), "n")
+    return want.join(got.unionByName(repeated), ["statistic", "value"], "left").select("statistic", "value", F.coalesce("n", F.lit(0)).alias("n"))

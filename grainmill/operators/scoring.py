@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, MapType, StringType, StructField, StructType
 
-from ..functions.text import BLANKS, normalize, plain_words, sentences, strip, word_set
+from ..functions.text import BLANKS, WS, normalize, plain_words, sentences, strip, word_set
 
 TOPIC = StructType([StructField(c, StringType()) for c in ("domain", "issue", "object", "requested_action")] + [StructField("attributes", MapType(StringType(), StringType()))])
 #: The domains a topic may have.
@@ -284,3 +284,23 @@ def structure(df: DataFrame) -> DataFrame:
     )
 
 
+
+
+#: What joins a second problem expressly, any conjunction, and ends of sentences and clauses.
+ADDITIVE = r"(?iu)(?:а також|і також|та також|и також|а ще|і ще|та ще)"
+COORDINATE = rf"(?iu)(?:^|[{WS},])[іта](?=[{WS},])"
+CLAUSE_END = r"[.!?;:\n]+"
+
+
+def mechanism(df: DataFrame, additive: str = ADDITIVE, coordinate: str = COORDINATE, boundary=("D",), inline=("B", "C")) -> DataFrame:
+    """All features of cases (id, category, text, expected): those of ``structure`` and how the two problems are joined, where
+    the sentence ends, and how alike the issues are (three digits)."""
+    a, b = F.get("expected", F.lit(0))["issue"], F.get("expected", F.lit(1))["issue"]
+    parts = F.size(F.filter(F.split("text", CLAUSE_END), lambda s: strip(s) != "")).cast("long")
+    like = df.select(F.col("id").alias("__gm_id"), F.round(word_ratio(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))), 3).alias("issue_sim"))
+    told = df.select(
+        F.col("id").alias("__gm_id"), "category", F.col("text").rlike(additive).alias("explicit_additive_marker"), F.col("text").rlike(coordinate).alias("coord_conjunction"), F.col("category").isin(*boundary).alias("boundary_marked"),
+        F.col("category").isin(*inline).alias("inline"), parts.alias("sentences"), (parts >= 2).alias("punct_boundary"),
+    )
+    both = structure(df).join(told, F.col("id") == F.col("__gm_id")).drop("__gm_id").join(like, F.col("id") == F.col("__gm_id")).drop("__gm_id")
+    return both.withColumn("second_similar", F.col("issue_sim") >= 0.30).withColumn("issue_sim_ge_60", F.col("issue_sim") >= 0.60)

@@ -85,6 +85,12 @@ def order_case_structure(spark: SparkSession, d: str) -> DataFrame:
     return scoring.structure(cases(spark, d))
 
 
+def order_mechanism(spark: SparkSession, d: str) -> DataFrame:
+    """How the problems of an order are joined, without the likeness of its issues."""
+    told = scoring.mechanism(cases(spark, d), r"Please replace", r" is ")
+    return told.drop("issue_sim", "second_similar", "issue_sim_ge_60")
+
+
 def order_behaviour(spark: SparkSession, d: str) -> DataFrame:
     """Behaviour of predictions for cases with two expected topics or more, merges told by the likeness of issues."""
     g = generations(spark, d, (0,)).where("expected_topic_count >= 2").withColumn("topics", F.when(F.col("parsed"), F.col("topics")))
@@ -316,7 +322,7 @@ def generation_checks(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        order_case_scores, order_suite_means, order_failure_taxonomy, order_case_structure, order_behaviour, one_topic_metrics, many_topic_metrics, reference_ceiling, faithful_means, common_cases, smoke_cards, decode_grid, decode_best,
+        order_case_scores, order_suite_means, order_failure_taxonomy, order_case_structure, order_mechanism, order_behaviour, one_topic_metrics, many_topic_metrics, reference_ceiling, faithful_means, common_cases, smoke_cards, decode_grid, decode_best,
         decode_moves, decode_histogram, decode_invariance, decode_defects, action_rates, action_disagreement, action_inventions, action_by_bucket, action_by_regime, action_copies, label_audit,
         corpus_composition, exposure_shares, reference_style, residue_hits, quote_artefacts, artefact_outcomes, gate_table, gate_verdicts, release_matrix, success_criteria, fallen_categories,
         named_failures, control_cases, tagged_cases, annotation_errors, generation_checks,
@@ -426,6 +432,10 @@ ORACLE_SQL = {
     "order_case_structure": f"""{_GEN} SELECT id, len(exp) = 2 AND exp[1].o <> '' AND lower(exp[1].o) = lower(exp[2].o) AS same_object, len(exp) = 2 AND (exp[1].o = '' OR exp[2].o = '' OR lower(exp[1].o) <> lower(exp[2].o)) AS different_object,
       len(exp) = 2 AND exp[1].d = exp[2].d AS same_domain, len(exp) = 2 AND exp[1].d <> exp[2].d AS different_domain, len(list_filter(exp, lambda t: t.a <> '')) >= 2 AS multi_action, len(list_filter(exp, lambda t: t.a <> '')) >= 1 AS action_present,
       length(text) < 200 AS short_text, length(text)::INT AS text_len FROM cs""",
+    "order_mechanism": f"""{_GEN} SELECT id, len(exp) = 2 AND exp[1].o <> '' AND lower(exp[1].o) = lower(exp[2].o) AS same_object, len(exp) = 2 AND (exp[1].o = '' OR exp[2].o = '' OR lower(exp[1].o) <> lower(exp[2].o)) AS different_object,
+      len(exp) = 2 AND exp[1].d = exp[2].d AS same_domain, len(exp) = 2 AND exp[1].d <> exp[2].d AS different_domain, len(list_filter(exp, lambda t: t.a <> '')) >= 2 AS multi_action, len(list_filter(exp, lambda t: t.a <> '')) >= 1 AS action_present,
+      length(text) < 200 AS short_text, length(text)::INT AS text_len, category, contains(text, 'Please replace') AS explicit_additive_marker, contains(text, ' is ') AS coord_conjunction, category = 'D' AS boundary_marked, category IN ('B', 'C') AS inline,
+      len(string_split(text, '.'))::BIGINT AS sentences, contains(text, '.') AS punct_boundary FROM cs""",
     "one_topic_metrics": f"""{_ALL}, {_FIRST} SELECT arm, count(*) AS n, round(avg(parsed::INT), 4) AS json_parse_rate, round(avg(parsed::INT), 4) AS schema_validity_rate, round(avg((td = pd)::INT), 4) AS domain_accuracy, round(avg(rl), 4) AS issue_rouge_l,
       round(avg(oe), 4) AS object_exact, round(avg(ov), 4) AS object_token_overlap, round(avg(od), 4) AS object_mismatch_discriminator, round(avg(wa), 4) AS action_presence_target, round(avg(ap), 4) AS action_presence_pred,
       round(avg(am), 4) AS action_presence_match, round(avg(hl), 4) AS hallucination_rate, round(avg(mt), 4) AS multi_topic_rate, round(any_value(f1), 4) AS domain_macro_f1 FROM fo JOIN ff USING (arm) GROUP BY arm""",

@@ -103,6 +103,18 @@ def load_vectors(spark: SparkSession, records: DataFrame, path: str, model: str,
     return vectors if same and vectors.count() == meta["n"] else None
 
 
+def cached_vectors(records: DataFrame, path: str, model: str, split: str, factory, batch: int = 32) -> DataFrame:
+    """The saved vectors of these records (id, uid, kind, content), else new ones by ``factory``, which are saved first."""
+    from ..operators.vectors import embed
+
+    spark = records.sparkSession
+    known = load_vectors(spark, records, path, model, split)
+    if known is None:
+        save_vectors(embed(records, "id", "content", factory, batch), records, path, model, split)
+        known = load_vectors(spark, records, path, model, split)
+    return known
+
+
 def join_vectors(records: DataFrame, vectors: DataFrame, key: str = "id") -> DataFrame:
     """Records with their vectors by key; one without the other fails the run."""
     both = records.withColumn("__gm_l", F.lit(1)).join(vectors.withColumn("__gm_r", F.lit(1)), key, "full_outer")

@@ -276,3 +276,36 @@ def test_named_ids_and_expectations(spark):
     e = spark.createDataFrame([("c1", "SPLIT"), ("c2", "MERGE"), ("c3", "STOP")], "id string, behaviour string")
     b = spark.createDataFrame([("c1", "SPLIT"), ("c2", "STOP")], "id string, behaviour string")
     assert {r["id"]: r["ok"] for r in release.expectations(e, b, ["id"]).collect()} == {"c1": True, "c2": False, "c3": False}
+
+
+def test_vectors_come_from_the_cache_or_the_model(spark, tmp_path):
+    from grainmill.sources import io
+
+    records = spark.createDataFrame([(f"i{k}", f"u{k}", "k", "ab" * k) for k in range(7)], "id string, uid string, kind string, content string")
+    factory = lambda: lambda texts: [[float(len(t)), 1.0] for t in texts]
+    got = {r["id"]: r["vector"] for r in io.cached_vectors(records, str(tmp_path), "m", "train", factory, batch=3).collect()}
+    assert got == {f"i{k}": [2.0 * k, 1.0] for k in range(7)}
+    fail = lambda: lambda texts: 1 / 0
+    assert io.cached_vectors(records, str(tmp_path), "m", "train", fail).count() == 7
+    with pytest.raises(Exception, match="ZeroDivisionError"):
+        io.cached_vectors(records, str(tmp_path), "other", "train", fail)
+
+
+def test_schema_and_selection_statistics(spark):
+    from grainmill.operators import reconcile
+
+    schema = reconcile.annotation_schema()
+    assert schema["definitions"]["topic"]["required"] == list(reconcile.FIELDS) and not schema["additionalProperties"]
+    records = spark.createDataFrame([("a", "train", "x"), ("a", "test", "y"), ("b", "train", "z")], "kind string, split string, text string")
+    picked = spark.createDataFrame([("a", "train", "fill", "x"), ("a", "test", "centroid", " X ")], "kind string, split string, method string, text string")
+    got = {(r["statistic"], r["value"]): r["n"] for r in sample.selection_statistics(records, picked, ["a", "b", "c"], ["train", "validation", "test"]).collect()}
+    assert got["selected by kind", "c"] == 0 and got["support", "a"] == 2 and got["selected by split", "validation"] == 0 and got["method", "outlier"] == 0 and got["total", "repeated texts"] == 1
+
+
+def test_mechanism(spark):
+    from grainmill.operators import scoring
+
+    rows = [(1, "D", "Яма на дорозі. А також стоїть ліфт.", [topic(issue="яма на дорозі"), topic("housing", "яма на дорозі")]), (2, "A", "Тихо", [topic(issue="тихо")])]
+    got = {r["id"]: r for r in scoring.mechanism(spark.createDataFrame(rows, f"id int, category string, text string, expected array<{T}>")).collect()}
+    assert got[1]["explicit_additive_marker"] and got[1]["boundary_marked"] and got[1]["issue_sim"] == 1.0 and got[1]["issue_sim_ge_60"] and got[1]["sentences"] == 2
+    assert not got[2]["punct_boundary"] and got[2]["issue_sim"] == 0.0 and got[2]["sentences"] == 1
