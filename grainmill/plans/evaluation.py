@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize
 from ..operators import curate, measure, sample, scoring, vectors
+from .suites import conversation_sql
 from .tables import JUDGEMENTS, judgements, norm, table
 
 
@@ -154,7 +155,7 @@ def suite_means(spark: SparkSession, d: str) -> DataFrame:
 
 
 def failure_taxonomy(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.taxonomy(case_scores(spark, d))
+    return scoring.taxonomy(case_scores(spark, d)).select("category", "failure", "n", F.col("level").cast("long").alias("level"))
 
 
 def case_structure(spark: SparkSession, d: str) -> DataFrame:
@@ -225,6 +226,7 @@ _GATES = """gates AS (
   UNION ALL SELECT DISTINCT lang, 'length', CAST(NULL AS DOUBLE), false, CAST(NULL AS BOOLEAN) FROM labels JOIN documents USING (doc_id))"""
 
 ORACLE_SQL = {
+    **conversation_sql(),
     "confusion_matrix": f"WITH {_CELLS} SELECT true_label, pred_label, n FROM cells",
     "class_metrics": f"WITH {_CELLS} SELECT kind, CAST(tp AS BIGINT) AS tp, CAST(support AS BIGINT) AS support, round(precision, 4) AS precision, round(recall, 4) AS recall, round(f1, 4) AS f1 FROM per",
     "metric_summary": f"""WITH {_CELLS} SELECT CAST(sum(support) AS BIGINT) AS n, round(sum(tp) / sum(support)::DOUBLE, 6) AS accuracy, round(avg(precision), 6) AS macro_precision, round(avg(recall), 6) AS macro_recall,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import actions, annotation, builder, decoding, measure, release, scoring, suites
 from ..storage import Workspace
-from .tables import table
+from .tables import WS, table
 
 LEAK = "(?i)widget"
 RUNS = (0, 1, 2, 3)
@@ -353,9 +353,9 @@ rouge AS (SELECT ia, ib, 2.0 * r[len(b) + 1] / (len(a) + len(b)) AS f FROM lcs W
 best AS (SELECT run, id, e, max(f) AS f FROM (SELECT run, id, e, x, y FROM (SELECT run, id, generate_subscripts(exp, 1) AS e, unnest(exp) AS x, tp FROM gn), unnest(tp) AS u(y)) p JOIN rouge ON ia = x.i AND ib = y.i GROUP BY run, id, e),
 rg AS (SELECT run, id, sum(f) AS f FROM best GROUP BY run, id)"""
 _SETS = """sc AS (SELECT gn.*, len(exp) AS ne, len(tp) AS np, list_distinct(list_transform(exp, lambda t: t.d)) AS ed, list_distinct(list_transform(tp, lambda t: t.d)) AS pd, coalesce(rg.f, 0) AS rs FROM gn LEFT JOIN rg USING (run, id)),
-ss AS (SELECT *, len(list_intersect(ed, pd)) AS both_, len(list_filter(tp, lambda t: t.a <> '' AND contains(t.i, t.a))) > 0 AS redundant, len(list_filter(tp, lambda t: regexp_matches(t.i, '(?i)widget'))) > 0 AS leak FROM sc),
+ss AS (SELECT *, len(list_intersect(ed, pd)) AS both_, len(list_filter(tp, lambda t: trim(t.a) <> '' AND contains(t.i, trim(t.a)))) > 0 AS redundant, len(list_filter(tp, lambda t: regexp_matches(t.i, '{leak}'))) > 0 AS leak FROM sc),
 st AS (SELECT *, (both_ = len(ed) AND both_ = len(pd))::DOUBLE AS ex, CASE WHEN np = 0 THEN 0.0 ELSE both_ / len(pd)::DOUBLE END AS prec, both_ / len(ed)::DOUBLE AS rec, CASE WHEN np = 0 THEN 0.0 ELSE rs / ne END AS rl FROM ss)"""
-_ALL = f"WITH RECURSIVE {_sql()},\n{_ROUGE},\n{_SETS}"
+_ALL = f"WITH RECURSIVE {_sql()},\n{_ROUGE},\n{_SETS.replace('{leak}', LEAK)}"
 _GEN = f"WITH {_sql()}"
 _B = "CASE WHEN NOT parsed THEN 'JSONFAIL' WHEN len(tp) > len(exp) THEN 'OVER' WHEN len(tp) = len(exp) THEN 'SPLIT' ELSE 'STOP' END"
 _ACT = "len(list_filter(tp, lambda t: t.a <> '')) > 0"
@@ -394,6 +394,29 @@ gt AS (SELECT a.arm, gate, value AS observed, blocking = 'true' AS blocking, CAS
   FROM (SELECT DISTINCT arm FROM ob) a CROSS JOIN rules r LEFT JOIN ob ON ob.arm = a.arm AND ob.key = r.key)"""
 
 
+def conversation_sql() -> dict[str, str]:
+    """SQL of the same scores over the first turns of conversations, whose sentences are the topics."""
+    names = "[" + ", ".join(f"'{x}'" for x in scoring.DOMAINS) + "]"
+    parts = lambda c: f"list_filter(string_split(regexp_replace(trim(regexp_replace(coalesce({c}, ''), '{WS}+', ' ', 'g')), '([.!?]) +', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')"
+    topics = lambda c: f"list_transform({parts(c)}, lambda x: {{'d': {names}[1 + length(x) % 13], 'i': x, 'o': '', 'a': x[1:12]}})"
+    own = f"""cv AS (SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'user') AS text, arg_min(text, turn) FILTER (WHERE role = 'assistant') AS reply, count(*) FILTER (WHERE role = 'user') AS u, count(*) FILTER (WHERE role = 'assistant') AS v FROM conversations GROUP BY conv_id),
+gn AS (SELECT 0 AS run, conv_id AS id, conv_id % 5 AS category, text, {topics('text')} AS exp, {topics('reply')} AS tp, length(reply) > 0 AS parsed FROM cv WHERE u > 0 AND v > 0)"""
+    scores = f"WITH RECURSIVE {own},\n{_ROUGE},\n{_SETS.replace('{leak}', '(?i)thank|please')}"
+    exact = "CASE WHEN ne = 0 THEN (np = 0)::DOUBLE ELSE (both_ = len(ed) AND both_ = len(pd))::DOUBLE END"
+    prec = "CASE WHEN ne = 0 THEN (np = 0)::DOUBLE WHEN np = 0 THEN 0.0 ELSE both_ / len(pd)::DOUBLE END"
+    rec = "CASE WHEN ne = 0 THEN (np = 0)::DOUBLE ELSE both_ / len(ed)::DOUBLE END"
+    rl = "CASE WHEN ne = 0 THEN (np = 0)::DOUBLE WHEN np = 0 THEN 0.0 ELSE rs / ne END"
+    told = f"{scores}, tt AS (SELECT * EXCLUDE (ex, prec, rec, rl), {exact} AS ex, {prec} AS prec, {rec} AS rec, {rl} AS rl FROM st)"
+    return {
+        "case_scores": f"""{told} SELECT id, category, length(text)::INT AS text_len, parsed AS json_ok, parsed AS schema_ok, ne::INT AS expected_topic_count, np::INT AS predicted_topic_count, ne = np AS topic_count_ok, ex AS domain_set_exact, prec AS domain_set_precision,
+          rec AS domain_set_recall, rl AS issue_rouge_l_best, leak AS boilerplate_leak, redundant AS action_redundant, false AS out_of_enum_domain, np <> len(pd) AS duplicate_domain FROM tt""",
+        "suite_means": f"{told} SELECT category, count(*) AS n, {_MEANS} FROM tt GROUP BY category",
+        "failure_taxonomy": f"""{told}, f AS (SELECT category, {_DIM} AS failure FROM tt) SELECT category, failure, count(*) AS n, 0::BIGINT AS level FROM f GROUP BY category, failure UNION ALL SELECT NULL, NULL, count(*), 3 FROM f""",
+        "case_structure": f"""WITH {own}, x AS (SELECT *, list_transform(exp, lambda t: t.d) AS ds, len(list_filter(exp, lambda t: trim(t.a) <> '')) AS acts FROM gn) SELECT id, false AS same_object, len(exp) = 2 AS different_object, len(exp) = 2 AND ds[1] = ds[2] AS same_domain,
+          len(exp) = 2 AND ds[1] <> ds[2] AS different_domain, acts >= 2 AS multi_action, acts >= 1 AS action_present, length(text) < 200 AS short_text, length(text)::INT AS text_len FROM x""",
+    }
+
+
 def _matrix_sql() -> str:
     binary = [k for k, *_, kind in release.DIMENSIONS if kind == "binary"]
     dims = ", ".join(str((k, s, g, str(b).lower(), str(h).lower(), float(t), kind)) for k, s, g, b, h, t, kind in release.DIMENSIONS)

@@ -150,6 +150,13 @@ ORACLE_SQL = {
     "plain_words": f"""SELECT doc_id, CAST(len(list_filter(string_split_regex(regexp_replace(translate(lower(coalesce(text, '')), '’‘', ''''''),
       '[^\\p{{L}}\\p{{N}}_{WS[1:-1]}]', ' ', 'g'), '{WS}+'), lambda x: x <> '')) AS BIGINT) AS n_words FROM documents""",
     "sentence_counts": f"SELECT doc_id, CAST(len(list_filter(string_split(regexp_replace({_COLLAPSED}, '([.!?]) +', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')) AS BIGINT) AS n_sentences FROM documents",
+    "paired_quotes": f"""WITH x AS (SELECT doc_id, string_split(regexp_replace(text, '(\\p{{L}})"(\\p{{L}})', '\\1’\\2', 'g'), '"') AS p FROM documents WHERE contains(text, '"'))
+      SELECT doc_id, regexp_replace(array_to_string(list_transform(p, lambda s, i: CASE WHEN i % 2 = 1 THEN s WHEN i = len(p) THEN '"' || s WHEN s = '' THEN '""' ELSE '“' || s || '”' END), ''), '^{WS}+|{WS}+$', '', 'g') AS text FROM x""",
+    "alternate_quotes": """WITH RECURSIVE x AS (SELECT doc_id, string_split(text, '"') AS p FROM documents WHERE contains(text, '"')),
+      r AS (SELECT doc_id, p, 1 AS i, p[1] AS text, true AS opens FROM x
+        UNION ALL SELECT doc_id, p, i + 1, text || CASE WHEN regexp_matches(p[i], '[0-9A-Za-zА-яІіЇїЄєҐґ]$') AND regexp_matches(p[i + 1], '^[0-9A-Za-zА-яІіЇїЄєҐґ]') THEN '’' WHEN opens THEN '“' ELSE '”' END || p[i + 1],
+          CASE WHEN regexp_matches(p[i], '[0-9A-Za-zА-яІіЇїЄєҐґ]$') AND regexp_matches(p[i + 1], '^[0-9A-Za-zА-яІіЇїЄєҐґ]') THEN true ELSE NOT opens END FROM r WHERE i < len(p))
+      SELECT doc_id, text FROM r WHERE i = len(p)""",
     "lower_first": "SELECT doc_id, md5(lower(text[1:1]) || text[2:]) AS md5 FROM documents",
     "boilerplate_scores": """SELECT doc_id, CASE WHEN contains(lower(text), 'licensed under') THEN 3.0::DOUBLE ELSE 0 END + CASE WHEN contains(lower(text), 'public license') THEN 1.0::DOUBLE ELSE 0 END
       + CASE WHEN contains(lower(text), 'version 2') OR contains(lower(text), 'version 3') THEN 2.0::DOUBLE ELSE 0 END
