@@ -2,6 +2,7 @@ import math
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from grainmill.operators import measure
 
@@ -56,3 +57,15 @@ def test_verdicts(spark):
 def test_upper_median(spark):
     df = spark.createDataFrame([(1,), (2,), (3,), (4,)], "v int")
     assert measure.upper_median(df.selectExpr("1 as k", "v"), "k", "v").first()["median"] == 3
+
+
+def test_both_ways_of_resampling_agree(spark, monkeypatch):
+    rows = [(i, i % 3 == 0, i % 2 == 0) for i in range(600)]
+    pairs = spark.createDataFrame(rows, "id int, a boolean, b boolean").select("id", F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"))
+    one = measure.bootstrap(pairs, 800).first()
+    monkeypatch.setattr(measure, "DIFFERENT", 1)
+    other = measure.bootstrap(pairs, 800).first()
+    assert one["n"] == other["n"] == 600 and one["delta"] == pytest.approx(1 / 6) and one["supported"] and other["supported"]
+    assert one["lo"] == pytest.approx(other["lo"], abs=0.02) and one["hi"] == pytest.approx(other["hi"], abs=0.02)
+    empty = measure.bootstrap(pairs.limit(0), 50).first()
+    assert empty["n"] == 0 and empty["delta"] is None
