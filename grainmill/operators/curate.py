@@ -191,14 +191,33 @@ def capped(df: DataFrame, key: str, most: int, ordinal: str) -> DataFrame:
     return df.withColumn("__gm_nth", F.row_number().over(Window.partitionBy(key).orderBy(ordinal))).where(F.col("__gm_nth") <= most).drop("__gm_nth")
 
 
-def run_lengths(df: DataFrame, label: str, ordinal: str, partition: str | None = None) -> DataFrame:
-    """Runs of equal labels in order: (partition), run, label, length, and the first ordinal."""
-    keys = [partition] if partition else []
-    w = Window.partitionBy(*keys).orderBy(ordinal) if keys else Window.orderBy(ordinal)
-    new = F.coalesce((~F.col(label).eqNullSafe(F.lag(label).over(w))).cast("int"), F.lit(1))
-    first = F.row_number().over(w) == 1
-    marked = df.withColumn("run", F.sum(F.when(first, 1).otherwise(new)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*keys, "run", F.col(label).alias("label")).agg(F.count("*").alias("length"), F.min(ordinal).alias("first"))
+#: Ordinals of a part of an unpartitioned order.
+CHUNK = 100_000
+
+
+def run_lengths(df: DataFrame, label: str, ordinal: str, partition: str | None = None, chunk: int = CHUNK) -> DataFrame:
+    """Runs of equal labels in order: (partition), run, label, length, and the first ordinal.
+
+    Without a partition, the order is cut into parts of ``chunk`` ordinals (numbers, not necessarily dense): each part
+    learns the label before it from the parts' last labels, numbers its own runs, and adds those of the parts before.
+    """
+    if partition:
+        w = Window.partitionBy(partition).orderBy(ordinal)
+        new = F.coalesce((~F.col(label).eqNullSafe(F.lag(label).over(w))).cast("int"), F.lit(1))
+        first = F.row_number().over(w) == 1
+        marked = df.withColumn("run", F.sum(F.when(first, 1).otherwise(new)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        return marked.groupBy(partition, "run", F.col(label).alias("label")).agg(F.count("*").alias("length"), F.min(ordinal).alias("first"))
+    rows = df.select(F.col(label).alias("label"), F.col(ordinal).alias("at"), F.floor(F.col(ordinal) / chunk).alias("part"))
+    order = Window.orderBy("part")  # a row a part
+    ends = rows.groupBy("part").agg(F.max_by("label", "at").alias("last"))
+    ends = ends.select("part", F.lag("last").over(order).alias("before"), (F.row_number().over(order) > 1).alias("some"))
+    w = Window.partitionBy("part").orderBy("at")
+    own = rows.join(ends, "part").withColumn("top", F.row_number().over(w) == 1).withColumn("lag", F.lag("label").over(w))
+    previous = F.when(F.col("top"), F.col("before")).otherwise(F.col("lag"))
+    own = own.withColumn("new", F.when(F.col("top") & ~F.col("some"), 1).when(~F.col("label").eqNullSafe(previous), 1).otherwise(0))
+    ahead = own.groupBy("part").agg(F.sum("new").alias("n")).select("part", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    numbered = own.withColumn("nth", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).join(ahead, "part")
+    return numbered.groupBy((F.col("ahead") + F.col("nth")).alias("run"), "label").agg(F.count("*").alias("length"), F.min("at").alias("first"))
 
 
 def gaps(df: DataFrame, value: str, first: int, last: int, step: int) -> DataFrame:

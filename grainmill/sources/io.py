@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.audit import records_fingerprint
+from ..storage import unused
 
 #: The columns of a raw appeal.
 APPEAL_COLUMNS = (
@@ -123,6 +124,13 @@ def join_vectors(records: DataFrame, vectors: DataFrame, key: str = "id") -> Dat
     return both.withColumn("__gm_ok", checked.cast("boolean")).where("__gm_ok").drop("__gm_l", "__gm_r", "__gm_ok")
 
 
-def dense(df: DataFrame, by: str, name: str = "ordinal") -> DataFrame:
-    """A dense ordinal from 0 by a column, for frames that fit one task."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(by)) - 1)
+def dense(df: DataFrame, by: str, ws, name: str = "ordinal") -> DataFrame:
+    """A dense ordinal from 0 by a column: rows are range-sorted and written to the workspace with their range, ranges are
+    counted, and each numbers its rows from what the ranges before it hold."""
+    (part,) = unused([*df.columns, name], "part")
+    ranged = ws.table(f"dense-{name}", df.repartitionByRange(by).withColumn(part, F.spark_partition_id()))
+    ahead = F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    starts = ranged.groupBy(part).agg(F.count("*").alias("n")).select(F.col(part).alias("of"), F.coalesce(ahead, F.lit(0)).alias("ahead"))
+    nth = F.row_number().over(Window.partitionBy(part).orderBy(by)) - 1
+    told = ranged.withColumn(name, nth).join(starts, F.col(part) == F.col("of"))
+    return told.withColumn(name, (F.col("ahead") + F.col(name)).cast("long")).select(*df.columns, name)

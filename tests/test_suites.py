@@ -309,3 +309,27 @@ def test_mechanism(spark):
     got = {r["id"]: r for r in scoring.mechanism(spark.createDataFrame(rows, f"id int, category string, text string, expected array<{T}>")).collect()}
     assert got[1]["explicit_additive_marker"] and got[1]["boundary_marked"] and got[1]["issue_sim"] == 1.0 and got[1]["issue_sim_ge_60"] and got[1]["sentences"] == 2
     assert not got[2]["punct_boundary"] and got[2]["issue_sim"] == 0.0 and got[2]["sentences"] == 1
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 1000])
+def test_runs_without_a_partition(spark, chunk):
+    import itertools
+
+    rng = random.Random(chunk)
+    rows = [(i * rng.randrange(1, 3) + 3 * i, rng.choice(["a", "b", None])) for i in range(60)]
+    rows = sorted({k: v for k, v in rows}.items())
+    want, k = [], 0
+    for n, (label, group) in enumerate(itertools.groupby(rows, key=lambda r: r[1]), 1):
+        group = list(group)
+        want.append((n, label, len(group), group[0][0]))
+    got = curate.run_lengths(spark.createDataFrame(rows, "at int, l string"), "l", "at", chunk=chunk).orderBy("run").collect()
+    assert [(r["run"], r["label"], r["length"], r["first"]) for r in got] == want
+
+
+def test_dense_ordinals(spark):
+    from grainmill.sources import io
+
+    rows = [(i * 7 % 101, "x") for i in range(101)]
+    df = spark.createDataFrame(rows, "k int, part string").repartition(5)
+    got = io.dense(df, "k", Workspace(spark, "dense")).orderBy("k").collect()
+    assert [(r["k"], r["ordinal"], r["part"]) for r in got] == [(i, i, "x") for i in range(101)]
