@@ -67,3 +67,46 @@ def test_empty_and_extra_columns(spark, messy, empty):
             out = stage(spark, docs, D)
             assert name == "packing" or out.columns == docs.columns, name
             out.count()
+
+
+def test_run_end_to_end(spark, tmp_path):
+    """From documents to packed ids, against what the stages owe: copies gone, personal data marked, the mix in order."""
+    import random
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from grainmill.llm.tokenizing import default_path
+
+    rng = random.Random(12)
+    word = lambda: "w" + str(rng.randrange(500))
+    base = [[word() for _ in range(rng.randrange(60, 90))] for _ in range(24)]
+    rows = [(i, " ".join(w), "en", "ab"[i % 2]) for i, w in enumerate(base)]
+    rows += [(100 + i, " ".join(base[i]), "en", "b") for i in range(4)]  # copies
+    rows += [(200 + i, " ".join(base[i][:-1] + ["edited"]), "en", "a") for i in range(4, 8)]  # near copies
+    rows += [(300, " ".join([word() for _ in range(60)]) + " write to me@example.org now", "en", "a"), (301, "", "en", "b"), (302, None, "en", None)]
+    docs = spark.createDataFrame([(i, t, la, s, len(t) if t is not None else None) for i, t, la, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+
+    got = corpus_pipeline.run(spark, str(tmp_path)).orderBy("slot", "at", "start").collect()
+    # two labels train no rules, so nothing is rejected; of copies the first stays; blank texts stay and are never taken
+    kept = [(i, t.replace("me@example.org", "<EMAIL>") if t else t, la, s) for i, t, la, s in rows if i < 100 or i >= 300]
+    frame = spark.createDataFrame([(i, t, la, s, len(t) if t is not None else None) for i, t, la, s in kept], docs.schema)
+    want = mixing.mix(frame, Workspace(spark, "t"), h=F.xxhash64(*frame.columns)).curriculum.select("doc_id", "take", "position").collect()
+    text = {i: t for i, t, *_ in kept}
+    library = Tokenizer.from_file(default_path())
+    ids = lambda i, n: [*library.encode(text[i] if n == len(text[i].split()) else " ".join(text[i].split()[:n]), add_special_tokens=False).ids, 1]
+    found, places = [], {}
+    for r in got:
+        if r["start"] == 0:
+            found.append((r["doc_id"], []))
+        assert r["start"] == len(found[-1][1]) and found[-1][0] == r["doc_id"]
+        found[-1][1].extend(np.frombuffer(r["ids"], dtype="<u4").tolist())
+    due = [(r["doc_id"], ids(r["doc_id"], r["take"]), r["position"]) for r in want]
+    assert sorted(found) == sorted((i, x) for i, x, _ in due)
+    for i, x, position in due:
+        places.setdefault((i, tuple(x)), []).append(position)
+    at = [places[i, tuple(x)].pop(0) for i, x in found]
+    assert at == sorted(at)
+    assert sorted(r["sequence_id"] for r in got) == list(range(len(got)))
