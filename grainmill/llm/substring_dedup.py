@@ -39,6 +39,8 @@ from .text import finish, word_hashes
 WIDTH, ANCHOR = 35, 8
 #: Words of one shard's automaton at most; a state takes some 400 bytes.
 SHARD_WORDS = 150_000
+#: Texts whose runs a task holds at once.
+ROWS = 2_048
 #: Words of a broadcast reference at most.
 REFERENCE_WORDS = 500_000
 #: Removed windows, asked ones, and removed ones that others are compared with.
@@ -151,10 +153,10 @@ def _blobs(order: np.ndarray, starts: np.ndarray, data: np.ndarray) -> pa.Array:
 
 
 def _anchors(docs: DataFrame, width: int) -> DataFrame:
-    """(key, seg, where): equal runs of one batch in one row; where: doc_id, text key and both windows of each."""
+    """(key, seg, where): equal runs of some texts in one row; where: doc_id, text key and both windows of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             keys, segs, data = [], [], []
             for row, tkey, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 key, seg, a, b = runs(tokens(text), width)
