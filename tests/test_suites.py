@@ -333,3 +333,20 @@ def test_dense_ordinals(spark):
     df = spark.createDataFrame(rows, "k int, part string").repartition(5)
     got = io.dense(df, "k", Workspace(spark, "dense")).orderBy("k").collect()
     assert [(r["k"], r["ordinal"], r["part"]) for r in got] == [(i, i, "x") for i in range(101)]
+
+
+def test_scores_of_a_grid_are_those_of_the_summary(spark):
+    from grainmill.operators import measure, vectors
+
+    rng = random.Random(3)
+    pairs = [(rng.randrange(4), rng.randrange(5)) for _ in range(80)]
+    df = spark.createDataFrame([(i, str(a), str(b)) for i, (a, b) in enumerate(pairs)], "ordinal int, true_kind string, predicted_kind string")
+    cells = measure.confusion(df, spark.createDataFrame([(str(k),) for k in range(5)], "kind string"))
+    want = measure.summary(cells, present_only=True).first()
+    counts = {(r["true_label"], r["pred_label"]): r["n"] for r in cells.collect() if r["n"]}
+    assert vectors.f1_of(counts, "macro_f1") == pytest.approx(want["macro_f1"]) and vectors.f1_of(counts, "weighted_f1") == pytest.approx(want["weighted_f1"])
+    rows = [(i, [float(i % 3 == k) + rng.random() / 4 for k in range(3)], i % 3) for i in range(90)]
+    v = spark.createDataFrame(rows, "id int, vector array<double>, label int")
+    model = vectors.VectorClassifier()
+    scores = model.tune(v.where("id < 60"), v.where("id between 60 and 74"), (0.1, 10.0), "weighted_f1")
+    assert [s for s, _ in scores] == [0.1, 10.0] and model.fit(v.where("id < 75")).predict(v.where("id >= 75")).where("prediction <> label").count() == 0
