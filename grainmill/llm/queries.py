@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import Workspace
-from . import fingerprints, jaccard_join, mixing, packing, pii, quality_rules, rule_ensemble, secrets, substring_dedup, token_file
+from . import fill_middle, fingerprints, jaccard_join, licenses, mixing, packing, pii, quality_rules, rule_ensemble, secrets, substring_dedup, timestamps, token_file
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,5 +53,26 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.round_trip(_documents(spark, sf_dir), Workspace(spark, "op10"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_secrets, op4_quality_classifier, op5_pii, op6_jaccard_join, op7_packing, op8_substring_dedup, op9_fingerprints, op10_token_file)}
-ORACLE_SQL = {"op1_mixing": mixing.SQL, "op2_quality_rules": quality_rules.SQL, "op3_secrets": secrets.SQL, "op6_jaccard_join": jaccard_join.SQL, "op8_substring_dedup": substring_dedup.SQL}
+def op11_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timestamps.normalise(spark.read.parquet(f"{sf_dir}/stamps.parquet"), Workspace(spark, "op11"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(fill_middle.fill_in_middle(_documents(spark, sf_dir), Workspace(spark, "op12")))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    Workspace(spark, "op13")
+    return licenses.digest(licenses.find_licenses(_documents(spark, sf_dir)))
+
+
+_ALL = (
+    op1_mixing, op2_quality_rules, op3_secrets, op4_quality_classifier, op5_pii, op6_jaccard_join, op7_packing,
+    op8_substring_dedup, op9_fingerprints, op10_token_file, op11_timestamps, op12_fill_middle, op13_licenses,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLE_SQL = {
+    "op1_mixing": mixing.SQL, "op2_quality_rules": quality_rules.SQL, "op3_secrets": secrets.SQL,
+    "op6_jaccard_join": jaccard_join.SQL, "op8_substring_dedup": substring_dedup.SQL,
+    "op11_timestamps": timestamps.SQL, "op12_fill_middle": fill_middle.SQL,
+}
