@@ -16,6 +16,7 @@ PATTERNS = [
     (rf"(?P<d>[0-9]{{2}}) (?P<b>{'|'.join(MONTHS)}) (?P<y>20[0-9]{{2}})", False),
     (r"(?P<d>[0-9]{2})/(?P<m>[0-9]{2})/(?P<y>20[0-9]{2})", True),
 ]
+ZONES = zoneinfo.available_timezones()
 SUFFIX = r"(?:[T ](?P<h>[0-9]{2}):(?P<mi>[0-9]{2})(?::(?P<s>[0-9]{2}))?(?: ?(?P<half>[AP]M))?(?: ?(?P<off>Z|[+-][0-9]{2}:?[0-9]{2}))?)?"
 
 
@@ -55,7 +56,7 @@ def read(row):
             if int(away[1:3]) > 14 or int(away[3:]) > 59:
                 return None
             offset = (1 if away[0] == "+" else -1) * (int(away[1:3]) * 60 + int(away[3:]))
-        elif row[2] is None or row[2] not in zoneinfo.available_timezones():
+        elif row[2] is None or row[2] not in ZONES:
             return None
         return readings, hour * 3600 + minute * 60 + second, offset
     return None
@@ -136,7 +137,7 @@ def test_changes_of_all_zones(spark, ws):
     """Wall times around every change of every zone that both zone tables know alike."""
     known = set(spark.sparkContext._jvm.java.time.ZoneId.getAvailableZoneIds())
     rows, utc = [], timezone.utc
-    for zone in sorted(zoneinfo.available_timezones() & known):
+    for zone in sorted(ZONES & known):
         info, at = zoneinfo.ZoneInfo(zone), datetime(2004, 1, 1, tzinfo=utc)
         if zone.startswith(("posix", "right", "System")):
             continue
