@@ -1,7 +1,7 @@
 """Augmentation: pairs of records, replication, streams, corpus profiles.
 
-Pairs are found by equality joins on a key (a street, a bucket), of the first few rows of each domain, and of more of
-them only for keys that still lack pairs, so a hot key never makes the square of its rows. Orders are hashes of a seed and the ids: the same rows for a seed, and not
+Pairs are found by equality joins on a key of the first few rows of each domain, or among neighbours (``pairing``), so a
+hot key never makes the square of its rows. Orders are hashes of a seed and the ids: the same rows for a seed, and not
 those of another engine's random numbers.
 """
 
@@ -30,49 +30,35 @@ def without_texts(df: DataFrame, frozen: DataFrame, text: str = "content") -> Da
     return df.withColumn("__gm_t", F.md5(normalize(F.col(text)))).join(known, "__gm_t", "left_anti").drop("__gm_t")
 
 
-def pairs_by_key(df: DataFrame, key: str, uid: str, domain: str, per_key: int = 3, seed: int = 42, extra: Column | None = None, ws=None) -> DataFrame:
+def pairs_by_key(df: DataFrame, key: str, uid: str, domain: str, per_key: int = 3, seed: int = 42) -> DataFrame:
     """(key, a_*, b_*, nth): pairs of different domains with one key, ``per_key`` a key or as many as there are, in a seeded
-    order among those of the rows that take part.
-
-    The first ``per_key`` rows of each domain, in a seeded order, hold ``per_key`` pairs of a key if there are so many.
-    With ``extra``, a condition over a_* and b_* columns, keys that lack pairs are tried again with four times the rows of
-    each domain, until they have enough or all their rows took part; rounds are written to the workspace ``ws``.
-    """
+    order among those of the rows that take part: the first ``per_key`` rows of each domain, in a seeded order, which hold
+    ``per_key`` pairs of a key if there are so many. ``pairing.pairs`` is for pairs that must meet further conditions."""
     w = Window.partitionBy(key, domain).orderBy(seeded(seed, uid), uid)
-    ranked = df.withColumn("__gm_nth", F.row_number().over(w))
-    ranked = ranked if extra is None else ws.table("ranked", ranked)
+    few = df.withColumn("__gm_nth", F.row_number().over(w)).where(F.col("__gm_nth") <= per_key).drop("__gm_nth")
+    a = few.select(F.col(key), *[F.col(c).alias(f"a_{c}") for c in few.columns if c != key])
+    b = few.select(F.col(key), *[F.col(c).alias(f"b_{c}") for c in few.columns if c != key])
+    both = a.join(b, key).where((F.col(f"a_{uid}") < F.col(f"b_{uid}")) & (F.col(f"a_{domain}") != F.col(f"b_{domain}")))
     order = Window.partitionBy(key).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(f"a_{uid}").cast("string"), F.col(f"b_{uid}").cast("string"))), f"a_{uid}", f"b_{uid}")
-
-    def found(rows: DataFrame) -> DataFrame:
-        few = rows.drop("__gm_nth")
-        a = few.select(F.col(key), *[F.col(c).alias(f"a_{c}") for c in few.columns if c != key])
-        b = few.select(F.col(key), *[F.col(c).alias(f"b_{c}") for c in few.columns if c != key])
-        both = a.join(b, key).where((F.col(f"a_{uid}") < F.col(f"b_{uid}")) & (F.col(f"a_{domain}") != F.col(f"b_{domain}")))
-        both = both if extra is None else both.where(extra)
-        return both.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_key)
-
-    if extra is None:
-        return found(ranked.where(F.col("__gm_nth") <= per_key))
-    most, out, step = per_key, None, 0
-    left = ranked
-    while True:
-        told = ws.table(f"pairs-{step}", found(left.where(F.col("__gm_nth") <= most)))
-        enough = told.groupBy(key).agg(F.count("*").alias("__gm_c"))
-        rows = left.groupBy(key).agg(F.max("__gm_nth").alias("__gm_m")).join(enough, key, "left")
-        again = ws.table(f"again-{step}", rows.where((F.coalesce("__gm_c", F.lit(0)) < per_key) & (F.col("__gm_m") > most)).select(key))
-        done = told.join(again, key, "left_anti")
-        out = done if out is None else out.unionByName(done)
-        if not again.limit(1).count():
-            return out
-        left, most, step = left.join(again, key, "left_semi"), 4 * most, step + 1
-
-
-def random_pairs(df: DataFrame, uid: str, domain: str, n: int, rows: int = 64, seed: int = 42, extra: Column | None = None, ws=None) -> DataFrame:
-    """``n`` pairs of different domains at most: rows are dealt to hashed buckets of about ``rows``, which give pairs in turn."""
-    buckets = max(1, df.count() // rows)
-    dealt = df.withColumn("__gm_key", F.pmod(F.xxhash64(seeded(seed, uid)), F.lit(buckets)))
-    found = pairs_by_key(dealt, "__gm_key", uid, domain, per_key=-(-2 * n // buckets), seed=seed, extra=extra, ws=ws)
-    return found.orderBy("nth", "__gm_key").limit(n).drop("__gm_key", "nth")
+    return both.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_key)
+
+
+def random_pairs(df: DataFrame, uid: str, domain: str, n: int, rows: int = 64, seed: int = 42, extra: Column | None = None, turns: int = 4) -> DataFrame:
+    """``n`` pairs of different domains at most, for which ``extra`` holds (over a_* and b_* columns). Rows are dealt to hashed
+    buckets of about ``rows`` and paired with their neighbours there, in ``turns`` seeded orders; no pair comes twice."""
+    from . import pairing
+
+    buckets, out = max(1, df.count() // rows), None
+    for turn in range(turns):
+        own = df.withColumn("__gm_key", F.pmod(F.xxhash64(seeded(seed + turn, uid)), F.lit(buckets)))
+        side = lambda x: [F.col(f"{x}.{c}").alias(f"{x}_{c}") for c in df.columns]
+        found = pairing.neighbours(own, "__gm_key", uid, domain, seed=seed + turn).select(F.lit(turn).alias("__gm_turn"), *side("a"), *side("b"))
+        found = found.where(F.col(f"a_{domain}") != F.col(f"b_{domain}"))
+        found = found if extra is None else found.where(extra)
+        out = found if out is None else out.unionByName(found)
+    two = [F.least(f"a_{uid}", f"b_{uid}"), F.greatest(f"a_{uid}", f"b_{uid}")]
+    once = out.withColumn("__gm_nth", F.row_number().over(Window.partitionBy(*two).orderBy("__gm_turn"))).where("__gm_nth = 1")
+    return once.orderBy("__gm_turn", seeded(seed, f"a_{uid}", f"b_{uid}"), f"a_{uid}").limit(n).drop("__gm_turn", "__gm_nth")
 
 
 def independent(a: Column, b: Column, least: int = 30) -> Column:

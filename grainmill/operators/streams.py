@@ -140,7 +140,7 @@ def paired(pool: DataFrame, frozen: DataFrame, n: int, style: str, ws, seed: int
         rows = rows.where(short)
         extra = (strip(F.left(a("action"), F.lit(25))) != strip(F.left(b("action"), F.lit(25)))) & ~augment.clash(a("kind"), b("kind"), clash_rules)
         make, most, tag = note_texts, None, "NT"
-        found = augment.random_pairs(rows, "uid", "domain", 2 * n, seed=seed, extra=extra, ws=ws)
+        found = augment.random_pairs(rows, "uid", "domain", 2 * n, seed=seed, extra=extra)
         found = found.withColumnsRenamed({"a_phrase": "a_act", "b_phrase": "b_act"}).drop("a_action", "b_action").withColumnsRenamed({"a_act": "a_action", "b_act": "b_action"})
     else:
         make, most, tag = (registry_texts, 2500, "RS") if style == "registry" else (joined_texts, 2000, "SC")

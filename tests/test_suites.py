@@ -217,22 +217,6 @@ def test_selection_takes_no_text_twice(spark):
         sample.select_gold(df, 38, least=3)
 
 
-def test_pairs_with_a_condition_are_found_wherever_they_are(spark):
-    rows = [(i, "hot" if i < 200 else f"k{i % 5}", i % 2, i) for i in range(260)]
-    df = spark.createDataFrame(rows, "uid long, street string, domain int, n int")
-    rare = (F.col("a_n") + F.col("b_n")) % 97 == 0
-    got = augment.pairs_by_key(df, "street", "uid", "domain", 2, extra=rare, ws=Workspace(spark, "pairs")).collect()
-    want = {}
-    for a in rows:
-        for b in rows:
-            if a[1] == b[1] and a[0] < b[0] and a[2] != b[2] and (a[3] + b[3]) % 97 == 0:
-                want[a[1]] = want.get(a[1], 0) + 1
-    told = {}
-    for r in got:
-        told[r["street"]] = told.get(r["street"], 0) + 1
-    assert told == {k: min(n, 2) for k, n in want.items()}
-
-
 def test_dangling_identity_words_go_to_the_last(spark):
     one = re.compile(r"(?:^|[\s.;,])за(?:явник|явниц|явники|явницям|явкою|я)\w*\s*$", re.IGNORECASE)
 
