@@ -181,19 +181,65 @@ def exposure_by(files: DataFrame, *by: str) -> DataFrame:
     return files.groupBy(*by).agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
 
 
-def read_by(files: DataFrame, readers: DataFrame, common: tuple[str, ...] = ("data",)) -> DataFrame:
-    """(path, reader): files that a reader's body (reader, body) mentions, by the last folder and the name, or by the name
-    together with any folder above it but the first and the common ones.
+#: Characters of a gram by which tokens are looked up in the list of all tokens.
+GRAM = 3
+
+
+def _tokens(x: Column) -> Column:
+    """Distinct runs of non-blank characters."""
+    return F.array_distinct(F.regexp_extract_all(x, F.lit(r"(\S+)"), F.lit(1)))
+
+
+def _grams(x: Column, k) -> Column:
+    """Distinct parts of ``k`` characters of a token; none of a shorter one."""
+    k = F.lit(k) if isinstance(k, int) else k
+    each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - k + 1, F.lit(1))), lambda i: F.substr(x, i, k))
+    return F.when(F.length(x) >= k, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
 
-    Names are few and found in one pass over each body; only files whose name is there are then looked at.
+
+def mentions(needles: DataFrame, bodies: DataFrame, ws, body_id: str = "reader", body: str = "body") -> DataFrame:
+    """(needle, body_id): every body that contains all strings of a needle, by joins on equality only. ``needles``: needle,
+    an array of strings.
+
+    A run of non-blank characters of such a string lies inside one such run of the body. Bodies are therefore tokenised once
+    into postings (token, body). A needle is looked up by one of its runs only, the one that fewest of all different tokens
+    may contain, in the list of these tokens, which grows far slower than the bodies. That look-up is a join on grams of
+    three characters: the rarest gram of the run. What is found is verified in the list, then in the bodies. Postings,
+    tokens and grams are written, since bodies are dear to tokenise.
+
+    A needle without a non-blank character, or with a null string, fails the run; null needles and bodies take no part.
     """
+    own = needles.select("needle").dropna().distinct()
+    runs = F.array_distinct(F.flatten(F.transform("needle", _tokens)))
+    blank = F.raise_error(F.lit("a needle without a character that is not blank")).cast("array<string>")
+    own = own.withColumn("runs", F.when(F.size(runs) > 0, runs).otherwise(blank))
+    postings = ws.table("postings", bodies.dropna(subset=[body]).select(F.col(body_id).alias("id"), F.explode(_tokens(F.col(body))).alias("token")))
+    known = ws.table("tokens", postings.select("token").distinct())
+    # the grams of every token, and its shorter parts, by which runs that are shorter than a gram are found
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda k: _grams(F.col("token"), k)))
+    grams = ws.table("grams", known.select("token", F.explode(F.array_distinct(parts)).alias("gram")))
+    weights = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    asked = own.select("needle", F.explode("runs").alias("run"))
+    asked = asked.select("needle", "run", F.explode(_grams(F.col("run"), F.least(F.length("run"), F.lit(GRAM)))).alias("gram"))
+    rated = asked.join(weights, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    best = rated.groupBy("needle").agg(F.min_by(F.struct("run", "gram"), F.struct("n", "run", "gram")).alias("c"))
+    held = best.select("needle", "c.run", "c.gram").join(grams, "gram").where(F.contains("token", F.col("run")))
+    found = held.select("needle", "token").join(postings, "token").select("needle", "id").distinct()
+    texts = bodies.select(F.col(body_id).alias("id"), F.col(body).alias("body"))
+    holds = F.forall("needle", lambda x: F.contains(F.col("body"), x))
+    return found.join(texts, "id").where(holds).select("needle", F.col("id").alias(body_id)).distinct()
+
+
+def read_by(files: DataFrame, readers: DataFrame, ws, common: tuple[str, ...] = ("data",)) -> DataFrame:
+    """(path, reader): files that a reader's body (reader, body) mentions, by the last folder and the name, or by the name
+    together with any folder above it but the first and the common ones."""
     parts = F.split("path", "/")
-    own = files.select("path", F.element_at(parts, -1).alias("name"), F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), F.lit(2)), "/").alias("tail"), F.array_except(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), F.array(*map(F.lit, common))).alias("folders"))
-    names = own.select("name").distinct()
-    hits = readers.join(names, F.contains(F.col("body"), F.col("name")))  # a row a name that is there
-    both = hits.join(own, "name")
-    met = F.contains(F.col("body"), F.col("tail")) | F.exists("folders", lambda d: F.contains(F.col("body"), d))
-    return both.where(met).select("path", "reader").distinct()
+    name = F.element_at(parts, -1)
+    tail = F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), F.lit(2)), "/")
+    folders = F.array_except(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), F.array(*map(F.lit, common)))
+    either = F.array_union(F.array(F.array(tail)), F.transform(F.filter(folders, lambda d: F.trim(d) != ""), lambda d: F.array(name, d)))
+    asked = ws.table("asked", files.where(F.trim(name) != "").select("path", F.explode(either).alias("needle")))
+    return asked.join(mentions(asked, readers, ws), "needle").select("path", "reader").distinct()
 
 
 def distribution_checks(paths: DataFrame, docs: DataFrame, forbidden: list[tuple[str, str]], required: list[tuple[str, str, str]], claims: list[tuple[str, str]]) -> DataFrame:

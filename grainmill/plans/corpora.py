@@ -147,7 +147,15 @@ def read_by(spark: SparkSession, d: str) -> DataFrame:
     bodies = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("reads "), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lower("c_mktsegment"), F.lit("/rows.jsonl"))).otherwise(F.concat(F.lit("rows.jsonl of nation"), F.col("c_nationkey").cast("string")))).alias("body"))
     nations = table(spark, d, "nation").select("n_nationkey", F.lower("n_name").alias("n"))
     readers = bodies.join(table(spark, d, "customer").select("c_custkey", "c_nationkey"), "c_custkey").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").cast("string").alias("reader"), F.concat("body", F.lit(" "), "n").alias("body"))
-    return audit.read_by(files, readers).groupBy("path").agg(F.count("*").alias("n"))
+    return audit.read_by(files, readers, Workspace(spark, "readers")).groupBy("path").agg(F.count("*").alias("n"))
+
+
+def mentioned_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Longer words of the benchmark with the number of conversation turns that hold them, inside of other words, too."""
+    terms = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"(\pL{7,})"), F.lit(1))).alias("term"))
+    turns = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("reader"), F.col("text").alias("body"))
+    found = audit.mentions(terms.select(F.array("term").alias("needle")), turns, Workspace(spark, "terms"))
+    return found.groupBy(F.col("needle")[0].alias("term")).agg(F.count("*").alias("n"))
 
 
 def distribution_checks(spark: SparkSession, d: str) -> DataFrame:
@@ -166,7 +174,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         training_corpus, dropped_examples, extended_corpus, held_out_examples, kept_provenance, styled_pairs, relabelled_topics, terse_examples, evaluation_suite, finished_cases, suite_statistics,
-        tfidf_baseline, error_report, baseline_change, exposure_totals, class_exposure, read_by, distribution_checks, split_fingerprints,
+        tfidf_baseline, error_report, baseline_change, exposure_totals, class_exposure, read_by, mentioned_terms, distribution_checks, split_fingerprints,
     )
 }
 
@@ -209,6 +217,8 @@ ORACLE_SQL = {
     "read_by": """WITH f AS (SELECT 'data/' || lower(n_name) || '/rows.jsonl' AS path, lower(n_name) AS d FROM nation),
       r AS (SELECT c_custkey, 'reads ' || CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) || '/rows.jsonl' ELSE 'rows.jsonl of nation' || c_nationkey END || ' ' || lower(n_name) AS body FROM customer JOIN nation ON c_nationkey = n_nationkey)
       SELECT path, count(*) AS n FROM f JOIN r ON contains(body, d || '/rows.jsonl') OR (contains(body, 'rows.jsonl') AND contains(body, d)) GROUP BY path""",
+    "mentioned_terms": r"""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\pL{7,}')) AS term FROM benchmark), c AS (SELECT DISTINCT conv_id, turn, text FROM conversations)
+      SELECT term, count(DISTINCT (conv_id, turn)) AS n FROM t JOIN c ON contains(text, term) GROUP BY term""",
     "distribution_checks": """SELECT 'binaries' AS "check", count(*) = 0 AS ok, count(*) AS found FROM nation WHERE n_nationkey % 7 = 0 UNION ALL SELECT 'archives', true, 0 UNION ALL SELECT 'names itself', true, 1 UNION ALL SELECT 'names another', false, 0 UNION ALL SELECT 'status', true, 1
       UNION ALL SELECT 'no claim', true, 0""",
     "split_fingerprints": "SELECT split, count(*) AS n, sha256(string_agg(e, '' ORDER BY encode(e))) AS tree_sha256 FROM (SELECT source AS split, CAST(doc_id AS VARCHAR) || ':' || sha256(text) AS e FROM documents) GROUP BY split",
