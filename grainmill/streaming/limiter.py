@@ -1,4 +1,4 @@
-"""Sliding-window rate limiting, over a table or a stream.
+"""Sliding-window rate limiting over a table; ``stateful`` has the same over a stream.
 
 A hit is allowed when fewer than ``most`` allowed hits of its key lie less than a window before it; rejected hits are
 not remembered, so they never lengthen a block, and a hit exactly one window old no longer counts. That takes state in
@@ -10,10 +10,8 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 WINDOW_MS, MOST = 60_000, 10
 
@@ -60,31 +58,6 @@ def limit(hits: DataFrame, key: str, ts: str, order: str, window_ms: int = WINDO
     return ordered.mapInArrow(run, f"{out_type}, allowed boolean, retry_after_sec int")
 
 
-def limit_stream(hits: DataFrame, key: str, ts: str, window_ms: int = WINDOW_MS, most: int = MOST, late: str = "1 minute") -> DataFrame:
-    """The same over a stream, with the allowed times as each key's state. A state goes when the watermark, ``late`` behind
-    the newest hit, has passed its last allowed hit by a window: by the hits' time, so a replay decides as the past did.
-
-    Hits of one micro-batch are put in order of time; hits that arrive in a later batch are judged as they come, and hits
-    behind the watermark are dropped.
-    """
-    kind = hits.schema[key].dataType.simpleString()
-
-    def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        kept = deque(state.get[0] if state.exists else [])
-        frame = pd.concat(list(frames)).sort_values("ms", kind="stable", ignore_index=True)
-        told = decide(frame["ms"].tolist(), kept, window_ms, most)
-        state.update((list(kept),))
-        state.setTimeoutTimestamp(max((kept[-1] if kept else 0) + window_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({key: group[0], "ms": frame["ms"], "allowed": [a for a, _ in told], "retry_after_sec": [r for _, r in told]})
-
-    # a millisecond on, since a first watermark of 0 would drop hits at 0
-    own = hits.select(key, (F.col(ts).cast("timestamp") + F.expr("INTERVAL 1 MILLISECOND")).alias("at")).withWatermark("at", late).withColumn("ms", F.unix_millis("at") - 1)
-    return own.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, ms long, allowed boolean, retry_after_sec int", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def counts_by_window(events: DataFrame, ts: str, label: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Tumbling counts per label with a watermark."""
     return events.withWatermark(ts, late).groupBy(F.window(ts, width), label).agg(F.count("*").alias("n"))

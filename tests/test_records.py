@@ -122,31 +122,6 @@ def test_limiter_over_a_table_equals_the_fold(spark):
         assert [got[n] for _, n in own] == limiter.decide([ms for ms, _ in own], deque(), 700, 4)
 
 
-def test_limiter_over_a_stream(spark, tmp_path):
-    src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    df = spark.createDataFrame([("a", i * 100) for i in range(6)], "key string, ms long").withColumn("ts", F.timestamp_millis("ms"))
-    df.write.parquet(src)
-    stream = limiter.limit_stream(spark.readStream.schema(df.schema).parquet(src), "key", "ts", 1000, 4)
-    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(once=True).start()
-    assert q.awaitTermination(120)
-    assert [r["allowed"] for r in spark.read.parquet(out).orderBy("ms").collect()] == [True] * 4 + [False] * 2
-
-
-def test_a_replayed_stream_decides_as_the_table_does(spark, tmp_path):
-    """Batches of a backfill, in order of time: states live by the hits' own time, however long a batch takes."""
-    src, out = tmp_path / "in", str(tmp_path / "out")
-    hits = [("a", 1_700_000_000_000 + t) for t in (0, 100, 200, 900, 950, 1_100, 1_150, 9_000, 9_050, 9_100, 9_150)] + [("b", 1_700_000_000_500)]
-    df = spark.createDataFrame(hits, "key string, ms long").withColumn("ts", F.timestamp_millis("ms"))
-    for k, (lo, hi) in enumerate(((0, 250), (250, 1_120), (1_120, 20_000))):
-        df.where((F.col("ms") - 1_700_000_000_000).between(lo, hi - 1)).coalesce(1).write.mode("append").parquet(str(src / str(k)))
-    stream = limiter.limit_stream(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(src / "*")), "key", "ts", 1000, 3, "1 second")
-    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    assert q.awaitTermination(180)
-    told = sorted((r["key"], r["ms"], r["allowed"], r["retry_after_sec"]) for r in spark.read.parquet(out).collect())
-    want = limiter.limit(df, "key", "ts", "ms", 1000, 3).collect()
-    assert told == sorted((r["key"], r["ms"], r["allowed"], r["retry_after_sec"]) for r in want)
-
-
 def test_append_new_is_repeatable(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     path = str(tmp_path / "t")
