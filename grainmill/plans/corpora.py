@@ -107,7 +107,7 @@ def tfidf_baseline(spark: SparkSession, d: str) -> DataFrame:
     fourth = F.pmod(F.xxhash64("row_id"), F.lit(4)) == 0
     train = a.where(~fourth)
     test = a.where(fourth).join(train.select("kind").distinct(), "kind", "left_semi")
-    return baseline.run_tfidf(train, test.select(*a.columns), rounds=30)
+    return baseline.run_tfidf(train, test.select(*a.columns), Workspace(spark, "tfidf"))
 
 
 def error_report(spark: SparkSession, d: str) -> DataFrame:

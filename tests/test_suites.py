@@ -170,7 +170,7 @@ def test_evaluation_suite(spark):
 def test_baseline_report(spark):
     rows = [(i, f"ліфт поломка дім {i}" if i % 2 else f"дорога яма асфальт {i}", "a" if i % 2 else "b") for i in range(40)]
     df = spark.createDataFrame(rows, "row_id long, content string, kind string")
-    told = baseline.run_tfidf(df.where("row_id < 30"), df.where("row_id >= 30"))
+    told = baseline.run_tfidf(df.where("row_id < 30"), df.where("row_id >= 30"), Workspace(spark, "tfidf"), rounds=40)
     assert told.where("true_kind = predicted_kind").count() == 10
     mixed = told.withColumn("predicted_kind", F.when(F.col("row_id") < 33, "a").otherwise(F.col("predicted_kind"))).withColumnRenamed("row_id", "ordinal")
     r = baseline.report(mixed)
@@ -180,7 +180,7 @@ def test_baseline_report(spark):
     cells = spark.createDataFrame([("a", "a", 1)], "true_label string, pred_label string, n long")
     assert not baseline.report(mixed, cells)["reproduces_saved"]
     with pytest.raises(Exception, match="unknown label"):
-        baseline.run_tfidf(df.where("kind = 'a'").union(df.where("kind = 'b' and row_id < 9")), df.limit(2).withColumn("kind", F.lit("c"))).collect()
+        baseline.run_tfidf(df.where("kind = 'a'").union(df.where("kind = 'b' and row_id < 9")), df.limit(2).withColumn("kind", F.lit("c")), Workspace(spark, "tfidf"), rounds=1).collect()
 
 
 def test_export(spark, tmp_path):
