@@ -52,7 +52,10 @@ def random_pairs(df: DataFrame, uid: str, domain: str, n: int, rows: int = 64, s
     for turn in range(turns):
         own = df.withColumn("__gm_key", F.pmod(F.xxhash64(seeded(seed + turn, uid)), F.lit(buckets)))
         side = lambda x: [F.col(f"{x}.{c}").alias(f"{x}_{c}") for c in df.columns]
-        found = pairing.neighbours(own, "__gm_key", uid, domain, seed=seed + turn).select(F.lit(turn).alias("__gm_turn"), *side("a"), *side("b"))
+        lower = F.col(f"a.{uid}") < F.col(f"b.{uid}")
+        beside = pairing.neighbours(own, "__gm_key", uid, domain, seed=seed + turn).where("b is not null")
+        beside = beside.select(F.when(lower, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(lower, F.col("b")).otherwise(F.col("a")).alias("b"))
+        found = beside.select(F.lit(turn).alias("__gm_turn"), *side("a"), *side("b"))
         found = found.where(F.col(f"a_{domain}") != F.col(f"b_{domain}"))
         found = found if extra is None else found.where(extra)
         out = found if out is None else out.unionByName(found)

@@ -1,8 +1,10 @@
 """The adversarial evaluation suite: cases of 22 categories made of held-out records, and what is done with lists of cases.
 
 Records are a table (uid, kind, content, split), one a normalised text. Labels, condensed notes and flags are computed once
-for all of them; what the driver then gets for a category are the few rows that a stride can reach, so the pool may be of
-any size. A real record is used at most once.
+for all of them. Everything is then chosen by relations over the whole pool: pairs are neighbours of one split in a seeded
+order (``pairing``), confusable domains meet by rank, and real records are dealt to categories by rounds, each record to the
+scarcest category that still has room for it. The choice is defined by hashes of the uids, so it does not depend on
+partitions; it keeps the suite's quotas and conditions and is not another engine's choice of records.
 """
 
 from __future__ import annotations
@@ -11,23 +13,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as p
-from ..functions.text import collapse, normalize, strip
-from . import labels
-
-#: Categories with their numbers of topics, and the areas that some stand for.
-TOPIC_COUNT = dict(zip("ABCDEFGHIJKLMNOPQRSTUV", (1, 2, 2, 2, 2, 2, 2, 1, 1, 1, 2, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1)))
-NAMES = dict(zip("ABCDEFGHIJKLMNOPQRSTUV", (
-    "terse_single", "terse_two_topic_i", "terse_two_topic_also", "two_sentences", "same_object_two_problems", "different_objects_two_problems", "explicit_and_implicit_action",
-    "no_explicit_action", "long_rambling", "irrelevant_prose", "ontology_ambiguity", "lighting", "traffic_lights", "playgrounds", "trees", "stray_animals", "waste", "water_sewerage",
-    "roads_sidewalks", "public_transport", "housing_heating", "elevators",
-)))
-AREAS = {
-    "L": r"освітлен|ліхтар", "M": r"світлофор", "N": r"майданчик|дитяч\w* майдан|качелі|горка|песочниц", "O": r"дерев|кущ|гілк|амброз|бур.?ян|покос", "P": r"безпритульн|тварин",
-    "Q": r"смітт|сміття|відход|контейнер", "R": r"водопостач|каналізац|порив|протік", "S": r"дорог|асфальт|ямк|тротуар|пішохід|люк", "T": r"маршрутк|автобус|тролейбус|трамва|зупинк",
-    "U": r"тепл|опален|дах|стел|стіна|будинок|квартир", "V": r"ліфт",
-}
-QUOTAS = {"L": 6, "M": 4, "N": 5, "O": 6, "P": 3, "Q": 6, "R": 6, "S": 7, "T": 5, "U": 6, "V": 4}
+from ..functions.text import collapse, lower_first, normalize, strip
+from . import labels, pairing
+
+#: The categories' letter, name, topics, cases, and the area that a category stands for.
+CATEGORIES = (
+    ("A", "terse_single", 1, 10, None),
+    ("B", "terse_two_topic_i", 2, 8, None),
+    ("C", "terse_two_topic_also", 2, 8, None),
+    ("D", "two_sentences", 2, 8, None),
+    ("E", "same_object_two_problems", 2, 6, None),
+    ("F", "different_objects_two_problems", 2, 8, None),
+    ("G", "explicit_and_implicit_action", 2, 6, None),
+    ("H", "no_explicit_action", 1, 12, None),
+    ("I", "long_rambling", 1, 8, None),
+    ("J", "irrelevant_prose", 1, 6, None),
+    ("K", "ontology_ambiguity", 2, 8, None),
+    ("L", "lighting", 1, 6, r"освітлен|ліхтар"),
+    ("M", "traffic_lights", 1, 4, r"світлофор"),
+    ("N", "playgrounds", 1, 5, r"майданчик|дитяч\w* майдан|качелі|горка|песочниц"),
+    ("O", "trees", 1, 6, r"дерев|кущ|гілк|амброз|бур.?ян|покос"),
+    ("P", "stray_animals", 1, 3, r"безпритульн|тварин"),
+    ("Q", "waste", 1, 6, r"смітт|сміття|відход|контейнер"),
+    ("R", "water_sewerage", 1, 6, r"водопостач|каналізац|порив|протік"),
+    ("S", "roads_sidewalks", 1, 7, r"дорог|асфальт|ямк|тротуар|пішохід|люк"),
+    ("T", "public_transport", 1, 5, r"маршрутк|автобус|тролейбус|трамва|зупинк"),
+    ("U", "housing_heating", 1, 6, r"тепл|опален|дах|стел|стіна|будинок|квартир"),
+    ("V", "elevators", 1, 4, r"ліфт"),
+)
+#: Domains that are easily confused.
 AMBIGUOUS = (("roads", "sanitation"), ("water", "housing"), ("electricity", "sanitation"), ("water", "sanitation"), ("housing", "payments"), ("heating", "payments"), ("roads", "construction"), ("transport", "roads"))
+TOPIC_COUNT = {letter: topics for letter, _, topics, _, _ in CATEGORIES}
+NAMES = {letter: name for letter, name, *_ in CATEGORIES}
+AREAS = {letter: area for letter, *_, area in CATEGORIES if area}
+#: Cases of A that are terse notes (the others are minimal), and of the categories that one real record fills.
+TERSE = 6
+SINGLE = ("A", "H", "I", "J", *AREAS)
 SPLITS = ("validation", "test")
 CASE = (
     "id string, category string, category_name string, kind string, sources array<string>, splits array<string>, note string, text string, "
@@ -40,8 +61,8 @@ def area_hits(text: Column, pattern: str) -> Column:
 
 
 def prepare(records: DataFrame, ws, mapping=None, areas=None, boilerplate: str | None = None) -> DataFrame:
-    """The pool: uid, split, kind, content, domain, ref (the reference topic), terse and minimal notes, action, street, and
-    flags (usable, areas, boilerplate), one a normalised text. Written, since labels are dear."""
+    """The pool: uid, split, kind, content, ref (the reference topic), terse and minimal notes, action, street, mapped (the
+    kind's domain, if it has one), and flags (usable, areas, boiler). Written, since labels are dear."""
     mapping, areas = p.KIND_TO_DOMAIN if mapping is None else mapping, AREAS if areas is None else areas
     content = F.coalesce("content", F.lit(""))
     own = records.select(F.col("uid").cast("string").alias("uid"), "split", "kind", content.alias("content")).where(strip(content) != "")
@@ -52,128 +73,137 @@ def prepare(records: DataFrame, ws, mapping=None, areas=None, boilerplate: str |
         F.array_compact(F.array(*[F.when(area_hits(F.col("content"), v), F.lit(k)) for k, v in areas.items()])).alias("areas"),
         F.exists(labels.sentences(F.col("content")), lambda s: s.rlike(p.BOILERPLATE_ANY if boilerplate is None else boilerplate)).alias("boiler"),
     )
-    return ws.table("suite-pool", told.withColumn("usable", strip(F.col("ref.issue")) != ""))
-
-
-def reach(n: int, stride: int) -> int:
-    """How many rows of a list the first ``n`` steps of a stride can reach without wrapping."""
-    return (n - 1) * stride + 1
-
-
-def spread(df: DataFrame, n: int, stride: int, order: list[str], skip: set[str] = frozenset(), uid: str = "uid") -> list:
-    """Every ``stride``-th row of an ordered frame, ``n`` of them, wrapping where it is short; all rows where there are no
-    more. Rows whose uid is in ``skip`` don't count. Fetches no more rows than the stride can reach."""
-    own = df.where(~F.col(uid).isin(*skip)) if skip else df
-    rows = own.orderBy(*order).limit(max(n, reach(n, stride))).collect()
-    if len(rows) <= n:
-        return rows
-    if len(rows) == max(n, reach(n, stride)):
-        return [rows[i * stride] for i in range(n)]
-    return [rows[i * stride % len(rows)] for i in range(n)][: min(n, len(rows) * 3 // stride + 1)]
-
-
-def walk(pool: DataFrame, n: int, most: int = 4000) -> list[tuple]:
-    """``n`` pairs of usable records of one split and two domains, no uid twice: a walk over the split's domains in order,
-    with a step of its own on each side. The walk can reach ``most`` / 3 rows of a domain, which is what is fetched."""
-    w = Window.partitionBy("split", "mapped").orderBy("uid", "content")
-    told = pool.where("mapped is not null").select("split", "mapped", "uid", "content", "terse", "ref", "action", "usable")
-    sizes = {(r["split"], r["mapped"]): r["n"] for r in told.groupBy("split", "mapped").agg(F.count("*").alias("n")).collect()}
-    keys = told.withColumn("nth", F.row_number().over(w) - 1).where(F.col("nth") <= most // 3).select("split", "mapped", "nth", "uid", "usable")
-    at = {(r["split"], r["mapped"], r["nth"]): (r["uid"], r["usable"]) for r in keys.collect()}
-    pairs, used = [], set()
-    for split in SPLITS:
-        domains = sorted(d for s, d in sizes if s == split)
-        for i in range(most if len(domains) > 1 else 0):
-            if len(pairs) >= n:
-                break
-            da, db = domains[i % len(domains)], domains[(i + 1 + (i // len(domains)) // 2) % len(domains)]
-            if da == db:
-                continue
-            ka, kb = (split, da, i // 3 % sizes[split, da]), (split, db, i // 5 % sizes[split, db])
-            (ua, oka), (ub, okb) = at[ka], at[kb]
-            if ua != ub and not {ua, ub} & used and oka and okb:
-                used |= {ua, ub}
-                pairs.append((ka, kb))
-    wanted = {k for pair in pairs for k in pair}
-    if not wanted:
-        return []
-    named = pool.sparkSession.createDataFrame(sorted(wanted), "split string, mapped string, nth int")
-    rows = told.withColumn("nth", F.row_number().over(w) - 1).join(F.broadcast(named), ["split", "mapped", "nth"]).collect()
-    full = {(r["split"], r["mapped"], r["nth"]): r for r in rows}
-    return [(full[a], full[b]) for a, b in pairs]
-
-
-def _lower(text: str) -> str:
-    return text[:1].lower() + text[1:]
-
-
-def suite(records: DataFrame, ws, mapping=None, areas=None, quotas=None, ambiguous=AMBIGUOUS, boilerplate: str | None = None) -> DataFrame:
-    """The cases (``CASE``) before ``finish``: terse notes, two problems joined in several ways, one street with two
-    problems, explicit and implicit requests, none at all, long and irrelevant prose, domains that are easily confused,
-    and an area each."""
-    pool = prepare(records, ws, mapping, areas, boilerplate).withColumn("action", F.col("ref.requested_action"))
-    order = ["uid", "content"]
-    usable = pool.where("usable")
-    cases: list[tuple] = []
-    used: set[str] = set()
-
-    def add(category: str, text: str, rows: list, kind: str, note: str, topics: list | None = None) -> None:
-        topics = [r["ref"].asDict() for r in rows] if topics is None else topics
-        cases.append((f"ev3-{len(cases) + 1:03d}", category, NAMES[category], kind, [r["uid"] for r in rows], sorted({r["split"] for r in rows}), note, text, topics, len(topics), sorted({t["domain"] for t in topics})))
-
-    def single(category: str, rows: DataFrame, n: int, stride: int, text, kind: str, note: str) -> None:
-        for r in spread(rows, n, stride, order, used):
-            used.add(r["uid"])
-            add(category, text(r), [r], kind, note)
-
-    short = usable.where(F.length("terse") < 150)
-    single("A", short, 6, 11, lambda r: r["terse"], "condensed", "reduced to a terse note by deletions")
-    single("A", short, 4, 29, lambda r: r["minimal"], "condensed", "reduced to a minimal note by deletions")
-    for category, join in (("B", lambda a, b: f"{a}, і {_lower(b)}."), ("C", lambda a, b: f"{a}, а також {_lower(b)}.")):
-        for a, b in walk(pool, 8):
-            add(category, join(a["terse"], b["terse"]), [a, b], "composed", "two condensed records joined")
-    for a, b in walk(pool, 8):
-        add("D", f"{a['ref']['issue']} {_lower(b['ref']['issue'])}.", [a, b], "composed", "two records as two sentences")
-
-    streets = usable.where("street <> '' and mapped is not null")
-    row = F.struct(*order, "split", "terse", "ref", "mapped")
-    first = streets.groupBy("split", "street").agg(F.min(F.struct(*order)).alias("k"), F.min_by(row, F.struct(*order)).alias("a"))
-    other = streets.join(first.select("split", "street", "a"), ["split", "street"]).where("mapped <> a.mapped")
-    pairs = other.groupBy("split", "street").agg(F.first("a").alias("a"), F.min_by(row, F.struct(*order)).alias("b"))
-    for r in pairs.orderBy("split", "street").limit(6).collect():
-        add("E", f"По {r['street']}: {r['a']['terse']}, а також {_lower(r['b']['terse'])}.", [r["a"], r["b"]], "composed", f"two records about one street ({r['street']})")
-
-    for a, b in walk(pool, 8):
-        add("F", f"{a['terse']}. {b['terse'][:1].upper()}{b['terse'][1:]}.", [a, b], "composed", "two records in sequence")
-    done = 0
-    for a, b in walk(pool, 24):
-        act = " ".join((b["action"] or "").split())
-        if done < 6 and len(act) >= 8:
-            topics = [a["ref"].asDict(), b["ref"].asDict() | {"requested_action": act, "issue": b["terse"][:400]}]
-            add("G", f"{a['terse']}. Прошу {_lower(act)}.", [a, b], "composed", "a problem without a request, and one with it", topics)
-            done += 1
-
-    whole = lambda r: r["content"].strip()
-    single("H", usable.where(strip(F.col("action")) == ""), 12, 13, whole, "real", "no request")
-    single("I", usable.where(F.length(strip(F.col("content"))) > 600), 8, 5, whole, "real", "long, with back-story and repetition")
-    single("J", usable.where("boiler"), 6, 17, whole, "real", "consent and delivery of the answer around the problem")
-
-    names = sorted({d for pair in ambiguous for d in pair})
-    room = 2 * len(ambiguous) + 1
-    w = Window.partitionBy("split", F.col("ref.domain")).orderBy(*order)
-    few = usable.where(F.col("ref.domain").isin(*names)).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= room).orderBy(*order).collect()
-    taken: set[str] = set()
-    for da, db in ambiguous:
-        for split in SPLITS:
-            a = next((r for r in few if r["split"] == split and r["ref"]["domain"] == da and r["uid"] not in taken), None)
-            b = next((r for r in few if r["split"] == split and r["ref"]["domain"] == db and r["uid"] not in taken and (a is None or r["uid"] != a["uid"])), None)
-            if a and b:
-                taken |= {a["uid"], b["uid"]}
-                add("K", f"{a['terse']}, а також {_lower(b['terse'])}.", [a, b], "composed", f"domains that are easily confused ({da}, {db})")
-                break
-    for code, n in (QUOTAS if quotas is None else quotas).items():
-        single(code, usable.where(F.array_contains("areas", code)), n, 3, whole, "real", f"about {NAMES[code]}")
-    return records.sparkSession.createDataFrame(cases, CASE)
+    told = told.withColumn("usable", strip(F.col("ref.issue")) != "").withColumn("action", F.col("ref.requested_action"))
+    return ws.table("suite-pool", told)
+
+
+def _hash(seed: int, *keys: Column) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *keys))
+
+
+def _case(category, text: Column, rows: list[Column], kind: str, note: Column, order: list[Column], topics: list[Column] | None = None) -> Column:
+    """A case as a struct, but for its id; ``order`` is its place among those of its category."""
+    category = F.lit(category) if isinstance(category, str) else category
+    topics = [r["ref"] for r in rows] if topics is None else topics
+    names = F.create_map(*[F.lit(x) for kv in NAMES.items() for x in kv])
+    return F.struct(
+        category.alias("category"), names[category].alias("category_name"), F.lit(kind).alias("kind"), F.array(*[r["uid"] for r in rows]).alias("sources"),
+        F.array_sort(F.array_distinct(F.array(*[r["split"] for r in rows]))).alias("splits"), note.alias("note"), text.alias("text"), F.array(*topics).alias("expected_topics"),
+        F.lit(len(rows)).alias("expected_topic_count"), F.array_sort(F.array_distinct(F.array(*[t["domain"] for t in topics]))).alias("expected_domains"), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("place"),
+    )
+
+
+def _top(df: DataFrame, n: int, *order: Column) -> DataFrame:
+    return df.orderBy(*order).limit(n)
+
+
+def dealt_singles(rows: DataFrame, quotas: dict[str, int], ws, seed: int = 42) -> DataFrame:
+    """(uid, category): real records for categories up to their quotas, no record twice. ``rows``: uid, eligible (letters).
+
+    By rounds: every free record asks the scarcest category that it fits and that has room (fewest free records that fit, then
+    the letter); a category takes those that ask, in a seeded order, until it is full. What the driver gets is a number a
+    category; rounds end when none is taken, after as many as there are categories at most."""
+    out, room, step = None, dict(quotas), 0
+    while room:
+        letters = F.array(*map(F.lit, sorted(room)))
+        free = rows if out is None else rows.join(out, "uid", "left_anti")
+        free = free.select("uid", F.array_intersect("eligible", letters).alias("fits")).where(F.size("fits") > 0)
+        support = {r["c"]: r["n"] for r in free.select(F.explode("fits").alias("c")).groupBy("c").agg(F.count("*").alias("n")).collect()}
+        if not support:
+            break
+        scarce = sorted(support, key=lambda c: (support[c], c))
+        asks = free.select("uid", F.filter(F.array(*map(F.lit, scarce)), lambda c: F.array_contains("fits", c))[0].alias("category"))
+        nth = F.row_number().over(Window.partitionBy("category").orderBy(_hash(seed, F.col("uid")), "uid"))
+        most = F.create_map(*[x for c in scarce for x in (F.lit(c), F.lit(room[c]))])
+        taken = asks.withColumn("nth", nth).where(F.col("nth") <= max(room.values())).where(F.col("nth") <= most[F.col("category")])
+        told = ws.table(f"singles-{step}", taken.select("uid", "category"))
+        out, step = told if out is None else out.unionByName(told), step + 1
+        got = {r["category"]: r["n"] for r in told.groupBy("category").agg(F.count("*").alias("n")).collect()}
+        room = {c: n - got.get(c, 0) for c, n in room.items() if n > got.get(c, 0)}
+    return rows.sparkSession.createDataFrame([], "uid string, category string") if out is None else out
+
+
+def assemble(pool: DataFrame, ws, quotas: dict[str, int] | None = None, ambiguous=AMBIGUOUS, seed: int = 42) -> DataFrame:
+    """The cases (``CASE``) before ``finish``, of a pool as ``prepare`` gives it: terse notes, two problems joined in several
+    ways, one street with two problems, explicit and implicit requests, none at all, long and irrelevant prose, domains that
+    are easily confused, and an area each. Pairs are of one split and two domains; validation comes first."""
+    from .curate import first_of
+
+    quotas = {letter: n for letter, _, _, n, _ in CATEGORIES} | (quotas or {})
+    own = ws.table("own", first_of(pool.where("usable"), ["uid"], "content"))
+    rank = F.array_position(F.array(*map(F.lit, SPLITS)), F.col("split"))
+    a, b = F.col("a"), F.col("b")
+    clause = lambda x: F.concat(x["terse"], F.lit(", а також "), lower_first(b["terse"]), F.lit("."))
+
+    # two problems: neighbours of one split; the same pairs in each form
+    mapped = own.where("mapped is not null")
+    beside = pairing.neighbours(mapped, "split", "uid", "mapped", seed=seed).where("b is not null and a.mapped <> b.mapped")
+    beside = ws.table("beside", beside.select("split", "a", "b", _hash(seed, a["uid"], b["uid"]).alias("o")))
+    first = ws.table("first", _top(beside, max(quotas[c] for c in "BCDF"), rank, F.col("o")))
+    upper = F.concat(F.upper(F.left(b["terse"], F.lit(1))), F.substr(b["terse"], F.lit(2)))
+    forms = {
+        "B": (F.concat(a["terse"], F.lit(", і "), lower_first(b["terse"]), F.lit(".")), "two condensed records joined"),
+        "C": (clause(a), "two condensed records joined"),
+        "D": (F.concat(a["ref"]["issue"], F.lit(" "), lower_first(b["ref"]["issue"]), F.lit(".")), "two records as two sentences"),
+        "F": (F.concat(a["terse"], F.lit(". "), upper, F.lit(".")), "two records in sequence"),
+    }
+    place = [rank.cast("string"), F.col("o")]
+    told = [_top(first, quotas[c], rank, F.col("o")).select(_case(c, text, [a, b], "composed", F.lit(note), place).alias("c")) for c, (text, note) in forms.items()]
+    act = collapse(b["action"])
+    asked = _top(beside.where(F.length(act) >= 8), quotas["G"], rank, F.col("o"))
+    topics = [a["ref"], b["ref"].withField("requested_action", act).withField("issue", F.left(b["terse"], F.lit(400)))]
+    told.append(asked.select(_case("G", F.concat(a["terse"], F.lit(". Прошу "), lower_first(act), F.lit(".")), [a, b], "composed", F.lit("a problem without a request, and one with it"), place, topics).alias("c")))
+
+    # one street, two problems
+    near = mapped.where("street <> ''").withColumn("spot", F.concat_ws("|", "split", "street"))
+    near = pairing.pairs(near, "spot", "uid", "mapped", per_key=1, seed=seed).where("reason = 'kept'")
+    near = _top(near.withColumn("split", a["split"]), quotas["E"], rank, F.col("spot"))
+    text = F.concat(F.lit("По "), a["street"], F.lit(": "), clause(a))
+    told.append(near.select(_case("E", text, [a, b], "composed", F.concat(F.lit("two records about one street ("), a["street"], F.lit(")")), [rank.cast("string"), F.col("spot")]).alias("c")))
+
+    # domains that are easily confused: the n-th mention of a domain takes its n-th record
+    seen: dict[str, int] = {}
+    slots = []
+    for j, (da, db) in enumerate(ambiguous):
+        na, nb = seen.get(da, 0) + 1, seen.get(db, 0) + 1
+        seen |= {da: na, db: nb}
+        slots += [(j, split, da, na, db, nb) for split in SPLITS]
+    if slots:
+        w = Window.partitionBy("split", "ref.domain").orderBy(_hash(seed, F.col("uid")), "uid")
+        ranked = own.where(F.col("ref.domain").isin(*seen)).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= max(seen.values()))
+        ranked = ranked.select("split", F.col("ref.domain").alias("domain"), "nth", F.struct("uid", "split", "terse", "ref").alias("r"))
+        named = pool.sparkSession.createDataFrame(slots, "j int, split string, da string, na int, db string, nb int")
+        both = named.join(ranked.toDF("split", "da", "na", "a"), ["split", "da", "na"]).join(ranked.toDF("split", "db", "nb", "b"), ["split", "db", "nb"])
+        both = both.withColumn("nth", F.row_number().over(Window.partitionBy("j").orderBy(rank))).where("nth = 1").orderBy("j").limit(quotas["K"])
+        note = F.concat(F.lit("domains that are easily confused ("), F.col("da"), F.lit(", "), F.col("db"), F.lit(")"))
+        told.append(both.select(_case("K", clause(a), [a, b], "composed", note, [F.lpad(F.col("j").cast("string"), 4, "0"), F.lit("")]).alias("c")))
+
+    # one real record each
+    fits = {"A": F.length("terse") < 150, "H": strip(F.col("action")) == "", "I": F.length(strip(F.col("content"))) > 600, "J": F.col("boiler")}
+    eligible = F.concat(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in fits.items()])), F.array_intersect("areas", F.array(*map(F.lit, AREAS))))
+    taken = dealt_singles(ws.table("eligible", own.select("uid", eligible.alias("eligible")).where(F.size("eligible") > 0)), {c: quotas[c] for c in SINGLE if quotas[c]}, ws, seed)
+    r = F.struct("uid", "split", "ref")
+    rows = own.join(F.broadcast(taken), "uid").withColumn("o", _hash(seed, F.col("uid")))  # as many as the quotas
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("category").orderBy("o", "uid")))
+    notes = {"A": "reduced to a note by deletions", "H": "no request", "I": "long, with back-story and repetition", "J": "consent and delivery of the answer around the problem"}
+    notes |= {c: f"about {NAMES[c]}" for c in AREAS}
+    note = F.create_map(*[F.lit(x) for kv in notes.items() for x in kv])[F.col("category")]
+    text = F.when(F.col("category") != "A", strip(F.col("content"))).when(F.col("nth") <= TERSE, F.col("terse")).otherwise(F.col("minimal"))
+    order = [F.lpad(F.col("nth").cast("string"), 6, "0"), F.lit("")]
+    for where, kind in (("category = 'A'", "condensed"), ("category <> 'A'", "real")):
+        told.append(rows.where(where).select(_case(F.col("category"), text, [r], kind, note, order).alias("c")))
+
+    out = told[0]
+    for more in told[1:]:
+        out = out.unionByName(more)
+    number = F.row_number().over(Window.orderBy("c.category", "c.place"))  # as many rows as the quotas
+    numbered = out.withColumn("id", F.concat(F.lit("ev3-"), F.lpad(number.cast("string"), 3, "0")))
+    return ws.table("cases", numbered.select("id", *[F.col(f"c.{name.split()[0]}") for name in CASE.split(", ")[1:] if not name.startswith(("issue", "object"))]))
+
+
+def suite(records: DataFrame, ws, mapping=None, areas=None, quotas=None, ambiguous=AMBIGUOUS, boilerplate: str | None = None, seed: int = 42) -> DataFrame:
+    """``assemble`` over ``prepare``: the suite of raw held-out records."""
+    return assemble(prepare(records, ws, mapping, areas, boilerplate), ws, quotas, ambiguous, seed)
 
 
 def finish(cases: DataFrame, training: DataFrame | None = None) -> DataFrame:

@@ -78,15 +78,6 @@ def terse_examples(spark: SparkSession, d: str) -> DataFrame:
     return streams.terse_examples(pool, "row_id", mapping=MAPPING).select("uid", F.length("text").alias("chars"))
 
 
-def evaluation_suite(spark: SparkSession, d: str) -> DataFrame:
-    """Cases of held-out documents: (id, category, kind, splits, expected_topic_count)."""
-    a = appeals(spark, d).select("uid", "kind", "content", F.when(F.col("row_id") % 2 == 0, "validation").otherwise("test").alias("split"), "row_id")
-    held = a.where("row_id % 3 <> 0")
-    areas = {"L": "ndthe", "M": "tionth", "N": "ersh", "V": "schte"}
-    made = builder.suite(held, Workspace(spark, "suite"), MAPPING, areas, {"L": 6, "M": 4, "N": 5, "V": 4})
-    return builder.finish(made).select("id", "category", "kind", F.array_join("splits", ",").alias("splits"), F.col("expected_topic_count").cast("long").alias("n_topics"))
-
-
 def _case_rows(spark: SparkSession, d: str) -> DataFrame:
     c = cases(spark, d)
     return c.select(F.concat(F.lit("c"), F.lpad(F.col("id").cast("string"), 8, "0")).alias("id"), "category", F.when(F.col("id") % 2 == 0, "real").otherwise("composed").alias("kind"), F.array(F.when(F.col("id") % 3 == 0, "test").otherwise("validation")).alias("splits"), "text",
@@ -173,7 +164,7 @@ def split_fingerprints(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        training_corpus, dropped_examples, extended_corpus, held_out_examples, kept_provenance, styled_pairs, relabelled_topics, terse_examples, evaluation_suite, finished_cases, suite_statistics,
+        training_corpus, dropped_examples, extended_corpus, held_out_examples, kept_provenance, styled_pairs, relabelled_topics, terse_examples, finished_cases, suite_statistics,
         tfidf_baseline, error_report, baseline_change, exposure_totals, class_exposure, read_by, mentioned_terms, distribution_checks, split_fingerprints,
     )
 }

@@ -141,17 +141,6 @@ def test_same_object_stream_is_checked(spark):
         streams.same_corpus(base.limit(1), same)
 
 
-@pytest.mark.parametrize("size, n, stride", [(3, 5, 7), (40, 6, 11), (100, 4, 29), (12, 6, 5)])
-def test_spread_is_the_stride_over_the_whole_list(spark, size, n, stride):
-    df = spark.createDataFrame([(f"u{i:03d}",) for i in range(size)], "uid string")
-    own = [f"u{i:03d}" for i in range(size) if i != 1]
-    want, i = [], 0
-    while len(own) > n and len(want) < n and i < 3 * len(own):
-        want.append(own[i % len(own)])
-        i += stride
-    assert [r["uid"] for r in builder.spread(df, n, stride, ["uid"], {"u001"})] == (want if len(own) > n else own)
-
-
 def test_evaluation_suite(spark):
     df = spark.createDataFrame(complaints(), "row_id int, uid string, kind string, content string, split string")
     cases = builder.finish(builder.suite(df, Workspace(spark, "suite")), df.where("1 = 0").select(F.col("content").alias("text")))
@@ -161,12 +150,34 @@ def test_evaluation_suite(spark):
     assert len({" ".join(r["text"].lower().split()) for r in rows}) == len(rows)
     used = [r["sources"][0] for r in rows if len(r["sources"]) == 1]
     assert len(used) == len(set(used))
+    quotas = {letter: n for letter, _, _, n, _ in builder.CATEGORIES}
+    for letter, n in quotas.items():
+        own = [r for r in rows if r["category"] == letter]
+        assert len(own) <= n
+        if letter in "BCDFG":  # no record twice in one form
+            assert len({u for r in own for u in r["sources"]}) == 2 * len(own)
     for r in rows:
+        assert len(r["sources"]) == 1 or len(r["expected_domains"]) == 2
         assert all(t["issue"].strip() and "згоду" not in t["issue"] for t in r["expected_topics"])
     with pytest.raises(Exception, match="a training text"):
         builder.finish(cases, cases.select("text").limit(1)).collect()
 
 
+def test_singles_fill_scarce_categories_first(spark):
+    rng = random.Random(3)
+    rows = [(f"u{i}", [c for c in "AHIJLM" if rng.random() < {"A": 0.9, "H": 0.5, "I": 0.05, "J": 0.3, "L": 0.02, "M": 0.0}[c]]) for i in range(400)]
+    quotas = {"A": 300, "H": 20, "I": 10, "J": 6, "L": 4, "M": 5}
+    df = spark.createDataFrame(rows, "uid string, eligible array<string>")
+    got = [tuple(r) for r in builder.dealt_singles(df, quotas, Workspace(spark, "deal")).collect()]
+    assert sorted(got) == sorted(tuple(r) for r in builder.dealt_singles(df.repartition(7), quotas, Workspace(spark, "deal")).collect())
+    fits = dict(rows)
+    assert len({u for u, _ in got}) == len(got) and all(c in fits[u] for u, c in got)
+    taken, left = {c: sum(k == c for _, k in got) for c in quotas}, set(fits) - {u for u, _ in got}
+    for c, n in quotas.items():  # full, or no record that fits is free
+        assert taken[c] == n or (taken[c] < n and not any(c in fits[u] for u in left))
+    assert builder.dealt_singles(df.limit(0), quotas, Workspace(spark, "deal")).count() == 0
+
+
 def test_baseline_report(spark):
     rows = [(i, f"ліфт поломка дім {i}" if i % 2 else f"дорога яма асфальт {i}", "a" if i % 2 else "b") for i in range(40)]
     df = spark.createDataFrame(rows, "row_id long, content string, kind string")
