@@ -153,39 +153,35 @@ def mcnemar(pairs: DataFrame) -> DataFrame:
     return mcnemar_by(pairs)
 
 
-#: Different differences of pairs up to which a bootstrap is drawn from their counts.
-DIFFERENT = 2_000
-
-
 def bootstrap(pairs: DataFrame, rounds: int = 4_000, seed: int = 0) -> DataFrame:
     """Paired bootstrap of mean(b - a): n, delta, lo, hi, supported (the interval leaves out 0).
 
-    Pairs with one difference are alike, so a resample is a multinomial draw over the counts of the different differences,
-    which are few for flags and ratings: up to ``DIFFERENT`` of them are collected and drawn on the driver. With more, a
-    resample draws each pair a Poisson(1) number of times by a seeded hash of (round, pair), so a round needs no other
-    pair; rounds x pairs rows are made and summed at once, none is shuffled.
+    A resample takes each pair a Poisson(1) number of times, so pairs are drawn apart from each other and sums of parts can
+    be merged. Pairs of one difference are alike: n of them are taken a Poisson(n) number of times, drawn for all resamples
+    at once from the seed and the difference. Each task adds its differences into ``rounds`` sums and hands on these, so
+    the work grows with the different differences and the shuffle with the tasks; the draws do not depend on partitions.
     """
-    own = pairs.select(F.monotonically_increasing_id().alias("id") if "id" not in pairs.columns else F.col("id"), (F.col("b") - F.col("a")).cast("double").alias("d"))
+    own = pairs.select((F.col("b") - F.col("a")).cast("double").alias("d"))
     told = own.agg(F.count("*").alias("n"), F.avg("d").alias("delta"))
-    few = sorted((r["d"], r["n"]) for r in own.where("d is not null").groupBy("d").agg(F.count("*").alias("n")).limit(DIFFERENT + 1).collect())
-    if 0 < len(few) <= DIFFERENT:
-        value, count = np.array([d for d, _ in few]), np.array([n for _, n in few])
-        rng, total = np.random.default_rng(seed), int(count.sum())
-        means = np.sort(np.concatenate([rng.multinomial(total, count / total, size=min(500, rounds - at)) @ value for at in range(0, rounds, 500)]) / total)
-        band = pairs.sparkSession.createDataFrame([(float(means[int(0.025 * rounds)]), float(means[min(rounds - 1, int(0.975 * rounds))]))], "lo double, hi double")
-        both = told.crossJoin(band)  # one row each
-        return both.withColumn("supported", (F.col("lo") > 0) | (F.col("hi") < 0))
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("round"), F.col("id")), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    times, p, total = F.lit(0), 2.718281828459045**-1, 0.0
-    for k in range(1, 12):
-        total += p
-        times = times + F.when(u > total, 1).otherwise(0)
-        p /= k
-    drawn = own.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("times", times)
-    means = drawn.groupBy("round").agg((F.sum(F.col("times") * F.col("d")) / F.greatest(F.sum("times"), F.lit(1))).alias("mean"))
+    counts = own.where("d is not null").groupBy((F.col("d") + F.lit(0.0)).alias("d")).agg(F.count("*").alias("n"))
+
+    def drawn(batches):
+        import pyarrow as pa
+
+        sums, taken = np.zeros(rounds), np.zeros(rounds, dtype=np.int64)
+        for batch in batches:
+            for d, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                times = np.random.default_rng([seed, int(np.float64(d).view(np.uint64))]).poisson(n, rounds)
+                sums += times * d
+                taken += times
+        if taken.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(rounds, dtype=np.int32)), pa.array(sums), pa.array(taken)], names=["round", "sum", "taken"])
+
+    each = counts.mapInArrow(drawn, "round int, sum double, taken long").groupBy("round").agg(F.sum("sum").alias("sum"), F.sum("taken").alias("taken"))
+    means = each.select(F.round(F.col("sum") / F.greatest("taken", F.lit(1)), 12).alias("mean"))
     band = means.agg(F.sort_array(F.collect_list("mean")).alias("m"))  # a value a round
     lo, hi = F.get("m", F.lit(int(0.025 * rounds))), F.get("m", F.lit(min(rounds - 1, int(0.975 * rounds))))
-    return told.crossJoin(band).select("n", "delta", lo.alias("lo"), hi.alias("hi")).withColumn("supported", (F.col("lo") > 0) | (F.col("hi") < 0))
+    return told.crossJoin(band).select("n", "delta", lo.alias("lo"), hi.alias("hi")).withColumn("supported", (F.col("lo") > 0) | (F.col("hi") < 0))  # one row each
 
 
 def verdict_of_change(delta: Column, higher_is_better: Column, tolerance: Column) -> Column:

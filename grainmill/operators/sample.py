@@ -62,93 +62,116 @@ def centroid_distance(df: DataFrame, key: str, vector: str) -> DataFrame:
     return df.join(c, F.col(key).eqNullSafe(F.col("__gm_key"))).withColumn("distance", squared_distance(F.col(vector), F.col("centroid"))).drop("__gm_key", "centroid")
 
 
-def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """Labels and centres. Seeded k-means++ start; ties go to the lowest cluster; an empty cluster keeps its centre."""
+def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 50, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Labels and centres of weighted rows. Seeded k-means++ start; ties go to the lowest cluster; an empty cluster keeps its
+    centre."""
     rng = np.random.default_rng(seed)
     n = len(x)
     if k > n:
         raise ValueError(f"{k} clusters of {n} rows")
-    chosen = [int(rng.integers(n))]
+    w = np.ones(n) if weights is None else np.asarray(weights, dtype=float)
+    pick = lambda mass: min(int(np.searchsorted(np.cumsum(mass), rng.random() * mass.sum(), side="right")), n - 1)
+    chosen = [pick(w)]
     nearest = ((x - x[chosen[0]]) ** 2).sum(axis=1)
     while len(chosen) < k:
-        total = nearest.sum()
-        at = int(np.searchsorted(np.cumsum(nearest), rng.random() * total, side="right")) if total > 0 else next(i for i in range(n) if i not in set(chosen))
-        chosen.append(min(at, n - 1))
+        mass = nearest * w
+        chosen.append(pick(mass) if mass.sum() > 0 else next(i for i in range(n) if i not in set(chosen)))
         nearest = np.minimum(nearest, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
     centres, labels = x[chosen].astype(float), None
     for _ in range(rounds):
-        square = (x**2).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres**2).sum(axis=1)[None, :]
-        new = square.argmin(axis=1)
+        new = _nearest(x, centres)[0]
         if labels is not None and (new == labels).all():
             break
         labels = new
         for c in range(k):
-            if (labels == c).any():
-                centres[c] = x[labels == c].mean(axis=0)
+            if w[labels == c].sum() > 0:
+                centres[c] = np.average(x[labels == c], axis=0, weights=w[labels == c])
     return labels, centres
 
 
-def cluster(df: DataFrame, quota: DataFrame, kind: str, key: str, vector: str, seed: int = 0, at_once: int = 100_000, rounds: int = 50) -> DataFrame:
-    """(kind, key, cluster, distance): k-means within each kind with its quota as k.
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each row, the lowest of ties, and the squared distance to it."""
+    square = (x**2).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres**2).sum(axis=1)[None, :]
+    label = square.argmin(axis=1)
+    return label, ((x - centres[label]) ** 2).sum(axis=1)
 
-    Kinds of up to ``at_once`` rows are clustered in one task each. A larger kind starts from the centres of the
-    ``at_once`` rows with the least hashes; then all its rows are dealt to the nearest centre and centres become the means
-    of their rows, until no centre moves. Centres are broadcast: the sum of the quotas of them. A kind with more seats than
-    rows fails the run.
+
+#: Turns of oversampling, and candidates of a turn for each cluster wanted, about.
+TURNS, OVER = 4, 2
+
+
+def cluster(df: DataFrame, quota: DataFrame, kind: str, key: str, vector: str, seed: int = 0, rounds: int = 50) -> DataFrame:
+    """(kind, key, cluster, distance): k-means within each kind with its quota as k, the same way for kinds of any size.
+
+    Seeds are drawn by k-means||: in each of ``TURNS`` turns every row is taken, by a seeded hash of its key, with a chance
+    in proportion to its squared distance from what is taken already, ``OVER`` times the quota in all. Candidates weigh as
+    many rows as they are nearest to and are clustered into the first centres; then all rows are dealt to the nearest centre
+    and centres become the means of their rows, until none moves. What the driver holds and broadcasts are candidates and
+    centres, ``TURNS * OVER + 2`` a seat at most, about, whatever the rows. A kind with more seats than rows fails the run.
     """
     types = {f.name: f.dataType.simpleString() for f in df.schema}
-    wanted = df.join(quota.select(F.col("kind").alias(kind), "quota", "support"), kind).where("quota > 0").select(kind, key, vector, "quota", "support")
-
-    def own(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(key, ignore_index=True)
-        x = np.stack(frame[vector].to_numpy()).astype(float)
-        labels, centres = kmeans(x, int(frame["quota"].iloc[0]), seed)
-        return pd.DataFrame({kind: frame[kind], key: frame[key], "cluster": labels, "distance": ((x - centres[labels]) ** 2).sum(axis=1)})
-
-    out = f"{kind} {types[kind]}, {key} {types[key]}, cluster int, distance double"
-    small = wanted.where(F.col("support") <= at_once).groupBy(kind).applyInPandas(own, out)
-    large = wanted.where(F.col("support") > at_once)
-    if not quota.where((F.col("support") > at_once) & (F.col("quota") > 0)).limit(1).count():
-        return small
-
-    def start(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["h", key], ignore_index=True).head(at_once)
-        _, centres = kmeans(np.stack(frame[vector].to_numpy()).astype(float), int(frame["quota"].iloc[0]), seed)
-        return pd.DataFrame({kind: frame[kind].iloc[0], "cluster": range(len(centres)), "centre": list(centres)})
-
-    # a hash bound that leaves some more than at_once of each kind
-    h = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 40)).alias("h")
-    few = large.select("*", h).where(F.col("h") < (F.lit(1.2 * at_once + 1000) / F.col("support") * (1 << 40)))
-    told = few.groupBy(kind).applyInPandas(start, f"{kind} {types[kind]}, cluster int, centre array<double>").collect()
-    now: dict = {}
-    for r in sorted(told, key=lambda r: r["cluster"]):
-        now.setdefault(r[kind], []).append(r["centre"])
-    now = {k: np.array(v) for k, v in now.items()}
-
-    def nearest(centres):
-        sent = df.sparkSession.sparkContext.broadcast(centres)
+    spark, rows = df.sparkSession, df.join(F.broadcast(quota.where("quota > 0").select(F.col("kind").alias(kind))), kind).select(kind, key, F.col(vector).cast("array<double>").alias(vector))
+    seats = {r[kind]: (r["quota"], r["n"]) for r in rows.groupBy(kind).agg(F.count("*").alias("n")).join(quota.select(F.col("kind").alias(kind), "quota"), kind).collect()}  # a row a kind
+    for k, n in seats.values():
+        if k > n:
+            raise ValueError(f"{k} clusters of {n} rows")
+    chance = lambda turn: (F.pmod(F.xxhash64(F.lit(seed), F.lit(turn), key), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+
+    def dealt(centres: dict, schema: str, told):
+        """``told(kind, keys, x, labels, distances)`` of each batch and kind, under a schema."""
+        sent = spark.sparkContext.broadcast(centres)
 
         def run(frames):
             for frame in frames:
                 for name, part in frame.groupby(kind, sort=False):
-                    x, c = np.stack(part[vector].to_numpy()).astype(float), sent.value[name]
-                    square = (x**2).sum(axis=1)[:, None] - 2 * x @ c.T + (c**2).sum(axis=1)[None, :]
-                    label = square.argmin(axis=1)
-                    yield pd.DataFrame({kind: part[kind].to_numpy(), key: part[key].to_numpy(), vector: list(x), "cluster": label, "distance": ((x - c[label]) ** 2).sum(axis=1)})
-
-        return large.select(kind, key, vector).mapInPandas(run, f"{kind} {types[kind]}, {key} {types[key]}, {vector} array<double>, cluster int, distance double")
+                    x = np.stack(part[vector].to_numpy()).astype(float)
+                    yield told(name, part[key].to_numpy(), x, *_nearest(x, sent.value[name]))
+
+        return rows.mapInPandas(run, schema)
+
+    spread = lambda centres: dealt(centres, f"{kind} {types[kind]}, {key} {types[key]}, {vector} array<double>, distance double", lambda name, keys, x, _, d: pd.DataFrame({kind: name, key: keys, vector: list(x), "distance": d}))
+    # as many rows as seats by the hash alone: the first of them is the first candidate, the others fill up where candidates are few
+    least = Window.partitionBy(kind).orderBy(chance(-1), key)
+    spare: dict = {}
+    most = max((k for k, _ in seats.values()), default=0)
+    for r in rows.withColumn("__gm_n", F.row_number().over(least)).where(F.col("__gm_n") <= most).orderBy("__gm_n").collect():
+        if len(spare.setdefault(r[kind], [])) < seats[r[kind]][0]:
+            spare[r[kind]].append(r[vector])
+    found = {name: [own[0]] for name, own in spare.items()}
+    arrays = lambda of: {name: np.array(own, dtype=float) for name, own in of.items()}
+    for turn in range(TURNS):
+        far = spread(arrays(found))
+        costs = far.groupBy(kind).agg(F.sum("distance").alias("cost")).collect()  # a row a kind
+        share = spark.createDataFrame([(r[kind], OVER * seats[r[kind]][0] / r["cost"]) for r in costs if r["cost"] > 0], f"__gm_k {types[kind]}, share double")
+        taken = far.join(F.broadcast(share), F.col(kind).eqNullSafe(F.col("__gm_k"))).where(chance(turn) < F.col("distance") * F.col("share"))
+        for r in taken.select(kind, key, vector).orderBy(key).collect():
+            found[r[kind]].append(r[vector])
+    now = {}
+    weighed = dealt(arrays(found), f"{kind} {types[kind]}, at int, n long", lambda name, keys, x, labels, d: pd.DataFrame({kind: name, "at": np.unique(labels), "n": np.unique(labels, return_counts=True)[1]}))
+    weights: dict = {name: np.zeros(len(own)) for name, own in found.items()}
+    for r in weighed.groupBy(kind, "at").agg(F.sum("n").alias("n")).collect():  # a row a candidate
+        weights[r[kind]][r["at"]] = r["n"]
+    for name, own in found.items():
+        k, w = seats[name][0], weights[name]
+        more = spare[name][: max(0, k - len(own))]
+        now[name] = kmeans(np.array(own + more, dtype=float), k, seed, weights=np.concatenate([w, np.full(len(more), 1e-9)]))[1]
+
+    def sums(name, keys, x, labels, d):
+        own = np.unique(labels)
+        return pd.DataFrame({kind: name, "cluster": own, "n": [int((labels == c).sum()) for c in own], "total": [x[labels == c].sum(axis=0).tolist() for c in own]})
 
     for _ in range(rounds):
-        means = nearest(now).select(kind, "cluster", F.posexplode(vector).alias("i", "x")).groupBy(kind, "cluster", "i").agg(F.avg("x").alias("x"))
-        rows = means.groupBy(kind, "cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centre")).collect()
-        new = {k: v.copy() for k, v in now.items()}  # an empty cluster keeps its centre
-        for r in rows:
+        parts = dealt(now, f"{kind} {types[kind]}, cluster int, n long, total array<double>", sums)
+        means = parts.select(kind, "cluster", "n", F.posexplode("total").alias("i", "x")).groupBy(kind, "cluster", "i").agg((F.sum("x") / F.sum("n")).alias("x"))
+        told = means.groupBy(kind, "cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centre")).collect()  # the centres
+        new = {name: v.copy() for name, v in now.items()}  # an empty cluster keeps its centre
+        for r in told:
             new[r[kind]][r["cluster"]] = r["centre"]
-        still = all(np.allclose(new[k], now[k], rtol=0, atol=1e-9) for k in now)
+        still = all(np.allclose(new[name], now[name], rtol=0, atol=1e-9) for name in now)
         now = new
         if still:
             break
-    return small.unionByName(nearest(now).drop(vector))
+    return dealt(now, f"{kind} {types[kind]}, {key} {types[key]}, cluster int, distance double", lambda name, keys, x, labels, d: pd.DataFrame({kind: name, key: keys, "cluster": labels, "distance": d}))
 
 
 def _distinct(rows: DataFrame, group: list[str], order: list, most: Column | int) -> DataFrame:

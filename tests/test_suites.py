@@ -206,9 +206,11 @@ def test_large_kinds_are_clustered_over_all_rows(spark):
     rows = [(i, "k", [float(v) for v in centres[i % 4] + rng.normal(size=6)]) for i in range(400)]
     df = spark.createDataFrame(rows, "row_id int, kind string, vector array<double>")
     seats = spark.createDataFrame([("k", 400, 4)], "kind string, support long, quota long")
-    whole = sample.cluster(df, seats, "kind", "row_id", "vector").agg(F.sum("distance")).first()[0]
-    parts = sample.cluster(df, seats, "kind", "row_id", "vector", at_once=60)
-    assert parts.count() == 400 and parts.agg(F.sum("distance")).first()[0] == pytest.approx(whole, rel=0.01)
+    parts = sample.cluster(df, seats, "kind", "row_id", "vector")
+    local = sample.kmeans(np.array([r[2] for r in rows]), 4, 0)
+    cost = ((np.array([r[2] for r in rows]) - local[1][local[0]]) ** 2).sum()
+    assert parts.count() == 400 and parts.agg(F.sum("distance")).first()[0] <= 1.05 * cost
+    assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, sample.cluster(df.repartition(5), seats, "kind", "row_id", "vector").collect()))
     groups = {}
     for r in parts.collect():
         groups.setdefault(r["cluster"], set()).add(r["row_id"] % 4)
