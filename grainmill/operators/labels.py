@@ -351,9 +351,42 @@ def balanced_json(text: str, start: int = 0) -> tuple[str, int] | None:
     return None
 
 
+def bracket_ends(text: str) -> dict[int, int]:
+    """Start and end (exclusive) of every bracketed value: what ``balanced_json`` gives at each opening bracket, for all of
+    them in one pass from the right.
+
+    A scan that starts at a bracket is outside of strings there, and from any place the rest of a scan depends on nothing
+    but whether it is in a string. So for each quote, backslash and bracket two numbers are kept: the next bracket that
+    counts if a scan comes by outside of a string, and if it comes by inside of one; and for each bracket the first closing
+    one behind it, or itself, that nothing between has opened.
+    """
+    marks = [(m.start(), m.group()) for m in re.finditer(r'["\\\\{}\[\]]', text)]
+    n, ends = len(marks), {}
+    none = n  # no further bracket
+    outside, inside, free = [none] * (n + 2), [none] * (n + 2), [none] * (n + 2)
+    for j in range(n - 1, -1, -1):
+        place, c = marks[j]
+        if c == "\\":
+            inside[j] = inside[j + 2] if j + 1 < n and marks[j + 1][0] == place + 1 else inside[j + 1]
+            outside[j] = outside[j + 1]
+        elif c == '"':
+            outside[j], inside[j] = inside[j + 1], outside[j + 1]
+        else:
+            outside[j], inside[j] = j, inside[j + 1]
+            if c in "}]":
+                free[j] = j
+            else:
+                close = free[outside[j + 1]]
+                if close != none and marks[close][1] == ("}" if c == "{" else "]"):
+                    ends[place] = marks[close][0] + 1
+                    free[j] = free[outside[close + 1]]
+    return ends
+
+
 def find_topics(text: str | None) -> list[dict] | None:
     """Topics from the first place of a generation that holds a valid value: an object with topics, a list of topics,
-    a topic, or several topics with commas between. Every topic needs all five fields with their types."""
+    a topic, or several topics with commas between. Every topic needs all five fields with their types. A value is read
+    once, however many places lead to it."""
     import json
 
     from .scoring import DOMAINS
@@ -368,21 +401,42 @@ def find_topics(text: str | None) -> list[dict] | None:
         )
 
     text = text or ""
-    for m in re.finditer(r"[{\[]", text):
-        values, at = [], m.start()
-        while hit := balanced_json(text, at):
-            values.append(hit[0])
-            tail = re.compile(r"\s*,").match(text, hit[1])
-            if not tail:
-                break
-            at = tail.end()
-        if not values:
-            continue
-        try:
-            got = json.loads(values[0] if len(values) == 1 else f"[{','.join(values)}]")
-        except ValueError:
+    ends = bracket_ends(text)
+    opening, comma, first = re.compile(r"[{\[]"), re.compile(r"\s*,"), re.compile(r'\[[ \t\n\r]*[{\]]|\{[ \t\n\r]*"')
+    values: dict[int, object] = {}
+
+    def value(at: int):
+        if at not in values:
+            try:
+                values[at] = json.loads(text[at : ends[at]]) if first.match(text, at) else None  # nothing else holds topics
+            except (ValueError, RecursionError):
+                values[at] = None
+        return values[at]
+
+    def following(at: int) -> int | None:
+        tail = comma.match(text, ends[at])
+        m = opening.search(text, tail.end()) if tail else None
+        return m.start() if m and m.start() in ends else None
+
+    failed: set[int] = set()  # places from which a row of topics ends in something else
+    for m in opening.finditer(text):
+        at = m.start()
+        if at not in ends:
             continue
-        topics = got if isinstance(got, list) else got.get("topics") if isinstance(got.get("topics"), list) else [got]
+        if following(at) is None:
+            got = value(at)
+            if got is None:
+                continue
+            topics = got if isinstance(got, list) else got.get("topics") if isinstance(got.get("topics"), list) else [got]
+        else:
+            row, now = [], at
+            while now is not None and now not in failed and valid(value(now)):
+                row.append(now)
+                now = following(now)
+            if now is not None:
+                failed.update(row, (now,))
+                continue
+            topics = [values[x] for x in row]
         if all(map(valid, topics)):
             return [{k: t[k] for k in ("domain", "issue", "object", "requested_action", "attributes")} for t in topics]
     return None
@@ -390,6 +444,9 @@ def find_topics(text: str | None) -> list[dict] | None:
 
 @F.pandas_udf(ArrayType(TOPIC))
 def parsed_topics(raw: pd.Series) -> pd.Series:
-    return raw.map(find_topics)
+    out = pd.Series([None] * len(raw), index=raw.index, dtype=object)
+    held = raw.str.contains(r"[{\[]", na=False)
+    out[held] = raw[held].map(find_topics)
+    return out
 
 
