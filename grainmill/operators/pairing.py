@@ -87,55 +87,78 @@ def pairs(
 
 def independent_clauses(least: int = 30) -> Test:
     """Clauses that are not empty, not equal and ``least`` characters long; issues that differ; actions, where both have
-    one, that differ. Records have clause, issue and action."""
+    one, that differ. Records have clause_chars and the hashes that ``_thin`` gives of clause, issue and action."""
 
     def holds(a: Column, b: Column) -> Column:
-        n = lambda x, c: normalize(x[c])
-        long = (F.length(a["clause"]) >= least) & (F.length(b["clause"]) >= least)
-        apart = (n(a, "clause") != "") & (n(a, "clause") != n(b, "clause")) & (n(a, "issue") != n(b, "issue"))
-        return long & apart & ~((n(a, "action") != "") & (n(a, "action") == n(b, "action")))
+        differ = lambda c: a[c] != b[c]
+        long = F.least(a["clause_chars"], b["clause_chars"]) >= least
+        return long & (a["clause_hash"] != F.md5(F.lit(""))) & differ("clause_hash") & differ("issue_hash") & (differ("action_hash") | (a["action_hash"] == F.md5(F.lit(""))))
 
     return holds
 
 
-def _unfrozen(df: DataFrame, frozen: DataFrame, text: str) -> DataFrame:
-    """Kept pairs whose text is frozen get the reason ``leakage``. ``frozen``: content."""
-    known = frozen.select(F.md5(normalize(F.col("content"))).alias("__gm_t")).distinct().withColumn("__gm_leaks", F.lit(True))
-    own = df.withColumn("__gm_t", F.when(F.col("reason") == "kept", F.md5(normalize(F.col(text))))).join(known, "__gm_t", "left")
-    return own.withColumn("reason", F.when(F.col("__gm_leaks"), "leakage").otherwise(F.col("reason"))).drop("__gm_t", "__gm_leaks")
+def _thin(rows: DataFrame, *texts: str) -> DataFrame:
+    """Rows with lengths and hashes in place of their texts, so that pairs are found without moving a text, and ``row``, by
+    which the texts of those that are kept are fetched."""
+    shape = [c for t in texts for c in (F.length(t).alias(f"{t}_chars"), F.md5(normalize(F.col(t))).alias(f"{t}_hash"))]
+    told = F.md5(F.concat_ws(":", F.col("uid").cast("string"), *[F.md5(F.coalesce(F.col(t), F.lit(""))) for t in texts]))
+    return rows.select(*[c for c in rows.columns if c not in texts], *shape, told.alias("row"))
+
+
+def _told(found: DataFrame, rows: DataFrame, texts: tuple[str, ...], frozen: DataFrame, make: Callable[[Column, Column], Column], ws) -> DataFrame:
+    """(street, a, b, reason, text, a_issue, b_issue): pairs with the texts of those that are kept; one whose text is frozen
+    (content) gets the reason ``leakage``. Pairs are written thin; kept ones are few and fetch their records' texts."""
+    found = ws.table("pairs", found)
+    key = F.md5(F.concat_ws(":", F.col("uid").cast("string"), *[F.md5(F.coalesce(F.col(t), F.lit(""))) for t in texts]))
+    whole = rows.select(key.alias("__gm_row"), F.struct(*texts).alias("__gm_t")).dropDuplicates(["__gm_row"])
+    kept = found.where("reason = 'kept'")
+    for side in ("a", "b"):
+        own = whole.withColumnsRenamed({"__gm_row": f"__gm_r{side}", "__gm_t": f"__gm_{side}"})
+        kept = kept.join(own, F.col(f"{side}.row") == F.col(f"__gm_r{side}"))
+    merged = lambda side: F.struct(F.col(f"{side}.*"), F.col(f"__gm_{side}.*"))
+    kept = kept.select("street", "a", "b", "reason", merged("a").alias("__gm_x"), merged("b").alias("__gm_y"))
+    kept = kept.withColumn("text", make(F.col("__gm_x"), F.col("__gm_y")))
+    known = frozen.select(F.md5(normalize(F.col("content"))).alias("__gm_f")).distinct().withColumn("__gm_leaks", F.lit(True))
+    kept = kept.withColumn("__gm_f", F.md5(normalize(F.col("text")))).join(known, "__gm_f", "left")
+    free = F.col("__gm_leaks").isNull()
+    kept = kept.select("street", "a", "b", F.when(free, "kept").otherwise("leakage").alias("reason"), *[F.when(free, c).alias(n) for c, n in ((F.col("text"), "text"), (F.col("__gm_x.issue"), "a_issue"), (F.col("__gm_y.issue"), "b_issue"))])
+    none = F.lit(None).cast("string")
+    return kept.unionByName(found.where("reason <> 'kept'").select("street", "a", "b", "reason", none.alias("text"), none.alias("a_issue"), none.alias("b_issue")))
+
+
+def same_object(rows: DataFrame, frozen: DataFrame, ws, per_key: int = 3, seed: int = 42) -> DataFrame:
+    """(street, a, b, reason, text, a_issue, b_issue): two problems of one object at one street, as one sentence.
+
+    ``rows``: uid, kind, street, object, domain, issue, action, clause.
+    """
+    texts = ("issue", "action", "clause")
+    rows = rows.where("object <> ''").select("uid", "kind", "street", "object", "domain", *[F.coalesce(t, F.lit("")).alias(t) for t in texts])
+    found = pairs(_thin(rows, *texts), "street", "uid", "domain", {"not_independent": independent_clauses()}, ("object",), per_key, seed)
+    text = lambda a, b: F.concat(F.lit("По "), a["street"], F.lit(": "), a["clause"], F.lit(", а також "), lower_first(b["clause"]), F.lit("."))
+    return _told(found, rows, texts, frozen, text, ws)
 
 
-def same_object(rows: DataFrame, frozen: DataFrame, per_key: int = 3, seed: int = 42) -> DataFrame:
-    """(street, object, a, b, reason, text): two problems of one object at one street, as one sentence.
+def _by_street(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("street", F.explode(F.array_distinct("streets"))).drop("streets")
 
-    ``rows``: uid, kind, street, object, domain, issue, action, clause. Text is null for pairs that are not kept.
-    """
-    told = pairs(rows.where("object <> ''"), "street", "uid", "domain", {"not_independent": independent_clauses()}, ("object",), per_key, seed)
-    text = F.concat(F.lit("По "), F.col("street"), F.lit(": "), F.col("a.clause"), F.lit(", а також "), lower_first(F.col("b.clause")), F.lit("."))
-    told = told.select("street", F.col("a.object").alias("object"), "a", "b", "reason", F.when(F.col("reason") == "kept", text).alias("text"))
-    told = _unfrozen(told, frozen, "text")
-    return told.withColumn("text", F.when(F.col("reason") == "kept", F.col("text")))
-
-
-def compact(rows: DataFrame, frozen: DataFrame, per_key: int = 1, seed: int = 42, longest: int = 3000) -> DataFrame:
-    """(street, a, b, reason, text): two issues at one street in one short paragraph. ``rows``: uid, kind, streets (array),
-    domain, issue; a record takes part at each of its streets, two records make one pair only."""
-    each = rows.where(F.coalesce(strip(F.col("issue")), F.lit("")) != "").select("uid", "kind", "domain", "issue", F.explode(F.array_distinct("streets")).alias("street"))
-    text = lambda a, b: F.concat(F.lit("По "), a["street"], F.lit(": "), a["issue"], F.lit(", а також "), strip(b["issue"]), F.lit("."))
-    told = pairs(each, "street", "uid", "domain", {"too_long": lambda a, b: F.length(text(a, b)) <= longest}, (), per_key, seed)
-    told = told.withColumn("text", F.when(F.col("reason") == "kept", text(F.col("a"), F.col("b"))))
-    told = _unfrozen(told, frozen, "text")
-    return told.withColumn("text", F.when(F.col("reason") == "kept", F.col("text")))
-
-
-def same_street(rows: DataFrame, frozen: DataFrame, per_key: int = 1, seed: int = 42) -> DataFrame:
-    """(street, a, b, reason, text): two whole complaints about one street. ``rows``: uid, kind, streets, domain, issue,
-    body."""
-    each = rows.where("body <> '' and issue <> ''").select("uid", "kind", "domain", "issue", "body", F.explode(F.array_distinct("streets")).alias("street"))
-    told = pairs(each, "street", "uid", "domain", None, (), per_key, seed)
-    told = told.withColumn("text", F.when(F.col("reason") == "kept", F.concat(F.col("a.body"), F.lit(" а також "), F.col("b.body"))))
-    told = _unfrozen(told, frozen, "text")
-    return told.withColumn("text", F.when(F.col("reason") == "kept", F.col("text")))
+
+def compact(rows: DataFrame, frozen: DataFrame, ws, per_key: int = 1, seed: int = 42, longest: int = 3000) -> DataFrame:
+    """(street, a, b, reason, text, a_issue, b_issue): two issues at one street in one short paragraph. ``rows``: uid, kind,
+    streets (array), domain, issue; a record takes part at each of its streets, two records make one pair only."""
+    rows = rows.select("uid", "kind", "domain", "streets", strip(F.coalesce("issue", F.lit(""))).alias("issue")).where("issue <> ''")
+    text = lambda a, b: F.concat(F.lit("По "), a["street"], F.lit(": "), a["issue"], F.lit(", а також "), b["issue"], F.lit("."))
+    fixed = len("По : , а також .")
+    short = {"too_long": lambda a, b: F.length(a["street"]) + a["issue_chars"] + b["issue_chars"] + fixed <= longest}
+    found = pairs(_by_street(_thin(rows, "issue")), "street", "uid", "domain", short, (), per_key, seed)
+    return _told(found, rows, ("issue",), frozen, text, ws)
+
+
+def same_street(rows: DataFrame, frozen: DataFrame, ws, per_key: int = 1, seed: int = 42) -> DataFrame:
+    """(street, a, b, reason, text, a_issue, b_issue): two whole complaints about one street. ``rows``: uid, kind, streets,
+    domain, issue, body."""
+    rows = rows.where("body <> '' and issue <> ''").select("uid", "kind", "domain", "streets", "issue", "body")
+    found = pairs(_by_street(_thin(rows, "issue", "body")), "street", "uid", "domain", None, (), per_key, seed)
+    return _told(found, rows, ("issue", "body"), frozen, lambda a, b: F.concat(a["body"], F.lit(" а також "), b["body"]), ws)
 
 
 def rejects(told: DataFrame, *by: str) -> DataFrame:
@@ -163,9 +186,9 @@ def labelled(records: DataFrame, frozen: DataFrame, ws, mapping=None) -> DataFra
 
 def examples(told: DataFrame, prefix: str, own_issues: bool = True) -> DataFrame:
     """(uid, text, topics, sources): kept pairs as training examples, relabelled from each topic's own issue; one whose
-    issue comes out empty is left out. ``told``: a, b (uid, kind, issue, with object and action if they have them), text."""
+    issue comes out empty is left out. ``told``: a, b (uid, kind, domain), text, a_issue, b_issue."""
     kept = told.where("reason = 'kept'").withColumn("uid", F.concat(F.lit(prefix), F.col("a.uid").cast("string"), F.lit("-"), F.col("b.uid").cast("string")))
-    topic = lambda x: streams.topic_of(x["issue"], x["kind"]).withField("domain", x["domain"])
-    made = kept.select("uid", "text", F.array(topic(F.col("a")), topic(F.col("b"))).alias("topics"), F.array(F.col("a.uid"), F.col("b.uid")).alias("sources"))
+    topic = lambda x, issue: streams.topic_of(issue, x["kind"]).withField("domain", x["domain"])
+    made = kept.select("uid", "text", F.array(topic(F.col("a"), F.col("a_issue")), topic(F.col("b"), F.col("b_issue"))).alias("topics"), F.array(F.col("a.uid"), F.col("b.uid")).alias("sources"))
     told = streams.relabelled(made, F.lit(own_issues))
     return told.where(F.forall("topics", lambda t: strip(t["issue"]) != "")).select("uid", "text", "topics", "sources")

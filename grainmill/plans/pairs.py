@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse
 from ..operators import pairing
+from ..storage import Workspace
 from .tables import WS, norm, table
 
 
@@ -21,7 +22,7 @@ def _rows(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _told(pairs: DataFrame, *more: str) -> DataFrame:
+def _told(pairs: DataFrame, *more: Column) -> DataFrame:
     return pairs.select("street", *more, F.col("a.uid").alias("a_uid"), F.col("b.uid").alias("b_uid"), "reason", F.md5("text").alias("text_md5"))
 
 
@@ -31,19 +32,19 @@ def _frozen(spark: SparkSession, d: str) -> DataFrame:
 
 def same_object_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of one source and language, with the reason against each that is not kept."""
-    return _told(pairing.same_object(_rows(spark, d), _frozen(spark, d)), "object")
+    return _told(pairing.same_object(_rows(spark, d), _frozen(spark, d), Workspace(spark, "same-object")), F.col("a.object").alias("object"))
 
 
 def compact_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _told(pairing.compact(_rows(spark, d), _frozen(spark, d), per_key=3))
+    return _told(pairing.compact(_rows(spark, d), _frozen(spark, d), Workspace(spark, "compact"), per_key=3))
 
 
 def same_street_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _told(pairing.same_street(_rows(spark, d), _frozen(spark, d), per_key=2))
+    return _told(pairing.same_street(_rows(spark, d), _frozen(spark, d), Workspace(spark, "same-street"), per_key=2))
 
 
 def same_object_rejects(spark: SparkSession, d: str) -> DataFrame:
-    return pairing.rejects(pairing.same_object(_rows(spark, d), _frozen(spark, d)))
+    return pairing.rejects(pairing.same_object(_rows(spark, d), _frozen(spark, d), Workspace(spark, "rejects")))
 
 
 QUERIES = {f.__name__: f for f in (same_object_pairs, compact_pairs, same_street_pairs, same_object_rejects)}

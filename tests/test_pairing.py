@@ -106,13 +106,15 @@ def test_streams_of_complaints(spark, records):
     rows = pairing.labelled(records, frozen, Workspace(spark, "pairing"), mapping)
     uids = {r["uid"] for r in rows.select("uid").collect()}
     assert not uids & {"u0", "x1", "x2", "u3", "u4", "x4"} and len(uids) > 100
-    told = pairing.same_object(rows, frozen)
+    told = pairing.same_object(rows, frozen, Workspace(spark, "so"))
     kept = [r for r in told.collect() if r["reason"] == "kept"]
     assert 3 <= len(kept) <= 9 and max(Counter(r["street"] for r in kept).values()) <= 3
+    clauses = {r["uid"]: r["clause"] for r in rows.collect()}
     for r in kept:
-        assert r["a"]["object"] == r["b"]["object"] == r["object"] and r["a"]["domain"] != r["b"]["domain"]
-        assert r["text"] == f"По {r['street']}: {r['a']['clause']}, а також {r['b']['clause'][0].lower()}{r['b']['clause'][1:]}."
-    for name, made in (("MT-SYN-SO-", told), ("MT-SYN-CS-", pairing.compact(rows, frozen, 4)), ("MT-SYN-SS-", pairing.same_street(rows, frozen, 4))):
+        a, b = clauses[r["a"]["uid"]], clauses[r["b"]["uid"]]
+        assert r["a"]["object"] == r["b"]["object"] == r["street"] and r["a"]["domain"] != r["b"]["domain"]
+        assert r["text"] == f"По {r['street']}: {a}, а також {b[0].lower()}{b[1:]}."
+    for name, made in (("MT-SYN-SO-", told), ("MT-SYN-CS-", pairing.compact(rows, frozen, Workspace(spark, "cs"), 4)), ("MT-SYN-SS-", pairing.same_street(rows, frozen, Workspace(spark, "ss"), 4))):
         got = pairing.examples(made, name).collect()
         assert got and len({frozenset(r["sources"]) for r in got}) == len(got)
         for r in got:
@@ -123,8 +125,8 @@ def test_streams_of_complaints(spark, records):
 def test_frozen_texts_leak(spark):
     rows = spark.createDataFrame([("1", "k", ["s"], "a", "one thing"), ("2", "k", ["s"], "b", "other thing")], "uid string, kind string, streets array<string>, domain string, issue string")
     none = spark.createDataFrame([], "content string")
-    text = pairing.compact(rows, none).first()["text"]
+    text = pairing.compact(rows, none, Workspace(spark, "cs")).first()["text"]
     assert text in ("По s: one thing, а також other thing.", "По s: other thing, а також one thing.")
-    told = pairing.compact(rows, spark.createDataFrame([(text.upper() + "  ",)], "content string")).first()
+    told = pairing.compact(rows, spark.createDataFrame([(text.upper() + "  ",)], "content string"), Workspace(spark, "cs")).first()
     assert told["reason"] == "leakage" and told["text"] is None
-    assert pairing.compact(rows, none, longest=10).first()["reason"] == "too_long"
+    assert pairing.compact(rows, none, Workspace(spark, "cs"), longest=10).first()["reason"] == "too_long"
