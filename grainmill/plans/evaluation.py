@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize
 from ..operators import curate, measure, sample, scoring, vectors
+from ..storage import Workspace
 from .suites import conversation_sql
 from .tables import JUDGEMENTS, judgements, norm, table
 
@@ -192,8 +193,9 @@ FOLDS = 5
 
 def embedding_classifier(spark: SparkSession, d: str) -> DataFrame:
     """Held-out predictions of all vectors: each fifth is predicted by a classifier that never saw it, tuned on the next
-    fifth over the whole grid and fitted on all four others."""
-    v = _vectors(spark, d)
+    fifth over the whole grid and fitted on all four others. A fold's predictions are written, so that its model and plans
+    go before the next one."""
+    v, ws = _vectors(spark, d), Workspace(spark, "folds")
     fold = F.pmod(F.xxhash64("vec_id"), F.lit(FOLDS))
     out = None
     for k in range(FOLDS):
@@ -201,6 +203,7 @@ def embedding_classifier(spark: SparkSession, d: str) -> DataFrame:
         c = vectors.VectorClassifier()
         c.tune(rest.where(~val), rest.where(val))
         told = c.fit(rest).predict(held).select("vec_id", "label", F.col("prediction").cast("int").alias("prediction"), "confidence")
+        told = ws.table(f"fold-{k}", told)
         out = told if out is None else out.unionByName(told)
     return out
 
