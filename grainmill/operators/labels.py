@@ -159,6 +159,16 @@ def drop_tail(text: Column) -> Column:
     return F.transform(F.array(sentences(text)), kept)[0]
 
 
+#: Repairs of punctuation, in the order in which they are made.
+MENDS = (
+    (r"\s+([.,;:!?])", "$1"),
+    (r"([.!?])\s*([.!?])", "$1"),
+    (r"[.,;:]{2,}", "."),
+    (r"^\s*[.,;:!\-–—]+\s*", ""),
+    (r"\s*[.,;:!\-–—]+$", ""),
+)
+
+
 def clean_issue(text: Column) -> Column:
     """Boilerplate sentences out, then clauses (three passes), then punctuation mended (three passes), 400 characters.
 
@@ -175,7 +185,7 @@ def clean_issue(text: Column) -> Column:
     for _ in range(3):
         out = F.transform(F.array(out), without)[0]
     for _ in range(3):
-        for pattern, to in ((r"\s+([.,;:!?])", "$1"), (r"([.!?])\s*([.!?])", "$1"), (r"[.,;:]{2,}", "."), (r"^\s*[.,;:!\-–—]+\s*", ""), (r"\s*[.,;:!\-–—]+$", "")):
+        for pattern, to in MENDS:
             out = F.regexp_replace(out, pattern, to)
         out = strip(F.regexp_replace(out, p.DANGLING_HEAD, ""))
     return F.left(collapse(out), F.lit(400))

@@ -9,6 +9,7 @@ from ..functions.text import strip
 from .scoring import DOMAINS
 
 _END = "#end-of-json#"
+#: A topic's fields. The error strings below are fixed, too: reports compare them.
 FIELDS = ("domain", "issue", "object", "requested_action", "attributes")
 
 
