@@ -110,8 +110,10 @@ def _told(found: DataFrame, rows: DataFrame, texts: tuple[str, ...], frozen: Dat
     (content) gets the reason ``leakage``. Pairs are written thin; kept ones are few and fetch their records' texts."""
     found = ws.table("pairs", found)
     key = F.md5(F.concat_ws(":", F.col("uid").cast("string"), *[F.md5(F.coalesce(F.col(t), F.lit(""))) for t in texts]))
-    whole = rows.select(key.alias("__gm_row"), F.struct(*texts).alias("__gm_t")).dropDuplicates(["__gm_row"])
     kept = found.where("reason = 'kept'")
+    asked = kept.select(F.explode(F.array("a.uid", "b.uid")).alias("uid")).distinct()
+    whole = rows.join(asked, "uid", "left_semi").select(key.alias("__gm_row"), F.struct(*texts).alias("__gm_t"))
+    whole = ws.table("texts", whole.dropDuplicates(["__gm_row"]))
     for side in ("a", "b"):
         own = whole.withColumnsRenamed({"__gm_row": f"__gm_r{side}", "__gm_t": f"__gm_{side}"})
         kept = kept.join(own, F.col(f"{side}.row") == F.col(f"__gm_r{side}"))
