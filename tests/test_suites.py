@@ -210,7 +210,8 @@ def test_large_kinds_are_clustered_over_all_rows(spark):
     local = sample.kmeans(np.array([r[2] for r in rows]), 4, 0)
     cost = ((np.array([r[2] for r in rows]) - local[1][local[0]]) ** 2).sum()
     assert parts.count() == 400 and parts.agg(F.sum("distance")).first()[0] <= 1.05 * cost
-    assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, sample.cluster(df.repartition(5), seats, "kind", "row_id", "vector").collect()))
+    again = sample.cluster(df.repartition(5), seats, "kind", "row_id", "vector")  # sums may differ in their last digits
+    assert {(r["row_id"], r["cluster"]) for r in parts.collect()} == {(r["row_id"], r["cluster"]) for r in again.collect()}
     groups = {}
     for r in parts.collect():
         groups.setdefault(r["cluster"], set()).add(r["row_id"] % 4)
