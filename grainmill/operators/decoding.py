@@ -7,7 +7,7 @@ predicted_topic_count.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import repeats_itself
@@ -19,7 +19,7 @@ SCHEMA_GATE, COUNT_GATE, LONG_INPUT = 1.0, 0.90, 400
 
 def measures(rows: DataFrame, cases: DataFrame, leak: str | None, *by: str, digits: int = 4) -> DataFrame:
     """n, strict rate, schema failures, topic-count accuracy, JSON failures and mean length by groups; with ``leak`` (the
-    pattern of boilerplate) also, from the raw texts, the share of cases with expected domains whose domains are met
+    pattern of boilerplate) also, from the topics (read from the raw texts where rows have none), the share of cases with expected domains whose domains are met
     exactly (repeats count) and the share of leaks."""
     known = cases.select("id", F.col("expected_topic_count").alias("__gm_n"), F.col("expected_domains").alias("__gm_d"))
     both = rows.join(known, "id", "left")
@@ -32,7 +32,7 @@ def measures(rows: DataFrame, cases: DataFrame, leak: str | None, *by: str, digi
         F.round(F.avg(F.coalesce("raw_chars", F.lit(0))), 1).alias("mean_chars"),
     ]
     if leak is not None:
-        both = suites.read(both)
+        both = both if "topics" in rows.columns else suites.read(both)
         domains = F.array_sort(F.transform("topics", lambda t: F.coalesce(t["domain"], F.lit(""))))
         declared = F.coalesce(F.size("__gm_d"), F.lit(0)) > 0
         exact = F.count_if(declared & (domains == F.array_sort("__gm_d"))) / F.nullif(F.count_if(declared), F.lit(0))
@@ -76,10 +76,8 @@ def grid(rows: DataFrame, cases: DataFrame, base: DataFrame, leak: str) -> DataF
 def best_cells(told: DataFrame) -> DataFrame:
     """Of each model the first setting by name with the highest (strict_ok, topic_count_ok), the gates that it still
     misses, and whether it closes them. ``told``: a grid."""
-    order = F.struct("strict_ok", "topic_count_ok")
-    top = told.groupBy("model").agg(F.max(order).alias("k"))
-    best = told.join(top, "model").where(order == F.col("k")).groupBy("model").agg(F.min("setting").alias("setting"))
-    own = told.join(best, ["model", "setting"])
+    order = Window.partitionBy("model").orderBy(F.desc("strict_ok"), F.desc("topic_count_ok"), F.asc_nulls_last("setting"))  # a few cells
+    own = told.withColumn("__gm_n", F.row_number().over(order)).where("__gm_n = 1 and model is not null and setting is not null")
     gaps = F.array_compact(F.array(F.when(F.col("strict_ok") < SCHEMA_GATE, "schema"), F.when(F.col("topic_count_ok") < COUNT_GATE, "topic_count")))
     return own.select("model", "setting", "strict_ok", "topic_count_ok", "d_strict_ok", "d_topic_count_ok", gaps.alias("gaps"), (F.size(gaps) == 0).alias("closes"))
 
