@@ -48,3 +48,20 @@ def test_copies(spark):
     df = spark.createDataFrame([("Please  Replace the RING!", ["x", "replace, the ring"]), ("replace the ring", ["ring"]), ("", None), (None, ["replace the ring"])], "text string, a array<string>")
     topics = F.transform("a", lambda a: F.struct(a.alias("requested_action")))
     assert [r[0] for r in df.select(actions.copied(topics, F.col("text"))).collect()] == [True, False, False, False]
+
+
+def test_generations_shuffle_lines_once(spark, sf):
+    """Cases and generations come from one grouping of the lines: no join of generations with their cases."""
+    from grainmill.plans import suites as plans
+
+    plan = plans.generations(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2 and plan.count("Exchange hashpartitioning") == 1 and plan.count("SortMergeJoin") == 0, plan
+
+
+def test_likeness_of_texts(spark):
+    from grainmill.operators import scoring
+
+    df = spark.createDataFrame([(["a b  c", ""], ["a c", "x"]), (["a b"], [" a b "]), (["a b"], []), ([], []), (["", "q"], [None])], "e array<string>, g array<string>")
+    topics = lambda c: F.transform(c, lambda x: F.struct(x.alias("issue")))
+    got = [r[0] for r in df.select(scoring.best_issue_rouge(topics("e"), topics("g"))).collect()]
+    assert got == pytest.approx([0.4, 1.0, 0.0, 1.0, 0.5])
