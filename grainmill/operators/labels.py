@@ -207,11 +207,10 @@ def action_clause(text: Column, most: int = 200) -> Column:
         own = _trim(F.regexp_replace(b, r"\s+", " "), " ,;:.!?")
         return F.when(generic & (purpose == ""), "").when(F.length(own) < 4, "").otherwise(own)
 
-    def told(c: Column) -> Column:
-        verb = F.trim(F.regexp_extract(c, p.ACTION_VERB, 0))
-        return F.left(F.trim(F.concat_ws(" ", verb, strip(redact(F.substr(c, F.length(verb) + 1))))), F.lit(most))
-
-    return F.coalesce(F.when(body.isNotNull(), told(clause(body))), F.lit(""))
+    verb = lambda c: F.trim(F.regexp_extract(c, p.ACTION_VERB, 0))
+    own = F.transform(F.array(body), clause)[0]  # bound, so that a body's patterns are not run again for each mention of it
+    rest = F.transform(F.array(own), lambda c: F.substr(c, F.length(verb(c)) + 1))[0]
+    return F.left(F.trim(F.concat_ws(" ", verb(own), strip(redact(rest)))), F.lit(most))
 
 
 def note_kernel(text: Column, boilerplate=p.TAIL_HAS, leads: tuple[str, ...] = ()) -> Column:

@@ -65,3 +65,11 @@ def test_likeness_of_texts(spark):
     topics = lambda c: F.transform(c, lambda x: F.struct(x.alias("issue")))
     got = [r[0] for r in df.select(scoring.best_issue_rouge(topics("e"), topics("g"))).collect()]
     assert got == pytest.approx([0.4, 1.0, 0.0, 1.0, 0.5])
+
+
+def test_action_clause_does_not_repeat_its_search(spark):
+    from grainmill.operators import labels
+
+    df = spark.createDataFrame([("Прошу замінити двері.",)], "content string")
+    plan = df.select(labels.action_clause(F.col("content")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("якомогашвидше") <= 4, plan.count("якомогашвидше")
