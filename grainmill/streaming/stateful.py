@@ -4,7 +4,8 @@
 wait in a list state until the watermark has passed them, a timer of event time wakes the key, and what is due is decided
 in order of time. ``first_seen`` lets each key through once; its marks go after a time to live.
 
-Keys are grouped as strings: pandas turns whole numbers beside nulls into fractions, which are no keys of their column.
+Keys are grouped as strings and rows go to Python one by one in batches of many keys: a frame for each key would cost more
+than its state.
 
 A query is run to the end of what its source has (``available``), so it may be stopped and started again: the checkpoint
 has offsets and state, and a sink keyed by batch writes a batch that is run again over itself.
@@ -15,17 +16,19 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import islice
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from .limiter import MOST, WINDOW_MS, decide
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Rows of the whole input that one partition of the state may hold, about.
-ROWS = 250_000
+#: Rows of the whole input that one partition of the state may hold, about: a key costs Python most of a millisecond.
+ROWS = 10_000
+#: Hits of a key that are handed to its state at once.
+AT_ONCE = 10_000
 
 
 @contextmanager
@@ -57,19 +60,18 @@ class Limiter(StatefulProcessor):
         self.waiting = handle.getListState("waiting", "ms long, place long")
         self.allowed = handle.getValueState("allowed", "times array<long>")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
         first = None
-        for frame in rows:
-            came = [(int(m), int(p)) for m, p in zip(frame["ms"], frame["place"])]
+        while came := [(row["ms"], row["place"]) for row in islice(rows, AT_ONCE)]:
             self.waiting.appendList(came)
             first = min([m for m, _ in came] + ([first] if first is not None else []))
         if first is not None:
             self.handle.registerTimer(max(first, timerValues.getCurrentWatermarkInMs() + 1))
         return iter(())
 
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        hits = sorted((int(m), int(p)) for m, p in (self.waiting.get() if self.waiting.exists() else ()))
+        hits = sorted((int(m), int(p)) for m, p in self.waiting.get())
         due, left = [h for h in hits if h[0] <= now], [h for h in hits if h[0] > now]
         kept = deque(self.allowed.get()[0] if self.allowed.exists() else [])
         told = decide([m for m, _ in due], kept, self.window_ms, self.most)
@@ -83,9 +85,8 @@ class Limiter(StatefulProcessor):
                 self.handle.registerTimer(kept[-1] + self.window_ms)
         else:
             self.allowed.clear()
-        if due:
-            frame = {self.key: [key[0]] * len(due), "ms": [m for m, _ in due], "place": [p for _, p in due], "allowed": [a for a, _ in told], "retry_after_sec": [r for _, r in told]}
-            yield pd.DataFrame(frame)
+        for (ms, place), (allowed, wait) in zip(due, told):
+            yield Row(**{self.key: key[0], "ms": ms, "place": place, "allowed": allowed, "retry_after_sec": wait})
 
     def close(self) -> None:
         pass
@@ -100,11 +101,11 @@ class FirstSeen(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "place long", ttlDurationMs=self.ttl_ms)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        place = min(int(frame["place"].min()) for frame in rows)
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        place = min(row["place"] for row in rows)
         if not self.seen.exists():
             self.seen.update((place,))
-            yield pd.DataFrame({self.key: [key[0]], "place": [place]})
+            yield Row(**{self.key: key[0], "place": place})
 
     def close(self) -> None:
         pass
@@ -117,7 +118,7 @@ def limited(hits: DataFrame, key: str, ts: str, place: str, window_ms: int = WIN
     own = hits.where(F.col(ts).isNotNull()).select(F.col(key).cast("string").alias(key), F.col(ts).cast("timestamp").alias("at"), F.col(place).cast("long").alias("place"))
     own = own.withWatermark("at", late).withColumn("ms", F.unix_millis("at"))
     schema = f"{key} string, ms long, place long, allowed boolean, retry_after_sec int"
-    told = own.groupBy(key).transformWithStateInPandas(Limiter(key, window_ms, most), schema, "Append", "EventTime")
+    told = own.groupBy(key).transformWithState(Limiter(key, window_ms, most), schema, "Append", "EventTime")
     return told.withColumn(key, F.col(key).cast(kind))
 
 
@@ -125,7 +126,7 @@ def first_seen(rows: DataFrame, key: str, place: str, ttl_ms: int = 30 * 86_400_
     """(key, place): each key's first row. A key that stays away for ``ttl_ms`` of the clock counts as new again."""
     kind = rows.schema[key].dataType.simpleString()
     own = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias(key), F.col(place).cast("long").alias("place"))
-    told = own.groupBy(key).transformWithStateInPandas(FirstSeen(key, ttl_ms), f"{key} string, place long", "Append", "ProcessingTime")
+    told = own.groupBy(key).transformWithState(FirstSeen(key, ttl_ms), f"{key} string, place long", "Append", "ProcessingTime")
     return told.withColumn(key, F.col(key).cast(kind))
 
 

@@ -63,3 +63,21 @@ def test_settings_come_back(spark):
     with stateful.state_store(spark, 1):
         assert spark.conf.get("spark.sql.shuffle.partitions") == "1"
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_partitions_of_state_follow_the_rows(spark):
+    # a key costs Python most of a millisecond: 100,000 keys in one task took minutes
+    with stateful.state_store(spark, 100_000):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    with stateful.state_store(spark, 1_000):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "1"
+
+
+def test_a_key_of_many_hits_is_handed_over_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stateful, "AT_ONCE", 7)
+    hits = spark.createDataFrame([(1, START + i * 100, i) for i in range(50)], "key long, ms long, place long").withColumn("ts", F.timestamp_millis("ms"))
+    end = spark.createDataFrame([(-1, START + 10**9, -1)], "key long, ms long, place long").withColumn("ts", F.timestamp_millis("ms"))
+    told = run(spark, [hits, end], tmp_path, lambda s: stateful.limited(s, "key", "ts", "place", 1_000, 3, "6 seconds"))
+    got = sorted((r["ms"], r["place"], r["allowed"]) for r in told.where("key = 1").collect())
+    want = limiter.limit(hits, "key", "ts", "place", 1_000, 3).collect()
+    assert got == sorted((r["ms"], r["place"], r["allowed"]) for r in want)
