@@ -22,6 +22,20 @@ def test_a_generation_is_parsed_once(spark, tmp_path, used):
     assert plan.lower().count("parse_json(") + plan.count("parseJson") <= 1, plan
 
 
+def test_whether_a_generation_parses_types_no_topic(spark, tmp_path):
+    spark.createDataFrame([(GOOD,)], "raw string").write.parquet(str(tmp_path / "t"))
+    df = suites.read(spark.read.parquet(str(tmp_path / "t")))
+    plan = lambda *used: df.select(*used)._jdf.queryExecution().optimizedPlan().toString()
+    assert "StringType" in plan("topics") and "requested_action" not in plan("parsed"), plan("parsed")
+
+
+def test_topics_without_attributes_are_made_whole(spark):
+    raws = ['{"topics":[' + t + "]}" for t in (GOOD + ',{"issue":"x"}', "5", "null", GOOD)] + ['{"topics":null}', '{"topics":5}', '{"topics":{}}']
+    df = spark.createDataFrame(list(enumerate(raws)), "id int, raw string")
+    got = [[t.attributes for t in r.topics] for r in suites.read(df).orderBy("id").collect()]
+    assert got == [[{}, {}], [{}], [{}], [{}], [], [], []]
+
+
 def test_contract(spark):
     wrap = lambda t: '{"topics":[' + t + "]}"
     bad = [GOOD.replace('"water"', '"nowhere"'), GOOD.replace('"object":"",', ""), GOOD.replace('"object":""', '"object":5'), GOOD.replace('"x is y"', '" \\u00a0"'), GOOD.replace("{}", "[]"), GOOD[:-1] + ',"more":1}', GOOD + ",null"]
