@@ -87,3 +87,10 @@ def test_action_clause_does_not_repeat_its_search(spark):
     df = spark.createDataFrame([("Прошу замінити двері.",)], "content string")
     plan = df.select(labels.action_clause(F.col("content")))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("якомогашвидше") <= 4, plan.count("якомогашвидше")
+
+def test_measured_values_are_made_once(spark, sf):
+    """Gates list the arms and look values up: both read the few measured rows, not the generations behind them."""
+    from grainmill.plans import suites as plans
+
+    plan = plans.gate_table(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "generations" not in plan and "topics" not in plan, plan
