@@ -108,10 +108,13 @@ def cluster(df: DataFrame, quota: DataFrame, kind: str, key: str, vector: str, s
     many rows as they are nearest to and are clustered into the first centres; then all rows are dealt to the nearest centre
     and centres become the means of their rows, until none moves. What the driver holds and broadcasts are candidates and
     centres, ``TURNS * OVER + 2`` a seat at most, about, whatever the rows. A kind with more seats than rows fails the run.
+
+    ``df`` is read in every round: one that is dear to make should be written before.
     """
     types = {f.name: f.dataType.simpleString() for f in df.schema}
-    spark, rows = df.sparkSession, df.join(F.broadcast(quota.where("quota > 0").select(F.col("kind").alias(kind))), kind).select(kind, key, F.col(vector).cast("array<double>").alias(vector))
-    seats = {r[kind]: (r["quota"], r["n"]) for r in rows.groupBy(kind).agg(F.count("*").alias("n")).join(quota.select(F.col("kind").alias(kind), "quota"), kind).collect()}  # a row a kind
+    wanted = {r["kind"]: r["quota"] for r in quota.where("quota > 0").collect()}  # a row a kind
+    spark, rows = df.sparkSession, df.where(F.col(kind).isin(*wanted)).select(kind, key, F.col(vector).cast("array<double>").alias(vector))
+    seats = {r[kind]: (wanted[r[kind]], r["n"]) for r in rows.groupBy(kind).agg(F.count("*").alias("n")).collect()}
     for k, n in seats.values():
         if k > n:
             raise ValueError(f"{k} clusters of {n} rows")
@@ -134,7 +137,8 @@ def cluster(df: DataFrame, quota: DataFrame, kind: str, key: str, vector: str, s
     least = Window.partitionBy(kind).orderBy(chance(-1), key)
     spare: dict = {}
     most = max((k for k, _ in seats.values()), default=0)
-    for r in rows.withColumn("__gm_n", F.row_number().over(least)).where(F.col("__gm_n") <= most).orderBy("__gm_n").collect():
+    drawn = rows.select(kind, key).withColumn("__gm_n", F.row_number().over(least)).where(F.col("__gm_n") <= most)  # vectors stay out of the sort
+    for r in rows.join(F.broadcast(drawn), [kind, key]).orderBy("__gm_n").collect():
         if len(spare.setdefault(r[kind], [])) < seats[r[kind]][0]:
             spare[r[kind]].append(r[vector])
     found = {name: [own[0]] for name, own in spare.items()}
@@ -181,7 +185,7 @@ def _distinct(rows: DataFrame, group: list[str], order: list, most: Column | int
     return first.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= most)
 
 
-def select_gold(df: DataFrame, budget: int, kind: str = "kind", key: str = "row_id", text: str = "text", vector: str = "vector", score: Column | None = None, penalty: Column | None = None, least: int = 12, extra: int = 40, share: float = 0.08, seed: int = 0) -> DataFrame:
+def select_gold(df: DataFrame, budget: int, kind: str = "kind", key: str = "row_id", text: str = "text", vector: str = "vector", score: Column | None = None, penalty: Column | None = None, least: int = 12, extra: int = 40, share: float = 0.08, seed: int = 0, ws=None) -> DataFrame:
     """(key, kind, method) of exactly ``budget`` records, no normalised text twice.
 
     In turn: of each cluster (a kind has as many as seats, but for those of its outliers) the row nearest to the centre,
@@ -190,18 +194,22 @@ def select_gold(df: DataFrame, budget: int, kind: str = "kind", key: str = "row_
     topics (``score`` of 2 or more), ``extra`` at most; the nearest others.
 
     Ranking is distributed and by distinct texts. A claim can be passed over at most once a seat, so of each group the
-    driver gets at most ``budget`` candidates more than it has places: a bounded number of rows without texts.
+    driver gets at most ``budget`` candidates more than it has places: a bounded number of rows without texts. ``df`` is read
+    once: vectors with the hashes of texts are written, and so are clustered records, since both are read many times.
     """
     from ..functions.text import normalize
+    from ..storage import Workspace
 
-    rows = df.withColumn(kind, F.col(kind).cast("string"))
+    ws = ws or Workspace(df.sparkSession, "gold")
+    none = F.lit(0.0)
+    hashed = [F.md5(normalize(F.col(text))).alias("text"), (none if score is None else score).alias("score"), (none if penalty is None else penalty).alias("penalty")]
+    rows = ws.table("rows", df.select(key, F.col(kind).cast("string").alias(kind), vector, *hashed))
     seats = quotas(rows.groupBy(F.col(kind).alias("kind")).agg(F.count("*").alias("support")), budget, least)
     room = F.greatest(F.lit(0), F.least(F.floor(F.col("quota") * share), F.col("quota") - least)).cast("int")
-    seats = seats.withColumn("room", room).withColumn("quota", F.col("quota") - F.col("room"))
+    seats = ws.table("seats", seats.withColumn("room", room).withColumn("quota", F.col("quota") - F.col("room")))
     clustered = cluster(rows, seats, kind, key, vector, seed)
-    none = F.lit(0.0)
-    texts = rows.select(key, F.md5(normalize(F.col(text))).alias("text"), (none if score is None else score).alias("score"), (none if penalty is None else penalty).alias("penalty"))
-    told = clustered.join(texts, key).join(seats.select(F.col("kind").alias(kind), "room"), kind)
+    texts = rows.select(key, "text", "score", "penalty")
+    told = ws.table("told", clustered.join(texts, key).join(F.broadcast(seats.select(F.col("kind").alias(kind), "room")), kind))
     near = ["distance", "penalty", key]
     centroid = _distinct(told, [kind, "cluster"], near, budget + 1)
     far = _distinct(told, [kind], [F.col("distance").desc(), "penalty", key], F.col("room") + budget)
@@ -237,6 +245,7 @@ def select_gold(df: DataFrame, budget: int, kind: str = "kind", key: str = "row_
     if len(out) < budget:
         raise ValueError(f"only {len(out)} different texts for {budget} seats")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    ws.drop("rows", "seats", "told")
     return df.sparkSession.createDataFrame(out, f"{key} {kinds[key]}, kind string, method string")
 
 

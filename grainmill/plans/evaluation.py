@@ -185,7 +185,7 @@ def label_clusters(spark: SparkSession, d: str) -> DataFrame:
 def gold_selection(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
     v = _vectors(spark, d).join(docs, F.col("vec_id") == F.col("doc_id")).select(F.col("vec_id").alias("row_id"), F.col("label").alias("kind"), "vector", "text")
-    return sample.select_gold(v, 60, least=3)
+    return sample.select_gold(v, 60, least=3, ws=Workspace(spark, "gold"))
 
 
 FOLDS = 5

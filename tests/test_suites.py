@@ -231,6 +231,21 @@ def test_selection_takes_no_text_twice(spark):
         sample.select_gold(df, 38, least=3)
 
 
+def test_selection_reads_its_records_once(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, "ab"[i % 2], f"Text {i}", [float(v) for v in rng.normal(size=3)]) for i in range(60)]
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            made.add(len(frame))
+            yield frame
+
+    df = spark.createDataFrame(rows, "row_id int, kind string, text string, vector array<double>")
+    assert len(sample.select_gold(df.mapInPandas(counted, df.schema), 10, least=2).collect()) == 10
+    assert made.value == 60
+
+
 def test_dangling_identity_words_go_to_the_last(spark):
     one = re.compile(r"(?:^|[\s.;,])за(?:явник|явниц|явники|явницям|явкою|я)\w*\s*$", re.IGNORECASE)
 
