@@ -206,21 +206,26 @@ def suite(records: DataFrame, ws, mapping=None, areas=None, quotas=None, ambiguo
     return assemble(prepare(records, ws, mapping, areas, boilerplate), ws, quotas, ambiguous, seed)
 
 
-def finish(cases: DataFrame, training: DataFrame | None = None) -> DataFrame:
-    """Cases with a text and a topic, one a normalised text and one an id (the first by id), in order of id. An expected
-    topic without an issue fails the run, as does a text that ``training`` (column text) holds."""
+def distinct_cases(cases: DataFrame, training: DataFrame | None = None) -> DataFrame:
+    """``finish`` in no order, for what counts cases. Issues are looked at before cases are joined with the first ids of their
+    texts, so that topics travel only where they are asked for."""
     from .curate import first_of
 
-    own = cases.where((strip(F.col("text")) != "") & (F.col("expected_topic_count") >= 1))
-    own = first_of(first_of(own, [normalize(F.col("text"))], "id"), ["id"], "id").dropDuplicates(["id"])
     blank = F.exists("expected_topics", lambda t: strip(F.coalesce(t["issue"], F.lit(""))) == "")
-    checked = F.when(blank, F.raise_error(F.concat(F.col("id"), F.lit(": empty expected issue")))).otherwise(F.lit(True))
+    own = cases.where((strip(F.col("text")) != "") & (F.col("expected_topic_count") >= 1)).withColumn("__gm_blank", blank)
+    own = first_of(own, [normalize(F.col("text"))], "id").dropDuplicates(["id"])
+    checked = F.when(F.col("__gm_blank"), F.raise_error(F.concat(F.col("id"), F.lit(": empty expected issue"))).cast("boolean")).otherwise(F.lit(True))
     if training is not None:
         known = training.select(F.md5(normalize(F.col("text"))).alias("__gm_t")).distinct().withColumn("__gm_in", F.lit(True))
         own = own.withColumn("__gm_t", F.md5(normalize(F.col("text")))).join(known, "__gm_t", "left")
-        checked = F.when(F.col("__gm_in"), F.raise_error(F.concat(F.col("id"), F.lit(": a training text"))).cast("boolean")).otherwise(checked.cast("boolean"))
-        return own.withColumn("__gm_ok", checked).where("__gm_ok").drop("__gm_ok", "__gm_in", "__gm_t").orderBy("id")
-    return own.withColumn("__gm_ok", checked.cast("boolean")).where("__gm_ok").drop("__gm_ok").orderBy("id")
+        checked = F.when(F.col("__gm_in"), F.raise_error(F.concat(F.col("id"), F.lit(": a training text"))).cast("boolean")).otherwise(checked)
+    return own.where(checked).select(*cases.columns)
+
+
+def finish(cases: DataFrame, training: DataFrame | None = None) -> DataFrame:
+    """Cases with a text and a topic, one a normalised text and one an id (the first by id), in order of id. An expected
+    topic without an issue fails the run, as does a text that ``training`` (column text) holds."""
+    return distinct_cases(cases, training).orderBy("id")
 
 
 def statistics(cases: DataFrame) -> DataFrame:
@@ -229,15 +234,20 @@ def statistics(cases: DataFrame) -> DataFrame:
     fact = lambda name, value: F.struct(F.lit(name).alias("s"), value.cast("string").alias("v"))
     facts = F.array(
         fact("cases", F.lit("all")), fact("category", F.col("category")), fact("provenance", F.col("kind")), fact("split", F.get("splits", F.lit(0))), fact("topics", F.col("expected_topic_count")),
-        fact("spanning", F.when(F.size("splits") != 1, F.col("id"))),
+        fact("spanning", F.when(F.size("splits") != 1, F.col("id"))), fact("length", F.length("text")),
     )
     domains = F.transform("expected_domains", lambda d: F.struct(F.lit("domain").alias("s"), d.alias("v")))
-    told = cases.select(F.explode(F.concat(facts, domains)).alias("f")).where("f.v is not null").groupBy(F.col("f.s").alias("statistic"), F.col("f.v").alias("value")).agg(F.count("*").alias("n"))
-    ranked = cases.select(F.length("text").alias("len")).withColumn("at", F.row_number().over(Window.orderBy("len")) - 1).crossJoin(cases.agg(F.count("*").alias("m")))  # a suite is small; one row
-    marks = F.when(F.col("at") == 0, "min").when(F.col("at") == F.col("m") - 1, "max")
-    each = F.array_compact(F.array(marks, *[F.when(F.col("at") == F.floor(F.col("m") * k / 4), F.lit(name)) for k, name in ((1, "p25"), (2, "median"), (3, "p75"))]))
-    lengths = ranked.select(F.explode(each).alias("value"), F.col("len").cast("long").alias("n")).select(F.lit("length").alias("statistic"), "value", "n")
-    return told.unionByName(lengths)
+    long = F.col("s") == "length"
+    told = cases.select(F.explode(F.concat(facts, domains)).alias("f")).select("f.*").where(F.col("v").isNotNull() | long).groupBy("s", "v").agg(F.count("*").alias("n"))
+    # cases are read once and counted by length, too; a length's places follow from the counts of the lengths below it
+    length = F.when(long, F.col("v").cast("long"))
+    alone = Window.partitionBy("s", F.when(~long, F.col("v")))  # lengths are few
+    told = told.withColumn("m", F.sum("n").over(alone)).withColumn("end", F.sum("n").over(alone.orderBy(length).rowsBetween(Window.unboundedPreceding, 0)))
+    holds = lambda at: (F.col("end") - F.col("n") <= at) & (at < F.col("end"))
+    least, most = holds(F.lit(0)), holds(F.col("m") - 1) & (F.col("m") > 1)
+    quarters = [F.when(holds(F.floor(F.col("m") * k / 4)), F.lit(name)) for k, name in ((1, "p25"), (2, "median"), (3, "p75"))]
+    marks = F.array_compact(F.array(F.when(least, F.lit("min")), F.when(most, F.lit("max")), *quarters))
+    return told.select(F.col("s").alias("statistic"), F.explode(F.when(long, marks).otherwise(F.array("v"))).alias("value"), F.when(long, length).otherwise(F.col("n")).alias("n"))
 
 
 def write(cases: DataFrame, folder: str) -> None:

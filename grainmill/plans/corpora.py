@@ -89,7 +89,7 @@ def finished_cases(spark: SparkSession, d: str) -> DataFrame:
 
 
 def suite_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return builder.statistics(builder.finish(_case_rows(spark, d)))
+    return builder.statistics(builder.distinct_cases(_case_rows(spark, d)))
 
 
 def tfidf_baseline(spark: SparkSession, d: str) -> DataFrame:

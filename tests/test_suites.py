@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grainmill.functions import patterns
-from grainmill.operators import annotation, audit, augment, baseline, builder, curate, decoding, labels, release, sample, streams, suites
+from grainmill.operators import annotation, audit, augment, baseline, builder, curate, decoding, labels, release, sample, scoring, streams, suites
 from grainmill.storage import Workspace
 
 T = "struct<domain:string,issue:string,object:string,requested_action:string,attributes:map<string,string>>"
@@ -231,6 +231,51 @@ def test_selection_takes_no_text_twice(spark):
         sample.select_gold(df, 38, least=3)
 
 
+def test_behaviour_is_told_row_by_row(spark):
+    topic = "struct<domain:string,issue:string,object:string,requested_action:string,attributes:map<string,string>>"
+    t = lambda *issues: [("roads", x, "", "", {}) for x in issues]
+    two = t("the road is broken", "no water at home")
+    rows = [
+        (1, two, t("the road is broken")), (1, two, t("no water at home")), (2, t("the road is broken", "the road is very broken"), t("the road is broken")),
+        (3, two, t("x", "y")), (4, two, t("x", "y", "z")), (5, two, None), (6, two, []), (7, t("", "a"), t("")), (8, t("A b c", "c B a", "x"), t("b c d")),
+    ]
+    got = scoring.behaviour(spark.createDataFrame(rows, f"id int, expected array<{topic}>, topics array<{topic}>").coalesce(1)).collect()
+    assert [(r["id"], r["behaviour"]) for r in got] == [(1, "STOP"), (1, "STOP"), (2, "MERGE"), (3, "SPLIT"), (4, "OVER"), (5, "JSONFAIL"), (6, "STOP"), (7, "STOP"), (8, "MERGE")]
+
+
+def _counted(spark, df):
+    """The frame and a counter of the rows that are made of it."""
+    made = spark.sparkContext.accumulator(0)
+
+    def run(frames):
+        for frame in frames:
+            made.add(len(frame))
+            yield frame
+
+    return df.mapInPandas(run, df.schema), made
+
+
+def test_statistics_read_their_cases_once(spark):
+    rows = [(str(i), "A", "real", ["test"], "x" * n, 1, ["roads"]) for i, n in enumerate((3, 3, 5, 9, 9, 9, 12))]
+    df, made = _counted(spark, spark.createDataFrame(rows, "id string, category string, kind string, splits array<string>, text string, expected_topic_count int, expected_domains array<string>"))
+    got = {(r["statistic"], r["value"]): r["n"] for r in builder.statistics(df).collect()}
+    assert made.value == 7
+    assert {v: n for (s, v), n in got.items() if s == "length"} == {"min": 3, "p25": 3, "median": 9, "p75": 9, "max": 12}
+    assert got["cases", "all"] == got["domain", "roads"] == 7 and len(got) == 11
+    assert {r["value"] for r in builder.statistics(df.where("id = '0'")).where("statistic = 'length'").collect()} == {"min", "p25", "median", "p75"}
+    assert builder.statistics(df.where("id = ''")).count() == 0
+
+
+def test_cases_are_finished_in_two_readings(spark):
+    topic = "struct<domain:string,issue:string,object:string,requested_action:string,attributes:map<string,string>>"
+    rows = [(f"c{i}", f"Text {i // 2}", 1, [("roads", "x", "", "", {})]) for i in range(10)] + [("d0", "text  0", 1, [("roads", " ", "", "", {})])]
+    df, made = _counted(spark, spark.createDataFrame(rows, f"id string, text string, expected_topic_count int, expected_topics array<{topic}>"))
+    assert sorted(r["id"] for r in builder.distinct_cases(df).collect()) == ["c0", "c2", "c4", "c6", "c8"]
+    assert made.value <= 2 * len(rows)
+    with pytest.raises(Exception, match="d0: empty expected issue"):
+        builder.finish(df.where("id = 'd0'")).collect()
+
+
 def test_selection_reads_its_records_once(spark):
     rng = np.random.default_rng(3)
     rows = [(i, "ab"[i % 2], f"Text {i}", [float(v) for v in rng.normal(size=3)]) for i in range(60)]
