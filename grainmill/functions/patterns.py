@@ -10,6 +10,10 @@ I = "(?iu)"  # noqa: E741
 W = r"[\p{L}\p{N}_]"
 EDGE, END = rf"(?<!{W})", rf"(?!{W})"
 
+#: A letter or mark that every pattern below needs, but for those of blanks, marks and telephones: without one a text has
+#: no match, which one look at each character tells. Letters that fold to Cyrillic ones are Cyrillic, too.
+CYRILLIC = r"[\u0400-\u052F\u1C80-\u1C8F\u2DE0-\u2DFF\uA640-\uA69F\u2116]"
+
 REQUEST = (
     I + EDGE + r"(?:прош(?:у|имо|уємо)|проханн" + W + "*|вимага" + W + "*|просимо надати|зобов’яжіть|прошу вжити|просимо вжити|надайте|проведіть|"
     r"відремонтуйте|встановіть|приберіть|забезпечте|здійсніть|усуньте)" + W + "*" + END

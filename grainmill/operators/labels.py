@@ -21,12 +21,20 @@ def _trim(x: Column, chars: str = MARKS) -> Column:
     return F.regexp_replace(x, f"^[{inside}]+|[{inside}]+$", "")
 
 
+def _cyrillic(x: Column, of, otherwise=None) -> Column:
+    """``of`` a text with a Cyrillic letter (or the sign №), else ``otherwise`` of it (the text itself): patterns that need one
+    are not tried in other texts."""
+    rest = (lambda v: v) if otherwise is None else otherwise
+    return F.transform(F.array(x), lambda v: F.when(v.rlike(p.CYRILLIC), of(v)).otherwise(rest(v)))[0]
+
+
 def domain(kind: Column, mapping=p.KIND_TO_DOMAIN, default: str = "other") -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])[kind], F.lit(default))
 
 
 _STREET = re.compile(p.STREET.removeprefix(p.I).replace(p.W, r"\w").replace("(?<!\\w)", r"\b", 1), re.IGNORECASE)
 _PERSON, _PHONE = re.compile(p.PERSON), re.compile(p.PHONE)
+_CYRILLIC, _DIGITS = re.compile(p.CYRILLIC), re.compile(r"0\d{2}[-\s)]?\d{3}")  # what names and streets, and what telephones have
 
 
 def redact_text(text: str | None) -> str | None:
@@ -36,12 +44,17 @@ def redact_text(text: str | None) -> str | None:
     """
     if not text:
         return text
-    safe = bytearray(len(text))
-    for m in _STREET.finditer(text):
-        end = min(len(text), m.start(1) + len(m[1]) + len(m[2].rstrip("., ")))
-        safe[m.start(1) : end] = b"\1" * (end - m.start(1))
-    cuts = [m.span() for m in _PERSON.finditer(text) if not any(safe[m.start() : m.end()])]
-    cuts += [m.span() for m in _PHONE.finditer(text)]
+    cuts = []
+    if not text.isascii() and _CYRILLIC.search(text):
+        safe = bytearray(len(text))
+        for m in _STREET.finditer(text):
+            end = min(len(text), m.start(1) + len(m[1]) + len(m[2].rstrip("., ")))
+            safe[m.start(1) : end] = b"\1" * (end - m.start(1))
+        cuts = [m.span() for m in _PERSON.finditer(text) if not any(safe[m.start() : m.end()])]
+    if _DIGITS.search(text):
+        cuts += [m.span() for m in _PHONE.finditer(text)]
+    if not cuts:
+        return text
     out, at = [], 0
     for a, b in sorted(cuts):
         out.append(text[at:a])
@@ -61,9 +74,13 @@ def redact(x: Column) -> Column:
 
 def street(text: Column) -> Column:
     """The first street phrase, stem and name; empty without one."""
-    own = collapse(text)
-    stem, name = F.regexp_extract(own, p.STREET, 1), F.regexp_extract(own, p.STREET, 2)
-    return F.trim(F.concat(stem, F.when(stem != "", F.lit(" ")).otherwise(F.lit("")), name))
+
+    def found(own: Column) -> Column:
+        stem, name = F.regexp_extract(own, p.STREET, 1), F.regexp_extract(own, p.STREET, 2)
+        return F.trim(F.concat(stem, F.when(stem != "", F.lit(" ")).otherwise(F.lit("")), name))
+
+    # a match holds blanks, which are collapsed only in texts that may have one
+    return _cyrillic(F.coalesce(text, F.lit("")), lambda v: F.transform(F.array(collapse(v)), found)[0], lambda v: F.lit(""))
 
 
 def streets(text: Column) -> Column:
@@ -72,21 +89,26 @@ def streets(text: Column) -> Column:
 
 
 def issue(text: Column) -> Column:
-    own = F.regexp_replace(collapse(text), p.ADMIN_CLAUSE, "")
-    own = F.regexp_replace(F.regexp_replace(own, r"^Щодо\s+", ""), r"^[Сс]карга\s+на\s+", "")
-    return F.left(collapse(redact(own)), F.lit(400))
+    def bare(v: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(F.regexp_replace(v, p.ADMIN_CLAUSE, ""), r"^Щодо\s+", ""), r"^[Сс]карга\s+на\s+", "")
+
+    return F.left(collapse(redact(_cyrillic(collapse(text), bare))), F.lit(400))
 
 
 def requested_action(text: Column) -> Column:
     """The first sentence with a request verb, redacted; empty without one."""
-    found = F.get(F.filter(sentences(text), lambda s: s.rlike(p.REQUEST)), F.lit(0))
-    return F.coalesce(F.left(redact(collapse(F.regexp_replace(found, p.ADMIN_CLAUSE, ""))), F.lit(200)), F.lit(""))
+
+    def asked(v: Column) -> Column:
+        found = F.get(F.filter(sentences(v), lambda s: s.rlike(p.REQUEST)), F.lit(0))
+        return collapse(F.regexp_replace(found, p.ADMIN_CLAUSE, ""))
+
+    return F.left(redact(_cyrillic(F.coalesce(text, F.lit("")), asked, lambda v: F.lit(""))), F.lit(200))
 
 
 def attributes(text: Column, organization: Column | None = None) -> Column:
     """street, building and organization (if the text names it), those that are there."""
     own = collapse(text)
-    pairs = [F.lit("street"), F.nullif(street(text), F.lit("")), F.lit("building"), F.nullif(F.regexp_extract(own, p.BUILDING, 1), F.lit(""))]
+    pairs = [F.lit("street"), F.nullif(street(text), F.lit("")), F.lit("building"), F.nullif(_cyrillic(own, lambda v: F.regexp_extract(v, p.BUILDING, 1), lambda v: F.lit("")), F.lit(""))]
     if organization is not None:
         named = ~organization.isin("null", "None", "") & F.contains(F.lower(own), F.lower(organization))
         pairs += [F.lit("organization"), F.when(named, organization)]
@@ -102,15 +124,15 @@ def label(text: Column, kind: Column, organization: Column | None = None) -> Col
 
 def strip_boilerplate(text: Column) -> Column:
     """Without the sentences that are boilerplate."""
-    kept = F.filter(sentences(text), lambda s: ~s.rlike(p.BOILERPLATE_ANY))
-    return _trim(collapse(F.array_join(kept, " ")))
+    without = lambda v: collapse(F.array_join(F.filter(sentences(v), lambda s: ~s.rlike(p.BOILERPLATE_ANY)), " "))
+    return _trim(_cyrillic(collapse(text), without))
 
 
 def clean_clause(text: Column) -> Column:
     """``strip_boilerplate``, wrappers and names off, then all dangling identity words off the end."""
-    own = F.regexp_replace(F.regexp_replace(strip_boilerplate(text), r"^[Сс]карга\s+на\s+", ""), r"^Щодо\s+", "")
-    own = _trim(redact(collapse(own)))
-    return _trim(F.regexp_replace(own, p.DANGLING_IDENTITY, ""))
+    bare = lambda v: collapse(F.regexp_replace(F.regexp_replace(v, r"^[Сс]карга\s+на\s+", ""), r"^Щодо\s+", ""))
+    own = _trim(redact(_cyrillic(strip_boilerplate(text), bare)))
+    return _trim(_cyrillic(own, lambda v: F.regexp_replace(v, p.DANGLING_IDENTITY, "")))
 
 
 def reference_topic(text: Column, kind: Column, organization: Column | None = None) -> Column:
@@ -125,7 +147,7 @@ def reference_topic(text: Column, kind: Column, organization: Column | None = No
 
 def condense(text: Column, most: int = 170) -> Column:
     """A clause cut to ``most`` characters at the last of the preferred cuts beyond a third of it, else at a space."""
-    own = collapse(F.regexp_replace(clean_clause(text), p.ACTION_HEAD, ""))
+    own = collapse(_cyrillic(clean_clause(text), lambda v: F.regexp_replace(v, p.ACTION_HEAD, "")))
 
     def cut(x: Column) -> Column:
         head = F.left(x, F.lit(most))
@@ -175,19 +197,27 @@ def clean_issue(text: Column) -> Column:
     A pass that changes nothing leaves the next ones nothing to do, so a fixed number of passes stops as early.
     """
     drop = p.I + "|".join(f"(?:{x})" for x in p.DROP_SENTENCES)
-    out = F.array_join(F.filter(sentences(text), lambda s: ~s.rlike(drop)), " ")
     clauses = p.I + "|".join([p.ADMIN, *p.DROP_CLAUSES])
 
     def without(x: Column) -> Column:
         cut = F.regexp_replace(F.regexp_replace(F.regexp_replace(x, clauses, ""), p.ANSWER_STUB, ""), p.TRAILING_VERB, "")
         return F.when(x.rlike(p.CLAUSE_STEMS), cut).otherwise(x)
 
-    for _ in range(3):
-        out = F.transform(F.array(out), without)[0]
-    for _ in range(3):
+    def bare(v: Column) -> Column:
+        out = F.array_join(F.filter(sentences(v), lambda s: ~s.rlike(drop)), " ")
+        for _ in range(3):
+            out = F.transform(F.array(out), without)[0]
+        return out
+
+    def mended(v: Column) -> Column:
         for pattern, to in MENDS:
-            out = F.regexp_replace(out, pattern, to)
-        out = strip(F.regexp_replace(out, p.DANGLING_HEAD, ""))
+            v = F.regexp_replace(v, pattern, to)
+        return strip(_cyrillic(v, lambda x: F.regexp_replace(x, p.DANGLING_HEAD, "")))
+
+    def passes(v: Column, left: int) -> Column:
+        return F.transform(F.array(mended(v)), lambda w: w if left == 1 else F.when(w == v, w).otherwise(passes(w, left - 1)))[0]
+
+    out = F.transform(F.array(_cyrillic(collapse(text), bare)), lambda v: passes(v, 3))[0]
     return F.left(collapse(out), F.lit(400))
 
 
@@ -197,9 +227,11 @@ def action_clause(text: Column, most: int = 200) -> Column:
     Only that first sentence counts: a generic or tiny clause ends the search with nothing.
     """
     clauses = p.I + "|".join([p.ADMIN, *p.DROP_CLAUSES])
-    likely = F.filter(sentences(text), lambda s: s.rlike(p.ANY_ACTION_VERB))
-    bodies = F.transform(likely, lambda s: F.regexp_replace(strip(F.regexp_replace(s, clauses, "")), p.ACTION_MARKER, ""))
-    body = F.get(F.filter(bodies, lambda b: b.rlike(p.ACTION_VERB)), F.lit(0))
+
+    def body(v: Column) -> Column:
+        likely = F.filter(sentences(v), lambda s: s.rlike(p.ANY_ACTION_VERB))
+        bodies = F.transform(likely, lambda s: F.regexp_replace(strip(F.regexp_replace(s, clauses, "")), p.ACTION_MARKER, ""))
+        return F.get(F.filter(bodies, lambda b: b.rlike(p.ACTION_VERB)), F.lit(0))
 
     def clause(b: Column) -> Column:
         purpose = F.trim(F.regexp_extract(b, p.PURPOSE, 0))
@@ -208,15 +240,16 @@ def action_clause(text: Column, most: int = 200) -> Column:
         return F.when(generic & (purpose == ""), "").when(F.length(own) < 4, "").otherwise(own)
 
     verb = lambda c: F.trim(F.regexp_extract(c, p.ACTION_VERB, 0))
-    own = F.transform(F.array(body), clause)[0]  # bound, so that a body's patterns are not run again for each mention of it
+    first = _cyrillic(F.coalesce(text, F.lit("")), body, lambda v: F.lit(None).cast("string"))
+    own = F.transform(F.array(first), clause)[0]  # bound, so that a body's patterns are not run again for each mention of it
     rest = F.transform(F.array(own), lambda c: F.substr(c, F.length(verb(c)) + 1))[0]
     return F.left(F.trim(F.concat_ws(" ", verb(own), strip(redact(rest)))), F.lit(most))
 
 
 def note_kernel(text: Column, boilerplate=p.TAIL_HAS, leads: tuple[str, ...] = ()) -> Column:
     """What is left without request and boilerplate sentences and a leading word, redacted."""
-    kept = F.filter(sentences(text), lambda s: ~s.rlike(p.REQUEST) & ~_any(F.lower(s), boilerplate))
-    own = _trim(F.array_join(kept, " "))
+    kept = lambda v: F.array_join(F.filter(sentences(v), lambda s: ~s.rlike(p.REQUEST) & ~_any(F.lower(s), boilerplate)), " ")
+    own = _trim(_cyrillic(collapse(text), kept) if all(map(_CYRILLIC.search, boilerplate)) else kept(text))
     for lead in leads:
         own = F.when(F.lower(own).startswith(lead), strip(F.substr(own, F.lit(len(lead) + 1)))).otherwise(own)
     return _trim(redact(collapse(own)))

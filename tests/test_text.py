@@ -1,6 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from grainmill.functions import patterns as p
+from grainmill.operators import labels
+
 from grainmill.functions import text as t
 
 
@@ -59,3 +62,18 @@ def test_empty_to_null(spark):
 def test_copies(spark):
     df = spark.createDataFrame([("Fix the road!", "please fix  the road now"), ("fix", "fix"), (None, "x")], "a string, t string")
     assert [r[0] for r in df.select(t.contains_copy(F.col("a"), F.col("t"))).collect()] == [True, False, False]
+
+
+def test_label_patterns_need_a_cyrillic_letter(spark):
+    """Labels skip their patterns in texts without one, so none of them may match there."""
+    plain = "Please mend the pipe, no. 5. The road is broken!  Call 067 123 45 67 or +380671234567; for the answer. "
+    both = spark.createDataFrame([(1, plain), (2, None), (3, "Вода. Прошу прибрати сміття на вул. Шевченка 5.")], "id int, text string")
+    c = F.col("text")
+    told = [labels.street(c), labels.issue(c), labels.requested_action(c), labels.clean_clause(c), labels.clean_issue(c), labels.action_clause(c), labels.condense(c)]
+    got = {r[0]: list(r)[1:] for r in both.select("id", *[x.alias(f"c{i}") for i, x in enumerate(told)]).collect()}
+    assert got[1][0] == got[1][2] == got[1][5] == "" and got[2] == [""] * 7
+    assert got[1][1] == "Please mend the pipe, no. 5. The road is broken! Call or ; for the answer."
+    assert got[3][0].startswith("вул. Шевченка") and got[3][2] and got[3][5].startswith("прибрати")
+    for pattern in (p.REQUEST, p.ADMIN_CLAUSE, p.STREET, p.BUILDING, p.BOILERPLATE_ANY, p.DANGLING_IDENTITY, p.ACTION_HEAD, p.CLAUSE_STEMS, p.ANY_ACTION_VERB, p.DANGLING_HEAD):
+        assert both.where((F.col("id") == 1) & c.rlike(pattern)).count() == 0
+    assert both.where(c.rlike(p.CYRILLIC)).count() == 1
