@@ -266,6 +266,15 @@ def test_statistics_read_their_cases_once(spark):
     assert builder.statistics(df.where("id = ''")).count() == 0
 
 
+def test_annotation_files_are_read_once(spark):
+    raw = '{"batch_id":"b1","annotations":[{"id":"x","text":"t","annotation":{"topics":[]}},{"id":"x","annotation":7},3]}'
+    df, made = _counted(spark, spark.createDataFrame([("b1", raw), ("b2", "[")], "batch_id string, raw string"))
+    expected = spark.createDataFrame([("b1", "x", "t"), ("b1", "y", "t"), ("b2", "z", "t"), ("b3", "w", "t")], "batch_id string, id string, text string")
+    got = sorted((r["batch_id"] or "", r["category"], r["id"] or "") for r in annotation.errors(df, expected).collect())
+    assert got == [("", "incomplete", ""), ("b1", "duplicate_id", "x"), ("b1", "format", ""), ("b1", "missing_annotation", "x"), ("b1", "missing_id", "y"), ("b2", "json_parse", ""), ("b3", "missing_batch", "")]
+    assert made.value == 2
+
+
 def test_cases_are_finished_in_two_readings(spark):
     topic = "struct<domain:string,issue:string,object:string,requested_action:string,attributes:map<string,string>>"
     rows = [(f"c{i}", f"Text {i // 2}", 1, [("roads", "x", "", "", {})]) for i in range(10)] + [("d0", "text  0", 1, [("roads", " ", "", "", {})])]
