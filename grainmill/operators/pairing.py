@@ -97,22 +97,27 @@ def independent_clauses(least: int = 30) -> Test:
     return holds
 
 
-def _thin(rows: DataFrame, *texts: str) -> DataFrame:
-    """Rows with lengths and hashes in place of their texts, so that pairs are found without moving a text, and ``row``, by
-    which the texts of those that are kept are fetched."""
-    shape = [c for t in texts for c in (F.length(t).alias(f"{t}_chars"), F.md5(normalize(F.col(t))).alias(f"{t}_hash"))]
-    told = F.md5(F.concat_ws(":", F.col("uid").cast("string"), *[F.md5(F.coalesce(F.col(t), F.lit(""))) for t in texts]))
-    return rows.select(*[c for c in rows.columns if c not in texts], *shape, told.alias("row"))
+def _thin(rows: DataFrame, texts: tuple[str, ...], ws, hashed: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with lengths (and hashes of those in ``hashed``) in place of their texts, so that pairs are found without moving a
+    text, and ``row``, by which the texts of those that are kept are fetched. Written: texts are dear to make, and rows are
+    counted before they are dealt. What is asked of a text is asked of its length then, since a condition on the text itself
+    would be pushed below and make it anew."""
+    shape = [F.length(t).alias(f"{t}_chars") for t in texts] + [F.md5(normalize(F.col(t))).alias(f"{t}_hash") for t in hashed]
+    return ws.table("thin", rows.select(*[c for c in rows.columns if c not in texts], *shape, _row(texts).alias("row")))
+
+
+def _row(texts: tuple[str, ...]) -> Column:
+    return F.md5(F.concat_ws(":", F.col("uid").cast("string"), *[F.md5(F.coalesce(F.col(t), F.lit(""))) for t in texts]))
 
 
 def _told(found: DataFrame, rows: DataFrame, texts: tuple[str, ...], frozen: DataFrame, make: Callable[[Column, Column], Column], ws) -> DataFrame:
     """(street, a, b, reason, text, a_issue, b_issue): pairs with the texts of those that are kept; one whose text is frozen
-    (content) gets the reason ``leakage``. Pairs are written thin; kept ones are few and fetch their records' texts."""
+    (content) gets the reason ``leakage``. Pairs are written thin; kept ones are few, are written apart so that their size
+    is known, and fetch their records' texts from all ``rows``, of which no text is made for the others."""
     found = ws.table("pairs", found)
-    key = F.md5(F.concat_ws(":", F.col("uid").cast("string"), *[F.md5(F.coalesce(F.col(t), F.lit(""))) for t in texts]))
-    kept = found.where("reason = 'kept'")
-    asked = kept.select(F.explode(F.array("a.uid", "b.uid")).alias("uid")).distinct()
-    whole = rows.join(asked, "uid", "left_semi").select(key.alias("__gm_row"), F.struct(*texts).alias("__gm_t"))
+    kept = ws.table("kept", found.where("reason = 'kept'"))
+    asked = ws.table("asked", kept.select(F.explode(F.array("a.uid", "b.uid")).alias("uid")).distinct())
+    whole = rows.join(asked, "uid", "left_semi").select(_row(texts).alias("__gm_row"), F.struct(*texts).alias("__gm_t"))
     whole = ws.table("texts", whole.dropDuplicates(["__gm_row"]))
     for side in ("a", "b"):
         own = whole.withColumnsRenamed({"__gm_row": f"__gm_r{side}", "__gm_t": f"__gm_{side}"})
@@ -135,7 +140,7 @@ def same_object(rows: DataFrame, frozen: DataFrame, ws, per_key: int = 3, seed:
     """
     texts = ("issue", "action", "clause")
     rows = rows.where("object <> ''").select("uid", "kind", "street", "object", "domain", *[F.coalesce(t, F.lit("")).alias(t) for t in texts])
-    found = pairs(_thin(rows, *texts), "street", "uid", "domain", {"not_independent": independent_clauses()}, ("object",), per_key, seed)
+    found = pairs(_thin(rows, texts, ws, texts), "street", "uid", "domain", {"not_independent": independent_clauses()}, ("object",), per_key, seed)
     text = lambda a, b: F.concat(F.lit("По "), a["street"], F.lit(": "), a["clause"], F.lit(", а також "), lower_first(b["clause"]), F.lit("."))
     return _told(found, rows, texts, frozen, text, ws)
 
@@ -147,19 +152,19 @@ def _by_street(rows: DataFrame) -> DataFrame:
 def compact(rows: DataFrame, frozen: DataFrame, ws, per_key: int = 1, seed: int = 42, longest: int = 3000) -> DataFrame:
     """(street, a, b, reason, text, a_issue, b_issue): two issues at one street in one short paragraph. ``rows``: uid, kind,
     streets (array), domain, issue; a record takes part at each of its streets, two records make one pair only."""
-    rows = rows.select("uid", "kind", "domain", "streets", strip(F.coalesce("issue", F.lit(""))).alias("issue")).where("issue <> ''")
+    rows = rows.select("uid", "kind", "domain", "streets", strip(F.coalesce("issue", F.lit(""))).alias("issue"))
     text = lambda a, b: F.concat(F.lit("По "), a["street"], F.lit(": "), a["issue"], F.lit(", а також "), b["issue"], F.lit("."))
     fixed = len("По : , а також .")
     short = {"too_long": lambda a, b: F.length(a["street"]) + a["issue_chars"] + b["issue_chars"] + fixed <= longest}
-    found = pairs(_by_street(_thin(rows, "issue")), "street", "uid", "domain", short, (), per_key, seed)
+    found = pairs(_by_street(_thin(rows, ("issue",), ws).where("issue_chars > 0")), "street", "uid", "domain", short, (), per_key, seed)
     return _told(found, rows, ("issue",), frozen, text, ws)
 
 
 def same_street(rows: DataFrame, frozen: DataFrame, ws, per_key: int = 1, seed: int = 42) -> DataFrame:
     """(street, a, b, reason, text, a_issue, b_issue): two whole complaints about one street. ``rows``: uid, kind, streets,
     domain, issue, body."""
-    rows = rows.where("body <> '' and issue <> ''").select("uid", "kind", "domain", "streets", "issue", "body")
-    found = pairs(_by_street(_thin(rows, "issue", "body")), "street", "uid", "domain", None, (), per_key, seed)
+    rows = rows.select("uid", "kind", "domain", "streets", "issue", "body")
+    found = pairs(_by_street(_thin(rows, ("issue", "body"), ws).where("body_chars > 0 and issue_chars > 0")), "street", "uid", "domain", None, (), per_key, seed)
     return _told(found, rows, ("issue", "body"), frozen, lambda a, b: F.concat(a["body"], F.lit(" а також "), b["body"]), ws)
 
 

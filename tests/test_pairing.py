@@ -1,6 +1,7 @@
 """Pairs among neighbours against a written-out walk, a hot key without a match, and the streams made of them."""
 
 import hashlib
+import itertools
 import math
 import random
 import time
@@ -9,6 +10,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from grainmill.functions import text
 from grainmill.operators import pairing
 from grainmill.storage import Workspace
 
@@ -130,3 +132,27 @@ def test_frozen_texts_leak(spark):
     told = pairing.compact(rows, spark.createDataFrame([(text.upper() + "  ",)], "content string"), Workspace(spark, "cs")).first()
     assert told["reason"] == "leakage" and told["text"] is None
     assert pairing.compact(rows, none, Workspace(spark, "cs"), longest=10).first()["reason"] == "too_long"
+
+
+@pytest.mark.parametrize("made", [pairing.compact, pairing.same_street])
+def test_texts_are_made_once(spark, made):
+    """A text is made once to find pairs and once more at most to fetch those of kept ones; blank ones take no part."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def dear(x):
+        calls.add(1)
+        return x
+
+    n = F.col("id")
+    issue = F.udf(dear, "string")(F.when(n % 10 == 0, "").otherwise(F.concat(F.lit("issue "), n.cast("string"))))
+    rows = spark.range(600).select(n.cast("string").alias("uid"), F.lit("k").alias("kind"), F.array((n % 5).cast("string")).alias("streets"), (n % 3).alias("domain"), issue.alias("issue"), F.lit("body").alias("body"))
+    told = made(rows, spark.createDataFrame([], "content string"), Workspace(spark, "once"), per_key=1).collect()
+    assert len(told) == 300 - 30 and sum(r["reason"] == "kept" for r in told) == 5
+    assert calls.value <= 2 * 600
+
+
+def test_blank_runs_are_those_of_the_class(spark):
+    own = [("".join(p),) for p in itertools.product("a~!é \n\t\x85　", repeat=4)] + [(None,)]
+    df = spark.createDataFrame(own, "x string")
+    told = lambda pattern: F.trim(F.regexp_replace(F.coalesce("x", F.lit("")), pattern, " "))
+    assert df.where((text.collapse(F.col("x")) != told(text.BLANKS)) | (text.normalize(F.col("x")) != told(text.BLANKS))).count() == 0
