@@ -123,43 +123,70 @@ def dealt_singles(rows: DataFrame, quotas: dict[str, int], ws, seed: int = 42) -
     return rows.sparkSession.createDataFrame([], "uid string, category string") if out is None else out
 
 
+def _thin(pool: DataFrame, ws) -> DataFrame:
+    """What cases are chosen by, without a text: one row a uid that is usable, of several the one with the least content.
+    ``row`` tells it from others of its uid. Written before it is filtered, so that a text is looked at once."""
+    fits = {"A": F.length("terse") < 150, "H": strip(F.col("action")) == "", "I": F.length(strip(F.col("content"))) > 600, "J": F.col("boiler")}
+    eligible = F.concat(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in fits.items()])), F.array_intersect("areas", F.array(*map(F.lit, AREAS))))
+    shape = ["uid", "split", "mapped", "street", F.col("ref.domain").alias("domain"), (F.length(collapse(F.col("action"))) >= 8).alias("asks"), eligible.alias("eligible"), "usable"]
+    own = ws.table("thin", pool.select(*shape, _row().alias("row"))).where("usable")
+    again = ws.table("again", own.groupBy(F.col("uid").alias("__gm_u")).agg(F.count("*").alias("__gm_n")).where("__gm_n > 1").select("__gm_u"))
+    same = F.col("uid").eqNullSafe(F.col("__gm_u"))
+    least = F.min(F.struct("content", "split", "kind", _row().alias("row"))).alias("__gm_l")
+    least = ws.table("least", pool.where("usable").join(again, same, "left_semi").groupBy("uid").agg(least).select(F.col("uid").alias("__gm_u"), F.col("__gm_l.row").alias("__gm_r")))
+    several = own.join(least, same & (F.col("row") == F.col("__gm_r")), "left_semi").dropDuplicates(["uid"])
+    return ws.table("own", own.join(again, same, "left_anti").unionByName(several))
+
+
+def _row() -> Column:
+    return F.md5(F.concat_ws(":", *[F.coalesce(F.md5(c), F.lit("")) for c in ("content", "split", "kind")]))
+
+
+def _whole(pool: DataFrame, ws, *chosen: DataFrame):
+    """Gives a function that puts the whole records of ``pool`` in place of the thin ones of named columns. ``chosen``: frames
+    of the thin ones (uid, row), twice the quotas' sum at most. The driver lists their uids, so that the condition reaches the
+    scan and no text is made of other records."""
+    asked = None
+    for c in chosen:
+        one = c.select("uid", "row")
+        asked = one if asked is None else asked.unionByName(one)
+    uids = [r["uid"] for r in asked.select("uid").distinct().collect()]
+    rec = F.struct("uid", "split", "content", "ref", "terse", "minimal", "action", "street").alias("__gm_rec")
+    texts = pool.where(F.col("uid").isin(uids)).select("uid", _row().alias("row"), rec)
+    texts = ws.table("texts", texts.dropDuplicates(["uid", "row"]))
+
+    def put(df: DataFrame, *sides: str) -> DataFrame:
+        for x in sides:
+            own = texts.select(F.col("uid").alias("__gm_u"), F.col("row").alias("__gm_r"), "__gm_rec")
+            df = df.join(own, (F.col(f"{x}.uid") == F.col("__gm_u")) & (F.col(f"{x}.row") == F.col("__gm_r"))).withColumn(x, F.col("__gm_rec")).drop("__gm_u", "__gm_r", "__gm_rec")
+        return df
+
+    return put
+
+
 def assemble(pool: DataFrame, ws, quotas: dict[str, int] | None = None, ambiguous=AMBIGUOUS, seed: int = 42) -> DataFrame:
     """The cases (``CASE``) before ``finish``, of a pool as ``prepare`` gives it: terse notes, two problems joined in several
     ways, one street with two problems, explicit and implicit requests, none at all, long and irrelevant prose, domains that
-    are easily confused, and an area each. Pairs are of one split and two domains; validation comes first."""
-    from .curate import first_of
-
+    are easily confused, and an area each. Pairs are of one split and two domains; validation comes first. Records are chosen
+    by their thin rows; as many as the quotas ask for then get their texts."""
     quotas = {letter: n for letter, _, _, n, _ in CATEGORIES} | (quotas or {})
-    own = ws.table("own", first_of(pool.where("usable"), ["uid"], "content"))
+    own = _thin(pool, ws)
+    lean = ["uid", "split", "mapped", "street", "asks", "row"]
     rank = F.array_position(F.array(*map(F.lit, SPLITS)), F.col("split"))
     a, b = F.col("a"), F.col("b")
     clause = lambda x: F.concat(x["terse"], F.lit(", а також "), lower_first(b["terse"]), F.lit("."))
 
     # two problems: neighbours of one split; the same pairs in each form
-    mapped = own.where("mapped is not null")
+    mapped = own.where("mapped is not null").select(*lean)
     beside = pairing.neighbours(mapped, "split", "uid", "mapped", seed=seed).where("b is not null and a.mapped <> b.mapped")
     beside = ws.table("beside", beside.select("split", "a", "b", _hash(seed, a["uid"], b["uid"]).alias("o")))
     first = ws.table("first", _top(beside, max(quotas[c] for c in "BCDF"), rank, F.col("o")))
-    upper = F.concat(F.upper(F.left(b["terse"], F.lit(1))), F.substr(b["terse"], F.lit(2)))
-    forms = {
-        "B": (F.concat(a["terse"], F.lit(", і "), lower_first(b["terse"]), F.lit(".")), "two condensed records joined"),
-        "C": (clause(a), "two condensed records joined"),
-        "D": (F.concat(a["ref"]["issue"], F.lit(" "), lower_first(b["ref"]["issue"]), F.lit(".")), "two records as two sentences"),
-        "F": (F.concat(a["terse"], F.lit(". "), upper, F.lit(".")), "two records in sequence"),
-    }
-    place = [rank.cast("string"), F.col("o")]
-    told = [_top(first, quotas[c], rank, F.col("o")).select(_case(c, text, [a, b], "composed", F.lit(note), place).alias("c")) for c, (text, note) in forms.items()]
-    act = collapse(b["action"])
-    asked = _top(beside.where(F.length(act) >= 8), quotas["G"], rank, F.col("o"))
-    topics = [a["ref"], b["ref"].withField("requested_action", act).withField("issue", F.left(b["terse"], F.lit(400)))]
-    told.append(asked.select(_case("G", F.concat(a["terse"], F.lit(". Прошу "), lower_first(act), F.lit(".")), [a, b], "composed", F.lit("a problem without a request, and one with it"), place, topics).alias("c")))
+    asked = ws.table("with-request", _top(beside.where("b.asks"), quotas["G"], rank, F.col("o")))
 
     # one street, two problems
     near = mapped.where("street <> ''").withColumn("spot", F.concat_ws("|", "split", "street"))
     near = pairing.pairs(near, "spot", "uid", "mapped", per_key=1, seed=seed).where("reason = 'kept'")
-    near = _top(near.withColumn("split", a["split"]), quotas["E"], rank, F.col("spot"))
-    text = F.concat(F.lit("По "), a["street"], F.lit(": "), clause(a))
-    told.append(near.select(_case("E", text, [a, b], "composed", F.concat(F.lit("two records about one street ("), a["street"], F.lit(")")), [rank.cast("string"), F.col("spot")]).alias("c")))
+    near = ws.table("near", _top(near.withColumn("split", a["split"]), quotas["E"], rank, F.col("spot")))
 
     # domains that are easily confused: the n-th mention of a domain takes its n-th record
     seen: dict[str, int] = {}
@@ -168,30 +195,51 @@ def assemble(pool: DataFrame, ws, quotas: dict[str, int] | None = None, ambiguou
         na, nb = seen.get(da, 0) + 1, seen.get(db, 0) + 1
         seen |= {da: na, db: nb}
         slots += [(j, split, da, na, db, nb) for split in SPLITS]
+    confused = None
     if slots:
-        w = Window.partitionBy("split", "ref.domain").orderBy(_hash(seed, F.col("uid")), "uid")
-        ranked = own.where(F.col("ref.domain").isin(*seen)).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= max(seen.values()))
-        ranked = ranked.select("split", F.col("ref.domain").alias("domain"), "nth", F.struct("uid", "split", "terse", "ref").alias("r"))
+        w = Window.partitionBy("split", "domain").orderBy(_hash(seed, F.col("uid")), "uid")
+        ranked = own.where(F.col("domain").isin(*seen)).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= max(seen.values()))
+        ranked = ws.table("ranked", ranked.select("split", "domain", "nth", F.struct("uid", "row").alias("r")))
         named = pool.sparkSession.createDataFrame(slots, "j int, split string, da string, na int, db string, nb int")
         both = named.join(ranked.toDF("split", "da", "na", "a"), ["split", "da", "na"]).join(ranked.toDF("split", "db", "nb", "b"), ["split", "db", "nb"])
-        both = both.withColumn("nth", F.row_number().over(Window.partitionBy("j").orderBy(rank))).where("nth = 1").orderBy("j").limit(quotas["K"])
-        note = F.concat(F.lit("domains that are easily confused ("), F.col("da"), F.lit(", "), F.col("db"), F.lit(")"))
-        told.append(both.select(_case("K", clause(a), [a, b], "composed", note, [F.lpad(F.col("j").cast("string"), 4, "0"), F.lit("")]).alias("c")))
+        both = both.withColumn("nth", F.row_number().over(Window.partitionBy("j").orderBy(rank))).where("nth = 1")
+        confused = ws.table("confused", both.orderBy("j").limit(quotas["K"]))
 
     # one real record each
-    fits = {"A": F.length("terse") < 150, "H": strip(F.col("action")) == "", "I": F.length(strip(F.col("content"))) > 600, "J": F.col("boiler")}
-    eligible = F.concat(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in fits.items()])), F.array_intersect("areas", F.array(*map(F.lit, AREAS))))
-    taken = dealt_singles(ws.table("eligible", own.select("uid", eligible.alias("eligible")).where(F.size("eligible") > 0)), {c: quotas[c] for c in SINGLE if quotas[c]}, ws, seed)
-    r = F.struct("uid", "split", "ref")
+    taken = dealt_singles(own.select("uid", "eligible").where(F.size("eligible") > 0), {c: quotas[c] for c in SINGLE if quotas[c]}, ws, seed)
     rows = own.join(F.broadcast(taken), "uid").withColumn("o", _hash(seed, F.col("uid")))  # as many as the quotas
     rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("category").orderBy("o", "uid")))
+    rows = ws.table("singles", rows.select("category", "nth", F.struct("uid", "row").alias("a")))
+
+    pairs = [df for df in (first, asked, near, confused) if df is not None]
+    put = _whole(pool, ws, *[df.select(f"{x}.*") for df in pairs for x in ("a", "b")], rows.select("a.*"))
+    first = put(first, "a", "b")
+    upper = F.concat(F.upper(F.left(b["terse"], F.lit(1))), F.substr(b["terse"], F.lit(2)))
+    forms = {
+        "B": (F.concat(a["terse"], F.lit(", і "), lower_first(b["terse"]), F.lit(".")), "two condensed records joined"),
+        "C": (clause(a), "two condensed records joined"),
+        "D": (F.concat(a["ref"]["issue"], F.lit(" "), lower_first(b["ref"]["issue"]), F.lit(".")), "two records as two sentences"),
+        "F": (F.concat(a["terse"], F.lit(". "), upper, F.lit(".")), "two records in sequence"),
+    }
+    place = [rank.cast("string"), F.col("o")]
+    told = [_top(first, quotas[c], rank, F.col("o")).select(_case(c, text, [a, b], "composed", F.lit(note), place).alias("c")) for c, (text, note) in forms.items()]
+    act = collapse(b["action"])
+    topics = [a["ref"], b["ref"].withField("requested_action", act).withField("issue", F.left(b["terse"], F.lit(400)))]
+    told.append(put(asked, "a", "b").select(_case("G", F.concat(a["terse"], F.lit(". Прошу "), lower_first(act), F.lit(".")), [a, b], "composed", F.lit("a problem without a request, and one with it"), place, topics).alias("c")))
+
+    text = F.concat(F.lit("По "), a["street"], F.lit(": "), clause(a))
+    told.append(put(near, "a", "b").select(_case("E", text, [a, b], "composed", F.concat(F.lit("two records about one street ("), a["street"], F.lit(")")), [rank.cast("string"), F.col("spot")]).alias("c")))
+    if confused is not None:
+        note = F.concat(F.lit("domains that are easily confused ("), F.col("da"), F.lit(", "), F.col("db"), F.lit(")"))
+        told.append(put(confused, "a", "b").select(_case("K", clause(a), [a, b], "composed", note, [F.lpad(F.col("j").cast("string"), 4, "0"), F.lit("")]).alias("c")))
+    rows = put(rows, "a")
     notes = {"A": "reduced to a note by deletions", "H": "no request", "I": "long, with back-story and repetition", "J": "consent and delivery of the answer around the problem"}
     notes |= {c: f"about {NAMES[c]}" for c in AREAS}
     note = F.create_map(*[F.lit(x) for kv in notes.items() for x in kv])[F.col("category")]
-    text = F.when(F.col("category") != "A", strip(F.col("content"))).when(F.col("nth") <= TERSE, F.col("terse")).otherwise(F.col("minimal"))
+    text = F.when(F.col("category") != "A", strip(a["content"])).when(F.col("nth") <= TERSE, a["terse"]).otherwise(a["minimal"])
     order = [F.lpad(F.col("nth").cast("string"), 6, "0"), F.lit("")]
     for where, kind in (("category = 'A'", "condensed"), ("category <> 'A'", "real")):
-        told.append(rows.where(where).select(_case(F.col("category"), text, [r], kind, note, order).alias("c")))
+        told.append(rows.where(where).select(_case(F.col("category"), text, [a], kind, note, order).alias("c")))
 
     out = told[0]
     for more in told[1:]:

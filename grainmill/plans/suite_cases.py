@@ -23,7 +23,7 @@ def _pool(spark: SparkSession, d: str) -> DataFrame:
     ref = F.struct(of(DOMAINS, 9).alias("domain"), issue.alias("issue"), street.alias("object"), action.alias("requested_action"), F.create_map().cast("map<string,string>").alias("attributes"))
     return table(spark, d, "documents").select(
         n.cast("string").alias("uid"), F.when(n % 2 == 0, "validation").otherwise("test").alias("split"), F.col("source").alias("kind"), text.alias("content"), ref.alias("ref"),
-        F.split(issue, r"\. ")[0].alias("terse"), F.array_join(F.slice(F.split(issue, " "), 1, 8), " ").alias("minimal"), action.alias("action"), street.alias("street"),
+        F.substring_index(issue, ". ", 1).alias("terse"), F.array_join(F.slice(F.split(issue, " "), 1, 8), " ").alias("minimal"), action.alias("action"), street.alias("street"),
         of(DOMAINS, 9).alias("mapped"), F.array_distinct(F.array(of(LETTERS, 11), of(LETTERS, 7))).alias("areas"), (n % 6 == 1).alias("boiler"), (issue != "").alias("usable"),
     )
 

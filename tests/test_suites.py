@@ -3,6 +3,7 @@
 import json
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from grainmill.functions import patterns
 from grainmill.operators import annotation, audit, augment, baseline, builder, curate, decoding, labels, release, sample, scoring, streams, suites
+from grainmill.plans import suite_cases
 from grainmill.storage import Workspace
 
 T = "struct<domain:string,issue:string,object:string,requested_action:string,attributes:map<string,string>>"
@@ -417,3 +419,29 @@ def test_scores_of_a_grid_are_those_of_the_summary(spark):
     model = vectors.VectorClassifier()
     scores = model.tune(v.where("id < 60"), v.where("id between 60 and 74"), (0.1, 10.0), "weighted_f1")
     assert [s for s, _ in scores] == [0.1, 10.0] and model.fit(v.where("id < 75")).predict(v.where("id >= 75")).where("prediction <> label").count() == 0
+
+
+def _documents(spark, folder, rows):
+    spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4).write.parquet(f"{folder}/documents.parquet")
+    return suite_cases._pool(spark, str(folder))
+
+
+def test_suite_moves_texts_of_chosen_records_only(spark, tmp_path):
+    """2.4 MB of texts that do not compress; what is written on the way to two cases a category is a part of them."""
+    rng = random.Random(4)
+    rows = [(i, "s", " ".join(rng.randbytes(6).hex() for _ in range(460))) for i in range(400)]
+    ws = Workspace(spark, "moved")
+    cases = builder.assemble(_documents(spark, tmp_path, rows), ws, {letter: 1 for letter, *_ in builder.CATEGORIES})
+    assert {"B", "C", "D", "E", "F", "G", "K", "I"} <= {r["category"] for r in cases.collect()}
+    assert sum(p.stat().st_size for p in Path(ws.root.removeprefix("file://")).rglob("*.parquet")) < 1_500_000
+
+
+def test_suite_takes_one_record_a_uid(spark, tmp_path):
+    """Of a uid that stands for several texts the least one is taken, also where another uid has the other text."""
+    words = " and some more words of it"
+    rows = [(1, "s", "bb" + words), (1, "s", "aa" + words), (1, "s", "aa" + words), (2, "s", "bb" + words), (3, "s", None), (3, "s", " \n")]
+    ws = Workspace(spark, "uids")
+    cases = builder.assemble(_documents(spark, tmp_path, rows), ws).collect()
+    assert sorted(r["uid"] for r in spark.read.parquet(ws.path("own")).collect()) == ["1", "2"]
+    assert {(r["sources"][0], r["text"]) for r in cases if r["kind"] == "real"} <= {("1", "aa" + words), ("2", "bb" + words)}
+    assert {u for r in cases for u in r["sources"]} == {"1", "2"}
