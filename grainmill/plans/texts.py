@@ -86,8 +86,10 @@ def weak_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reference_topics(spark: SparkSession, d: str) -> DataFrame:
+    """All five fields of each record's reference topic, the issue by its length."""
     a = appeals(spark, d)
-    return a.select("row_id", labels.reference_topic(F.col("content"), F.col("kind")).alias("t")).select("row_id", "t.domain", F.length("t.issue").alias("issue_chars"))
+    told = a.select("row_id", labels.reference_topic(F.col("content"), F.col("kind")).alias("t"))
+    return told.select("row_id", "t.domain", F.length("t.issue").alias("issue_chars"), "t.object", "t.requested_action", F.to_json("t.attributes").alias("attributes"))
 
 
 def clean_issues(spark: SparkSession, d: str) -> DataFrame:

@@ -445,3 +445,19 @@ def test_suite_takes_one_record_a_uid(spark, tmp_path):
     assert sorted(r["uid"] for r in spark.read.parquet(ws.path("own")).collect()) == ["1", "2"]
     assert {(r["sources"][0], r["text"]) for r in cases if r["kind"] == "real"} <= {("1", "aa" + words), ("2", "bb" + words)}
     assert {u for r in cases for u in r["sources"]} == {"1", "2"}
+
+
+def test_reference_topics_give_all_fields(spark, tmp_path):
+    """The request, the object and the attributes are part of the result; a request is the first sentence that asks, however
+    far behind, and is cut at 200 characters as where this comes from."""
+    from grainmill.plans import texts
+
+    late = "Води немає. " * 400 + "Прошу відремонтувати трубу на вулиці Шевченка, буд.5. Прошу ще."
+    rows = [(1, late, "Теплопостачання"), (2, "Прошу " + "прибрати сміття " * 40, "x"), (3, "Please mend the pipe.", "x"), (4, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i,) for i in range(1, 5)], "o_orderkey long").withColumn("o_orderdate", F.timestamp_seconds(F.lit(0))).write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r["row_id"]: r for r in texts.reference_topics(spark, str(tmp_path)).collect()}
+    assert (got[1]["domain"], got[1]["object"], got[1]["issue_chars"]) == ("heating", "вулиці Шевченка", 400) and got[1]["requested_action"] == "відремонтувати трубу на вулиці Шевченка, буд.5"
+    assert json.loads(got[1]["attributes"]) == {"street": "вулиці Шевченка", "building": "5"}
+    assert "прибрати сміття" in got[2]["requested_action"] and 190 < len(got[2]["requested_action"]) <= 200
+    assert [(got[i]["requested_action"], got[i]["object"], got[i]["attributes"]) for i in (3, 4)] == [("", "", "{}")] * 2
