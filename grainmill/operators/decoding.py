@@ -17,26 +17,37 @@ from . import scoring, suites
 SCHEMA_GATE, COUNT_GATE, LONG_INPUT = 1.0, 0.90, 400
 
 
-def measures(rows: DataFrame, cases: DataFrame, leak: str | None, *by: str, digits: int = 4) -> DataFrame:
+def narrowed(rows: DataFrame, leak: str) -> DataFrame:
+    """Rows that have their case's expected_topic_count and expected_domains, with what ``measures`` needs of topics: met (the
+    expected domains exactly, repeats count; null where none are expected) and leaks. Topics are read from the raw texts
+    where rows have none."""
+    both = rows if "topics" in rows.columns else suites.read(rows)
+    domains = F.array_sort(F.transform("topics", lambda t: F.coalesce(t["domain"], F.lit(""))))
+    met = F.when(F.coalesce(F.size("expected_domains"), F.lit(0)) > 0, F.coalesce(domains == F.array_sort("expected_domains"), F.lit(False)))
+    return both.withColumn("met", met).withColumn("leaks", scoring.boilerplate_leak(F.col("topics"), leak))
+
+
+def measures(rows: DataFrame, cases: DataFrame | None, leak: str | None, *by: str, digits: int = 4) -> DataFrame:
     """n, strict rate, schema failures, topic-count accuracy, JSON failures and mean length by groups; with ``leak`` (the
     pattern of boilerplate) also, from the topics (read from the raw texts where rows have none), the share of cases with expected domains whose domains are met
-    exactly (repeats count) and the share of leaks."""
-    known = cases.select("id", F.col("expected_topic_count").alias("__gm_n"), F.col("expected_domains").alias("__gm_d"))
-    both = rows.join(known, "id", "left")
+    exactly (repeats count) and the share of leaks. Rows that are their own cases (``cases`` is None) have
+    expected_topic_count and, with ``leak``, are ``narrowed``."""
+    if cases is None:
+        both = rows
+    else:
+        both = rows.drop("expected_topic_count", "expected_domains").join(cases.select("id", "expected_topic_count", "expected_domains"), "id", "left")
+        both = both if leak is None else narrowed(both, leak)
     told = [
         F.count("*").alias("n"),
         F.round(F.avg(F.col("strict_ok").cast("double")), digits).alias("strict_ok"),
         F.count_if(~F.col("strict_ok")).alias("schema_fail"),
-        F.round(F.count_if(F.col("predicted_topic_count") == F.col("__gm_n")) / F.count("*"), digits).alias("topic_count_ok"),
+        F.round(F.count_if(F.col("predicted_topic_count") == F.col("expected_topic_count")) / F.count("*"), digits).alias("topic_count_ok"),
         F.count_if(F.col("behaviour") == "JSONFAIL").alias("jsonfail"),
         F.round(F.avg(F.coalesce("raw_chars", F.lit(0))), 1).alias("mean_chars"),
     ]
     if leak is not None:
-        both = both if "topics" in rows.columns else suites.read(both)
-        domains = F.array_sort(F.transform("topics", lambda t: F.coalesce(t["domain"], F.lit(""))))
-        declared = F.coalesce(F.size("__gm_d"), F.lit(0)) > 0
-        exact = F.count_if(declared & (domains == F.array_sort("__gm_d"))) / F.nullif(F.count_if(declared), F.lit(0))
-        told += [F.round(exact, digits).alias("domain_set_exact"), F.round(F.avg(scoring.boilerplate_leak(F.col("topics"), leak).cast("double")), digits).alias("boilerplate_rate")]
+        exact = F.count_if("met") / F.nullif(F.count("met"), F.lit(0))
+        told += [F.round(exact, digits).alias("domain_set_exact"), F.round(F.avg(F.col("leaks").cast("double")), digits).alias("boilerplate_rate")]
     return both.groupBy(*by).agg(*told)
 
 
@@ -61,8 +72,9 @@ def moves(rows: DataFrame, base: DataFrame) -> DataFrame:
     return rows.join(own, ["model", "id"]).groupBy("model", "setting", "from", F.col("behaviour").alias("to")).agg(F.count("*").alias("n"))
 
 
-def grid(rows: DataFrame, cases: DataFrame, base: DataFrame, leak: str) -> DataFrame:
-    """A row a (model, setting): its measures, the baseline's over the same cases (base_*), and the differences (d_*)."""
+def grid(rows: DataFrame, cases: DataFrame | None, base: DataFrame, leak: str) -> DataFrame:
+    """A row a (model, setting): its measures, the baseline's over the same cases (base_*), and the differences (d_*). Without
+    ``cases`` both have their own, as in ``measures``."""
     probe = measures(rows, cases, leak, "model", "setting")
     same = rows.select("model", "setting", "id").distinct().join(base, ["model", "id"]).withColumn("raw_chars", F.lit(0))
     own = measures(same, cases, None, "model", "setting")
